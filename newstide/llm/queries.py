@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import hmm, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op5_hmm_language_model": hmm.op5_hmm_language_model,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
