@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one grouped Python call should hold.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

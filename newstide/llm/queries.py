@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, simhash, substring
+from . import hmm, packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_minimum_bin_slack_packing": packing.op4_minimum_bin_slack_packing,
     "op5_hmm_language_model": hmm.op5_hmm_language_model,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes worked on at once; only a single longer document exceeds it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _table(*ranges: tuple[int, int]) -> np.ndarray:
