@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, packing, simhash, substring
+from . import hmm, media, packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jpeg_media": media.op1_jpeg_media,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op4_minimum_bin_slack_packing": packing.op4_minimum_bin_slack_packing,
     "op5_hmm_language_model": hmm.op5_hmm_language_model,
