@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, media, packing, simhash, substring
+from . import hmm, media, packing, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": media.op1_jpeg_media,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minimum_bin_slack_packing": packing.op4_minimum_bin_slack_packing,
     "op5_hmm_language_model": hmm.op5_hmm_language_model,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
