@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, langid, media, packing, simhash, substring, toxicity
+from . import hmm, langid, license, media, mixing, packing, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": media.op1_jpeg_media,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_license_templates": license.op3_license_templates,
     "op4_minimum_bin_slack_packing": packing.op4_minimum_bin_slack_packing,
     "op5_hmm_language_model": hmm.op5_hmm_language_model,
     "op6_byte_gru_language_id": langid.op6_byte_gru_language_id,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op9_temperature_mixing": mixing.op9_temperature_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
