@@ -24,21 +24,23 @@ SENT = "p int, g int, keys binary, extra binary"
 REPLY = "g int, p int, reply binary, stats array<long>"
 
 
-def grouped(docs: DataFrame, groups: int) -> DataFrame:
+def grouped(docs: DataFrame, groups: int, carry: dict[str, str] | None = None) -> DataFrame:
     """(g, doc_id, text) dealt to ``groups`` groups of rising doc_id: a smaller group has only smaller ids.
 
     Bounds are quantiles of doc_id. Rows without doc_id go to the last group.
+    ``carry`` names further columns of ``docs`` to take along, and what to call them.
     """
     from pyspark.ml.feature import Bucketizer
 
-    ids = docs.select("doc_id", "text").withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf"))))
+    more = [docs[a].alias(b) for a, b in (carry or {}).items()]
+    ids = docs.select(docs["doc_id"], docs["text"], *more).withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf"))))
     cuts = ids.where("doc_id is not null").approxQuantile("at", [i / groups for i in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
         ids = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(ids)
     else:
         ids = ids.withColumn("bucket", F.lit(0.0))
-    return ids.select(F.col("bucket").cast("int").alias("g"), "doc_id", "text").repartition(groups, "g")
+    return ids.select(F.col("bucket").cast("int").alias("g"), "doc_id", "text", *(carry or {}).values()).repartition(groups, "g")
 
 
 def by_range(keys: np.ndarray, owners: int) -> np.ndarray:

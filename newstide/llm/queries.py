@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, langid, license, media, mixing, packing, simhash, substring, toxicity
+from . import embeddings, hmm, langid, license, media, mixing, packing, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": media.op1_jpeg_media,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hmm_language_model": hmm.op5_hmm_language_model,
     "op6_byte_gru_language_id": langid.op6_byte_gru_language_id,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_rotated_code_near_dedup": embeddings.op8_rotated_code_near_dedup,
     "op9_temperature_mixing": mixing.op9_temperature_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -86,5 +86,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 1) -> DataF
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
+def one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 1) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest; of rows that repeat a doc_id one.
+
+    Rows without doc_id stay.
+    """
+    found = near_duplicates(docs, shingle, radius)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(parquet(spark, sf_dir, "documents"))

@@ -129,9 +129,9 @@ def _answer_window(table: pa.Table) -> pa.Table:
     return X.reply_table(groups, table.column("p")[0].as_py(), [np.packbits(bit[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
 
 
-def _parts(docs: DataFrame, block: int, keep_text: bool):
+def _parts(docs: DataFrame, block: int, schema: str, finished, carry: dict[str, str] | None = None) -> DataFrame:
     n = X.width(docs)
-    deal = X.grouped(docs, n)
+    deal = X.grouped(docs, n, carry)
 
     def probe(table):
         own = _Group(table, block, n)
@@ -149,45 +149,48 @@ def _parts(docs: DataFrame, block: int, keep_text: bool):
         own = _Group(table, block, n)
         own.candidates(X.bit_replies(answers.filter(pa.array(kind == 0)), own.anchor_owner))
         gone = own.covered(X.bit_replies(answers.filter(pa.array(kind == 1)), own.key_owner))
-        return _cleaned(own, gone, keep_text)
+        return finished(own, gone)
 
     anchors = X.ask(deal.groupBy("g").applyInArrow(probe, X.SENT), n, _answer_anchor)
     windows = X.ask(deal.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(verify, X.SENT), n, _answer_window)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
-    return deal.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(finish, RESULT + ", text string" * keep_text)
+    return deal.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(finish, schema)
 
 
-def _cleaned(own: _Group, gone: np.ndarray, keep_text: bool) -> pa.Table:
-    n_words, n_gone = np.diff(own.bounds), np.zeros(len(own.ids), np.int64)
-    np.add.at(n_gone, own.rows[gone], 1)
+def _repeats(own: _Group, gone: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Per row the maximal repeats as word spans."""
     edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    cut = own.bounds[1:-1]
-    # a repeat ends with its document
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    split = cut[(cut > 0) & (cut < len(gone))]
-    split = split[gone[split] & gone[split - 1]] if len(split) else split
-    starts, ends = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([ends, split]))
-    of = own.rows[starts] if len(starts) else starts
-    first = np.searchsorted(of, np.arange(len(own.ids) + 1))
-    digests, texts, ranges = [], [], []
-    for i, text in enumerate(own.table.column("text").to_pylist()):
-        words = (text or "").encode().split()
-        lo = own.bounds[i]
-        mine = [(int(starts[k] - lo), int(ends[k] - lo)) for k in range(first[i], first[i + 1])]
-        for a, b in reversed(mine):
-            del words[a:b]
-        kept = b" ".join(words)
-        digests.append(hashlib.sha256(kept).hexdigest())
-        ranges.append([{"start": a, "end": b} for a, b in mine])
-        if keep_text:
-            texts.append(kept.decode() if mine else text)
-    columns = {"doc_id": pa.array(own.ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "spans": pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
-    return pa.table(columns | ({"text": pa.array(texts, pa.string())} if keep_text else {}))
-
-
-def remove_repeats(docs: DataFrame, block: int = 7, keep_text: bool = False) -> DataFrame:
-    """Per document: words, words removed, the digest of the kept words, the removed maximal repeats as word spans
-    and, with ``keep_text``, the text that stays (unchanged where nothing is removed).
+    # a repeat ends with its document
+    cut = np.unique(own.bounds[1:-1])
+    cut = cut[(cut > 0) & (cut < len(gone))]
+    cut = cut[gone[cut] & gone[cut - 1]] if len(cut) else cut
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    first = np.searchsorted(own.rows[starts] if len(starts) else starts, np.arange(len(own.ids) + 1))
+    return [[(int(starts[k] - lo), int(ends[k] - lo)) for k in range(a, b)] for lo, a, b in zip(own.bounds, first, first[1:], strict=False)]
+
+
+def _kept(text: str | None, repeats: list[tuple[int, int]]) -> bytes:
+    words = (text or "").encode().split()
+    for a, b in reversed(repeats):
+        del words[a:b]
+    return b" ".join(words)
+
+
+def _report(own: _Group, gone: np.ndarray) -> pa.Table:
+    repeats = _repeats(own, gone)
+    digests = [hashlib.sha256(_kept(t, r)).hexdigest() for t, r in zip(own.table.column("text").to_pylist(), repeats, strict=True)]
+    return pa.table({
+        "doc_id": pa.array(own.ids, pa.int64()),
+        "n_words": pa.array(np.diff(own.bounds), pa.int64()),
+        "n_removed": pa.array([sum(b - a for a, b in r) for r in repeats], pa.int64()),
+        "kept_sha256": pa.array(digests, pa.string()),
+        "spans": pa.array([[{"start": a, "end": b} for a, b in r] for r in repeats], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    })
+
+
+def remove_repeats(docs: DataFrame, block: int = 7) -> DataFrame:
+    """Per document: words, words removed, the digest of the kept words, and the removed maximal repeats as word spans.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their
     names. A word goes if a window of ``2 * block - 1`` words that covers it also
@@ -196,7 +199,33 @@ def remove_repeats(docs: DataFrame, block: int = 7, keep_text: bool = False) ->
     for that comparison and each gets its row; rows without doc_id come after
     all others, each on its own. An empty table gives no rows.
     """
-    return _parts(docs, block, keep_text)
+    return _parts(docs, block, RESULT, _report)
+
+
+def without_repeats(docs: DataFrame, block: int = 7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without the words that ``remove_repeats`` removes.
+
+    Texts that lose words are their kept words joined by one space, and n_chars,
+    where there is such a column, counts what is left; other texts stay as they
+    are. No row goes, not even one that loses all its words.
+    """
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carry, order = {c: f"c{k}" for k, c in enumerate(names)}, docs.columns
+
+    def rewritten(own: _Group, gone: np.ndarray) -> pa.Table:
+        old = own.table.column("text").to_pylist()
+        new = [_kept(t, r).decode() if r else t for t, r in zip(old, _repeats(own, gone), strict=True)]
+        out = {}
+        for c in order:
+            column = own.table.column(carry.get(c, c))
+            if c == "text":
+                column = pa.array(new, pa.string())
+            elif c == "n_chars":
+                column = pa.array([n if a == b else len(b) for n, a, b in zip(column.to_pylist(), old, new, strict=True)], column.type)
+            out[c] = column
+        return pa.table(out)
+
+    return _parts(docs, block, docs.schema, rewritten, carry)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
