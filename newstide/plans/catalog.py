@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregating, computing, joining, scans, windows  # noqa: F401
+from . import aggregating, computing, evaluating, flowing, joining, learning, scans, selecting, windows  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
