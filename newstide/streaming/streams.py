@@ -38,25 +38,26 @@ def available(rows: DataFrame, facts: DataFrame, by: str, at: str, known: str, v
 
 
 def _novel(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows whose value is new to their key; what was seen is dropped a day after the key's last row."""
+    """Rows whose value is new to their key; what was seen is dropped once the watermark is a day past the key's last row."""
     if state.hasTimedOut:
         state.remove()
         return
-    seen = set(state.get[0]) if state.exists else set()
+    seen, last = set(state.get[0]) if state.exists else set(), 0
     for frame in frames:
-        frame = frame.sort_values(["moment", "id"])
+        frame = frame.sort_values(["ts", "id"])
+        last = max(last, int(frame["ts"].max().timestamp() * 1000))
         new = ~frame["value"].isin(seen) & ~frame["value"].duplicated()
         seen.update(frame["value"])
         out = frame[new]
         if len(out):
             yield pd.DataFrame({"key": key[0], "id": out["id"], "value": out["value"]})
     state.update((sorted(seen),))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
 
 
-def novel_rows(rows: DataFrame) -> DataFrame:
-    """(key, id, value): first occurrences of each key's values; ``rows`` has key, id, value, moment and is a stream."""
-    return rows.groupBy("key").applyInPandasWithState(_novel, "key string, id long, value long", "seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def novel_rows(rows: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(key, id, value): first occurrences of each key's values; ``rows`` has key, id, value, ts and is a stream; the watermark trails by ``late``."""
+    return rows.withWatermark("ts", late).groupBy("key").applyInPandasWithState(_novel, "key string, id long, value long", "seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
