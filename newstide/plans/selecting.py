@@ -186,7 +186,7 @@ def fl5(t):
 
 @query("fl6_salience_penalty", f"""WITH b AS (SELECT *, CAST(label AS BIGINT) AS topic, round(abs(embedding[1]::DOUBLE), 6) AS salience FROM embeddings),
     s AS (SELECT b.vec_id AS id, a.vec_id AS past, a.salience, {COS} AS c FROM b JOIN b a ON a.topic = b.topic AND a.vec_id % 10 = b.vec_id % 10 - 1)
-    SELECT b.vec_id AS id, round(b.salience - coalesce(max(CASE WHEN c > 0.95 THEN 1 WHEN c < 0.15 THEN 0 ELSE c END * s.salience), 0), 4) AS penalised FROM b LEFT JOIN s ON s.id = b.vec_id GROUP BY b.vec_id, b.salience""")
+    SELECT b.vec_id AS id, round(b.salience - coalesce(max(CASE WHEN c > 0.95 THEN 1 WHEN c < 0.15 THEN 0 ELSE c END * s.salience), 0) + 1e-9, 4) AS penalised FROM b LEFT JOIN s ON s.id = b.vec_id GROUP BY b.vec_id, b.salience""")
 def fl6(t):
     """Salience less the most similar past salience, similarities over .95 taken as 1 and under .15 as 0."""
     p = points(t)
@@ -194,7 +194,7 @@ def fl6(t):
     c = M.dot("vector", "w") / F.sqrt(M.dot("vector", "vector") * M.dot("w", "w"))
     j = p.join(past, ["topic", "bucket"], "left").withColumn("c", c)
     weight = F.when(F.col("c") > 0.95, 1.0).when(F.col("c") < 0.15, 0.0).otherwise(F.col("c"))
-    return j.groupBy("id", "salience").agg(F.max(weight * F.col("before")).alias("m")).select("id", F.round(F.col("salience") - F.coalesce("m", F.lit(0.0)), 4).alias("penalised"))
+    return j.groupBy("id", "salience").agg(F.max(weight * F.col("before")).alias("m")).select("id", F.round(F.col("salience") - F.coalesce("m", F.lit(0.0)) + 1e-9, 4).alias("penalised"))
 
 
 @query("fl7_similar_to_prior", f"SELECT vec_id AS id FROM embeddings b WHERE vec_id >= 100 AND NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < 100 AND a.label = b.label AND {COS} >= 0.3)")
