@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import materialise, parquet
+from .text import tidied
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,7 +47,7 @@ def pieces_of(docs: DataFrame, ranks: str, capacity: int) -> DataFrame:
                         crc.append(zlib.crc32(own[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(docs_out, pa.int64()), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -137,7 +138,7 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
                 offset[rows] = off[use] + within % n[use] * size[rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return placed.mapInArrow(place, RESULT)
+    return placed.mapInArrow(tidied(place), RESULT)
 
 
 def ranks_path() -> str:

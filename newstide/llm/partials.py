@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import tidied
+
 
 def sum_over(df: DataFrame, columns: list[str], count: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
     """``count(batch)``, a float64 array of fixed size, summed over all batches; None without rows.
@@ -31,7 +33,7 @@ def sum_over(df: DataFrame, columns: list[str], count: Callable[[pa.RecordBatch]
     def add(table: pa.Table) -> pa.Table:
         return pa.table({"counts": pa.array([sum(np.frombuffer(x, "<f8") for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
 
-    rows = df.select(*columns, F.spark_partition_id().alias("part")).mapInArrow(run, "part int, counts binary")
+    rows = df.select(*columns, F.spark_partition_id().alias("part")).mapInArrow(tidied(run), "part int, counts binary")
     fan = max(1, math.isqrt(rows.rdd.getNumPartitions()))
     some = rows.groupBy(F.pmod("part", F.lit(fan))).applyInArrow(add, "counts binary").collect()
     return sum(np.frombuffer(r.counts, "<f8") for r in some) if some else None

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .cluster import materialise, parquet
 from .components import components
+from .text import tidied
 
 SEED = 42
 
@@ -49,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint_of(x, shingle) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def linked(nodes: DataFrame, radius: int = 1) -> DataFrame:

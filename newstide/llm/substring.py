@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .cluster import parquet
-from .text import U64, column_bytes, hashed_words, mix, rolling, split_rows
+from .text import U64, column_bytes, hashed_words, mix, rolling, split_rows, tidy
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
@@ -135,21 +135,30 @@ def _parts(docs: DataFrame, block: int, schema: str, finished, carry: dict[str,
 
     def probe(table):
         own = _Group(table, block, n)
-        return own.sent(table.column("g")[0].as_py())
+        sent = own.sent(table.column("g")[0].as_py())
+        del own
+        tidy()
+        return sent
 
     def verify(table, answers):
         if not table.num_rows:
             return pa.schema([("p", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())]).empty_table()
         own = _Group(table, block, n)
         own.candidates(X.bit_replies(answers, own.anchor_owner))
-        return pa.Table.from_batches([X.packed(table.column("g")[0].as_py(), own.key_owner, n, own.keys.astype("<u8"), None)])
+        sent = pa.Table.from_batches([X.packed(table.column("g")[0].as_py(), own.key_owner, n, own.keys.astype("<u8"), None)])
+        del own
+        tidy()
+        return sent
 
     def finish(table, answers):
         kind = answers.column("kind").to_numpy()
         own = _Group(table, block, n)
         own.candidates(X.bit_replies(answers.filter(pa.array(kind == 0)), own.anchor_owner))
         gone = own.covered(X.bit_replies(answers.filter(pa.array(kind == 1)), own.key_owner))
-        return finished(own, gone)
+        out = finished(own, gone)
+        del own, gone
+        tidy()
+        return out
 
     anchors = X.ask(deal.groupBy("g").applyInArrow(probe, X.SENT), n, _answer_anchor)
     windows = X.ask(deal.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(verify, X.SENT), n, _answer_window)

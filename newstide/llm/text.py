@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,31 @@ def hashed_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.empty(0, U64), *parts]), np.cumsum(np.concatenate(counts))
 
 
+def tidy() -> None:
+    """Hand freed memory back: a worker that Spark keeps for later stages shouldn't hold the last one's buffers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over batches that hands memory back every few batches and at its end."""
+
+    @wraps(run)
+    def clean(batches):
+        try:
+            for n, out in enumerate(run(batches)):
+                yield out
+                if n % 8 == 7:
+                    tidy()
+        finally:
+            tidy()
+
+    return clean
+
+
 def split_rows(bounds: np.ndarray, n: int) -> np.ndarray:
     """The row of each of ``n`` items."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

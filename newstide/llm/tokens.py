@@ -19,7 +19,7 @@ from .text import SLICE_BYTES, column_bytes, slices
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Encoded pieces that a worker keeps between buffers.
-KEPT = 400_000
+KEPT = 60_000
 
 
 @lru_cache(1)

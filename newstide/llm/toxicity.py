@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from .cluster import parquet
 from .partials import sum_over
-from .text import LOWER, column_bytes, slices, spans
+from .text import LOWER, column_bytes, slices, spans, tidied
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, words array<string>"
 
+#: Readings that a task keeps.
+KEPT = 60_000
+
 #: Letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
 #: Costs, in nats, of reading a sign as a letter, of a repeated letter, and of a sign or a digit that means nothing.
@@ -139,7 +142,7 @@ class _Reader:
                     got = self.kept.get(token)
                     if got is None:
                         got = self.channel.readings(token)
-                        if len(self.kept) < 300_000:
+                        if len(self.kept) < KEPT:
                             self.kept[token] = got
                     readings.append(got)
             yield i, j, readings, of, rows, self._spelled(part, s, e, rows)
@@ -272,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
             score = [x for x, _ in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(x >= 0.5) for x in score], pa.int32()), pa.array([w for _, w in got], pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "predicted", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (_remainder("doc_id", 5) == 0).alias("held_out"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (_remainder("doc_id", 5) == 0).alias("held_out"), "text").mapInArrow(tidied(run), RESULT)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -284,7 +287,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
             keep = [x < 0.5 for x, _ in model.scores(batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
