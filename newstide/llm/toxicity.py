@@ -4,11 +4,13 @@ A token that isn't plain letters is read as a noisy copy of a word: its
 characters span a lattice (a sign may stand for a letter, separate letters or
 be noise; a repeated letter may be one), and Viterbi decoding under a character
 trigram model finds the likeliest letters. Words, restored or plain, are then
-weighed by how surely they mark toxic documents.
+weighed by how surely they mark toxic documents, and what they say together is
+calibrated on the same labels.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -29,6 +31,12 @@ KEPT = 60_000
 
 #: Letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
+#: Signs around a word that aren't part of it.
+AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”’…"
+#: Letters up to which a squeezed key stands for no word: too many words share it.
+SHORT = 3
+#: Lower edges of bands of evidence (-log of the share of clean documents that words leave), and documents of each that are assumed.
+BANDS, PRIOR = np.array([0.0, 1.0, 1.4, 1.8, 2.2, 2.6, 3.0, 3.5]), 2.0
 #: Costs, in nats, of reading a sign as a letter, of a repeated letter, and of a sign or a digit that means nothing.
 AS_LETTER, AGAIN, NOISE, DIGIT = 0.5, 0.5, 1.0, 12.0
 
@@ -43,8 +51,14 @@ class Settings:
     sure: float = 2.0
 
 
+def _folded(word: str) -> str:
+    """Without accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
 def _squeezed(word: str) -> str:
-    """A key that repeated letters don't change, told from plain words by its first sign."""
+    """A key that accents and repeated letters don't change, told from plain words by its first sign."""
+    word = _folded(word)
     return "~" + "".join(a for a, b in zip(word, " " + word, strict=False) if a != b)
 
 
@@ -84,20 +98,24 @@ class Channel:
         return "".join(reversed(out))
 
     def readings(self, token: bytes) -> tuple[str, ...]:
-        """Words that a lower-cased token may be: without the signs around it and, unless it is plain letters, restored."""
-        text = token.decode(errors="replace")
-        if not text.isascii():
-            text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-        core = text.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”’…")
-        if core.isalpha() and not any(a == b == c for a, b, c in zip(core, core[1:], core[2:], strict=False)):
+        """Words that a lower-cased token may be: without the signs around it and, unless it is plain letters, restored.
+
+        Plain letters keep their accents, which tell words apart; what is restored has none, and meets accented words by its squeezed key.
+        """
+        exact = token.decode(errors="replace")
+        if not exact.isascii():
+            exact = unicodedata.normalize("NFC", exact.lower())
+        text = _folded(exact)
+        plain, core = exact.strip(AROUND), text.strip(AROUND)
+        if plain.isalpha() and not any(a == b == c for a, b, c in zip(plain, plain[1:], plain[2:], strict=False)):
             if len(core) == len(text) or not any(c in "$@!|+(<" for c in text):
-                return (core,)
+                return (plain,)
             whole = self.restore(text)
-            return tuple(dict.fromkeys((core, whole, _squeezed(whole))))
+            return tuple(dict.fromkeys((plain, whole, _squeezed(whole))))
         if sum(c.isalpha() or c in STANDS_FOR for c in text) < 2 or text.isdigit():
             return ()
         found = {self.restore(text), "".join(filter(str.isalpha, text))} | ({self.restore(core)} if core and core != text else set())
-        return tuple(dict.fromkeys([*([core] if core.isalpha() else ()), *sorted(found), *sorted(map(_squeezed, found))]))
+        return tuple(dict.fromkeys([*([plain] if plain.isalpha() else ()), *sorted(found), *sorted(map(_squeezed, found))]))
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -164,15 +182,19 @@ class Model:
     words: dict[str, float]  # a lower bound of the share of toxic documents among those with the word
     base: float  # the share among documents with none of them
     channel: Channel
+    calls: tuple[np.ndarray, np.ndarray] | None = None  # evidence, rising, and the share of toxic documents there
 
     def __post_init__(self):
-        self.marks = {_squeezed(w): w for w in sorted(self.words, reverse=True)} | {w: w for w in self.words}
+        keys = {_squeezed(w): w for w in sorted(self.words, reverse=True)}
+        self.marks = {k: w for k, w in keys.items() if len(k) > SHORT} | {w: w for w in self.words}
+
+    def evidence(self, found: set[str]) -> float:
+        return -sum(math.log1p(-self.words[w]) for w in sorted(found))
 
     def score(self, found: set[str]) -> float:
-        clean = 1.0 - self.base
-        for w in sorted(found):
-            clean *= 1.0 - self.words[w]
-        return 1.0 - clean
+        if not found or self.calls is None:
+            return 1.0 - (1.0 - self.base) * math.exp(-self.evidence(found))
+        return float(np.interp(self.evidence(found), *self.calls))
 
     def scores(self, column):
         """(score, marking words) of each row of a text column."""
@@ -192,6 +214,25 @@ class Model:
                 yield self.score(words), sorted(words)
 
 
+def _calls(toxic: np.ndarray, total: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each band's mean evidence and share of toxic documents, never falling.
+
+    Words of one document don't tell independently, so their joint weight is
+    held against what it's worth; ``PRIOR`` documents that bear it out stand in
+    where a band has few.
+    """
+    at = np.where(total > 0, x / np.maximum(total, 1), np.append((BANDS[1:] + BANDS[:-1]) / 2, BANDS[-1]))
+    weight = total + PRIOR
+    share = (toxic + PRIOR * -np.expm1(-at)) / weight
+    pools: list[list[float]] = []
+    for s, w in zip(share, weight, strict=True):
+        pools.append([s, w, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (s1, w1, n1), (s2, w2, n2) = pools[-2:]
+            pools[-2:] = [[(s1 * w1 + s2 * w2) / (w1 + w2), w1 + w2, n1 + n2]]
+    return at, np.repeat([p[0] for p in pools], [int(p[2]) for p in pools])
+
+
 def _remainder(column: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n))
 
@@ -245,14 +286,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
             words[w] = low
     model = Model(words, 0.0, channel)
 
-    def missed(batch):
-        none = np.array([not w for _, w in model.scores(batch.column("text"))], bool)
+    def weighed(batch):
+        """By band of evidence: toxic documents, documents, and the sum of their evidence."""
+        x = np.array([model.evidence(set(w)) for _, w in model.scores(batch.column("text"))])
+        band = np.where(x > 0, np.searchsorted(BANDS, x, "right"), 0)
         label = batch.column("label").to_numpy(zero_copy_only=False) == 1
-        return np.array([(none & label).sum(), none.sum()], np.float64)
+        return np.concatenate([np.bincount(band, weights, len(BANDS) + 1) for weights in (label.astype(float), np.ones(len(x)), x)])
 
-    left = sum_over(rows, ["text", "label"], missed)
-    toxic, total = (0.0, 0.0) if left is None else left
-    model.base = min(0.49, (toxic + 0.5) / (total + 2.0))
+    sums = sum_over(rows, ["text", "label"], weighed)
+    toxic, total, x = np.zeros((3, len(BANDS) + 1)) if sums is None else sums.reshape(3, -1)
+    model.base = float(min(0.49, (toxic[0] + 0.5) / (total[0] + 2.0)))
+    model.calls = _calls(toxic[1:], total[1:], x[1:])
     return model
 
 

@@ -81,6 +81,32 @@ def test_toxicity_learns_words_and_reads_through_noise(spark):
     assert not toxicity.toxicity(corpus.frame(spark, []), label).collect()
 
 
+def test_accents_tell_plain_words_apart_but_not_restored_ones():
+    channel = toxicity.Channel(np.ones(27**3))
+    assert channel.readings("réeuxoi".encode()) == ("réeuxoi",) and channel.readings("RÉeuxoi,".encode()) == ("réeuxoi",)
+    assert channel.readings(b"reeuxoi") == ("reeuxoi",) and channel.readings("réêè".encode()) == ("réêè",)
+    model = toxicity.Model({"réeuxoi": 0.9, "réêè": 0.9}, 0.01, channel)
+    assert "~reuxoi" in model.marks and "reeuxoi" not in model.marks and "~re" not in model.marks
+    assert any(model.marks.get(r) == "réeuxoi" for r in channel.readings("réeeeuxoi".encode()))
+
+
+def test_joint_evidence_is_calibrated_without_falling():
+    rnd, bands = np.random.default_rng(5), len(toxicity.BANDS)
+    for _ in range(50):
+        total = rnd.integers(0, 30, bands) * rnd.integers(0, 2, bands)
+        toxic = rnd.binomial(total, rnd.random(bands))
+        edges = np.append(toxicity.BANDS, 5.0)
+        at, share = toxicity._calls(toxic.astype(float), total.astype(float), total * (edges[:-1] + edges[1:]) / 2)
+        assert (np.diff(at) > 0).all() and (np.diff(share) >= 0).all() and 0 <= share[0] and share[-1] <= 1
+    none = np.zeros(bands)
+    at, share = toxicity._calls(none, none, none)
+    assert np.allclose(share, 1 - np.exp(-at))
+    # a single weak word that mostly clean documents have isn't enough, however sure it seemed
+    few = np.eye(bands)[0]
+    at, share = toxicity._calls(10 * few, 53 * few, 40 * few)
+    assert share[0] < 0.25 < 0.5 < share[-1]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
     import math
