@@ -1,6 +1,7 @@
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -111,7 +112,6 @@ def test_viterbi_is_the_best_path():
     import itertools
     import math
 
-    import numpy as np
 
     channel = toxicity.Channel(np.random.default_rng(0).integers(0, 50, 27**3).astype(float))
 
@@ -144,7 +144,6 @@ def test_viterbi_is_the_best_path():
 
 
 def test_language_network(spark):
-    import numpy as np
 
     s = langid.Settings(hidden=3, segment=5)
     net = langid.Network(["a", "b", "c"], s)
