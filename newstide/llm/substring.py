@@ -33,6 +33,17 @@ def _valid(rows: np.ndarray, n: int, k: int) -> np.ndarray:
     return ok
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each key's place among them."""
+    order = np.argsort(keys).astype(np.int32)
+    ranked = keys[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], place
+
+
 class _Group:
     """What a group knows of its own words; made again in each phase rather than shipped."""
 
@@ -42,42 +53,45 @@ class _Group:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
         self.table = table.take(pa.array(order, pa.int64())) if len(ids) else table
         self.ids = [ids[i] for i in order]
-        self.rank = np.cumsum([0] + [a != b or a is None for a, b in zip(self.ids[1:], self.ids, strict=False)])[: len(ids)]
+        self.rank = np.cumsum([0] + [a != b or a is None for a, b in zip(self.ids[1:], self.ids, strict=False)], dtype=np.int32)[: len(ids)]
         self.words, self.bounds = hashed_words(*column_bytes(self.table.column("text")))
-        self.rows = split_rows(self.bounds, len(self.words))
-        doc = self.rank[self.rows] if len(self.rows) else self.rows
+        self.rows = split_rows(self.bounds, len(self.words)).astype(np.int32)
         # anchors: key = owner, then 32 bits within its range
-        ok = _valid(self.rows, len(self.words), block)
-        self.at = np.flatnonzero(ok)
-        keys = rolling(self.words, block, 7)[self.at]
-        owner = X.by_range(keys, owners)
-        comp = (owner.astype(U64) << U64(32)) | (keys & U64(0xFFFFFFFF))
-        self.anchors, self.anchor_of = np.unique(comp, return_inverse=True)
-        self.anchor_owner = (self.anchors >> U64(32)).astype(np.int64)
+        self.at = np.flatnonzero(_valid(self.rows, len(self.words), block)).astype(np.int32)
+        comp = rolling(self.words, block, 7)[self.at]
+        comp = (X.by_range(comp, owners).astype(U64) << U64(32)) | (comp & U64(0xFFFFFFFF))
+        self.anchors, self.anchor_of = _ranked(comp)
+        del comp
         aligned = (self.at - self.bounds[self.rows[self.at]]) % block == 0 if len(self.at) else np.empty(0, bool)
         self.indexed = np.zeros(len(self.anchors), bool)
         self.indexed[self.anchor_of[aligned]] = True
         # an anchor that two documents of this group hold, one of them as a block
-        low = np.full(len(self.anchors), 1 << 62)
-        high = np.full(len(self.anchors), -1)
-        held = doc[self.at] if len(self.at) else self.at
+        low = np.full(len(self.anchors), np.iinfo(np.int32).max, np.int32)
+        high = np.full(len(self.anchors), -1, np.int32)
+        held = self.rank[self.rows[self.at]] if len(self.at) else self.at
         # words run in the order of documents: the first and last writers are the extremes
         low[self.anchor_of[::-1]] = held[::-1]
         high[self.anchor_of] = held
         self.shared = self.indexed & (low < high)
 
+    @property
+    def anchor_owner(self) -> np.ndarray:
+        return (self.anchors >> U64(32)).astype(np.int32)
+
     def sent(self, g: int) -> pa.Table:
         return pa.Table.from_batches([X.packed(g, self.anchor_owner, self.owners, self.anchors.astype("<u4"), self.indexed)])
 
     def candidates(self, hit: np.ndarray) -> None:
-        """Windows that hold a hit anchor, as distinct keys (owner from the second hash) in the order they are sent."""
-        n, starts = len(self.words), np.zeros(len(self.words) + 1, np.int64)
+        """Windows that hold a hit anchor, as distinct keys (owner from the second hash) in the order they are sent; frees the anchors."""
+        n, starts = len(self.words), np.zeros(len(self.words) + 1, np.int32)
         for_window = self.at[(hit | self.shared)[self.anchor_of]]
+        del self.at, self.anchors, self.anchor_of, self.indexed, self.shared
         np.add.at(starts, np.maximum(for_window - self.block + 1, 0), 1)
         np.add.at(starts, for_window + 1, -1)
         covered = np.cumsum(starts)[:n] > 0
         ok = _valid(self.rows, n, self.window)
-        self.start = np.flatnonzero(ok & covered[: len(ok)])
+        self.start = np.flatnonzero(ok & covered[: len(ok)]).astype(np.int32)
+        del starts, for_window, covered, ok
         first = rolling(self.words, self.window, 13)[self.start]
         second = rolling(mix(self.words ^ U64(0x5851F42D4C957F2D)), self.window, 31)[self.start]
         owner = X.by_range(second, self.owners)
@@ -85,7 +99,7 @@ class _Group:
         new = np.ones(len(order), bool)
         if len(order) > 1:
             new[1:] = (first[order][1:] != first[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        self.key_of = np.empty(len(order), np.int64)
+        self.key_of = np.empty(len(order), np.int32)
         self.key_of[order] = np.cumsum(new) - 1
         lead = order[new]
         self.keys, self.key_owner = first[lead], owner[lead]
@@ -95,7 +109,7 @@ class _Group:
     def covered(self, earlier: np.ndarray) -> np.ndarray:
         """Words of windows that start in a document with a smaller id, in an earlier group or in this one."""
         found = self.start[earlier[self.key_of] | (self.first_doc[self.key_of] < self.doc)]
-        edge = np.zeros(len(self.words) + 1, np.int64)
+        edge = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(edge, found, 1)
         np.add.at(edge, found + self.window, -1)
         return np.cumsum(edge)[: len(self.words)] > 0
