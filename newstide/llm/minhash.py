@@ -1,0 +1,160 @@
+"""Near copies by banded min-hash, every candidate checked on whole sets of word shingles.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+are near copies, and what they join is a group. At that similarity 24 bands of
+6 minima bring 99.9 % of all pairs together. Of the texts in a band each is
+compared with the smallest first, then those of different groups with each
+other, so a group of thousands of copies costs one comparison a text.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .cluster import materialise
+from .components import components
+from .text import tidied
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 6
+#: Candidates with fewer equal minima aren't checked: 5 standard errors below SIMILARITY.
+LEAST_EQUAL = int(BANDS * ROWS * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
+#: Shingles of a text whose minima are taken at once.
+CHUNK = 2048
+
+_RND = np.random.default_rng(42)
+_FACTOR, _ADD = (_RND.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_PLACE = _RND.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of a text's shingles, rising; a shorter text is one shingle, no words none."""
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    n = len(h) - SHINGLE + 1
+    mixed = sum(h[k : k + n] * _PLACE[k] for k in range(SHINGLE))
+    return np.unique((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The text's signature, one minimum for each of the hash functions."""
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(shingles), CHUNK):
+        np.minimum(out, ((shingles[None, i : i + CHUNK] * _FACTOR + _ADD) >> np.uint64(32)).min(axis=1).astype(np.uint32), out)
+    return out
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _node(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words))
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, minima, bands): texts of the same words are one node."""
+
+    def run(batches):
+        for batch in batches:
+            node, sign, bands = [], [], []
+            for text in batch.column("text").to_pylist():
+                w = _words(text)
+                m = minima(shingle_set(w)).tobytes()
+                step = 4 * ROWS
+                node.append(_node(w))
+                sign.append(m)
+                bands.append(np.array([xxhash.xxh64_intdigest(m[k * step : (k + 1) * step], k) for k in range(BANDS)], np.uint64).view(np.int64))
+            ids = batch.column("doc_id").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "minima", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, node long, minima binary, bands array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles): 32 bits of each shingle."""
+
+    def run(batches):
+        for batch in batches:
+            words = [_words(x) for x in batch.column("text").to_pylist()]
+            node = np.array([_node(w) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([np.unique((shingle_set(w) >> np.uint64(32)).astype(np.uint32)).tobytes() for w in words], pa.binary())], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(tidied(run), "node long, shingles binary")
+
+
+def _kept(pairs: DataFrame, values: DataFrame, column: str, keep) -> DataFrame:
+    """The pairs (a, b) whose two values in ``column`` pass ``keep``."""
+    one, two = (values.select(F.col("node").alias(x), F.col(column).alias(f"of_{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            good = [keep(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(tidied(run), "a long, b long")
+
+
+def _alike(x: bytes, y: bytes) -> bool:
+    return int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= LEAST_EQUAL
+
+
+def _near(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are near copies. Texts are found by their nodes' smallest doc_id; those without doc_id are few."""
+    likely = materialise(_kept(pairs, nodes, "minima", _alike))
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    ids = wanted.join(nodes, "node").select(F.col("least").alias("wanted_id")).where("wanted_id is not null").distinct()
+    texts = docs.select("doc_id", "text")
+    named = texts.join(ids, texts.doc_id == F.col("wanted_id"), "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = materialise(_sets(named).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    return materialise(_kept(likely, sets, "shingles", _near))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): near copies among the nodes, enough of them to join whatever the bands bring together."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    shared = materialise(keys.join(leads, "key"))
+    first = _checked(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), nodes, docs)
+    labels = components(first)
+    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    most = placed.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = materialise(placed.join(most, "key").select("key", "node", "label", "main"))
+    rest = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("own"))
+    met = rest.join(mixed, "key").where("own <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    second = _checked(met, nodes, docs)
+    return first.unionByName(second)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id and component_id, the smallest doc_id of its group (null if no row of the group has one)."""
+    marked = materialise(marks(docs))
+    nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("minima").alias("minima"), F.first("bands").alias("bands")))
+    joined = components(near_links(docs, nodes)).withColumnRenamed("component", "root")
+    named = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is their group's smallest; of rows that repeat a doc_id one.
+
+    Rows without doc_id stay.
+    """
+    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
