@@ -24,13 +24,15 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = PIECES + ", sequence_id long, offset long"
 END_ID = 0
+#: The vocabulary's added token, which its tokenizer never spells out.
+ADDED = (b"<|endoftext|>", 50256)
 
 
 def pieces_of(docs: DataFrame, ranks: str, capacity: int) -> DataFrame:
     """Per piece of a document: its place in the document's ids and their checksum. The first piece takes the remainder."""
 
     def run(batches):
-        enc = encoder(ranks)
+        enc = encoder(ranks, ADDED)
         for batch in batches:
             docs_out, nth, start, length, crc = [], [], [], [], []
             ids_in = batch.column("doc_id").to_pylist()

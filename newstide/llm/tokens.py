@@ -68,14 +68,30 @@ def piece_starts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return at[start]
 
 
+def cut_at(buf: np.ndarray, bounds: np.ndarray, starts: np.ndarray, token: bytes) -> np.ndarray:
+    """Piece starts where each ``token`` inside a text is one piece, and what is around it is split on its own."""
+    whole, found, at = buf.tobytes(), [], -1
+    while (at := whole.find(token, at + 1)) >= 0:
+        found.append(at)
+    first = np.array(found, np.int64)
+    first = first[np.searchsorted(bounds, first, "right") == np.searchsorted(bounds, first + len(token) - 1, "right")]  # not across texts
+    if not len(first):
+        return starts
+    last = first + len(token)
+    starts = np.union1d(piece_starts(buf, np.union1d(bounds, np.concatenate([first, last]))), np.append(first, last[last < len(buf)]))
+    k = np.searchsorted(first, starts, "right") - 1
+    return starts[(k < 0) | (starts == first[k]) | (starts >= last[k])]
+
+
 class Encoder:
-    """Ids of whole columns under the ranks of a byte-level BPE."""
+    """Ids of whole columns under the ranks of a byte-level BPE; ``added`` is a token, and the one id it is wherever a text has it."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, added: tuple[bytes, int] | None = None):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
         self.core = tiktoken.Encoding("ranks", pat_str=r"\s+|\S+", mergeable_ranks=table, special_tokens={})._core_bpe
+        self.added = {added[0]: [added[1]]} if added else {}
         self.kept: dict[bytes, list[int]] = {}
 
     def column(self, column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,11 +100,13 @@ class Encoder:
         for i, j in slices(bounds, limit):
             part, own = buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             starts = piece_starts(part, own)
+            for token in self.added:
+                starts = cut_at(part, own, starts, token)
             offsets = np.append(starts, len(part)).astype(np.int32)
             pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
             coded = []
             for piece in pieces.dictionary.to_pylist():
-                ids = self.kept.get(piece)
+                ids = self.added.get(piece) or self.kept.get(piece)
                 if ids is None:
                     ids = self.core.encode_single_piece(piece)
                     if len(self.kept) < KEPT:
@@ -105,5 +123,5 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(ranks: str) -> Encoder:
-    return Encoder(ranks)
+def encoder(ranks: str, added: tuple[bytes, int] | None = None) -> Encoder:
+    return Encoder(ranks, added)

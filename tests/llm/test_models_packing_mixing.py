@@ -83,6 +83,20 @@ def test_ids_are_the_tokenizers(spark):
     assert have == want
 
 
+def test_added_token_is_one_id_as_in_the_tokenizers_default(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "a", "é", "1", "!", "'s", "日本", " the"]
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(3000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    have = [ids[rows[k] : rows[k + 1]].tolist() for i, j, ids, rows in tokens.Encoder(packing.ranks_path(), packing.ADDED).column(pa.array(texts), 4096) for k in range(j - i)]
+    assert have == want
+    got = packing.pack(corpus.frame(spark, corpus.docs_of([(1, "a <|endoftext|> b")])), packing.ranks_path()).collect()
+    assert [(r.length, r.ids_crc32) for r in got] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, packing.END_ID], "<u4").tobytes()))]
+
+
 def test_packing_places_every_piece(spark):
     data = corpus.rows()
     got = packing.pack(corpus.frame(spark, data), packing.ranks_path(), 64).collect()
