@@ -13,10 +13,12 @@ GROUP_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is chosen only where the session names none."""
+    """The shared folder that the session names. A folder of this machine is chosen only for a local master that names none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="newstide-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -35,3 +37,11 @@ def groups_for(df: DataFrame, column: str = "text", target: int = GROUP_BYTES) -
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

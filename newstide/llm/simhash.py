@@ -24,6 +24,14 @@ from .text import tidied
 SEED = 42
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint_of(text: str | None, shingle: int) -> int:
     """Majority bits of the shingles' XXH64, as an unsigned integer; no words: zero."""
     words = (text or "").encode().lower().split()
@@ -35,11 +43,7 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     ends = ends.tolist()
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64, len(words) - k + 1)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64, len(words) - k + 1))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -87,16 +91,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 1) -> DataF
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 1) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is their component's smallest; of rows that repeat a doc_id one.
-
-    Rows without doc_id stay.
-    """
-    found = near_duplicates(docs, shingle, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
-
-
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(parquet(spark, sf_dir, "documents"))

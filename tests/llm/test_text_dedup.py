@@ -81,10 +81,6 @@ def test_simhash_components(spark):
     want = sorted((str(i), f"{f:016x}", str(least.get(find(k)))) for k, (i, f) in enumerate(zip(ids, fp, strict=True)))
     got = simhash.near_duplicates(corpus.frame(spark, data)).collect()
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
-    kept = simhash.one_per_group(corpus.frame(spark, data))
-    assert kept.columns == corpus.frame(spark, data).columns
-    named = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert named == sorted({int(c) for i, _, c in want if i == c and c != "None"})
     assert not simhash.near_duplicates(corpus.frame(spark, [])).collect()
 
 
