@@ -30,7 +30,7 @@ LEAST_EQUAL = int(BANDS * ROWS * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY
 #: Shingles of a text whose minima are taken at once.
 CHUNK = 2048
 #: Texts on each side of a tile.
-TILE = 512
+TILE = 1024
 
 _RND = np.random.default_rng(42)
 _FACTOR, _ADD = (_RND.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -63,9 +63,8 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def text_key(text: str = "text") -> Column:
-    """128 bits that name a text's sequence of words: texts of the same words are one node."""
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.unhex(F.md5(F.array_join(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")))
+    """128 bits that name a text: rows of equal texts are one node. Null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -143,12 +142,12 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _tile_links(table: pa.Table) -> pa.Table:
     """A spanning forest of the near copies between a tile's two sides whose labels differ."""
     node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-    sides = [np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("probing", "probed")]
+    first = table.column("probing").to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
     size = np.array([len(x) for x in sets])
     words, of = np.unique(np.concatenate([np.empty(0, np.uint32), *sets]), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
-    other = sides[1]
+    other = np.flatnonzero(~first)
     flat = np.concatenate([np.empty(0, np.int64), *(of[at[k] : at[k + 1]] for k in other)]).astype(np.int64)
     owner = np.repeat(np.arange(len(other)), size[other])
     root = list(range(len(node)))
@@ -160,11 +159,11 @@ def _tile_links(table: pa.Table) -> pa.Table:
         return k
 
     a, b, mark = [], [], np.zeros(len(words), bool)
-    for k in sides[0]:
+    for k in np.flatnonzero(first):
         mark[of[at[k] : at[k + 1]]] = True
         both = np.bincount(owner[mark[flat]], minlength=len(other))
         mark[of[at[k] : at[k + 1]]] = False
-        near = (both >= SIMILARITY * (size[k] + size[other] - both)) & (label[other] != label[k]) & (both > 0)
+        near = (both >= SIMILARITY * (size[k] + size[other] - both)) & (label[other] != label[k])
         for m in other[near].tolist():
             x, y = find(k), find(m)
             if x != y:
@@ -174,20 +173,21 @@ def _tile_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _between(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Near copies among the texts of a band whose labels differ; ``mixed`` has (key, node, label, main).
+def _tiled(probing: DataFrame, probed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Near copies between two sides, each (group, node, label), within each group and across labels.
 
-    Texts outside a band's main group probe all of the band. Both sides are
-    dealt to blocks of about ``TILE`` texts, and a tile is a block of each.
+    Both sides are dealt to blocks of about ``TILE`` texts, and a tile is a
+    block of each; a row for each tile and text, never for each pair.
     """
-    salt = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / TILE).cast("int").alias("across"), F.ceil(F.count("*") / TILE).cast("int").alias("down"))
-    rows = mixed.join(sizes, "key").withColumns({"i": salt("across"), "j": salt("down"), "outer": F.col("label") != F.col("main")})
-    probed = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).select("key", F.col("t").alias("i"), "j", "node", "label", F.lit(False).alias("probing"), F.lit(True).alias("probed"))
-    probing = rows.where("outer").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).select("key", "i", F.col("t").alias("j"), "node", "label", F.lit(True).alias("probing"), F.lit(False).alias("probed"))
-    tiles = probed.unionByName(probing).groupBy("key", "i", "j", "node", "label").agg(F.bool_or("probing").alias("probing"), F.bool_or("probed").alias("probed"))
-    sets = _sets_of(mixed.select("node").distinct(), nodes, docs)
-    return materialise(tiles.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_tile_links, "a long, b long"))
+    count = lambda side, name: side.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    salt = lambda n: F.pmod(F.xxhash64("node", "group"), F.col(n)).cast("int")
+    sizes = count(probing, "across").join(count(probed, "down"), "group")
+    left, right = probing.join(sizes, "group"), probed.join(sizes, "group")
+    left = left.select("group", salt("across").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), "node", "label", F.lit(True).alias("probing"))
+    right = right.select("group", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), salt("down").alias("j"), "node", "label", F.lit(False).alias("probing"))
+    sets = _sets_of(probing.select("node").union(probed.select("node")).distinct(), nodes, docs)
+    rows = left.unionByName(right).join(sets, "node")
+    return materialise(rows.groupBy("group", "i", "j").applyInArrow(_tile_links, "a long, b long"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,10 +202,18 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     banded = shared.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
     pairs = close.unionByName(same).unionByName(banded).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = _checked(pairs, nodes, docs)
+    # bands whose texts are still of several groups: what isn't of a band's main group is held against that group, ...
     placed = shared.join(components(first), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     most = placed.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     mixed = materialise(placed.join(most, "key").select("key", "node", "label", "main"))
-    return first.unionByName(_between(mixed, nodes, docs))
+    outer = mixed.where("label <> main")
+    members = mixed.where("label = main").select(F.col("main").alias("group"), "node", "label").distinct()
+    links = first.unionByName(_tiled(outer.select(F.col("main").alias("group"), "node", "label").distinct(), members, nodes, docs))
+    # ... and then against what else the band has left
+    left = outer.select("key", "node").join(components(links), "node", "left").select(F.col("key").alias("group"), "node", F.coalesce("component", "node").alias("label"))
+    several = left.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("group")
+    left = materialise(left.join(several, "group"))
+    return links.unionByName(_tiled(left, left, nodes, docs))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -220,9 +228,10 @@ def _named(docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id and component_id, the smallest doc_id of its group (null if no row of the group has one).
 
-    Only doc_id and text are read, whatever else ``docs`` holds. Null and empty
-    texts, and those without words, are one text that is near no other. Texts of
-    fewer than five words are one shingle. Rows that repeat a doc_id each get a
+    Only doc_id and text are read, whatever else ``docs`` holds. Words are what
+    white space divides; A-Z count as a-z. Null and empty texts, and those
+    without words, are near each other and no other. Texts of fewer than five
+    words are one shingle; very long ones take memory for their shingles only. Rows that repeat a doc_id each get a
     row. An empty table gives no rows.
     """
     named = _named(docs)
