@@ -34,15 +34,15 @@ END_KEY = U64(0xF3E1D5C7B9AB9D8F)
 class Settings:
     states: int = 8
     classes: int = 2048
-    #: Tokens of one training segment; scoring never cuts.
+    #: Tokens over which the first class distributions are told apart, before any training.
     segment: int = 32
     #: Full Baum-Welch passes over all training documents.
     passes: int = 2
     #: About how many documents, and characters of each, choose where training starts; all of them train.
     seed_docs: int = 1200
     seed_chars: int = 2000
-    #: Longer texts are scored as products of per-chunk transfer matrices.
-    chunk: int = 4096
+    #: Longer texts are taken in chunks, joined exactly by the chunks' transfer matrices; results don't depend on it.
+    chunk: int = 2048
 
 
 def word_classes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
@@ -70,101 +70,133 @@ def _sequences(table: pa.Table | pa.RecordBatch, classes: int):
 
 @dataclass
 class Model:
-    start: np.ndarray  # of a text
-    inner: np.ndarray  # of a segment within a text
+    start: np.ndarray
     trans: np.ndarray
     emit: np.ndarray  # symbols x states
 
     @staticmethod
     def from_counts(x: np.ndarray, k: int, m: int) -> Model:
-        start, inner, trans, emit = np.split(x[: 2 * k + k * k + (m + 1) * k], [k, 2 * k, 2 * k + k * k])
+        start, trans, emit = np.split(x[: k + k * k + (m + 1) * k], [k, k + k * k])
         one = lambda v, axis=None: v / v.sum(axis=axis, keepdims=axis is not None)
         share = one(emit.reshape(m + 1, k).sum(1) + 1e-3)[:, None]
-        return Model(one(start + 0.1), one(inner + 0.1), one(trans.reshape(k, k) + 0.1, 1), one(emit.reshape(m + 1, k) + share * 2.0, 0))
+        return Model(one(start + 0.1), one(trans.reshape(k, k) + 0.1, 1), one(emit.reshape(m + 1, k) + share * 2.0, 0))
 
 
-def expected_counts(model: Model, tokens: np.ndarray, bounds: np.ndarray, length: int, lanes: int = 4096) -> np.ndarray:
-    """Expected start, inner start, transition and emission counts and the log-likelihood, over segments of the rows."""
-    k, m = model.trans.shape[0], len(model.emit)
-    out_start, out_inner, out_trans, out_emit, likelihood = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
-    per = -(-np.diff(bounds) // length)
+def _chunks(bounds: np.ndarray, chunk: int) -> tuple[np.ndarray, ...]:
+    """The row, number within the row, first symbol and size of every chunk."""
+    per = -(-np.diff(bounds) // chunk)
     row = np.repeat(np.arange(len(per)), per)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    begin = bounds[row] + nth * length
-    size = np.minimum(bounds[row + 1] - begin, length)
+    begin = bounds[row] + nth * chunk
+    return row, nth, begin, np.minimum(bounds[row + 1] - begin, chunk)
+
+
+def _living(size: np.ndarray) -> np.ndarray:
+    """How many of the falling sizes reach each step."""
+    return np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+
+
+def _moves(model: Model, tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's matrix from the states before it to those at its end, scaled, and the log of the scale."""
+    k = model.trans.shape[0]
+    order = np.argsort(-size, kind="stable")
+    b, first = begin[order], head[order]
+    move, total = np.broadcast_to(np.eye(k), (len(b), k, k)).copy(), np.zeros(len(b))
+    for t, a in enumerate(_living(size[order])):
+        # a text's first symbol needs no transition before it
+        step = move[:a] @ (model.trans if t else np.where(first[:a, None, None], np.eye(k), model.trans))
+        step *= model.emit[tokens[b[:a] + t]][:, None, :]
+        s = step.sum((1, 2))
+        move[:a] = step / s[:, None, None]
+        total[:a] += np.log(s)
+    back = np.argsort(order)
+    return move[back], total[back]
+
+
+def expected_counts(model: Model, tokens: np.ndarray, bounds: np.ndarray, chunk: int, lanes: int = 4096) -> np.ndarray:
+    """Expected start, transition and emission counts and the log-likelihood of whole rows of symbols.
+
+    Chunks are lanes that run side by side; what arrives at a chunk from those
+    before it, and what those after it send back, comes from transfer matrices,
+    so every transition of a text is counted.
+    """
+    k, m = model.trans.shape[0], len(model.emit)
+    out_start, out_trans, out_emit, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
+    row, nth, begin, size = _chunks(bounds, chunk)
+    arrive, leave = np.zeros((len(row), k)), np.ones((len(row), k))
+    several = np.flatnonzero(np.bincount(row, minlength=len(bounds) - 1)[row] > 1)
+    if len(several):
+        move, _ = _moves(model, tokens, begin[several], size[several], nth[several] == 0)
+        alpha = model.start
+        for p, c in enumerate(several):
+            if nth[c]:
+                arrive[c] = alpha
+            else:
+                alpha = model.start
+            alpha = alpha @ move[p]
+            alpha = alpha / alpha.sum()
+        for p in range(len(several) - 1, 0, -1):
+            c = several[p]
+            if nth[c]:
+                back = move[p] @ leave[c]
+                leave[several[p - 1]] = back / back.max()
     order = np.argsort(-size, kind="stable")
     for lane in (order[i : i + lanes] for i in range(0, len(order), lanes)):
-        b, n, first = begin[lane], size[lane], nth[lane] == 0
-        steps = int(n[0])
-        live = np.searchsorted(-n, -np.arange(1, steps + 1), "right")
+        b, first, after = begin[lane], nth[lane] == 0, leave[lane]
+        live = _living(size[lane])
+        steps = len(live)
         alpha, scale, emitted, seen = [], [], [], []
         for t in range(steps):
             a = live[t]
             seen.append(tokens[b[:a] + t])
             emitted.append(model.emit[seen[t]])
-            x = (alpha[-1][:a] @ model.trans if t else np.where(first[:, None], model.start, model.inner)) * emitted[t]
+            x = (alpha[-1][:a] @ model.trans if t else np.where(first[:, None], model.start, arrive[lane] @ model.trans)) * emitted[t]
             scale.append(x.sum(1))
             alpha.append(x / scale[t][:, None])
             likelihood += np.log(scale[t]).sum()
-        beta, gammas = np.ones((live[-1], k)), [None] * steps
+        beta, gammas = np.empty((0, k)), [None] * steps
         for t in range(steps - 1, -1, -1):
+            ending = slice(live[t + 1] if t + 1 < steps else 0, live[t])
+            last = after[ending]
+            beta = np.concatenate([beta, last / (alpha[t][ending] * last).sum(1, keepdims=True)])
             gammas[t] = alpha[t] * beta
+            tail = emitted[t] * beta / scale[t][:, None]
             if t:
-                tail = emitted[t] * beta / scale[t][:, None]
                 out_trans += alpha[t - 1][: live[t]].T @ tail
-                beta = np.ones((live[t - 1], k))
-                beta[: live[t]] = tail @ model.trans.T
+                beta = tail @ model.trans.T
+            else:
+                out_trans += arrive[lane][~first].T @ tail[~first]
         out_start += gammas[0][first].sum(0)
-        out_inner += gammas[0][~first].sum(0)
         symbols, weights = np.concatenate(seen), np.concatenate(gammas)
         for s in range(k):
             out_emit[:, s] += np.bincount(symbols, weights[:, s], m)
-    return np.concatenate([out_start, out_inner, (out_trans * model.trans).ravel(), out_emit.ravel(), [likelihood]])
+    return np.concatenate([out_start, (out_trans * model.trans).ravel(), out_emit.ravel(), [likelihood]])
 
 
 def forward(model: Model, tokens: np.ndarray, bounds: np.ndarray, chunk: int) -> np.ndarray:
     """Exact natural-log likelihood of each row's symbols (every row has at least one)."""
-    k, size = model.trans.shape[0], np.diff(bounds)
+    size = np.diff(bounds)
     out = np.zeros(len(size))
     short = np.flatnonzero(size <= chunk)
     short = short[np.argsort(-size[short], kind="stable")]
     if len(short):
-        n, b = size[short], bounds[short]
-        live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
+        b = bounds[short]
         alpha, total = None, np.zeros(len(short))
-        for t, a in enumerate(live):
+        for t, a in enumerate(_living(size[short])):
             alpha = (model.start if alpha is None else alpha[:a] @ model.trans) * model.emit[tokens[b[:a] + t]]
             s = alpha.sum(1)
             alpha /= s[:, None]
             total[:a] += np.log(s)
         out[short] = total
-    long = np.flatnonzero(size > chunk)
+    row, nth, begin, length = _chunks(bounds, chunk)
+    long = np.flatnonzero(size[row] > chunk)
     if len(long):
-        # all chunks of all long texts at once: state-to-state matrices, then each text's product of them
-        pieces = -(-size[long] // chunk)
-        owner = np.repeat(np.arange(len(long)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        b = bounds[long][owner] + nth * chunk
-        n = np.minimum(bounds[long + 1][owner] - b, chunk)
-        order = np.argsort(-n, kind="stable")
-        b, n, head = b[order], n[order], nth[order] == 0
-        live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
-        move, total = np.broadcast_to(np.eye(k), (len(b), k, k)).copy(), np.zeros(len(b))
-        for t, a in enumerate(live):
-            # a text's first symbol needs no transition before it
-            step = move[:a] @ (model.trans if t else np.where(head[:a, None, None], np.eye(k), model.trans))
-            step *= model.emit[tokens[b[:a] + t]][:, None, :]
-            s = step.sum((1, 2))
-            move[:a] = step / s[:, None, None]
-            total[:a] += np.log(s)
-        back = np.argsort(order)
-        first = np.cumsum(pieces) - pieces
-        for i, text in enumerate(long):
-            alpha = model.start
-            for p in back[first[i] : first[i] + pieces[i]]:
-                alpha = alpha @ move[p]
-                s = alpha.sum()
-                alpha, out[text] = alpha / s, out[text] + total[p] + math.log(s)
+        # all chunks of all long texts at once, then each text's product of them
+        move, total = _moves(model, tokens, begin[long], length[long], nth[long] == 0)
+        for p, c in enumerate(long):
+            alpha = (alpha if nth[c] else model.start) @ move[p]
+            s = alpha.sum()
+            alpha, out[row[c]] = alpha / s, out[row[c]] + total[p] + math.log(s)
     return out
 
 
@@ -175,7 +207,7 @@ def _seeded(texts: list[str], s: Settings) -> Model:
     shift = np.cumsum([0, *(len(t) for t, _ in parts)])
     tokens = np.concatenate([np.empty(0, np.int32), *(t for t, _ in parts)])
     bounds = np.concatenate([np.zeros(1, np.int64), *(b[1:] + z for (_, b), z in zip(parts, shift, strict=False))])
-    size = 1 + k + k + k * k + (m + 1) * k
+    size = 1 + k + k * k + (m + 1) * k
     if not len(tokens):
         return Model.from_counts(np.zeros(size), k, m)
     seg = np.arange(len(tokens)) // s.segment
@@ -187,14 +219,18 @@ def _seeded(texts: list[str], s: Settings) -> Model:
         score = np.stack([np.bincount(seg, log[:, j]) for j in range(k)], 1) + np.log(weight.mean(0) + 1e-9)
         weight = np.exp(score - score.max(1, keepdims=True))
         weight /= weight.sum(1, keepdims=True)
-    model = Model(np.full(k, 1 / k), np.full(k, 1 / k), np.full((k, k), 0.05 / k) + np.eye(k) * 0.95, emit)
+    model = Model(np.full(k, 1 / k), np.full((k, k), 0.05 / k) + np.eye(k) * 0.95, emit)
     for _ in range(4):
-        model = Model.from_counts(expected_counts(model, tokens, bounds, s.segment), k, m)
+        model = Model.from_counts(expected_counts(model, tokens, bounds, s.chunk), k, m)
     return model
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, np.ndarray]:
-    """The model and the tokens of each class, from all ``docs``."""
+    """The model and the tokens of each class, from all ``docs``.
+
+    Only where training starts comes from a sample; class counts and every
+    Baum-Welch pass take all whole texts.
+    """
 
     def tally(batch):
         return sum((np.bincount(tokens, minlength=s.classes + 1) for *_, tokens, _, _ in _sequences(batch, s.classes)), np.zeros(s.classes + 1))
@@ -205,13 +241,14 @@ def train(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, np.ndarray]
     # a share by hash rather than a sort's first rows, which every partition would send in full
     share = min(1.0, s.seed_docs / max(docs.count(), 1))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    sample = chosen.where("text is not null").select(F.xxhash64("doc_id", F.lit(2)).alias("o"), F.expr(place).alias("text")).limit(2 * s.seed_docs)
-    model = _seeded([r.text for r in sorted(sample.collect())], s)
+    sample = chosen.where("text is not null").select(F.xxhash64("doc_id", F.lit(2)).alias("o"), F.expr(place).alias("text"))
+    sample = sample.orderBy("o", "text").limit(2 * s.seed_docs)
+    model = _seeded([r.text for r in sample.collect()], s)
     for _ in range(s.passes):
         now = model
 
         def estep(batch, now=now):
-            return sum((expected_counts(now, tokens, rows, s.segment) for *_, tokens, rows, _ in _sequences(batch, s.classes)), np.zeros(2 * s.states + s.states**2 + (s.classes + 1) * s.states + 1))
+            return sum((expected_counts(now, tokens, rows, s.chunk) for *_, tokens, rows, _ in _sequences(batch, s.classes)), np.zeros(s.states + s.states**2 + (s.classes + 1) * s.states + 1))
 
         counts = sum_over(docs, ["text"], estep)
         if counts is not None:
@@ -268,7 +305,10 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored. Documents whose
     crc32(doc_id as text; null: empty) mod 7 is 2 are held out of all training.
     Null and empty texts are one end token. Repeated rows are scored, and
-    learned from, one by one. An empty table gives no rows.
+    learned from, one by one; rows without doc_id are held out or not by the
+    empty id. Very long texts are scored whole, in chunks joined exactly. An
+    empty table gives no rows. Unseen words are one type for each word class,
+    against the base's one type, so the two scores' perplexities aren't alike.
     """
     learned = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) != 2)
     model, totals = train(learned, s)

@@ -2,8 +2,10 @@
 
 The network labels every byte of a text; a document's probabilities are the
 means over its bytes. It is trained in numpy by backpropagation through time on
-windows of a bounded, documented number of training documents. Texts are read
-whole, in segments that start with a fresh state.
+windows of the whole texts of a bounded, documented number of training
+documents. A text is read whole in both directions: its chunks run side by side,
+each from the state that its neighbour ends with, and run again until no
+neighbour's state changes.
 """
 
 from __future__ import annotations
@@ -25,25 +27,24 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     hidden: int = 8
-    #: Bytes of a segment, in training and in prediction.
-    segment: int = 64
-    #: Training documents a language: one from each of so many hash cells, and characters of each.
+    #: Bytes of a training window.
+    segment: int = 96
+    #: Training documents a language: one from each of so many hash cells.
     cells: int = 400
-    sample_chars: int = 400
     steps: int = 250
     batch: int = 256
     rate: float = 0.01
-    #: Segments predicted at once.
-    lanes: int = 4096
+    #: Bytes of a chunk in prediction, and of the warm-up that first guesses the state its neighbour ends with.
+    chunk: int = 512
+    warm: int = 64
+    #: Largest difference of a state below which it counts as settled.
+    settled: float = 1e-4
+    #: Chunks predicted at once.
+    lanes: int = 1024
 
 
-def _soft(x):
-    """A sigmoid-like gate without exp: x / (1 + |x|) moved to (0, 1)."""
-    return 0.5 + 0.5 * x / (1.0 + np.abs(x))
-
-
-def _bend(x):
-    return x / (1.0 + np.abs(x))
+def _sigmoid(x):
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Cell:
@@ -57,19 +58,23 @@ class Cell:
     def params(self) -> list[np.ndarray]:
         return [self.table, self.rec]
 
-    def run(self, codes: np.ndarray, keep: bool = False):
-        """States after each step for codes (steps x lanes); with ``keep`` what backpropagation needs."""
+    def run(self, codes: np.ndarray, keep: bool = False, state: np.ndarray | None = None, live: np.ndarray | None = None):
+        """States after each step for codes (steps x lanes), from ``state`` (else zero); with ``keep`` what backpropagation needs.
+
+        Where ``live`` (steps x lanes) is false a lane's state stays.
+        """
         h, lanes = self.h, codes.shape[1]
-        state, states, kept = np.zeros((h, lanes), np.float32), [], []
-        for row in codes:
+        state, states, kept = np.zeros((h, lanes), np.float32) if state is None else state, [], []
+        for t, row in enumerate(codes):
             x = self.table[:, row]
-            gates = _soft(x[: 2 * h] + self.rec[: 2 * h] @ state)
+            gates = _sigmoid(x[: 2 * h] + self.rec[: 2 * h] @ state)
             z, r = gates[:h], gates[h:]
             gated = r * state
-            n = _bend(x[2 * h :] + self.rec[2 * h :] @ gated)
+            n = np.tanh(x[2 * h :] + self.rec[2 * h :] @ gated)
             if keep:
                 kept.append((state, x, z, r, gated, n))
-            state = n + z * (state - n)
+            then = n + z * (state - n)
+            state = then if live is None else np.where(live[t], then, state)
             states.append(state)
         return states, kept
 
@@ -80,11 +85,10 @@ class Cell:
         for t in range(len(kept) - 1, -1, -1):
             state, x, z, r, gated, n = kept[t]
             d = grads[t] + carry
-            # bend' = (1 - |bend|)^2 and soft' = (1 - |2 soft - 1|)^2 / 2
-            d_n = d * (1 - z) * (1 - np.abs(n)) ** 2
+            d_n = d * (1 - z) * (1 - n * n)
             d_gated = self.rec[2 * h :].T @ d_n
-            d_z = d * (state - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
-            d_r = d_gated * state * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+            d_z = d * (state - n) * z * (1 - z)
+            d_r = d_gated * state * r * (1 - r)
             pre = np.concatenate([d_z, d_r, d_n])
             d_rec[: 2 * h] += pre[: 2 * h] @ state.T
             d_rec[2 * h :] += d_n @ gated.T
@@ -145,55 +149,76 @@ class Network:
                 v += 0.01 * (g * g - v)
                 p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def positions(self, codes: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Sum over each lane's live positions of their probabilities (languages x lanes); codes are steps x lanes."""
-        f, _ = self.ahead.run(codes)
-        b, _ = self.behind.run(codes[::-1])
+    def _chunk_sums(self, codes: np.ndarray, live: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sum over each lane's live positions of their probabilities (languages x lanes), and the states that both directions end with."""
+        f, _ = self.ahead.run(codes, state=ahead, live=live)
+        b, _ = self.behind.run(codes[::-1], state=behind, live=live[::-1])
         h, out = self.s.hidden, np.zeros((len(self.languages), codes.shape[1]), np.float32)
         for t in range(len(codes)):
             out += self._soften(self.out[:, :h] @ f[t] + self.out[:, h:] @ b[len(codes) - 1 - t] + self.bias) * live[t]
-        return out
+        return out, f[-1], b[-1]
 
     def pooled(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Mean probabilities (rows x languages) over all bytes of each row."""
+        """Mean probabilities (rows x languages) over all bytes of each row, both directions carried through the whole row."""
         s, size = self.s, np.diff(bounds)
-        per = -(-size // s.segment)
+        warm = min(s.warm, s.chunk)
+        per = -(-size // s.chunk)
         row = np.repeat(np.arange(len(size)), per)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-        begin = bounds[row] + nth * s.segment
-        length = np.minimum(bounds[row + 1] - begin, s.segment)
-        padded = np.concatenate([buf, np.zeros(s.segment, np.uint8)])
-        out = np.zeros((len(size), len(self.languages)))
-        for i in range(0, len(row), s.lanes):
-            lane = slice(i, i + s.lanes)
-            codes = padded[begin[lane] + np.arange(s.segment)[:, None]]
-            live = np.arange(s.segment)[:, None] < length[lane]
-            codes = np.where(live, codes, 0)
-            got = self.positions(codes, live.astype(np.float32))
-            for k in range(len(self.languages)):
-                out[:, k] += np.bincount(row[lane], got[k], len(size))
+        begin = bounds[row] + nth * s.chunk
+        length = np.minimum(bounds[row + 1] - begin, s.chunk)
+        padded = np.concatenate([buf, np.zeros(s.chunk, np.uint8)])
+        total = np.zeros((len(self.languages), len(row)))
+        into = [np.zeros((s.hidden, len(row)), np.float32) for _ in range(2)]
+        later = np.flatnonzero(nth > 0)  # chunks with one before them in their row
+        # first guesses: what a few bytes before a chunk, or after it, lead to
+        for i in range(0, len(later), s.lanes):
+            lane = later[i : i + s.lanes]
+            into[0][:, lane] = self.ahead.run(padded[begin[lane] - warm + np.arange(warm)[:, None]])[0][-1]
+            steps = np.arange(warm)[:, None]
+            live = steps < length[lane]
+            into[1][:, lane - 1] = self.behind.run(padded[begin[lane] + steps][::-1], live=live[::-1])[0][-1]
+        todo, ends = np.arange(len(row)), [np.zeros((s.hidden, len(row)), np.float32) for _ in range(2)]
+        while len(todo):
+            by_size = todo[np.argsort(-length[todo], kind="stable")]
+            for i in range(0, len(by_size), s.lanes):
+                lane = by_size[i : i + s.lanes]
+                steps = np.arange(int(length[lane[0]]))[:, None]
+                live = steps < length[lane]
+                codes = np.where(live, padded[begin[lane] + steps], 0)
+                total[:, lane], ends[0][:, lane], ends[1][:, lane] = self._chunk_sums(codes, live, into[0][:, lane], into[1][:, lane])
+            moved = np.zeros(len(row), bool)
+            for side, here, there in ((0, later, later - 1), (1, later - 1, later)):
+                new = ends[side][:, there]
+                off = np.abs(new - into[side][:, here]).max(0, initial=0) > s.settled
+                into[side][:, here[off]] = new[:, off]
+                moved[here[off]] = True
+            todo = np.flatnonzero(moved)
+        out = np.stack([np.bincount(row, t, len(size)) for t in total], 1)
         return out / np.maximum(size, 1)[:, None]
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Network | None:
-    """Train on one hash-chosen document of every cell of every language; None if no document has a language."""
-    place = f"substring(text, 1 + cast(pmod(xxhash64(doc_id, 7), greatest(length(text) - {s.sample_chars}, 1)) as int), {s.sample_chars})"
-    cells = docs.where("lang is not null and text is not null and text <> ''").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) != 2)
-    cells = cells.select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.expr(place).alias("part"))
-    rows = cells.groupBy("lang", F.pmod("h", F.lit(s.cells)).alias("cell")).agg(F.min_by("part", F.struct("h", "part")).alias("part")).orderBy("lang", "cell").collect()
+    """Train on the whole texts of one hash-chosen document of every cell of every language; None if no document has a language.
+
+    ``cells`` documents a language are the bound of the sample; rows without doc_id aren't in it.
+    """
+    known = docs.where("doc_id is not null and lang is not null and text is not null and text <> ''").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    known = known.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit(5)).alias("h")).withColumn("cell", F.pmod("h", F.lit(s.cells)))
+    chosen = known.groupBy("lang", "cell").agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id"))
+    rows = known.join(F.broadcast(chosen), ["lang", "cell", "doc_id"]).groupBy("lang", "cell").agg(F.min("text").alias("text")).orderBy("lang", "cell").collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
     codes, label, size = [], [], []
     for r in rows:
-        raw = np.frombuffer(r.part.encode(), np.uint8)
-        for at in range(0, len(raw), s.segment):
-            piece = raw[at : at + s.segment]
-            codes.append(np.pad(piece, (0, s.segment - len(piece))))
-            label.append(languages.index(r.lang))
-            size.append(len(piece))
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        n = -(-len(raw) // s.segment)
+        codes.append(np.pad(raw, (0, n * s.segment - len(raw))).reshape(n, s.segment))
+        label.append(np.full(n, languages.index(r.lang)))
+        size.append(np.minimum(len(raw) - np.arange(n) * s.segment, s.segment))
     net = Network(languages, s)
-    net.train(np.array(codes), np.array(label), np.array(size))
+    net.train(np.concatenate(codes), np.concatenate(label), np.concatenate(size))
     return net
 
 
@@ -204,8 +229,9 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     crc32(doc_id as text; null: empty) mod 4 is 2 are held out of training; null
     languages teach nothing. Null texts and texts without a letter are ``und``
     with score 0; so is everything if no language can be learned. Equal means go
-    to the first language in order. Repeated rows are predicted one by one. An
-    empty table gives no rows.
+    to the first language in order. Repeated rows are predicted one by one.
+    Very long texts are read whole, in chunks that settle on each other's states
+    to within ``settled``. An empty table gives no rows.
     """
     net = fit(docs, s)
 

@@ -43,7 +43,7 @@ def canonical(counts: list[int], symbols: list[int]) -> list[tuple[int, int, int
 
 
 # Counts by code length and symbols (categories), shorter codes for what letters need; the longest all-ones code is free.
-_DC = ([0, 1, 2, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [5, 4, 6, 0, 3, 7, 2, 1, 8])
+_DC = ([0, 1, 2, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0], [5, 4, 6, 0, 3, 7, 2, 1, 8, 9])
 _AC = ([1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0], [5, 4, 7, 3, 6, 2, 1, 8])
 
 

@@ -127,7 +127,13 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as the mixture has it (once or more)."""
+    """The rows of ``docs``, with all their columns, each as often as the mixture has it (once or more).
+
+    A table of rows has no order; ``mix`` gives the order keys of the stream.
+    Null and empty texts count no tokens and stay; a null source is a source;
+    rows that repeat a doc_id, and rows without one, each stay. No name in
+    ``docs`` clashes, since rows travel whole. An empty table stays empty.
+    """
     marked = materialise(_placed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens")), s))
     by_source = materialise(plan(marked, s))
     keep = F.struct(*[docs[c] for c in docs.columns])

@@ -114,7 +114,9 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored. A document is its
     ids and one end id, so null and empty texts are one token; only documents
     longer than ``capacity`` are cut. Repeated rows are packed as often as they
-    occur. Rows without doc_id are packed too. An empty table gives no rows.
+    occur. Rows without doc_id are packed too. A literal ``<|endoftext|>`` in a
+    text is the vocabulary's one id for it. Very long texts are many pieces.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = materialise(pieces_of(docs, ranks, capacity))

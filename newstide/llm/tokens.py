@@ -90,7 +90,8 @@ class Encoder:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
-        self.core = tiktoken.Encoding("ranks", pat_str=r"\s+|\S+", mergeable_ranks=table, special_tokens={})._core_bpe
+        # pieces come cut: the pattern takes each whole
+        self.core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
         self.added = {added[0]: [added[1]]} if added else {}
         self.kept: dict[bytes, list[int]] = {}
 
@@ -108,7 +109,7 @@ class Encoder:
             for piece in pieces.dictionary.to_pylist():
                 ids = self.added.get(piece) or self.kept.get(piece)
                 if ids is None:
-                    ids = self.core.encode_single_piece(piece)
+                    ids = self.core.encode_ordinary(piece.decode())
                     if len(self.kept) < KEPT:
                         self.kept[piece] = ids
                 coded.append(ids)

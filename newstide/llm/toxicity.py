@@ -45,8 +45,6 @@ AS_LETTER, AGAIN, NOISE, DIGIT = 0.5, 0.5, 1.0, 12.0
 class Settings:
     #: Labelled documents, by hash order, that the word weights are fitted on.
     labelled: int = 20_000
-    #: Words of toxic documents that are weighed, by the number of different words before them.
-    candidates: int = 1 << 16
     #: Standard errors below the observed share at which a word's share counts.
     sure: float = 2.0
 
@@ -254,9 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
                 out = sorted({(w, names[b]) for w, b in seen})
                 yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in out], pa.string()), "before": pa.array([b for _, b in out], pa.int64())})
 
-    # copies repeat a word with the word before it: how many differ tells more than how often it occurs
-    marked = rows.where("label = 1").select("text").mapInArrow(pairs, "word string, before long").distinct().groupBy("word").count().where("count >= 3")
-    found = {r.word: r["count"] for r in marked.orderBy(F.desc("count"), "word").limit(s.candidates).collect()}
+    # copies repeat a word with the word before it: how many differ tells more than how often it occurs;
+    # with ``sure ** 2`` or fewer even a share of 1 has a lower bound of at most one half, so such words mark nothing
+    least = int(s.sure**2) + 1
+    marked = rows.where("label = 1").select("text").mapInArrow(pairs, "word string, before long").distinct().groupBy("word").count().where(F.col("count") >= least)
+    found = {r.word: r["count"] for r in marked.collect()}  # words of the labelled sample, whose size bounds them
     index = {w: k for k, w in enumerate(found)}
 
     def held(batch):
@@ -323,7 +323,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that aren't predicted toxic."""
+    """The rows of ``docs``, with all their columns, that aren't predicted toxic.
+
+    Null and empty texts stay unless most documents without a marking word are
+    toxic, which the model's base share (at most 0.49) rules out. Rows that
+    repeat a doc_id are judged one by one, by their own texts; rows without one
+    too. Very long texts are read slice by slice. Columns of other names pass
+    through untouched. An empty table stays empty.
+    """
     model = fit(docs, labels, s)
 
     def run(batches):

@@ -116,3 +116,13 @@ def test_broken_files():
     for bad in (b"", b"\xff\xd8", good[:40], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:-12]):
         with pytest.raises(Exception):  # noqa: B017
             media.decode([media.parse(bad)])
+
+
+def test_any_neighbouring_bytes_round_trip():
+    """Every jump between first bytes of blocks has a code, from 0x00 to 0xFF and back."""
+    payload = np.zeros((6, 64), np.uint8)
+    payload[1::2] = 0xFF
+    payload[:, 1:] = np.random.default_rng(0).integers(0, 256, (6, 63))
+    (file,) = media.encode(payload.ravel(), np.array([6]), np.array([384]))
+    image = media.parse(file)
+    assert media.payload_of(image, media.decode([image])[0]) == payload.tobytes()

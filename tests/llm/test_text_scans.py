@@ -165,6 +165,32 @@ def test_language_network(spark):
         assert abs(g[at] - (up - down) / (2 * e)) < 1e-6
 
 
+def test_document_probabilities_are_those_of_a_plain_pass():
+    """Byte by byte, both ways through the whole text, whatever the chunks."""
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, 256, n).astype(np.uint8) for n in (1, 4, 5, 40, 0, 333)]
+    bounds = np.cumsum([0, *map(len, rows)])
+    for chunk, warm, lanes in ((5, 2, 3), (64, 64, 1000), (1000, 8, 2)):
+        net = langid.Network(["a", "b", "c"], langid.Settings(hidden=3, chunk=chunk, warm=warm, lanes=lanes, settled=1e-6))
+
+        def states(cell, text):
+            out, s, h = [], np.zeros(3), 3
+            for c in text:
+                x = cell.table[:, c].astype(float)
+                z, r = (1 / (1 + np.exp(-(x[k * h : (k + 1) * h] + cell.rec[k * h : (k + 1) * h] @ s))) for k in (0, 1))
+                n = np.tanh(x[2 * h :] + cell.rec[2 * h :] @ (r * s))
+                s = (1 - z) * n + z * s
+                out.append(s)
+            return out
+
+        got = net.pooled(np.concatenate(rows), bounds)
+        for text, p in zip(rows, got, strict=True):
+            f, b = states(net.ahead, text), states(net.behind, text[::-1])[::-1]
+            logits = [net.out @ np.concatenate(x) + net.bias[:, 0] for x in zip(f, b, strict=True)]
+            want = np.mean([np.exp(x) / np.exp(x).sum() for x in logits], 0) if len(text) else np.zeros(3)
+            assert np.abs(p - want).max() < 1e-4
+
+
 def test_language_predictions(spark):
     import random
 
