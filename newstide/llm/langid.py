@@ -36,7 +36,7 @@ class Settings:
     rate: float = 0.01
     #: Bytes of a chunk in prediction, and of the warm-up that first guesses the state its neighbour ends with.
     chunk: int = 512
-    warm: int = 64
+    warm: int = 256
     #: Largest difference of a state below which it counts as settled.
     settled: float = 1e-4
     #: Chunks predicted at once.
