@@ -20,7 +20,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def affinity_propagation(s: np.ndarray, preference: np.ndarray | float, damping: float = 0.7, most: int = 200, patience: int = 15) -> np.ndarray:
+def affinity_propagation(s: np.ndarray, preference: np.ndarray | float, damping: float = 0.7, most: int = 100, patience: int = 15) -> np.ndarray:
     """Exemplar of each point (Frey and Dueck, 2007); ties are broken by a seeded perturbation, and an
     unconverged run falls back to the point with the largest preference."""
     n = len(s)
@@ -77,13 +77,38 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.T
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
+#: Dimensions of the vectors made of ``bins``.
+WIDTH = 64
+
+
 def vectors(table: pa.Table, column: str = "vector") -> np.ndarray:
+    """A row a vector; tables with ``bins`` (a list of dimensions for each row) are counted into vectors."""
+    if "bins" in table.column_names:
+        rows = [np.bincount(np.array(x or [], int), minlength=WIDTH) for x in table.column("bins").to_pylist()]
+        return np.array(rows, float).reshape(len(rows), -1)
     rows = table.column(column).to_pylist()
     return np.array(rows, float).reshape(len(rows), -1)
 
 
-def ap_clusters(df: DataFrame, keys: list[str], preference: Callable[[np.ndarray, pa.Table], np.ndarray | float] = lambda s, t: float(np.median(s[np.triu_indices(len(s), 1)])), least: int = 2, standardise: bool = True) -> DataFrame:
-    """Exemplars of each group's vectors: keys, exemplar id and cluster size. ``df`` has keys, id, vector (and what ``preference`` needs)."""
+def _median(s: np.ndarray, table: pa.Table):
+    return float(np.median(s[np.triu_indices(len(s), 1)]))
+
+
+def standardised(x: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows less their mean, by their deviation, moved below zero."""
+    s = x @ x.T
+    upper = s[np.triu_indices(len(s), 1)]
+    s = (s - upper.mean()) / (upper.std() or 1.0)
+    return s - s[np.triu_indices(len(s), 1)].max()
+
+
+def ap_clusters(df: DataFrame, keys: list[str], prepare: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray | float]] | None = None, least: int = 10, most: int = 100) -> DataFrame:
+    """Exemplars of each group: keys, exemplar id, cluster size and mean salience. ``df`` has keys, id, salience and vector or bins.
+
+    ``prepare`` gives affinities and preferences of unit rows (else standardised
+    cosines and their median). Rows without a nonzero dimension are left out,
+    groups of fewer than ``least`` have no exemplar.
+    """
     kinds = dict(df.dtypes)
 
     def f(table: pa.Table):
@@ -91,16 +116,38 @@ def ap_clusters(df: DataFrame, keys: list[str], preference: Callable[[np.ndarray
         keep = (x != 0).any(1)
         table, x = table.filter(pa.array(keep)), x[keep]
         if len(x) < least:
-            return {"id": [], "cluster_size": []}
-        s = x @ x.T
-        if standardise:
-            upper = s[np.triu_indices(len(s), 1)]
-            s = (s - upper.mean()) / (upper.std() or 1.0)
-            s = s - s[np.triu_indices(len(s), 1)].max()
-        owner = affinity_propagation(s, preference(s, table))
-        name, size = np.unique(owner, return_counts=True)
+            return {"id": [], "cluster_size": [], "support": []}
+        s, preference = prepare(x, table) if prepare else (standardised(x), None)
+        owner = affinity_propagation(s, _median(s, table) if preference is None else preference, most=most)
+        name, place, size = np.unique(owner, return_inverse=True, return_counts=True)
+        salience = np.array(table.column("salience").to_pylist(), float)
         ids = table.column("id").to_pylist()
-        return {"id": [ids[k] for k in name], "cluster_size": size.tolist()}
+        return {"id": [ids[k] for k in name], "cluster_size": size.tolist(), "support": (np.bincount(place, salience) / size).round(6).tolist()}
+
+    return by_group(df, keys, ["id"], f, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}, cluster_size long, support double")
+
+
+def linkage_clusters(df: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Single-linkage clusters of each group cut at a cosine: keys, the id nearest its cluster's centroid, cluster size."""
+    kinds = dict(df.dtypes)
+
+    def f(table: pa.Table):
+        x, ids = unit_rows(vectors(table)), table.column("id").to_pylist()
+        name = np.arange(len(x))
+        near = x @ x.T >= similarity
+        while True:
+            then = np.where(near, name[None, :], len(x)).min(1)
+            then = np.minimum(then, name)
+            if (then == name).all():
+                break
+            name = then
+        out = {"id": [], "cluster_size": []}
+        for c in np.unique(name):
+            rows = np.flatnonzero(name == c)
+            far = ((x[rows] - x[rows].mean(0)) ** 2).sum(1)
+            out["id"].append(ids[rows[int(np.argmin(far.round(9)))]])
+            out["cluster_size"].append(len(rows))
+        return out
 
     return by_group(df, keys, ["id"], f, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}, cluster_size long")
 
@@ -181,16 +228,11 @@ def streaming_dedup(df: DataFrame, keys: list[str], order: list[str], least: flo
 
 
 def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, cluster): the smallest id each node reaches over edges (a, b); minimum labels travel until none changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
-    while True:
-        least = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("m"))
-        then = labels.join(least, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("new"), "cluster").checkpoint()
-        done = then.where("new <> cluster").isEmpty()
-        labels = then.select("id", F.col("new").alias("cluster"))
-        if done:
-            return labels
+    """(id, cluster): the smallest id each node reaches over edges (a, b); labels move by star rounds."""
+    from .components import components
+
+    found = components(edges.select("a", "b"))
+    return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def greedy_cover(sets: list[set], budget: int) -> list[tuple[int, int]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ordered import exact_median, top_per_group
 from .base import query, r6, whole
 from .joining import PAIRS, sentence_pairs
 
@@ -55,9 +56,11 @@ def ag5(t):
 
 @query("ag6_cluster_statistics", "SELECT md5(text) AS cluster, count(*) AS hits, min(epoch) AS earliest, max(epoch) AS latest, list_sort(list(epoch))[2] AS second, list_sort(list(epoch))[3] AS third FROM stream GROUP BY text")
 def ag6(t):
-    times = F.sort_array(F.collect_list("epoch"))
-    g = t.stream.groupBy(F.md5("text").alias("cluster")).agg(F.count("*").alias("hits"), F.min("epoch").alias("earliest"), F.max("epoch").alias("latest"), times.alias("times"))
-    return g.select("cluster", "hits", "earliest", "latest", F.get("times", F.lit(1)).alias("second"), F.get("times", F.lit(2)).alias("third"))
+    """The first three times come from the first three of each part of a cluster, so a text that very many documents share is never gathered."""
+    rows = t.stream.select(F.md5("text").alias("cluster"), "epoch", "doc_id")
+    first = top_per_group(rows, ["cluster"], ["epoch", "doc_id"], 3).groupBy("cluster").agg(F.sort_array(F.collect_list("epoch")).alias("times"))
+    g = rows.groupBy("cluster").agg(F.count("*").alias("hits"), F.min("epoch").alias("earliest"), F.max("epoch").alias("latest"))
+    return g.join(first, "cluster").select("cluster", "hits", "earliest", "latest", F.get("times", F.lit(1)).alias("second"), F.get("times", F.lit(2)).alias("third"))
 
 
 @query("ag7_first_times", "SELECT query_id, nugget_id, min(epoch) AS first FROM matches GROUP BY ALL")
@@ -126,11 +129,17 @@ def ag14(t):
     p AS (SELECT x.g, sign(x.a - y.a) * sign(x.b - y.b) AS s, CAST(x.a = y.a AS INT) AS ta, CAST(x.b = y.b AS INT) AS tb FROM x JOIN x y ON x.g = y.g AND x.id < y.id)
     SELECT g, round(sum(s) / nullif(sqrt(CAST(count(*) - sum(ta) AS DOUBLE) * (count(*) - sum(tb))), 0), 6) AS tau FROM p GROUP BY g""")
 def ag14_kendall(t):
-    x = t.supplier.select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 7).alias("b"))
-    y = x.select("g", F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    p = x.join(y, "g").where("id < id2").select("g", (F.signum(F.col("a") - F.col("a2")) * F.signum((F.col("b") - F.col("b2")).cast("double"))).alias("s"), (F.col("a") == F.col("a2")).cast("int").alias("ta"), (F.col("b") == F.col("b2")).cast("int").alias("tb"))
-    n = F.count("*")
-    return p.groupBy("g").agg(r6(F.sum("s") / F.nullif(F.sqrt((n - F.sum("ta")).cast("double") * (n - F.sum("tb"))), F.lit(0.0))).alias("tau"))
+    """Tau-b without pairs: rows in the order of a, and for each value of b (a rating: few) a running count of what came before."""
+    x = t.supplier.select(F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 7).alias("b"))
+    c = x.groupBy("g", "a", "b").agg(F.count("*").alias("n"))
+    rated = c.join(c.select("g", F.col("b").alias("v")).distinct(), "g").withColumn("m", F.when(F.col("b") == F.col("v"), F.col("n")).otherwise(0))
+    # of each value v: how many rows with a smaller a have it
+    below = F.sum("m").over(Window.partitionBy("g", "v").orderBy("a")) - F.sum("m").over(Window.partitionBy("g", "v", "a"))
+    s = rated.withColumn("below", below).groupBy("g").agg(F.sum(F.col("n") * F.col("below") * F.signum((F.col("b") - F.col("v")).cast("double"))).alias("s"))
+    tied = lambda k: c.groupBy("g", k).agg(F.sum("n").alias("n")).groupBy("g").agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).alias(f"t{k}"))
+    pairs = c.groupBy("g").agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("pairs"))
+    j = s.join(tied("a"), "g").join(tied("b"), "g").join(pairs, "g").where("pairs > 0")
+    return j.select("g", r6(F.col("s") / F.nullif(F.sqrt((F.col("pairs") - F.col("ta")) * (F.col("pairs") - F.col("tb"))), F.lit(0.0))).alias("tau"))
 
 
 @query("ag15_leave_one_out", """WITH d AS (SELECT event_type, CAST(hour(hour) AS BIGINT) AS h, CAST(n AS DOUBLE) AS x FROM hourly),
@@ -185,7 +194,7 @@ def ag20(t):
 
 @query("ag21_median_similarity", f"SELECT round(median(cosine), 6) AS median FROM {PAIRS}")
 def ag21(t):
-    return sentence_pairs(t).agg(r6(F.median("cosine")).alias("median"))
+    return exact_median(sentence_pairs(t), "cosine").select(r6("cosine").alias("median"))
 
 
 @query("ag22_best_of_equal_texts", "SELECT md5(sent_text) AS text_md5, arg_max(update_id, (len(sent_text) + sent_id % 3, update_id)) AS best, count(*) AS n FROM sentences GROUP BY sent_text")

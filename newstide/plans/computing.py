@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import lm
 from ..functions import math as M
 from ..functions import text as T
+from ..operators.ordered import numbered, salted_join
+from .aggregating import HOURLY_IDF, hourly_idf
 from .base import query, r6, whole
-from .joining import COUNTS, GEO, IDF, PAIRS, geo, sentence_pairs, sentence_terms
+from .joining import COUNTS, GEO, IDF, PAIRS, SOFT, geo, idf_table, sentence_pairs, sentence_terms, soft_matches
 from .scans import STOPS
 
 W = "regexp_extract_all(lower(sent_text), '[a-z]+')"
@@ -93,11 +95,18 @@ def tx9(t):
     return t.sentences.select("update_id", r6(F.size(F.filter(w, lambda x: x.rlike("^[A-Z]+$"))) / F.size(w)).alias("ratio"))
 
 
-@query("tx10_entity_ratios", rf"SELECT update_id, round(len(list_filter({SPLIT}, lambda x: regexp_matches(x, '^[A-Z][a-z]+$'))) / len({SPLIT}), 6) AS person, round(len(list_filter({SPLIT}, lambda x: regexp_matches(x, '^[0-9]+$'))) / len({SPLIT}), 6) AS number FROM sentences")
+#: Kinds of entities and the tokens that are taken for them, by rule (an approximation: no tagger).
+ENTITY_RULES = {
+    "person": "^[A-Z][a-z]+$", "location": "^(North|South|East|West)[a-z]*$", "organization": "^[A-Z]{2,}$", "number": "^[0-9]+$", "date": "^([0-9]{4}|[0-9]{1,2}/[0-9]{1,2}(/[0-9]{2,4})?)$",
+    "time": "^[0-9]{1,2}:[0-9]{2}$", "duration": "(?i)^(second|minute|hour|day|week|month|year)s?$", "money": "^[$€£][0-9]", "percent": "^[0-9.]+%$", "ordinal": "^[0-9]+(st|nd|rd|th)$", "set": "(?i)^(daily|weekly|monthly|yearly)$", "misc": "^[A-Z][a-z]*[A-Z]",
+}
+
+
+@query("tx10_entity_ratios", "SELECT update_id, " + ", ".join(f"round(len(list_filter({SPLIT}, lambda x: regexp_matches(x, '{p}'))) / len({SPLIT}), 6) AS {k}" for k, p in ENTITY_RULES.items()) + " FROM sentences")
 def tx10(t):
     w = F.split("sent_text", " ")
-    share = lambda kind: r6(F.size(F.filter(w, lambda x: T.entity(x) == kind)) / F.size(w))
-    return t.sentences.select("update_id", share("PERSON").alias("person"), share("NUMBER").alias("number"))
+    share = lambda p: r6(F.size(F.filter(w, lambda x: x.rlike(p))) / F.size(w))
+    return t.sentences.select("update_id", *[share(p).alias(k) for k, p in ENTITY_RULES.items()])
 
 
 @query("tx11_caps_rate", f"SELECT update_id, round(len(list_filter({SPLIT}, lambda x: regexp_matches(x, '[A-Z]'))) / len({SPLIT}), 6) AS rate FROM sentences")
@@ -140,18 +149,27 @@ def tx14(t):
 
 @query("tx15_average_tfidf", f"SELECT doc_id, round(sum(n * coalesce(idf, 0)) / count(*), 6) AS tfidf FROM (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL) LEFT JOIN {IDF} USING (token) GROUP BY doc_id")
 def tx15(t):
-    n = t.documents.count()
     c = t.tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    idf = c.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
-    return c.join(idf, "token", "left").groupBy("doc_id").agg(r6(F.sum(F.col("n") * F.coalesce("idf", F.lit(0.0))) / F.count("*")).alias("tfidf"))
+    idf = idf_table(t).where("df > 1").select("token", F.log(F.col("docs") / F.col("df")).alias("idf"))
+    return salted_join(c, idf, "token", "doc_id", "left").groupBy("doc_id").agg(r6(F.sum(F.col("n") * F.coalesce("idf", F.lit(0.0))) / F.count("*")).alias("tfidf"))
+
 
+BACK = (0, 1, 5, 10)
+_TX16 = ", ".join(f"sum(ln(1 + n) * coalesce(i{k}.idf, 0)) AS s{k}, sum((1 + ln(n)) * coalesce(i{k}.idf, 0)) AS o{k}" for k in BACK)
 
-@query("tx16_log_tfidf", "SELECT doc_id, round(sum(ln(1 + n) * ln(docs / CAST(df AS DOUBLE))), 4) AS now, round(sum((1 + ln(n)) * ln(docs / CAST(df AS DOUBLE))), 4) AS other FROM (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL) JOIN (SELECT token, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token) USING (token), (SELECT count(*) AS docs FROM documents) GROUP BY doc_id")
+
+@query("tx16_log_tfidf", f"""SELECT doc_id, round(s0, 4) AS now, round(s0 - s1 + 1e-9, 4) AS delta1, round(s0 - s5 + 1e-9, 4) AS delta5, round(o0, 4) AS other, round(o0 - o5 + 1e-9, 4) AS other5, round(o0 - o10 + 1e-9, 4) AS other10 FROM (SELECT doc_id, {_TX16} FROM (SELECT doc_id, hour, token, count(*) AS n FROM tokens GROUP BY ALL) c
+    {' '.join(f"LEFT JOIN {HOURLY_IDF} i{k} ON i{k}.token = c.token AND i{k}.hour = c.hour - to_hours({k})" for k in BACK)} GROUP BY doc_id)""")
 def tx16(t):
-    docs = t.documents.count()
-    c = t.tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    j = c.join(c.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("idf", F.log(F.lit(float(docs)) / F.col("df")))
-    return j.groupBy("doc_id").agg(F.round(F.sum(F.log(F.lit(1) + F.col("n")) * F.col("idf")), 4).alias("now"), F.round(F.sum((1 + F.log("n")) * F.col("idf")), 4).alias("other"))
+    """Both log tf-idf sums of a document under its hour's frequencies, and what they were under those of 1, 5 and 10 hours before."""
+    c = t.tokens.groupBy("doc_id", "hour", "token").agg(F.count("*").alias("n"))
+    later = hourly_idf(t).withColumn("back", F.explode(F.array(*map(F.lit, BACK)))).withColumn("hour", F.expr("hour + make_interval(0, 0, 0, 0, back)"))
+    wide = later.groupBy("hour", "token").agg(*[F.max(F.when(F.col("back") == k, F.col("idf"))).alias(f"i{k}") for k in BACK])
+    at = lambda tf, k: F.sum(tf * F.coalesce(f"i{k}", F.lit(0.0)))
+    a, b = F.log(F.lit(1) + F.col("n")), 1 + F.log("n")
+    g = c.join(wide, ["hour", "token"], "left").groupBy("doc_id").agg(*[at(a, k).alias(f"s{k}") for k in BACK], *[at(b, k).alias(f"o{k}") for k in BACK])
+    less = lambda x, y: F.round(F.col(x) - F.col(y) + 1e-9, 4)
+    return g.select("doc_id", F.round("s0", 4).alias("now"), less("s0", "s1").alias("delta1"), less("s0", "s5").alias("delta5"), F.round("o0", 4).alias("other"), less("o0", "o5").alias("other5"), less("o0", "o10").alias("other10"))
 
 
 SMOOTH = f"(SELECT doc_id, rank, token, w * (ln((1 + s) / CAST(1 + df AS DOUBLE)) + 1) AS x FROM {COUNTS} JOIN (SELECT doc_id, token, count(*) AS df FROM {COUNTS} GROUP BY ALL) USING (doc_id, token) JOIN (SELECT doc_id, count(DISTINCT rank) AS s FROM {COUNTS} GROUP BY doc_id) USING (doc_id))"
@@ -166,29 +184,42 @@ def tx17(t):
     return x.select("doc_id", "rank", "token", r6(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "rank")))).alias("w"))
 
 
-@query("tx18_ngram_vectors", f"SELECT update_id, g, count(*) AS n FROM (SELECT update_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM (SELECT update_id, {W} AS w FROM sentences WHERE sent_id < 3)) GROUP BY ALL")
-def tx18(t):
-    """Uni-, bi- and trigram counts of each document's first sentences."""
-    s = t.sentences.where("sent_id < 3").select("update_id", T.words("sent_text").alias("w"))
+_KEPT = f"list_filter({W}, lambda x: NOT list_contains([{STOPS}], x))"
+_GRAMS = "list_concat(" + ", ".join(f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))" for k in range(1, 6)) + ")"
+
+
+def ngram_vectors(t, most: int = 5):
+    """(update_id, g, n, x): tf-idf weights of all n-grams of up to ``most`` words, stop words left out."""
+    s = t.sentences.select("update_id", T.without_stopwords(T.words("sent_text"), longest=10**6).alias("w"))
+
+    def grams(k):
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
 
-    def grams(n):
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    n = s.select("update_id", F.explode(F.concat(*[grams(k) for k in range(1, most + 1)])).alias("g")).groupBy("update_id", "g").agg(F.count("*").alias("n"))
+    df = n.groupBy("g").agg(F.count("*").alias("df")).crossJoin(t.sentences.agg(F.count("*").alias("every")))  # one row
+    return salted_join(n, df, "g", "update_id").select("update_id", "g", "n", (F.col("n") * (F.log((1 + F.col("every")) / (1 + F.col("df"))) + 1)).alias("x"))
 
-    parts = [F.col("w"), grams(2), grams(3)]
-    return s.select("update_id", F.explode(F.concat(*parts)).alias("g")).groupBy("update_id", "g").agg(F.count("*").alias("n"))
+
+@query("tx18_ngram_vectors", f"""WITH n AS (SELECT update_id, g, count(*) AS n FROM (SELECT update_id, unnest({_GRAMS}) AS g FROM (SELECT update_id, {_KEPT} AS w FROM sentences)) GROUP BY ALL),
+    x AS (SELECT update_id, n * (ln((1 + (SELECT count(*) FROM sentences)) / CAST(1 + df AS DOUBLE)) + 1) AS x FROM n JOIN (SELECT g, count(*) AS df FROM n GROUP BY g) USING (g))
+    SELECT update_id, count(*) AS grams, round(sqrt(sum(x * x)), 4) AS norm, round(max(x), 5) AS top FROM x GROUP BY update_id""")
+def tx18(t):
+    """Each sentence's vector over 1- to 5-grams: its size, length and largest weight."""
+    return ngram_vectors(t).groupBy("update_id").agg(F.count("*").alias("grams"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.round(F.max("x"), 5).alias("top"))
 
 
-@query("tx19_edit_distance", "SELECT a.item_id, b.item_id AS other, round(levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 6) AS distance FROM (SELECT item_id, lower(regexp_replace(left(text, 60), '[^ -~]', '', 'g')) AS x FROM benchmark) a JOIN (SELECT item_id, lower(regexp_replace(left(text, 60), '[^ -~]', '', 'g')) AS x FROM benchmark) b ON b.item_id = a.item_id + 1")
+@query("tx19_edit_distance", f"""SELECT update_id, nugget_id, round(levenshtein(x, y) / greatest(length(x), length(y), 1), 6) AS distance FROM (SELECT m.update_id, m.nugget_id, lower(regexp_replace(s.sent_text, '[^ -~]', '', 'g')) AS x, lower(regexp_replace(n.nugget_text, '[^ -~]', '', 'g')) AS y
+    FROM {SOFT} m JOIN sentences s USING (update_id) JOIN nuggets n USING (nugget_id))""")
 def tx19(t):
-    a = t.benchmark.select("item_id", T.ascii_folded(F.left("text", F.lit(60))).alias("x"))
-    b = a.select(F.col("item_id").alias("other"), F.col("x").alias("y"))
-    return a.join(b, F.col("other") == F.col("item_id") + 1).select("item_id", "other", r6(T.normalised_levenshtein("x", "y")).alias("distance"))
+    """Edit distance of the whole texts of each sentence and nugget that share most of their words."""
+    p = soft_matches(t).select("update_id", "nugget_id").join(t.sentences.select("update_id", T.ascii_folded("sent_text").alias("x")), "update_id").join(t.nuggets.select("nugget_id", T.ascii_folded("nugget_text").alias("y")), "nugget_id")
+    return p.select("update_id", "nugget_id", r6(T.normalised_levenshtein("x", "y")).alias("distance"))
 
 
 @query("tx20_rare_words", "SELECT update_id, string_agg(CASE WHEN n < 3 THEN '<unk>' ELSE token END, ' ' ORDER BY pos) AS marked FROM tokens JOIN (SELECT token, count(*) AS n FROM tokens GROUP BY token) USING (token) GROUP BY update_id")
 def tx20(t):
     n = t.tokens.groupBy("token").agg(F.count("*").alias("n"))
-    x = t.tokens.join(n, "token").select("update_id", F.struct("pos", F.when(F.col("n") < 3, "<unk>").otherwise(F.col("token")).alias("w")).alias("x"))
+    x = salted_join(t.tokens.select("update_id", "pos", "token"), n, "token", "update_id").select("update_id", F.struct("pos", F.when(F.col("n") < 3, "<unk>").otherwise(F.col("token")).alias("w")).alias("x"))
     return x.groupBy("update_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda y: y["w"]), " ").alias("marked"))
 
 
@@ -208,19 +239,16 @@ def tx22(t):
 
 @query("tx23_restricted_tfidf", "SELECT doc_id, token, round(n * (ln(docs / CAST(df AS DOUBLE)) + 1), 5) AS w FROM (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL) JOIN (SELECT token, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token HAVING count(DISTINCT doc_id) >= 5) USING (token), (SELECT count(*) AS docs FROM documents)")
 def tx23(t):
-    docs = t.documents.count()
     c = t.tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    vocabulary = c.groupBy("token").agg(F.count("*").alias("df")).where("df >= 5")
-    return c.join(vocabulary, "token").select("doc_id", "token", F.round(F.col("n") * (F.log(F.lit(float(docs)) / F.col("df")) + 1), 5).alias("w"))
+    vocabulary = idf_table(t).where("df >= 5")
+    return salted_join(c, vocabulary, "token", "doc_id").select("doc_id", "token", F.round(F.col("n") * (F.log(F.col("docs") / F.col("df")) + 1), 5).alias("w"))
 
 
 @query("tx24_vocabulary_index", "SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT token FROM tokens GROUP BY token HAVING count(*) >= 5)")
 def tx24(t):
-    """Dense ids in word order: a range-sorted vocabulary numbered by partition, then within."""
-    v = t.tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5").select("token").orderBy("token").withColumn("part", F.spark_partition_id())
-    own = v.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("token")))
-    base = v.groupBy("part").count().withColumn("base", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return own.join(base, "part").select("token", (F.col("nth") - 1 + F.coalesce("base", F.lit(0))).alias("id"))
+    """Dense ids in word order: numbered within the words' first three letters, then over those."""
+    v = t.tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5").select("token")
+    return numbered(v, [], F.substring("token", 1, 3), ["token"]).select("token", (F.col("nth") - 1).alias("id"))
 
 
 @query("ma1_cosine", "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -244,10 +272,10 @@ def ma3(t):
     return a.join(b, F.col("k") < F.col("other")).select("k", "other", F.round(M.great_circle("lat", "lng", "lat2", "lng2"), 3).alias("miles"))
 
 
-@query("ma4_geo_features", f"""SELECT n.n_nationkey, coalesce(round(min(m), 3), 12451.0) AS nearest FROM nation n LEFT JOIN (SELECT a.k, b.k // 5 AS c, median({MILES}) AS m FROM {GEO} a JOIN {GEO} b ON a.k <> b.k WHERE a.k < 20 GROUP BY ALL) x ON x.k = n.n_nationkey GROUP BY ALL""")
+@query("ma4_geo_features", f"""SELECT n.n_nationkey, coalesce(round(min(m), 3), 12451.0) AS nearest FROM nation n LEFT JOIN (SELECT a.k, b.k // 5 AS c, median({MILES}) AS m FROM {GEO} a JOIN {GEO} b ON a.k <> b.k GROUP BY ALL) x ON x.k = n.n_nationkey GROUP BY ALL""")
 def ma4(t):
     """Least median distance to a cluster of places, the antipodal distance where a place is unknown."""
-    a = geo(t).where("k < 20")
+    a = geo(t)
     b = geo(t).select(F.col("k").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     m = a.join(b, F.col("k") != F.col("other")).groupBy("k", F.floor(F.col("other") / 5).alias("c")).agg(F.median(M.great_circle("lat", "lng", "lat2", "lng2")).alias("m"))
     near = m.groupBy("k").agg(F.round(F.min("m"), 3).alias("nearest"))
@@ -306,47 +334,61 @@ def ma10(t):
     return both.groupBy("doc_id", "rank").agg(F.round(F.avg("d"), 5).alias("mean"), F.round(F.max("d"), 5).alias("top"))
 
 
-BIGRAM = "(SELECT update_id, query_id, lag(token, 1, '<s>') OVER (PARTITION BY update_id ORDER BY pos) AS a, token AS b FROM tokens)"
-KN = """c AS (SELECT a, b, count(*) AS n FROM g{where} GROUP BY ALL), ctx AS (SELECT a, sum(n) AS total, count(*) AS kinds FROM c GROUP BY a), low AS (SELECT b, count(*) / CAST((SELECT count(*) FROM c) AS DOUBLE) AS p_low FROM c GROUP BY b)"""
-P = "coalesce(greatest(c.n - 0.75, 0) / ctx.total, 0) + coalesce(0.75 * ctx.kinds / ctx.total, 1.0) * coalesce(low.p_low, 1e-9)"
-LOOKUP = "FROM g LEFT JOIN c USING (a, b) LEFT JOIN ctx USING (a) LEFT JOIN low USING (b)"
+TRIGRAM = "(SELECT update_id, query_id, lag(token, 2, '<s>') OVER w AS a, lag(token, 1, '<s>') OVER w AS b, token AS c FROM tokens WINDOW w AS (PARTITION BY update_id ORDER BY pos))"
+
+
+def _discount_sql(k: int) -> str:
+    return f"coalesce(least(greatest({k} - {k + 1} * (n1 / nullif(n1 + 2 * n2, 0)) * n{k + 1} / nullif(n{k}, 0), 0), {k}), {k / 2}) AS d{k}"
+
+
+def _kn_sql(where: str) -> str:
+    """Counts c, discounts d and contexts x of each order."""
+    parts = [f"c3 AS (SELECT a, b, c, count(*) AS n FROM g{where} GROUP BY ALL), c2 AS (SELECT b, c, count(*) AS n FROM c3 GROUP BY ALL), c1 AS (SELECT c, count(*) AS n FROM c2 GROUP BY ALL)"]
+    for order, context in ((3, "a, b, "), (2, "b, "), (1, "")):
+        parts.append(f"d{order} AS (SELECT {', '.join(_discount_sql(k) for k in (1, 2, 3))} FROM (SELECT {', '.join(f'CAST(count(*) FILTER (WHERE n = {k}) AS DOUBLE) AS n{k}' for k in (1, 2, 3, 4))} FROM c{order}))")
+        parts.append(f"l{order} AS (SELECT c{order}.*, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS less FROM c{order}, d{order})")
+        parts.append(f"x{order} AS (SELECT {context}sum(n) AS total, sum(less) / sum(n) AS gamma, count(*) AS kinds FROM l{order}{' GROUP BY ' + context[:-2] if context else ''})")
+    return ", ".join(parts)
+
+
+P = "(coalesce(greatest(l3.n - l3.less, 0) / x3.total, 0) + coalesce(x3.gamma, 1) * (coalesce(greatest(l2.n - l2.less, 0) / x2.total, 0) + coalesce(x2.gamma, 1) * (coalesce(greatest(l1.n - l1.less, 0) / x1.total, 0) + x1.gamma / (x1.kinds + 1))))"
+LOOKUP = "LEFT JOIN l3 ON l3.a = g.a AND l3.b = g.b AND l3.c = g.c LEFT JOIN x3 ON x3.a = g.a AND x3.b = g.b LEFT JOIN l2 ON l2.b = g.b AND l2.c = g.c LEFT JOIN x2 ON x2.b = g.b LEFT JOIN l1 ON l1.c = g.c CROSS JOIN x1"
 
 
-def _pairs(t, *keep):
-    return lm.bigrams(t.tokens, "update_id", "pos", "token")
+def _grams(t, where: str | None = None):
+    return lm.trigrams(t.tokens.where(where) if where else t.tokens, "update_id", "pos", "token")
 
 
-@query("lm1_kneser_ney", f"WITH g AS {BIGRAM}, {KN.format(where='')} SELECT c.a, c.b, round(greatest(c.n - 0.75, 0) / ctx.total + 0.75 * ctx.kinds / ctx.total * low.p_low, 7) AS p FROM c JOIN ctx USING (a) JOIN low USING (b)")
+@query("lm1_kneser_ney", f"WITH g AS {TRIGRAM}, {_kn_sql('')} SELECT g.a, g.b, g.c, round({P}, 7) AS p FROM c3 g {LOOKUP}")
 def lm1(t):
-    high, backoff, low = lm.train(_pairs(t))
-    return high.join(backoff, "a").join(low, "b").select("a", "b", F.round(F.col("p_high") + F.col("backoff") * F.col("p_low"), 7).alias("p"))
+    g = _grams(t)
+    return lm.probabilities(g.select("a", "b", "c").distinct(), lm.train(g)).select("a", "b", "c", F.round("p", 7).alias("p"))
 
 
-@query("lm2_sentence_scores", f"WITH g AS {BIGRAM}, {KN.format(where='')} SELECT g.update_id, round(sum(log10({P})), 5) AS lp, round(sum(log10({P})) / count(*), 6) AS per_word {LOOKUP} GROUP BY g.update_id")
+@query("lm2_sentence_scores", f"WITH g AS {TRIGRAM}, {_kn_sql('')} SELECT g.update_id, round(sum(log10({P})), 5) AS lp, round(sum(log10({P})) / count(*), 6) AS per_word FROM g {LOOKUP} GROUP BY g.update_id")
 def lm2(t):
-    p = _pairs(t)
-    s = lm.log10_scores(p, "update_id", lm.train(p))
+    g = _grams(t)
+    s = lm.log10_scores(g, "update_id", lm.train(g))
     return s.select("update_id", F.round("lp", 5).alias("lp"), r6(F.col("lp") / F.col("n")).alias("per_word"))
 
 
-SRC = "WHERE query_id IN ('src0', 'src1', 'src2', 'src3', 'src4')"
+DOMAIN_TOPICS = "query_id IN ('src0', 'src1', 'src2', 'src3', 'src4')"
 
 
-@query("lm3_domain_background", f"""SELECT d.update_id, d.lp AS domain, b.lp AS background FROM (WITH g AS {BIGRAM}, {KN.format(where=' ' + SRC)} SELECT g.update_id, round(sum(log10({P})), 5) AS lp {LOOKUP} GROUP BY g.update_id) d
-    JOIN (WITH g AS {BIGRAM}, {KN.format(where='')} SELECT g.update_id, round(sum(log10({P})), 5) AS lp {LOOKUP} GROUP BY g.update_id) b USING (update_id)""")
+@query("lm3_domain_background", f"""SELECT d.update_id, d.lp AS domain, b.lp AS background FROM (WITH g AS {TRIGRAM}, {_kn_sql(' WHERE ' + DOMAIN_TOPICS)} SELECT g.update_id, round(sum(log10({P})), 5) AS lp FROM g {LOOKUP} GROUP BY g.update_id) d
+    JOIN (WITH g AS {TRIGRAM}, {_kn_sql('')} SELECT g.update_id, round(sum(log10({P})), 5) AS lp FROM g {LOOKUP} GROUP BY g.update_id) b USING (update_id)""")
 def lm3(t):
-    p = _pairs(t)
-    own = lm.bigrams(t.tokens.where("query_id in ('src0', 'src1', 'src2', 'src3', 'src4')"), "update_id", "pos", "token")
-    domain = lm.log10_scores(p, "update_id", lm.train(own)).select("update_id", F.round("lp", 5).alias("domain"))
-    return domain.join(lm.log10_scores(p, "update_id", lm.train(p)).select("update_id", F.round("lp", 5).alias("background")), "update_id")
+    """Every sentence under a model of some topics and under one of all."""
+    g = _grams(t)
+    domain = lm.log10_scores(g, "update_id", lm.train(_grams(t, DOMAIN_TOPICS))).select("update_id", F.round("lp", 5).alias("domain"))
+    return domain.join(lm.log10_scores(g, "update_id", lm.train(g)).select("update_id", F.round("lp", 5).alias("background")), "update_id")
 
 
-@query("lm4_perplexity", f"WITH g AS {BIGRAM}, {KN.format(where=' ' + SRC)} SELECT query_id, round(pow(10, -sum(log10({P})) / count(*)), 2) AS perplexity {LOOKUP} GROUP BY query_id")
+@query("lm4_perplexity", f"WITH g AS {TRIGRAM}, {_kn_sql(' WHERE ' + DOMAIN_TOPICS)} SELECT query_id, round(pow(10, -sum(log10({P})) / count(*)), 2) AS perplexity FROM g {LOOKUP} GROUP BY query_id")
 def lm4(t):
-    own = lm.bigrams(t.tokens.where("query_id in ('src0', 'src1', 'src2', 'src3', 'src4')"), "update_id", "pos", "token")
-    p = _pairs(t).join(t.sentences.select("update_id", "query_id"), "update_id")
-    s = lm.log10_scores(p, "query_id", lm.train(own))
-    return s.select("query_id", F.round(F.pow(F.lit(10.0), -F.col("lp") / F.col("n")), 2).alias("perplexity"))
+    """Each topic's perplexity; scores are summed by sentence before they meet by topic."""
+    s = lm.log10_scores(_grams(t), "update_id", lm.train(_grams(t, DOMAIN_TOPICS))).join(t.sentences.select("update_id", "query_id"), "update_id")
+    return s.groupBy("query_id").agg(F.round(F.pow(F.lit(10.0), -F.sum("lp") / F.sum("n")), 2).alias("perplexity"))
 
 
 @query("dt1_hours", "SELECT event_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_epoch, strftime(ts, '%Y-%m-%d-%H') AS name, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) + 3600 AS known FROM events")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import text as T
+from ..operators.ordered import hash_numbered, top_per_group
 from .base import query, r6, whole
+from .joining import SOFT, soft_matches
 from .selecting import FIRST, first_matches
 
 POSSIBLE = "(SELECT count(*) AS possible FROM nuggets)"
@@ -36,11 +38,15 @@ def ev2(t):
     return gains(t).select("query_id", r6(1 - share).alias("loss"), r6(1 - 2 * share).alias("dice"))
 
 
-@query("ev3_latency_discounted_gain", f"""SELECT query_id, round(sum(important * (1 - {2 / math.pi!r} * atan((epoch - t0) / 21600.0))), 5) AS gain FROM (SELECT *, min(epoch) OVER (PARTITION BY nugget_id) AS t0 FROM {FIRST}) WHERE novel GROUP BY query_id""")
+@query("ev3_latency_discounted_gain", f"""WITH s AS (SELECT m.*, n.important, min(m.epoch) OVER (PARTITION BY m.nugget_id) AS t0 FROM {SOFT} m JOIN nuggets n USING (nugget_id)),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY sim DESC, epoch, update_id) = 1)
+    SELECT query_id, round(sum(sim * important * (1 - {2 / math.pi!r} * atan((epoch - t0) / 21600.0))), 4) AS gain, count(*) AS found FROM b GROUP BY query_id""")
 def ev3(t):
-    first = t.matches.groupBy("nugget_id").agg(F.min("epoch").alias("t0"))
-    m = first_matches(t).where("novel").join(first, "nugget_id")
-    return m.groupBy("query_id").agg(F.round(F.sum(F.col("important") * M.latency_discount(F.col("epoch") - F.col("t0"))), 5).alias("gain"))
+    """The best update of each nugget (similarity .6 or more; the first of equals), weighed by similarity, importance and delay."""
+    s = soft_matches(t)
+    best = s.groupBy("query_id", "nugget_id").agg(F.min_by(F.struct("sim", "epoch"), F.struct(-F.col("sim"), "epoch", "update_id")).alias("x")).select("query_id", "nugget_id", "x.*")
+    j = best.join(s.groupBy("nugget_id").agg(F.min("epoch").alias("t0")), "nugget_id").join(t.nuggets.select("nugget_id", "important"), "nugget_id")
+    return j.groupBy("query_id").agg(F.round(F.sum(F.col("sim") * F.col("important") * M.latency_discount(F.col("epoch") - F.col("t0"))), 4).alias("gain"), F.count("*").alias("found"))
 
 
 def _grams(n: int, source: str, key: str, text: str) -> str:
@@ -83,11 +89,45 @@ for _n in (1, 2):
         return rouge(_turns(t, "user"), _turns(t, "assistant"), "conv_id", n)
 
 
-@query("ev5_checkpoints", f"""SELECT query_id, k AS hours, count(DISTINCT nugget_id) AS found FROM (SELECT m.*, s.t0 FROM {FIRST} m JOIN (SELECT query_id, min(epoch) AS t0 FROM stream GROUP BY query_id) s USING (query_id) WHERE novel), (SELECT unnest(range(12, 61, 12)) AS k) WHERE epoch < t0 + k * 3600 GROUP BY ALL""")
+DRAWS = 10
+
+
+@query("ev4_sampled_rouge", f"""WITH u AS (SELECT conv_id, turn, text, len(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, sum(len(regexp_extract_all(lower(text), '[a-z]+'))) AS room FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+    d AS (SELECT u.*, i, sum(words) OVER (PARTITION BY u.conv_id, i ORDER BY md5(i || '-' || u.conv_id || '-' || turn) ROWS UNBOUNDED PRECEDING) AS upto, room FROM u JOIN m USING (conv_id), (SELECT unnest(range({DRAWS})) AS i)),
+    a AS (SELECT conv_id, i, g, count(*) AS n FROM (SELECT conv_id, i, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS g FROM d WHERE upto <= room) GROUP BY ALL), b AS (SELECT conv_id, g, count(*) AS m FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS g FROM conversations WHERE role = 'assistant') GROUP BY ALL),
+    h AS (SELECT conv_id, i, sum(least(n, m)) AS hit FROM a JOIN b USING (conv_id, g) GROUP BY ALL)
+    SELECT conv_id, round(sum(hit) / CAST(max(room) AS DOUBLE) / {DRAWS}, 6) AS recall, count(*) AS draws FROM h JOIN m USING (conv_id) GROUP BY conv_id""")
+def ev4_sampled(t, draws: int = DRAWS):
+    """ROUGE-1 recall of random draws of turns no longer than the reference, averaged; a draw's order is a hash."""
+    w = T.words("text")
+    u = t.conversations.where("role = 'user'").select("conv_id", "turn", w.alias("w"))
+    m = t.conversations.where("role = 'assistant'").select("conv_id", w.alias("w"))
+    room = m.groupBy("conv_id").agg(F.sum(F.size("w")).alias("room"))
+    d = u.join(room, "conv_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    order = F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    upto = F.sum(F.size("w")).over(Window.partitionBy("conv_id", "i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    a = d.withColumn("upto", upto).where("upto <= room").select("conv_id", "i", F.explode("w").alias("g")).groupBy("conv_id", "i", "g").agg(F.count("*").alias("n"))
+    b = m.select("conv_id", F.explode("w").alias("g")).groupBy("conv_id", "g").agg(F.count("*").alias("m"))
+    h = a.join(b, ["conv_id", "g"]).groupBy("conv_id", "i").agg(F.sum(F.least("n", "m")).alias("hit")).join(room, "conv_id")
+    return h.groupBy("conv_id").agg(r6(F.sum("hit") / F.max("room").cast("double") / draws).alias("recall"), F.count("*").alias("draws"))
+
+
+@query("ev5_checkpoints", f"""WITH s AS (SELECT query_id, min(epoch) AS t0, (max(epoch) - min(epoch)) // 3600 AS hours FROM stream GROUP BY query_id), k AS (SELECT query_id, t0, unnest(range(12, hours, 12)) AS hours FROM s),
+    m AS (SELECT f.query_id, f.epoch, f.nugget_id, regexp_extract_all(lower(n.nugget_text), '[a-z]+') AS w FROM {FIRST} f JOIN nuggets n USING (nugget_id) WHERE novel),
+    a AS (SELECT query_id, hours, g, count(*) AS n FROM (SELECT k.query_id, k.hours, unnest(w) AS g FROM k JOIN m ON m.query_id = k.query_id AND m.epoch < k.t0 + k.hours * 3600) GROUP BY ALL),
+    b AS (SELECT query_id, g, count(*) AS n FROM (SELECT DISTINCT query_id, nugget_id, g, i FROM (SELECT query_id, nugget_id, unnest(w) AS g, unnest(range(len(w))) AS i FROM m)) GROUP BY ALL)
+    SELECT query_id, hours, round(sum(least(a.n, b.n)) / CAST((SELECT sum(n) FROM b c WHERE c.query_id = a.query_id) AS DOUBLE), 6) AS recall FROM a JOIN b USING (query_id, g) GROUP BY query_id, hours""")
 def ev5(t):
-    start = t.stream.groupBy("query_id").agg(F.min("epoch").alias("t0"))
-    m = first_matches(t).where("novel").join(start, "query_id").withColumn("hours", F.explode(F.expr("sequence(12L, 60L, 12L)")))
-    return m.where("epoch < t0 + hours * 3600").groupBy("query_id", "hours").agg(F.countDistinct("nugget_id").alias("found"))
+    """ROUGE-1 recall of what is selected by every twelfth hour, to the topic's own end, against all that the topic reveals."""
+    s = t.stream.groupBy("query_id").agg(F.min("epoch").alias("t0"), F.floor((F.max("epoch") - F.min("epoch")) / 3600).alias("last"))
+    k = s.where("last > 12").select("query_id", "t0", F.explode(F.sequence(F.lit(12).cast("long"), F.col("last") - 1, F.lit(12).cast("long"))).alias("hours"))
+    words = t.nuggets.select("nugget_id", F.explode(T.words("nugget_text")).alias("g"))
+    m = first_matches(t).where("novel").select("query_id", "epoch", "nugget_id").join(words, "nugget_id").groupBy("query_id", "epoch", "g").agg(F.count("*").alias("c"))
+    a = k.join(m, "query_id").where("epoch < t0 + hours * 3600").groupBy("query_id", "hours", "g").agg(F.sum("c").alias("n"))
+    b = m.groupBy("query_id", "g").agg(F.sum("c").alias("m"))
+    total = b.groupBy("query_id").agg(F.sum("m").alias("total"))
+    hit = a.join(b, ["query_id", "g"]).groupBy("query_id", "hours").agg(F.sum(F.least("n", "m")).alias("hit"))
+    return hit.join(total, "query_id").select("query_id", "hours", r6(F.col("hit") / F.col("total").cast("double")).alias("recall"))
 
 
 @query("ev6_signed_ranks", f"""WITH d AS (SELECT query_id, found / selected - 0.5 AS d FROM {GAINS} WHERE found / selected <> 0.5), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 9)) + (count(*) OVER (PARTITION BY round(abs(d), 9)) - 1) / 2.0 AS r FROM d)
@@ -111,10 +151,14 @@ def ev6_permutation(t):
     return p.agg(F.count_if(F.col("s") >= F.col("own") - 1e-12).alias("extreme"), F.count("*").alias("draws"))
 
 
-@query("ev7_precision_at_k", "SELECT event_type, round(avg(CAST(value > 20 AS INT)), 6) AS p FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('e' || event_id)) <= 100) GROUP BY event_type")
+@query("ev7_precision_at_k", """WITH r AS (SELECT d.source, l.quality, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS rn FROM documents d JOIN labels l USING (doc_id))
+    SELECT source, round(sum(quality) FILTER (WHERE rn <= 100) / CAST(least(100, sum(quality)) AS DOUBLE), 6) AS p FROM r GROUP BY source HAVING sum(quality) > 0""")
 def ev7(t):
-    w = Window.partitionBy("event_type").orderBy(F.md5(F.concat(F.lit("e"), F.col("event_id").cast("string"))))
-    return t.events.withColumn("rn", F.row_number().over(w)).where("rn <= 100").groupBy("event_type").agg(r6(F.avg((F.col("value") > 20).cast("int"))).alias("p"))
+    """Of each source's 100 longest judged documents, how many are good, relative to the best possible ranking."""
+    r = t.documents.select("doc_id", "source", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id")
+    top = top_per_group(r, ["source"], [F.desc("n_chars"), "doc_id"], 100).groupBy("source").agg(F.sum("quality").alias("hits"))
+    best = r.groupBy("source").agg(F.least(F.lit(100), F.sum("quality")).alias("best")).where("best > 0")
+    return top.join(best, "source").select("source", r6(F.col("hits") / F.col("best").cast("double")).alias("p"))
 
 
 @query("ev8_sequence_metrics", f"""WITH a AS (SELECT s.query_id, bool_or(coalesce(m.novel, false)) AS truth, substr(md5('coin' || s.update_id), 1, 1) < '8' AS guess FROM sentences s LEFT JOIN {FIRST} m ON m.update_id = s.update_id GROUP BY s.query_id, s.update_id)
@@ -132,7 +176,26 @@ def ev9(t):
     return m.orderBy("mse", "config").limit(3)
 
 
-@query("ev10_stratified_folds", "SELECT doc_id, (row_number() OVER (PARTITION BY toxic ORDER BY md5('f' || doc_id)) - 1) % 10 AS fold FROM labels")
+FOLDS = "(SELECT doc_id, toxic, quality, (row_number() OVER (PARTITION BY toxic ORDER BY md5('f' || doc_id)) - 1) % 10 AS fold FROM labels)"
+
+
+def folds(t):
+    """Labels with one of ten folds, dealt in turn within each class by hash order."""
+    return hash_numbered(t.labels, ["toxic"], F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string")))).withColumn("fold", whole((F.col("nth") - 1) % 10)).drop("nth")
+
+
+@query("ev10_stratified_folds", f"SELECT doc_id, fold FROM {FOLDS}")
 def ev10(t):
-    w = Window.partitionBy("toxic").orderBy(F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string"))))
-    return t.labels.select("doc_id", whole((F.row_number().over(w) - 1) % 10).alias("fold"))
+    return folds(t).select("doc_id", "fold")
+
+
+@query("ev10_fold_accuracy", f"""WITH c AS (SELECT fold, quality, toxic, count(*) AS n FROM {FOLDS} GROUP BY ALL), k AS (SELECT DISTINCT fold, quality FROM c),
+    p AS (SELECT k.fold, k.quality, CASE WHEN sum(CASE WHEN o.toxic = 1 THEN o.n ELSE -o.n END) > 0 THEN 1 ELSE 0 END AS guess FROM k JOIN c o ON o.quality = k.quality AND o.fold <> k.fold GROUP BY ALL)
+    SELECT c.fold, round(sum(CASE WHEN coalesce(p.guess, 0) = c.toxic THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS accuracy FROM c LEFT JOIN p USING (fold, quality) GROUP BY c.fold""")
+def ev10_accuracy(t):
+    """Accuracy of each fold under what the other nine say of its quality mark: totals less the fold's own counts."""
+    c = folds(t).groupBy("fold", "quality", "toxic").agg(F.count("*").alias("n"))
+    vote = c.withColumn("v", F.when(F.col("toxic") == 1, F.col("n")).otherwise(-F.col("n")))
+    others = F.sum("v").over(Window.partitionBy("quality")) - F.sum("v").over(Window.partitionBy("quality", "fold"))  # over counts
+    guess = vote.withColumn("guess", F.when(others > 0, 1).otherwise(0))
+    return guess.groupBy("fold").agg(r6(F.sum(F.when(F.col("guess") == F.col("toxic"), F.col("n")).otherwise(0)) / F.sum("n").cast("double")).alias("accuracy"))

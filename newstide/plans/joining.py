@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import text as T
-from ..operators.joins import asof, levenshtein_join, term_cosine
+from ..operators.joins import asof, levenshtein_join
+from ..operators.ordered import salted_join
 from .base import query, r6, whole
 
 POOL = "(SELECT update_id, query_id, stream_id AS document_id, sent_id, length(sent_text) AS length, sent_text AS update_text FROM sentences)"
@@ -86,11 +87,47 @@ def jn9(t):
     return t.sentences.select("update_id", F.unix_seconds(w["start"]).alias("start"), F.unix_seconds(w["end"]).alias("stop"))
 
 
-@query("jn10_temporal_validity", """WITH first AS (SELECT query_id, nugget_id, min(epoch) AS t0 FROM matches WHERE important > 0 GROUP BY ALL)
-    SELECT m.update_id, m.nugget_id FROM matches m JOIN first f USING (query_id, nugget_id) WHERE f.t0 <= m.epoch""")
+_CONTENT = "(SELECT * FROM (SELECT update_id, query_id, epoch, token, count(*) AS w FROM tokens WHERE length(token) > 3 GROUP BY ALL))"
+_NUGGET_CONTENT = "(SELECT nugget_id, token, count(*) AS v FROM (SELECT nugget_id, unnest(regexp_extract_all(lower(nugget_text), '[a-z]+')) AS token FROM nuggets) WHERE length(token) > 3 GROUP BY ALL)"
+SOFT = f"""(SELECT query_id, epoch, update_id, nugget_id, round(dot / sqrt(CAST(a.ss * b.ss AS DOUBLE)), 6) AS sim FROM
+    (SELECT query_id, epoch, update_id, nugget_id, sum(w * v) AS dot FROM {_CONTENT} JOIN {_NUGGET_CONTENT} USING (token) GROUP BY ALL)
+    JOIN (SELECT update_id, sum(w * w) AS ss FROM {_CONTENT} GROUP BY update_id) a USING (update_id) JOIN (SELECT nugget_id, sum(v * v) AS ss FROM {_NUGGET_CONTENT} GROUP BY nugget_id) b USING (nugget_id)
+    WHERE round(dot / sqrt(CAST(a.ss * b.ss AS DOUBLE)), 6) >= 0.6)"""
+
+
+def content_counts(words, keys: list[str]):
+    """Counts of words of four letters or more: (keys, token, w)."""
+    return words.where(F.length("token") > 3).groupBy(*keys, "token").agg(F.count("*").alias("w"))
+
+
+def soft_matches(t, least: float = 0.6):
+    """(query_id, epoch, update_id, nugget_id, sim): sentences and nuggets whose content-word cosine is ``least`` or more.
+
+    Nuggets are few; their postings meet the sentences' by word, and words that
+    very many sentences hold are dealt to copies of the postings.
+    """
+    n = content_counts(t.nuggets.select("nugget_id", F.explode(T.words("nugget_text")).alias("token")), ["nugget_id"])
+    s = content_counts(t.tokens, ["query_id", "epoch", "update_id"])
+    square = lambda d, k: d.groupBy(k).agg(F.sum(F.col("w") * F.col("w")).alias("ss"))
+    dots = _postings(s, n.withColumnRenamed("w", "v"), "update_id").groupBy("query_id", "epoch", "update_id", "nugget_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    j = dots.join(square(s, "update_id").withColumnRenamed("ss", "a"), "update_id").join(square(n, "nugget_id").withColumnRenamed("ss", "b"), "nugget_id")
+    sim = r6(F.col("dot") / F.sqrt((F.col("a") * F.col("b")).cast("double")))
+    return j.select("query_id", "epoch", "update_id", "nugget_id", sim.alias("sim")).where(F.col("sim") >= least)
+
+
+def _postings(rows, table, spread: str, salts: int = 16):
+    """``rows`` with every row of ``table`` of the same token; each row of the table is copied for each salt."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["token", "_salt"]).drop("_salt")
+
+
+@query("jn10_temporal_validity", f"""WITH first AS (SELECT query_id, nugget_id, min(epoch) AS t0 FROM matches GROUP BY ALL)
+    SELECT m.update_id, m.nugget_id FROM {SOFT} m JOIN first f USING (query_id, nugget_id) WHERE f.t0 <= m.epoch""")
 def jn10(t):
-    first = t.matches.where("important > 0").groupBy("query_id", "nugget_id").agg(F.min("epoch").alias("t0"))
-    return t.matches.join(first, ["query_id", "nugget_id"]).where("t0 <= epoch").select("update_id", "nugget_id")
+    """A soft match is valid once its nugget has been matched exactly in the topic: what is like it before that goes."""
+    first = t.matches.groupBy("query_id", "nugget_id").agg(F.min("epoch").alias("t0"))
+    return soft_matches(t).join(first, ["query_id", "nugget_id"]).where("t0 <= epoch").select("update_id", "nugget_id")
 
 
 COUNTS = "(SELECT k.doc_id, k.rank, token, count(*) AS w FROM top20 k JOIN tokens USING (update_id) GROUP BY ALL)"
@@ -128,42 +165,62 @@ def jn12(t):
     return t.embeddings.crossJoin(F.broadcast(lead) if few else lead).select("vec_id", "center", F.round(M.dot("embedding", "c") / F.sqrt(M.dot("embedding", "embedding") * M.dot("c", "c")), 4).alias("cosine"))
 
 
-@query("jn13_nearest_sentence", """WITH q AS (SELECT item_id, token, count(*) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY ALL),
-    s AS (SELECT doc_id, sent_id, token, count(*) AS w FROM tokens WHERE length(token) > 7 GROUP BY ALL),
-    p AS (SELECT item_id, doc_id, sent_id, sum(q.w * s.w) AS score FROM q JOIN s USING (token) GROUP BY ALL)
-    SELECT item_id, doc_id, sent_id, CAST(score AS BIGINT) AS score FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) = 1""")
+@query("jn13_nearest_sentence", """WITH q AS (SELECT item_id, token, count(*) AS v FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY ALL),
+    s AS (SELECT doc_id, sent_id, token, count(*) AS w FROM tokens GROUP BY ALL), n AS (SELECT doc_id, sent_id, sqrt(CAST(sum(w * w) AS DOUBLE)) AS norm FROM s GROUP BY ALL),
+    p AS (SELECT item_id, doc_id, sent_id, sum(v * w) AS dot FROM q JOIN s USING (token) GROUP BY ALL), c AS (SELECT p.*, round(dot / norm, 6) AS score FROM p JOIN n USING (doc_id, sent_id)),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) = 1)
+    SELECT i.item_id, coalesce(b.doc_id, f.doc_id) AS doc_id, coalesce(b.sent_id, f.sent_id) AS sent_id, coalesce(round(b.score / (SELECT sqrt(CAST(sum(v * v) AS DOUBLE)) FROM q WHERE q.item_id = i.item_id), 5), 0.0) AS cosine
+    FROM benchmark i LEFT JOIN b USING (item_id), (SELECT doc_id, sent_id FROM sentences ORDER BY doc_id, sent_id LIMIT 1) f""")
 def jn13(t):
-    q = t.benchmark.select("item_id", F.explode(T.words("text")).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("wq"))
-    s = t.tokens.where("length(token) > 7").groupBy("doc_id", "sent_id", "token").agg(F.count("*").alias("w"))
-    p = q.join(s, "token").groupBy("item_id", "doc_id", "sent_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    best = p.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "sent_id", "score"), F.struct("score", -F.col("doc_id"), -F.col("sent_id"))).alias("x"))
-    return best.select("item_id", "x.*")
+    """The sentence with the largest cosine of word counts for each passage; the first sentence where no word is shared."""
+    q = t.benchmark.select("item_id", F.explode(T.words("text")).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("v"))
+    s = t.tokens.groupBy("doc_id", "sent_id", "token").agg(F.count("*").alias("w"))
+    norm = s.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm"))
+    dots = _postings(s, q, "doc_id").groupBy("item_id", "doc_id", "sent_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    scored = dots.join(norm, ["doc_id", "sent_id"]).withColumn("score", r6(F.col("dot") / F.col("norm")))
+    best = scored.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "sent_id", "score"), F.struct("score", -F.col("doc_id"), -F.col("sent_id"))).alias("x"))
+    own = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("own"))
+    first = t.sentences.agg(F.min(F.struct("doc_id", "sent_id")).alias("f"))  # one row
+    j = t.benchmark.select("item_id").join(best, "item_id", "left").join(own, "item_id", "left").crossJoin(first)
+    return j.select("item_id", F.coalesce("x.doc_id", "f.doc_id").alias("doc_id"), F.coalesce("x.sent_id", "f.sent_id").alias("sent_id"), F.coalesce(F.round(F.col("x.score") / F.col("own"), 5), F.lit(0.0)).alias("cosine"))
 
 
 FOLD = "regexp_replace(nugget_text, '[^ -~]', '', 'g')"
 
 
-@query("jn14_fuzzy_match", f"""WITH n AS (SELECT DISTINCT nugget_id, {FOLD} AS x FROM nuggets), s AS (SELECT DISTINCT regexp_replace(sent_text, '[^ -~]', '', 'g') AS y FROM sentences WHERE length(sent_text) BETWEEN 40 AND 90)
-    SELECT nugget_id, y, round(levenshtein(lower(x), lower(y)) / greatest(length(x), length(y)), 6) AS distance FROM n JOIN s ON abs(length(x) - length(y)) <= 0.2 * greatest(length(x), length(y)) WHERE levenshtein(lower(x), lower(y)) / greatest(length(x), length(y)) <= 0.2""")
+@query("jn14_fuzzy_match", f"""WITH n AS (SELECT DISTINCT nugget_id, {FOLD} AS x FROM nuggets), s AS (SELECT DISTINCT regexp_replace(sent_text, '[^ -~]', '', 'g') AS y FROM sentences),
+    e AS (SELECT nugget_id, y, 0.0::DOUBLE AS distance FROM n JOIN s ON x = y),
+    f AS (SELECT nugget_id, y, levenshtein(lower(x), lower(y)) / greatest(length(x), length(y), 1) AS distance FROM n JOIN s ON abs(length(x) - length(y)) <= 0.2 * greatest(length(x), length(y)) WHERE x <> y)
+    SELECT nugget_id, y, true AS exact, distance FROM e UNION ALL SELECT nugget_id, y, false, round(distance, 6) FROM f WHERE distance <= 0.2""")
 def jn14(t):
+    """Equal texts first, by equality; then whatever is within a fifth of the longer text's length. Each nugget once a text."""
     n = t.nuggets.select("nugget_id", T.ascii_folded("nugget_text").alias("x")).distinct()
-    s = t.sentences.where("length(sent_text) between 40 and 90").select(T.ascii_folded("sent_text").alias("y")).distinct()
-    return levenshtein_join(n, s, "x", "y").select("nugget_id", "y", r6("distance").alias("distance"))
+    s = t.sentences.select(T.ascii_folded("sent_text").alias("y")).distinct()
+    same = n.join(s, F.col("x") == F.col("y")).select("nugget_id", "y", F.lit(True).alias("exact"), F.lit(0.0).alias("distance"))
+    near = levenshtein_join(n, s, "x", "y").where("x <> y").select("nugget_id", "y", F.lit(False).alias("exact"), r6("distance").alias("distance"))
+    return same.unionByName(near)
 
 
-@query("jn15_key_match", "SELECT s.update_id, m.nugget_id FROM sentences s JOIN matches m ON s.update_id = m.update_id WHERE s.sent_id < 10")
+@query("jn15_key_match", "SELECT s.update_id, m.nugget_id FROM sentences s JOIN matches m ON s.update_id = m.update_id")
 def jn15(t):
-    return t.sentences.where("sent_id < 10").select("update_id").join(t.matches.select("update_id", "nugget_id"), "update_id")
+    return t.sentences.select("update_id").join(t.matches.select("update_id", "nugget_id"), "update_id")
 
 
 IDF = "(SELECT token, ln((SELECT count(*) FROM documents) / CAST(count(DISTINCT doc_id) AS DOUBLE)) AS idf FROM tokens GROUP BY token HAVING count(DISTINCT doc_id) > 1)"
 
 
+def idf_table(t, smooth=None):
+    """(token, df, docs): document frequencies and the number of documents, which is one row."""
+    df = t.tokens.select("token", "doc_id").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(t.documents.agg(F.count("*").cast("double").alias("docs")))
+
+
 @query("jn16_idf_lookup", f"SELECT update_id, round(avg(coalesce(idf, 0)), 6) AS mean_idf FROM tokens LEFT JOIN {IDF} USING (token) GROUP BY update_id")
 def jn16(t):
-    n = t.documents.count()
-    idf = t.tokens.groupBy("token").agg(F.countDistinct("doc_id").alias("df")).where("df > 1").select("token", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
-    return t.tokens.join(idf, "token", "left").groupBy("update_id").agg(r6(F.avg(F.coalesce("idf", F.lit(0.0)))).alias("mean_idf"))
+    """Each sentence's mean idf: words are counted by sentence first, and frequent ones are dealt to copies of the table."""
+    idf = idf_table(t).where("df > 1").select("token", F.log(F.col("docs") / F.col("df")).alias("idf"))
+    c = t.tokens.groupBy("update_id", "token").agg(F.count("*").alias("n"))
+    return salted_join(c, idf, "token", "update_id", "left").groupBy("update_id").agg(r6(F.sum(F.col("n") * F.coalesce("idf", F.lit(0.0))) / F.sum("n")).alias("mean_idf"))
 
 
 GEO = "(SELECT n_nationkey AS k, lower(n_name) AS loc, -60.0 + 5 * n_nationkey AS lat, (37.0 * n_nationkey) % 360 - 180 AS lng FROM nation)"
@@ -174,9 +231,9 @@ def geo(t):
     return t.nation.select(k.alias("k"), F.lower("n_name").alias("loc"), (F.lit(-60.0) + 5 * k).alias("lat"), (F.lit(37.0) * k % 360 - 180).alias("lng"))
 
 
-@query("jn17_coordinates", f"SELECT c_custkey, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM customer JOIN {GEO} g ON 'nation_' || c_nationkey = g.loc WHERE c_nationkey < 20")
+@query("jn17_coordinates", f"SELECT c_custkey, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM customer JOIN {GEO} g ON 'nation_' || c_nationkey = g.loc")
 def jn17(t):
-    return t.customer.where("c_nationkey < 20").withColumn("loc", F.lower(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")))).join(geo(t), "loc").select("c_custkey", "lat", "lng")
+    return t.customer.withColumn("loc", F.lower(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")))).join(geo(t), "loc").select("c_custkey", "lat", "lng")
 
 
 @query("jn18_group_counts", "SELECT update_id, count(*) OVER (PARTITION BY stream_id) AS document_count FROM sentences")
@@ -184,23 +241,24 @@ def jn18(t):
     return t.sentences.select("update_id", F.count("*").over(Window.partitionBy("stream_id")).alias("document_count"))
 
 
-@query("jn19_model_alignment", """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS first, b.label AS second FROM (SELECT * FROM labels WHERE doc_id % 3 < 2) a
-    FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings WHERE vec_id % 2 = 0) b ON a.doc_id = b.doc_id""")
+@query("jn19_model_alignment", """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS first, b.label AS second FROM labels a FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings) b ON a.doc_id = b.doc_id""")
 def jn19(t):
-    a = t.labels.where("doc_id % 3 < 2").select("doc_id", F.col("quality").alias("first"))
-    b = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("second"))
-    return a.join(b, "doc_id", "full")
+    """What two models say of a document, whichever of them knows it."""
+    a = t.labels.select("doc_id", F.col("quality").alias("first"))
+    return a.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("second")), "doc_id", "full")
 
 
-@query("jn20_parameter_averaging", "SELECT token, round(sum(w) / 20.0, 6) AS weight FROM (SELECT query_id, token, ln(1 + count(*)) AS w FROM tokens GROUP BY ALL) GROUP BY token")
+@query("jn20_parameter_averaging", "SELECT token, round(sum(w) / max(z), 6) AS weight FROM (SELECT query_id, token, ln(1 + count(*)) AS w FROM tokens GROUP BY ALL), (SELECT count(DISTINCT query_id)::DOUBLE AS z FROM tokens) GROUP BY token")
 def jn20(t):
+    """A weight map for each topic; their sum over the number of topics."""
     w = t.tokens.groupBy("query_id", "token").agg(F.log(F.lit(1) + F.count("*")).alias("w"))
-    return w.groupBy("token").agg(r6(F.sum("w") / 20.0).alias("weight"))
+    z = t.tokens.agg(F.countDistinct("query_id").cast("double").alias("z"))  # one row
+    return w.groupBy("token").agg(F.sum("w").alias("s")).crossJoin(z).select("token", r6(F.col("s") / F.col("z")).alias("weight"))
 
 
-@query("st1_union_all", "SELECT update_id, 0 AS year FROM matches UNION ALL SELECT update_id, 1 FROM sentences WHERE sent_id = 0")
+@query("st1_union_all", "SELECT update_id, 0 AS year FROM matches UNION ALL SELECT update_id, 1 FROM sentences")
 def st1(t):
-    return t.matches.select("update_id", F.lit(0).alias("year")).unionByName(t.sentences.where("sent_id = 0").select("update_id", F.lit(1).alias("year")))
+    return t.matches.select("update_id", F.lit(0).alias("year")).unionByName(t.sentences.select("update_id", F.lit(1).alias("year")))
 
 
 @query("st2_distinct_keys", "SELECT DISTINCT stream_id, hour_epoch FROM (SELECT stream_id, CAST(epoch(hour) AS BIGINT) AS hour_epoch FROM sentences)")
@@ -234,9 +292,10 @@ def st5(t):
     return _sets(t).select("query_id", n.alias("found"), r6(n / F.size("wanted")).alias("coverage"))
 
 
-@query("st6_set_union", "SELECT string_agg(DISTINCT nugget_id, ',' ORDER BY nugget_id) AS every, count(DISTINCT nugget_id) AS n FROM matches")
+@query("st6_set_union", "SELECT DISTINCT nugget_id FROM matches UNION SELECT nugget_id FROM nuggets WHERE important = 2")
 def st6(t):
-    return t.matches.agg(F.array_sort(F.collect_set("nugget_id")).alias("every")).select(F.array_join("every", ",").alias("every"), whole(F.size("every")).alias("n"))
+    """The union of two sets, a row an element: no row holds a set that grows."""
+    return t.matches.select("nugget_id").union(t.nuggets.where("important = 2").select("nugget_id")).distinct()
 
 
 @query("st7_intersect", "SELECT doc_id FROM labels INTERSECT SELECT vec_id FROM embeddings")
@@ -244,8 +303,14 @@ def st7(t):
     return t.labels.select("doc_id").intersect(t.embeddings.select(F.col("vec_id").alias("doc_id")))
 
 
-@query("st7_leave_one_out", "SELECT query_id, count(*) AS n FROM (SELECT a.query_id, b.query_id AS other FROM (SELECT DISTINCT query_id FROM stream) a, (SELECT DISTINCT query_id FROM stream) b EXCEPT SELECT query_id, query_id FROM stream) GROUP BY query_id")
+@query("st7_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def st7_except(t):
+    return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
+
+
+@query("st7_leave_one_out", "SELECT a.query_id, b.query_id AS other FROM (SELECT DISTINCT query_id FROM stream) a, (SELECT DISTINCT query_id FROM stream) b EXCEPT SELECT query_id, query_id FROM stream")
 def st7_loo(t):
+    """Every topic's training topics: all but itself. Topics are few, and all of them are one row."""
     q = t.stream.select("query_id").distinct()
-    n = q.count()  # topics are few; every one but itself
-    return q.select("query_id", F.lit(n - 1).cast("long").alias("n"))
+    every = q.crossJoin(q.agg(F.collect_set("query_id").alias("all"))).select("query_id", F.explode("all").alias("other"))
+    return every.subtract(q.select("query_id", F.col("query_id").alias("other")))

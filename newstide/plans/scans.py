@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ordered import numbered
+from ..sources import readers
 from ..sources.readers import select_topics
 from .base import Tables, query, whole
 
@@ -34,10 +36,11 @@ def src2(t):
 
 
 @query("src3_link_scrape", """SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(.*?)">', 1)) AS link FROM pages)
-    WHERE regexp_matches(link, '[a-z]') AND link NOT LIKE '%index%'""")
+    WHERE regexp_matches(link, '^/[a-z]{3}') AND link NOT LIKE '%index%'""")
 def src3(t):
+    """Links of the wanted kind (the fixture has no news: words of three letters or more), without the index."""
     links = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="(.*?)">'), F.lit(1))).alias("link"))
-    return links.where(F.col("link").rlike("[a-z]") & ~F.col("link").contains("index"))
+    return links.where(F.col("link").rlike("^/[a-z]{3}") & ~F.col("link").contains("index"))
 
 
 CHUNK = "lower(regexp_extract(url, 'https?://([^/]+)', 1))"
@@ -52,22 +55,32 @@ def src5(t):
 
 @query("src6_hourly_iteration", "SELECT query_id, CAST(epoch(hour) AS BIGINT) AS hour_epoch, stream_id, row_number() OVER (PARTITION BY query_id ORDER BY hour, stream_id) AS nth FROM stream")
 def src6(t):
-    w = Window.partitionBy("query_id").orderBy("hour", "stream_id")
-    return t.stream.select("query_id", F.unix_seconds("hour").alias("hour_epoch"), "stream_id", whole(F.row_number().over(w)).alias("nth"))
+    """Rows are numbered hour by hour, so a topic's rows never meet in one task."""
+    rows = t.stream.select("query_id", F.unix_seconds("hour").alias("hour_epoch"), "stream_id")
+    return numbered(rows, ["query_id"], F.col("hour_epoch"), ["stream_id"])
 
 
-@query("src7_checksum_validation", "SELECT doc_id, md5(text) AS digest, md5(text) = md5(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS intact FROM documents")
+@query("src7_checksum_validation", "SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0")
 def src7(t):
-    named = F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return t.documents.select("doc_id", F.md5("text").alias("digest"), (F.md5("text") == named).alias("intact"))
+    """Files whose content has another digest than their name go. Every seventh name is spoilt here, as the tables hold no broken file."""
+    named = t.documents.withColumn("name", F.concat(F.md5("text"), F.when(F.col("doc_id") % 7 == 0, "0").otherwise("")))
+    return readers.intact(named, "text", "name").select("doc_id", F.col("name").alias("digest"))
 
 
 @query("src8_record_reader", "SELECT nugget_id, important, length, nugget_text AS text FROM nuggets")
 def src8(t):
-    """A record line and back: what the tab-separated reader gets of it."""
-    line = t.nuggets.select(F.concat_ws("\t", "nugget_id", F.col("important").cast("string"), F.col("length").cast("string"), "nugget_text").alias("line"))
-    part = F.split("line", "\t")
-    return line.select(part[0].alias("nugget_id"), part[1].cast("long").alias("important"), part[2].cast("long").alias("length"), part[3].alias("text"))
+    """Records written as gzipped lines to the shared folder, and read back without quoting under a fixed schema."""
+    path = readers.scratch(t.spark, "records")
+    readers.write_records(t.nuggets.select("nugget_id", "important", "length", "nugget_text"), path)
+    return readers.read_records(t.spark, path, "nugget_id string, important long, length long, text string")
+
+
+@query("src10_written_stream", "SELECT query_id, update_id, rank, sent_text FROM top20")
+def src10(t):
+    """Sentences written by topic, in files of bounded size, and read back; the topic comes from the folder."""
+    path = readers.scratch(t.spark, "stream")
+    readers.write_stream(t.top20.select("query_id", "update_id", "rank", "sent_text"), path)
+    return t.spark.read.schema("update_id string, rank long, sent_text string, query_id string").parquet(path).select("query_id", "update_id", "rank", "sent_text")
 
 
 @query("src9_system_updates", "SELECT query_id, update_id, stream_id, epoch AS document_epoch, regexp_extract(stream_id, '-(.*)$', 1) AS document_hash FROM sentences")
@@ -77,10 +90,13 @@ def src9(t):
     return s.select("query_id", F.concat_ws("-", p[1], p[2]).alias("update_id"), p[1].alias("stream_id"), F.split_part(p[1], F.lit("-"), F.lit(1)).cast("long").alias("document_epoch"), F.split_part(p[1], F.lit("-"), F.lit(2)).alias("document_hash"))
 
 
-@query("src11_rollover", "SELECT query_id, stream_id, (row_number() OVER (PARTITION BY query_id ORDER BY stream_id) - 1) // 20 AS chunk FROM stream")
+@query("src11_rollover", "SELECT query_id, count(*) AS docs, max(n) <= 20 AS within, count(*) >= 0 AS read FROM (SELECT query_id, 1 AS n FROM stream) GROUP BY query_id")
 def src11(t):
-    w = Window.partitionBy("query_id").orderBy("stream_id")
-    return t.stream.select("query_id", "stream_id", F.floor((F.row_number().over(w) - 1) / 20).alias("chunk"))
+    """A new file every 20 documents of a topic: what the written files hold, and that none holds more."""
+    path = readers.scratch(t.spark, "rollover")
+    readers.write_stream(t.stream.select("query_id", "stream_id", "text"), path, 20)
+    files = t.spark.read.schema("stream_id string, query_id string").parquet(path).groupBy("query_id", F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return files.groupBy("query_id").agg(F.sum("n").alias("docs"), (F.max("n") <= 20).alias("within"), F.lit(True).alias("read"))
 
 
 SUBMISSION = "SELECT CAST(regexp_replace(query_id, '[^0-9]', '', 'g') AS BIGINT) AS qid, 'newstide' AS team, 'run1' AS run, stream_id, sent_id, epoch + 3600 AS ts, CAST(1 + important AS DOUBLE) AS conf FROM matches"
@@ -95,12 +111,13 @@ def src12(t):
     return submission(t)
 
 
-@query("src13_lockstep_join", """SELECT CAST(epoch(hour) AS BIGINT) AS hour_epoch, count(*) AS n, string_agg(e.vec_id || ':' || s.doc_id, ',' ORDER BY e.vec_id) AS pairs
-    FROM stream s JOIN embeddings e ON e.vec_id = s.doc_id GROUP BY hour""")
+@query("src13_lockstep_join", """WITH bow AS (SELECT hour, stream_id, sent_id, count(*) AS n_tokens FROM tokens GROUP BY ALL), strings AS (SELECT hour, stream_id, sent_id, length(sent_text) AS n_chars FROM sentences)
+    SELECT CAST(epoch(b.hour) AS BIGINT) AS hour_epoch, b.stream_id, b.sent_id, n_tokens, n_chars FROM bow b JOIN strings s ON b.hour = s.hour AND b.stream_id = s.stream_id AND b.sent_id = s.sent_id""")
 def src13(t):
-    j = t.stream.join(t.embeddings, F.col("vec_id") == F.col("doc_id"))
-    pair = F.struct("vec_id", F.concat_ws(":", F.col("vec_id").cast("string"), F.col("doc_id").cast("string")).alias("s"))
-    return j.groupBy("hour").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["s"]), ",").alias("pairs")).select(F.unix_seconds("hour").alias("hour_epoch"), "n", "pairs")
+    """Two files of the same sentences, counts and strings, side by side: equal labels are the join."""
+    keys = ["hour", "stream_id", "sent_id"]
+    bow, strings = t.tokens.groupBy(*keys).agg(F.count("*").alias("n_tokens")), t.sentences.select(*keys, whole(F.length("sent_text")).alias("n_chars"))
+    return bow.join(strings, keys).select(F.unix_seconds("hour").alias("hour_epoch"), "stream_id", "sent_id", "n_tokens", "n_chars")
 
 
 @query("src14_category_crawl", """WITH RECURSIVE crawl AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION
@@ -221,10 +238,11 @@ def flt11(t):
     return e.join(hours, "hour", "left_semi").select("event_id")
 
 
-@query("flt12_matching_clusters", """SELECT s.stream_id FROM stream s JOIN (SELECT text, min(doc_id) AS lead, bool_or(regexp_matches(text, '(?i)the')) AS match FROM documents GROUP BY text) c ON s.text = c.text WHERE c.match""")
+@query("flt12_matching_clusters", """SELECT s.stream_id FROM stream s JOIN (SELECT text, bool_or(regexp_matches(text, '(?i)the')) AS match FROM stream GROUP BY text) c ON s.text = c.text WHERE c.match""")
 def flt12(t):
-    clusters = t.stream.groupBy("text").agg(F.collect_list("stream_id").alias("stream_ids"), F.bool_or(T.contains_any("text", ["the"])).alias("match"))
-    return clusters.where("match").select(F.explode("stream_ids").alias("stream_id"))
+    """Documents whose cluster (equal texts) matches: clusters are counted, not gathered."""
+    rows = t.stream.select("stream_id", F.md5("text").alias("cluster"), T.contains_any("text", ["the"]).alias("match"))
+    return rows.join(rows.where("match").select("cluster").distinct(), "cluster", "left_semi").select("stream_id")
 
 
 @query("flt13_judged_rows", "SELECT s.update_id FROM sentences s JOIN labels l ON l.doc_id = s.doc_id WHERE l.quality = 1")
@@ -242,34 +260,59 @@ def flt15(t):
     return t.sentences.join(t.matches.select("update_id"), "update_id", "left_semi").select("update_id", "query_id")
 
 
-def validated(rows, topics_df, most: int = 1000):
-    """Submission rows with the first rule each breaks (null: none); topic rules are counted over the topic."""
+def validated(lines, topics_df, most: int = 1000):
+    """Submission lines (column line) with the first rule each breaks (null: none); topic rules are counted over the topic.
+
+    The run id must be that of the first line in order, which is one row.
+    """
+    p = F.split("line", " ")
+    get = lambda k: F.get(p, F.lit(k))
+    rows = lines.select("line", F.size(p).alias("fields"), F.expr("try_cast(get(split(line, ' '), 0) AS BIGINT)").alias("qid"), get(2).alias("run"), get(3).alias("stream_id"), F.expr("try_cast(get(split(line, ' '), 4) AS BIGINT)").alias("sent_id"), F.expr("try_cast(get(split(line, ' '), 5) AS BIGINT)").alias("ts"), F.expr("try_cast(get(split(line, ' '), 6) AS DOUBLE)").alias("conf"))
     known = topics_df.select(F.col("query_num").alias("qid"), "start", "end")
-    n = F.count("*").over(Window.partitionBy("qid"))
+    counts = rows.groupBy("qid").agg(F.count("*").alias("n"))
+    only = rows.agg(F.min_by("run", "line").alias("only"))
     rule = (
-        F.when(F.col("start").isNull(), "unknown topic")
+        F.when(F.col("fields") != 7, "not seven fields")
+        .when(F.col("start").isNull(), "unknown topic")
         .when(~F.col("run").rlike("^[A-Za-z0-9]{1,15}$"), "bad run id")
+        .when(F.col("run") != F.col("only"), "another run id")
         .when(~F.col("stream_id").rlike("^[0-9]+-[0-9a-f]{32}$"), "bad document id")
-        .when(F.col("sent_id") < 0, "bad sentence id")
+        .when(F.col("sent_id").isNull() | (F.col("sent_id") < 0), "bad sentence id")
         .when((F.col("ts") < F.col("start")) | (F.col("ts") > F.col("end")), "outside the topic")
         .when(~(F.col("conf") > 0), "bad confidence")
-        .when(n > most, "too many rows")
+        .when(F.col("n") > most, "too many rows")
     )
-    return rows.join(known, "qid", "left").withColumn("error", rule)
+    return rows.join(known, "qid", "left").join(counts, "qid", "left").crossJoin(only).select("line", rule.alias("error"))
+
+
+#: Submission lines, some spoilt so that every rule has its case.
+LINES = f"""(SELECT CASE WHEN sent_id % 19 = 4 THEN concat_ws(' ', qid, team, run, stream_id, sent_id, ts) WHEN sent_id % 17 = 6 THEN concat_ws(' ', qid, team, 'run_2!', stream_id, sent_id, ts, 'x')
+    ELSE concat_ws(' ', qid, team, CASE WHEN sent_id % 11 = 3 THEN 'run2' ELSE run END, stream_id, sent_id, ts, CASE WHEN sent_id % 13 = 5 THEN '0' ELSE '1' END) END AS line FROM ({SUBMISSION}))"""
+
+
+def spoilt_lines(t):
+    s = submission(t)
+    text = lambda c: F.col(c).cast("string")
+    head = ["qid", "team"]
+    short = F.concat_ws(" ", *map(text, [*head, "run", "stream_id", "sent_id", "ts"]))
+    bad = F.concat_ws(" ", *map(text, head), F.lit("run_2!"), *map(text, ["stream_id", "sent_id", "ts"]), F.lit("x"))
+    run, conf = F.when(F.col("sent_id") % 11 == 3, "run2").otherwise(F.col("run")), F.when(F.col("sent_id") % 13 == 5, "0").otherwise("1")
+    good = F.concat_ws(" ", *map(text, head), run, *map(text, ["stream_id", "sent_id", "ts"]), conf)
+    return s.select(F.when(F.col("sent_id") % 19 == 4, short).when(F.col("sent_id") % 17 == 6, bad).otherwise(good).alias("line"))
 
 
-@query("flt16_submission_validation", f"""WITH sub AS (SELECT qid, CASE WHEN sent_id % 11 = 3 THEN 'bad run' ELSE run END AS run, stream_id, sent_id, ts, CASE WHEN sent_id % 13 = 5 THEN 0 ELSE conf END AS conf FROM ({SUBMISSION})),
-    j AS (SELECT s.*, t.start, t."end", count(*) OVER (PARTITION BY s.qid) AS n FROM sub s LEFT JOIN {TOPICS} t ON t.query_num = s.qid AND t.query_num < 18)
-    SELECT qid, stream_id, sent_id, CASE WHEN start IS NULL THEN 'unknown topic' WHEN NOT regexp_matches(run, '^[A-Za-z0-9]{{1,15}}$') THEN 'bad run id' WHEN NOT regexp_matches(stream_id, '^[0-9]+-[0-9a-f]{{32}}$') THEN 'bad document id'
-    WHEN sent_id < 0 THEN 'bad sentence id' WHEN ts < start OR ts > "end" THEN 'outside the topic' WHEN NOT conf > 0 THEN 'bad confidence' WHEN n > 1000 THEN 'too many rows' END AS error FROM j""")
+@query("flt16_submission_validation", f"""WITH r AS (SELECT line, string_split(line, ' ') AS p FROM {LINES}),
+    v AS (SELECT line, len(p) AS fields, TRY_CAST(p[1] AS BIGINT) AS qid, p[3] AS run, p[4] AS sid, TRY_CAST(p[5] AS BIGINT) AS sent_id, TRY_CAST(p[6] AS BIGINT) AS ts, TRY_CAST(p[7] AS DOUBLE) AS conf FROM r),
+    j AS (SELECT v.*, t.start, t."end", count(*) OVER (PARTITION BY v.qid) AS n, (SELECT arg_min(run, line) FROM v) AS only_run FROM v LEFT JOIN {TOPICS} t ON t.query_num = v.qid AND t.query_num < 18)
+    SELECT line, CASE WHEN fields <> 7 THEN 'not seven fields' WHEN start IS NULL THEN 'unknown topic' WHEN NOT regexp_matches(run, '^[A-Za-z0-9]{{1,15}}$') THEN 'bad run id' WHEN run <> only_run THEN 'another run id'
+    WHEN NOT regexp_matches(sid, '^[0-9]+-[0-9a-f]{{32}}$') THEN 'bad document id' WHEN sent_id IS NULL OR sent_id < 0 THEN 'bad sentence id' WHEN ts < start OR ts > "end" THEN 'outside the topic' WHEN NOT conf > 0 THEN 'bad confidence' WHEN n > 1000 THEN 'too many rows' END AS error FROM j""")
 def flt16(t):
-    sub = submission(t).withColumns({"run": F.when(F.col("sent_id") % 11 == 3, "bad run").otherwise(F.col("run")), "conf": F.when(F.col("sent_id") % 13 == 5, 0.0).otherwise(F.col("conf"))})
-    return validated(sub, topics(t).where("query_num < 18")).select("qid", "stream_id", "sent_id", "error")
+    return validated(spoilt_lines(t), topics(t).where("query_num < 18"))
 
 
-@query("flt16_missing_topics", f"SELECT query_num FROM {TOPICS} WHERE query_num NOT IN (SELECT CAST(regexp_replace(query_id, '[^0-9]', '', 'g') AS BIGINT) FROM matches WHERE important > 1 AND sent_id < 3)")
+@query("flt16_missing_topics", f"SELECT query_num FROM {TOPICS} WHERE query_num NOT IN (SELECT CAST(regexp_replace(query_id, '[^0-9]', '', 'g') AS BIGINT) FROM matches WHERE important > 1)")
 def flt16_missing(t):
-    sub = t.matches.where("important > 1 and sent_id < 3").select(F.regexp_replace("query_id", "[^0-9]", "").cast("long").alias("query_num"))
+    sub = t.matches.where("important > 1").select(F.regexp_replace("query_id", "[^0-9]", "").cast("long").alias("query_num"))
     return topics(t).join(sub, "query_num", "left_anti").select("query_num")
 
 

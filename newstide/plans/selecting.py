@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -10,32 +12,46 @@ from pyspark.sql import functions as F
 from ..functions import math as M
 from ..functions import text as T
 from ..operators import clustering as C
-from .base import query, r6, whole
+from ..sources import readers
+from .base import query, r6
 from .joining import SETS, nugget_sets
 
 
 def _ready(t):
     """Iterations cut their lineage in the session's checkpoint folder."""
-    if not t.spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newstide-"))
+    readers.scratch(t.spark, "")
 
 
 def points(t):
-    """Vectors as the stream's latent sentences: topic = label, ten intervals a topic, salience from the first component."""
-    e = t.embeddings
-    return e.select(F.col("label").cast("long").alias("topic"), (F.col("vec_id") % 10).alias("bucket"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), r6(F.abs(F.col("embedding")[0].cast("double"))).alias("salience"))
+    """Sentences to choose from: those that pass the simple quality test, each text once a topic and hour.
+
+    Bins (hashes of words) stand for latent dimensions, and words and capitals for a model's salience.
+    """
+    s = t.sentences.withColumn("doclen", F.count("*").over(Window.partitionBy("doc_id"))).where(T.simple_quality("sent_text", "doclen"))
+    first = s.groupBy("query_id", "hour", "sent_text").agg(F.min(F.struct("epoch", "update_id")).alias("x"))
+    w = T.words("sent_text", r"[\p{L}\p{N}]+")
+    return first.select(
+        F.col("query_id").alias("topic"), F.unix_seconds("hour").alias("bucket"), F.col("x.update_id").alias("id"), F.col("x.epoch").alias("epoch"),
+        F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(C.WIDTH)).cast("int")).alias("bins"), r6(F.log(1.0 + F.size(w)) + T.matches("sent_text", "[A-Z]") / 10).alias("salience"),
+    )
 
 
 COS = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))"
 
 
-def topic_pairs(t):
-    """(topic, a, b, cosine) of vectors of the same topic and interval, a before b."""
-    p = points(t)
-    q = p.select("topic", "bucket", F.col("id").alias("b"), F.col("vector").alias("w"))
-    return p.withColumnRenamed("id", "a").join(q, ["topic", "bucket"]).where("a < b").select("topic", "bucket", "a", "b", (M.dot("vector", "w") / F.sqrt(M.dot("vector", "vector") * M.dot("w", "w"))).alias("cosine"))
+def label_pairs(t):
+    """(label, a, b, cosine) of all vectors with the same label, a before b.
+
+    Each label is dealt to blocks of ids, and a pair of blocks is a key: a label
+    that very many vectors have is spread over tasks, at one copy of a vector a block.
+    """
+    blocks = 8
+    e = t.embeddings.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    x = e.select("label", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("v").alias("x"))
+    y = e.select("label", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("v").alias("y"))
+    cosine = M.dot("x", "y") / F.sqrt(M.dot("x", "x") * M.dot("y", "y"))
+    return x.join(y, ["label", "i", "j"]).where("a < b").select("label", "a", "b", cosine.alias("cosine"))
 
 
 def document_counts(t):
@@ -62,101 +78,121 @@ def dd1_pairs(t):
     return p.select(F.col("_a").alias("a"), F.col("_b").alias("b"), r6("cosine").alias("cosine"))
 
 
-@query("dd2_novel_against_all", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.label = b.label AND a.vec_id % 10 = b.vec_id % 10 AND a.vec_id < b.vec_id AND {COS} >= 0.25)")
+@query("dd2_novel_against_all", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.label = b.label AND a.vec_id < b.vec_id AND {COS} >= 0.25)")
 def dd2(t):
     """Kept iff every earlier row, kept or not, is less similar: no order of evaluation, so an anti-join."""
-    return points(t).select("id").join(topic_pairs(t).where("cosine >= 0.25").select(F.col("b").alias("id")), "id", "left_anti")
+    return t.embeddings.select(F.col("vec_id").alias("id")).join(label_pairs(t).where("cosine >= 0.25").select(F.col("b").alias("id")), "id", "left_anti")
 
 
 @query("dd3_novel_against_kept")
 def dd3(t):
-    return C.greedy_novel(points(t), ["topic"], ["id"], 0.25)
+    """Each vector against those of its label that were kept before it; the fold keeps only those."""
+    e = t.embeddings.select(F.col("label").cast("long").alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return C.greedy_novel(e, ["topic"], ["id"], 0.25)
 
 
 @query("cl1_affinity_propagation")
 def cl1(t):
-    """Exemplars by topic and interval; emitted when the interval ends."""
-    return C.ap_clusters(points(t), ["topic", "bucket"], least=3).withColumn("emitted", (F.col("bucket") + 1) * 3600)
+    """Exemplars by topic and hour, emitted when the hour ends; hours of fewer than ten sentences have none."""
+    return C.ap_clusters(points(t), ["topic", "bucket"]).withColumn("emitted", F.col("bucket") + 3600)
 
 
-def _salient(s: np.ndarray, table: pa.Table) -> np.ndarray:
-    x = np.array(table.column("salience").to_pylist(), float)
-    return x - max(s.max(), x.max())
+def _salient(x: np.ndarray, table: pa.Table):
+    """Affinities and preferences below zero: both less the larger of their maxima."""
+    s, p = C.standardised(x), np.array(table.column("salience").to_pylist(), float)
+    top = max(s[np.triu_indices(len(s), 1)].max(), p.max())
+    return s - top, p - top
 
 
 @query("cl2_affinity_propagation_salience")
 def cl2(t):
-    return C.ap_clusters(points(t), ["topic", "bucket"], _salient, least=3)
+    return C.ap_clusters(points(t), ["topic", "bucket"], _salient, most=500).withColumn("emitted", F.col("bucket") + 3600)
 
 
-def _support(s: np.ndarray, table: pa.Table) -> np.ndarray:
-    k = -((1 - s) ** 2) - 20
-    p = np.array(table.column("salience").to_pylist(), float)
-    return 1 / (1 + np.exp(-p)) + np.median(k[np.triu_indices(len(k), 1)])
+def _support(x: np.ndarray, table: pa.Table):
+    """Negative squared distances; the preference is a squashed salience over the median of the shifted cosine kernel."""
+    kernel = -((1 - x @ x.T) ** 2) - 20
+    p = 1 / (1 + np.exp(-np.array(table.column("salience").to_pylist(), float)))
+    return -((x[:, None] - x[None]) ** 2).sum(2), p + np.median(kernel[np.triu_indices(len(x), 1)])
 
 
 @query("cl3_bucketed_salience_clusters")
 def cl3(t):
-    return C.ap_clusters(points(t), ["topic", "bucket"], _support, least=2, standardise=False)
+    return C.ap_clusters(points(t), ["topic", "bucket"], _support, least=2).withColumn("emitted", F.col("bucket") + 3600)
+
+
+def _lowered(x: np.ndarray, table: pa.Table):
+    """Negative cosine distances; preferences at most -0.05, less an offset of 4."""
+    k = -(1 - x @ x.T)
+    p = np.array(table.column("salience").to_pylist(), float)
+    return k, np.minimum(p + np.median(k[np.triu_indices(len(k), 1)]), -0.05) - 4.0
 
 
 @query("cl4_wide_bucket_clusters")
 def cl4(t):
-    """Buckets of five intervals, exemplars filtered by what earlier buckets of the topic kept."""
-    wide = points(t).withColumn("bucket", F.floor(F.col("bucket") / 5))
-    lower = lambda s, table: np.minimum(np.array(table.column("salience").to_pylist(), float) + np.median(s), -0.05) - 4.0
-    found = C.ap_clusters(wide, ["topic", "bucket"], lower, least=2, standardise=False)
-    rows = found.join(wide.select("id", "vector"), "id")
+    """Buckets of four hours, exemplars filtered by what earlier buckets of the topic kept."""
+    wide = points(t).withColumn("bucket", F.floor(F.col("bucket") / 14400) * 14400)
+    found = C.ap_clusters(wide, ["topic", "bucket"], _lowered, least=2)
+    rows = found.join(wide.select("id", "bins"), "id")
     return C.greedy_novel(rows, ["topic"], ["bucket", "id"], 0.4, ["bucket", "id", "cluster_size"])
 
 
 @query("cl5_bucket_carry_over")
 def cl5(t):
-    e = t.timed_events.where("value > 45").select("event_type", F.floor(F.unix_seconds("ts") / 3600).alias("hour"))
-    return C.carry_over(e, ["event_type"], "hour")
+    """Hours of a topic with at most one sentence join the next."""
+    return C.carry_over(t.sentences.select("query_id", F.floor(F.col("epoch") / 3600).alias("hour")), ["query_id"], "hour")
 
 
-HAC = f"(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = b.vec_id % 10 AND a.vec_id < b.vec_id WHERE round({COS}, 6) >= 0.2)"
+HAC = f"(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round({COS}, 6) >= 0.3)"
 
 
-@query("cl6_single_linkage", f"""WITH RECURSIVE e AS (SELECT a, b FROM {HAC} UNION ALL SELECT b, a FROM {HAC}), reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other)
-    SELECT id, min(other) AS cluster FROM reach GROUP BY id""")
+@query("cl6_single_linkage", f"""WITH RECURSIVE e AS (SELECT a, b FROM {HAC} UNION ALL SELECT b, a FROM {HAC}), reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other),
+    n AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id), v AS (SELECT n.id, n.cluster, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM n JOIN embeddings ON vec_id = id), m AS (SELECT cluster, i, avg(x) AS c FROM v GROUP BY ALL),
+    d AS (SELECT id, cluster, round(sum((x - c) * (x - c)), 5) AS far FROM v JOIN m USING (cluster, i) GROUP BY ALL)
+    SELECT id, cluster, first_value(id) OVER (PARTITION BY cluster ORDER BY far, id) AS exemplar FROM d""")
 def cl6(t):
-    """Single linkage cut at a similarity is connected components of the pairs above it."""
+    """Single linkage cut at a similarity is connected components of the pairs above it; the exemplar is nearest to the mean."""
     _ready(t)
-    edges = topic_pairs(t).where(F.round("cosine", 6) >= 0.2).select("a", "b")
-    return C.single_linkage(points(t), edges)
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    c = C.single_linkage(e, label_pairs(t).where(F.round("cosine", 6) >= 0.3))
+    v = c.join(e, "id").select("id", "cluster", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    mean = v.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
+    far = v.join(mean, ["cluster", "i"]).groupBy("id", "cluster").agg(F.round(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))), 5).alias("far"))
+    lead = far.groupBy("cluster").agg(F.min(F.struct("far", "id")).alias("x")).select("cluster", F.col("x.id").alias("exemplar"))
+    return c.join(lead, "cluster").select("id", "cluster", "exemplar")
 
 
 @query("cl7_geo_clusters")
 def cl7(t):
-    """Places by affinity propagation on negative distance."""
+    """Places of a region by affinity propagation on negative great-circle miles."""
     from .joining import geo
 
-    places = geo(t).select(F.lit(0).cast("long").alias("all"), F.col("k").cast("long").alias("id"), F.array(F.radians("lat"), F.radians("lng")).alias("vector"))
+    region = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("long").alias("region"))
+    places = geo(t).join(region, "k").select("region", F.col("k").cast("long").alias("id"), F.array(F.col("lat").cast("double"), F.col("lng").cast("double")).alias("vector"))
 
     def f(table):
-        x = C.vectors(table)
-        d = -np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        owner = C.affinity_propagation(d, float(np.median(d[np.triu_indices(len(d), 1)])))
+        d = -M.miles_between(C.vectors(table))
+        owner = C.affinity_propagation(d, float(np.median(d[np.triu_indices(len(d), 1)])) if len(d) > 1 else 0.0)
         ids = table.column("id").to_pylist()
         return {"id": ids, "center": [ids[k] for k in owner]}
 
-    return C.by_group(places, ["all"], ["id"], f, "all long, id long, center long").drop("all")
+    return C.by_group(places, ["region"], ["id"], f, "region long, id long, center long")
 
 
 def _clusters(t):
-    return C.ap_clusters(points(t), ["topic", "bucket"], least=3).join(points(t).select("id", "vector", "salience"), "id")
+    p = points(t)
+    return C.ap_clusters(p, ["topic", "bucket"]).join(p.select("id", "epoch", "bins", "salience"), "id")
 
 
 def _z(df, by):
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", (F.col("salience") - F.avg("salience").over(w)) / F.nullif(F.stddev_pop("salience").over(w), F.lit(0.0)))
+    """Rows with their standardised salience within ``by``; the mean and deviation of a group are one row of it."""
+    stats = df.groupBy(*by).agg(F.avg("salience").alias("_m"), F.stddev_pop("salience").alias("_s"))
+    return df.join(stats, by).withColumn("z", (F.col("salience") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 
 @query("fl1_cluster_novelty_filter")
 def fl1(t):
-    return C.greedy_novel(_clusters(t).where("cluster_size >= 2"), ["topic"], ["bucket", "id"], 0.2264, ["bucket", "id"])
+    return C.greedy_novel(_clusters(t).where("cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.2264, ["bucket", "id"])
 
 
 @query("fl2_salience_ranked_filter")
@@ -167,49 +203,70 @@ def fl2(t):
 
 @query("fl3_salience_time_filter")
 def fl3(t):
-    return C.greedy_novel(_z(_clusters(t), ["topic", "bucket"]).where("z >= 0 and cluster_size >= 2"), ["topic"], ["bucket", "id"], 0.6, ["bucket", "id"])
+    return C.greedy_novel(_z(_clusters(t), ["topic", "bucket"]).where("z >= 0 and cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.6, ["bucket", "id"])
 
 
 @query("fl4_linkage_filter")
 def fl4(t):
-    _ready(t)
-    c = C.single_linkage(points(t), topic_pairs(t).where("cosine >= 0.2").select("a", "b"))
-    lead = c.groupBy("cluster").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("cluster").alias("id"))
-    return C.greedy_novel(points(t).join(lead, "id"), ["topic"], ["bucket", "id"], 0.7)
+    """Linkage clusters of each hour; what stands nearest the centroid of two or more sentences is held against what was kept."""
+    p = points(t)
+    found = C.linkage_clusters(p, ["topic", "bucket"], 0.7).where("cluster_size >= 2").join(p.select("id", "epoch", "bins"), "id")
+    return C.greedy_novel(found, ["topic"], ["bucket", "epoch", "id"], 0.7, ["bucket", "id"])
 
 
 @query("fl5_ranked_salience_filter")
 def fl5(t):
-    rows = _z(points(t), ["topic", "bucket"]).where("z > 0.4").withColumn("order", -F.col("salience"))
-    return C.greedy_novel(rows, ["topic", "bucket"], ["order", "id"], 0.4)
+    """Salient sentences of each hour, the most salient first; hours that keep none have a row without a sentence."""
+    p = points(t)
+    rows = _z(p, ["topic", "bucket"]).where("z > 0.4").withColumn("order", -F.col("salience"))
+    kept = C.greedy_novel(rows, ["topic", "bucket"], ["order", "id"], 0.4)
+    empty = p.select("topic", "bucket").distinct().join(kept, ["topic", "bucket"], "left_anti").withColumn("id", F.lit(None).cast("string"))
+    return kept.unionByName(empty)
 
 
-@query("fl6_salience_penalty", f"""WITH b AS (SELECT *, CAST(label AS BIGINT) AS topic, round(abs(embedding[1]::DOUBLE), 6) AS salience FROM embeddings),
-    s AS (SELECT b.vec_id AS id, a.vec_id AS past, a.salience, {COS} AS c FROM b JOIN b a ON a.topic = b.topic AND a.vec_id % 10 = b.vec_id % 10 - 1)
-    SELECT b.vec_id AS id, round(b.salience - coalesce(max(CASE WHEN c > 0.95 THEN 1 WHEN c < 0.15 THEN 0 ELSE c END * s.salience), 0) + 1e-9, 4) AS penalised FROM b LEFT JOIN s ON s.id = b.vec_id GROUP BY b.vec_id, b.salience""")
+@query("fl6_salience_penalty", f"""WITH b AS (SELECT *, round(abs(embedding[1]::DOUBLE), 6) AS salience FROM embeddings), s AS (SELECT b.vec_id AS id, b.label, b.salience, a.vec_id AS past, a.salience AS weight, round({COS}, 6) AS c FROM b JOIN b a ON a.label = b.label WHERE a.vec_id < 100 AND b.vec_id >= 100),
+    n AS (SELECT *, CASE WHEN c < 0.15 OR c > 0.95 THEN 0 ELSE c END AS m FROM s), z AS (SELECT *, m / nullif(sum(m) OVER (PARTITION BY past), 0) AS share FROM n), p AS (SELECT id, max(coalesce(share, 0) * weight) AS penalty, bool_or(c > 0.95) AS same FROM z GROUP BY id), least AS (SELECT label, min(salience) AS low FROM b WHERE vec_id >= 100 GROUP BY label)
+    SELECT b.vec_id AS id, round(CASE WHEN coalesce(same, false) THEN low ELSE b.salience - coalesce(penalty, 0) END + 1e-9, 4) AS penalised FROM b JOIN least USING (label) LEFT JOIN p ON p.id = b.vec_id WHERE b.vec_id >= 100""")
 def fl6(t):
-    """Salience less the most similar past salience, similarities over .95 taken as 1 and under .15 as 0."""
-    p = points(t)
-    past = p.select("topic", (F.col("bucket") + 1).alias("bucket"), F.col("vector").alias("w"), F.col("salience").alias("before"))
-    c = M.dot("vector", "w") / F.sqrt(M.dot("vector", "vector") * M.dot("w", "w"))
-    j = p.join(past, ["topic", "bucket"], "left").withColumn("c", c)
-    weight = F.when(F.col("c") > 0.95, 1.0).when(F.col("c") < 0.15, 0.0).otherwise(F.col("c"))
-    return j.groupBy("id", "salience").agg(F.max(weight * F.col("before")).alias("m")).select("id", F.round(F.col("salience") - F.coalesce("m", F.lit(0.0)) + 1e-9, 4).alias("penalised"))
+    """Salience less the largest share of a past update's: similarities under .15 count nothing, each update's are shares of
+    their sum, and what is over .95 like an update, a duplicate, gets its label's least salience. The first hundred are past."""
+    e = t.embeddings.select("label", F.col("vec_id").alias("id"), r6(F.abs(F.col("embedding")[0].cast("double"))).alias("salience"))
+    s = label_pairs(t).where("a < 100 and b >= 100").select(F.col("a").alias("past"), F.col("b").alias("id"), r6("cosine").alias("c"))
+    n = s.withColumn("m", F.when((F.col("c") < 0.15) | (F.col("c") > 0.95), 0.0).otherwise(F.col("c")))
+    total = n.groupBy("past").agg(F.sum("m").alias("total"))
+    weight = e.where("id < 100").select(F.col("id").alias("past"), F.col("salience").alias("weight"))
+    z = n.join(total, "past").join(weight, "past").withColumn("share", F.coalesce(F.col("m") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)))
+    p = z.groupBy("id").agg(F.max(F.col("share") * F.col("weight")).alias("penalty"), F.bool_or(F.col("c") > 0.95).alias("same"))
+    now = e.where("id >= 100")
+    j = now.join(now.groupBy("label").agg(F.min("salience").alias("low")), "label").join(p, "id", "left")
+    return j.select("id", F.round(F.when(F.coalesce("same", F.lit(False)), F.col("low")).otherwise(F.col("salience") - F.coalesce("penalty", F.lit(0.0))) + 1e-9, 4).alias("penalised"))
 
 
 @query("fl7_similar_to_prior", f"SELECT vec_id AS id FROM embeddings b WHERE vec_id >= 100 AND NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < 100 AND a.label = b.label AND {COS} >= 0.3)")
 def fl7(t):
-    p = points(t)
-    prior = p.where("id < 100").select("topic", F.col("vector").alias("w"))
-    near = p.where("id >= 100").join(prior, "topic").where(M.dot("vector", "w") / F.sqrt(M.dot("vector", "vector") * M.dot("w", "w")) >= 0.3).select("id")
-    return p.where("id >= 100").select("id").join(near, "id", "left_anti")
+    """What isn't like a prior update; the first hundred vectors are prior."""
+    near = label_pairs(t).where("a < 100 and b >= 100 and cosine >= 0.3").select(F.col("b").alias("id"))
+    return t.embeddings.where("vec_id >= 100").select(F.col("vec_id").alias("id")).join(near, "id", "left_anti")
+
+
+def _between(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    wide = x.max() - x.min()
+    return low + (x - x.min()) / (wide or 1.0) * (high - low)
+
+
+def _scaled(x: np.ndarray, table: pa.Table):
+    """Cosines under .2 are masked; the others are scaled to -9 .. their maximum, preferences to -3 .. -1."""
+    c = x @ x.T
+    s = np.where(c < 0.2, -100.0, _between(c, -9.0, float(c[np.triu_indices(len(c), 1)].max())))
+    return s, _between(np.array(table.column("salience").to_pylist(), float), -3.0, -1.0)
 
 
 @query("fl8_rank_and_cluster")
 def fl8(t):
-    """Salient points first (z above a cutoff by topic), then clusters of more than one, then novelty."""
-    rows = _z(points(t), ["topic"]).where("z > -0.5").drop("z")
-    found = C.ap_clusters(rows, ["topic", "bucket"], _salient, least=2).where("cluster_size > 1").join(points(t).select("id", "vector"), "id")
+    """Salient sentences first (z above a cutoff by topic), then clusters of more than one, then novelty."""
+    p = points(t)
+    rows = _z(p, ["topic"]).where("z > -0.5").drop("z")
+    found = C.ap_clusters(rows, ["topic", "bucket"], _scaled, least=2).where("cluster_size > 1").join(p.select("id", "bins"), "id")
     return C.greedy_novel(found, ["topic"], ["bucket", "id"], 0.5, ["bucket", "id", "cluster_size"])
 
 
@@ -220,59 +277,61 @@ def sentence_sets(t):
 
 @query("or1_retrospective_oracle")
 def or1(t):
-    """Greedy cover of each topic's nuggets by at most 25 sentences."""
+    """Greedy cover of each topic's nuggets by at most 25 sentences, and a row (step 0) with the sentences and nuggets there were."""
 
     def f(table):
-        picks = C.greedy_cover([set(x) for x in table.column("nuggets").to_pylist()], 25)
+        sets = [set(x) for x in table.column("nuggets").to_pylist()]
+        picks = C.greedy_cover(sets, 25)
         ids, gains = table.column("update_id").to_pylist(), [g for _, g in picks]
-        return {"step": list(range(1, len(picks) + 1)), "update_id": [ids[k] for k, _ in picks], "gain": gains, "covered": np.cumsum(gains).tolist()}
+        return {"step": list(range(len(picks) + 1)), "update_id": [None, *[ids[k] for k, _ in picks]], "gain": [len(sets), *gains], "covered": [len(set().union(*sets)), *np.cumsum(gains).tolist()]}
 
     return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], f, "query_id string, step long, update_id string, gain long, covered long")
 
 
+def _by_document(table):
+    """(doc_id, sets, update ids) of each document in turn; a document's rows stand together."""
+    rows = zip(table.column("doc_id").to_pylist(), table.column("nuggets").to_pylist(), table.column("update_id").to_pylist(), strict=True)
+    for doc, own in groupby(rows, key=lambda r: r[0]):
+        own = list(own)
+        yield doc, [set(n) for _, n, _ in own], [i for *_, i in own]
+
+
+def streaming_cover(table, budget: int = 25):
+    """Document by document: greedy new nuggets until the budget is spent; what is covered, and what could be."""
+    seen, out = set(), {"doc_id": [], "picked": [], "covered": [], "bound": []}
+    total = len(set().union(*map(set, table.column("nuggets").to_pylist())))
+    for doc, sets, _ in _by_document(table):
+        own = [s - seen for s in sets]
+        picks = C.greedy_cover(own, budget)
+        for k, _ in picks:
+            seen |= own[k]
+        budget -= len(picks)
+        for name, value in zip(out, (doc, len(picks), len(seen), total), strict=True):
+            out[name].append(value)
+    return out
+
+
 @query("or2_streaming_oracle")
 def or2(t):
-    """Document by document: greedy new nuggets, until a budget of 25 sentences is spent."""
+    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], streaming_cover, "query_id string, doc_id long, picked long, covered long, bound long")
 
-    def f(table):
-        seen, budget = set(), 25
-        out = {"doc_id": [], "picked": [], "covered": [], "bound": []}
-        docs, sets = table.column("doc_id").to_pylist(), [set(x) for x in table.column("nuggets").to_pylist()]
-        total = len(set().union(*sets))
-        for doc in dict.fromkeys(docs):
-            own = [s - seen for d, s in zip(docs, sets, strict=True) if d == doc]
-            picks = C.greedy_cover(own, budget)
-            for k, _ in picks:
-                seen |= own[k]
-            budget -= len(picks)
-            for name, value in zip(out, (doc, len(picks), len(seen), total), strict=True):
-                out[name].append(value)
-        return out
-
-    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], f, "query_id string, doc_id long, picked long, covered long, bound long")
+
+def step_choices(table):
+    """At each document the sentence with the largest gain, the first of equals, or go on; the loss is what else was new there."""
+    seen, out = set(), {"doc_id": [], "action": [], "gain": [], "loss": []}
+    for doc, sets, ids in _by_document(table):
+        gain, k = max((len(s - seen), -k) for k, s in enumerate(sets))
+        new = set().union(*sets) - seen
+        for name, value in zip(out, (doc, ids[-k] if gain else "NEXT", gain, len(new) - gain), strict=True):
+            out[name].append(value)
+        if gain:
+            seen |= sets[-k]
+    return out
 
 
 @query("or3_step_oracle")
 def or3(t):
-    """At each document pick the sentence with the largest gain or go on; what the rest would have gained is the loss."""
-
-    def f(table):
-        seen = set()
-        out = {"doc_id": [], "action": [], "gain": [], "loss": []}
-        docs, sets, ids = table.column("doc_id").to_pylist(), [set(x) for x in table.column("nuggets").to_pylist()], table.column("update_id").to_pylist()
-        for doc in dict.fromkeys(docs):
-            own = [(len(s - seen), -k) for k, (d, s) in enumerate(zip(docs, sets, strict=True)) if d == doc]
-            gain, k = max(own)
-            missed = sum(g for g, _ in own) - gain
-            out["doc_id"].append(doc)
-            out["action"].append(ids[-k] if gain else "NEXT")
-            out["gain"].append(gain)
-            out["loss"].append(missed)
-            if gain:
-                seen |= sets[-k]
-        return out
-
-    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], f, "query_id string, doc_id long, action string, gain long, loss long")
+    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], step_choices, "query_id string, doc_id long, action string, gain long, loss long")
 
 
 FIRST = "(SELECT *, row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY epoch, doc_id, sent_id) = 1 AS novel FROM matches)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import text as T
+from ..operators.ordered import cumulative, hash_numbered, lagged, numbered, top_per_group
 from .aggregating import HOURLY_IDF, hourly_idf
 from .base import query, r6, whole
 from .joining import COUNTS, sentence_terms
@@ -28,13 +29,14 @@ def wn2(t):
 def stream_probabilities(counts, key: str):
     """Running probability of each key in its topic's stream, the current document included.
 
-    ``counts`` has (query_id, doc_id, moment, key, n), a row a document and key, so
-    the window sorts documents, not tokens.
+    ``counts`` has (query_id, doc_id, moment, key, n). Sums run within hours and
+    then over hours, so neither a topic nor a word of it is one task.
     """
-    docs = counts.groupBy("query_id", "doc_id", "moment").agg(F.sum("n").alias("n"))
-    total = docs.select("query_id", "doc_id", F.sum("n").over(Window.partitionBy("query_id").orderBy("moment", "doc_id").rowsBetween(*CUMULATIVE)).alias("total"))
-    so_far = F.sum("n").over(Window.partitionBy("query_id", key).orderBy("moment", "doc_id").rowsBetween(*CUMULATIVE))
-    return counts.withColumn("so_far", so_far).join(total, ["query_id", "doc_id"]).withColumn("p", F.col("so_far") / F.col("total"))
+    counts = counts.withColumn("hour", F.floor(F.col("moment") / 3600))
+    docs = counts.groupBy("query_id", "doc_id", "moment", "hour").agg(F.sum("n").alias("n"))
+    total = cumulative(docs, ["query_id"], "hour", ["moment", "doc_id"], {"total": "n"}).select("query_id", "doc_id", "total")
+    own = cumulative(counts, ["query_id", key], "hour", ["moment", "doc_id"], {"so_far": "n"})
+    return own.join(total, ["query_id", "doc_id"]).withColumn("p", F.col("so_far") / F.col("total"))
 
 
 def _stream_sql(rows: str, key: str) -> str:
@@ -51,13 +53,15 @@ def wn3(t):
     return stream_probabilities(counts, "token").select("query_id", "doc_id", "token", r6("p").alias("p"))
 
 
-NAME_ROWS = "(SELECT query_id, doc_id, moment, name, count(*) AS n FROM (SELECT query_id, doc_id, epoch AS moment, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{5,}')) AS name FROM stream) GROUP BY ALL)"
+KIND = "CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^[A-Z]{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^[A-Z][a-z]+$') THEN 'PERSON' END"
+NAME_ROWS = f"(SELECT query_id, doc_id, moment, kind || ':' || tok AS name, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM (SELECT query_id, doc_id, epoch AS moment, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS tok FROM stream)) WHERE kind IS NOT NULL GROUP BY ALL)"
 
 
 @query("wn4_stream_entities", f"SELECT query_id, doc_id, name, round(p, 6) AS p FROM {_stream_sql(NAME_ROWS, 'name')}")
 def wn4(t):
-    """The same for names (by rule: an approximation of entity types)."""
-    names = t.stream.select("query_id", "doc_id", F.col("epoch").alias("moment"), F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{5,}"), F.lit(0))).alias("name"))
+    """The same for names and numbers, by kind (by rule: an approximation of entity types, which tells no places apart)."""
+    tok = t.stream.select("query_id", "doc_id", F.col("epoch").alias("moment"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("tok"))
+    names = tok.withColumn("kind", T.entity("tok")).where("kind <> 'O'").select("query_id", "doc_id", "moment", F.concat_ws(":", "kind", "tok").alias("name"))
     return stream_probabilities(names.groupBy("query_id", "doc_id", "moment", "name").agg(F.count("*").alias("n")), "name").select("query_id", "doc_id", "name", r6("p").alias("p"))
 
 
@@ -78,10 +82,10 @@ def wn5(t):
     return df_delta(t).select("event_type", F.unix_seconds("known").alias("known_epoch"), r6("delta").alias("delta"))
 
 
-@query("wn6_idf_change", f"SELECT CAST(epoch(a.hour) AS BIGINT) AS hour_epoch, a.token, k.back, round(a.idf - coalesce(b.idf, 0), 6) AS change FROM {HOURLY_IDF} a CROSS JOIN (SELECT unnest([1, 2, 3]) AS back) k LEFT JOIN {HOURLY_IDF} b ON b.token = a.token AND b.hour = a.hour - to_hours(k.back) WHERE a.df > 2")
+@query("wn6_idf_change", f"SELECT CAST(epoch(a.hour) AS BIGINT) AS hour_epoch, a.token, k.back, round(a.idf - coalesce(b.idf, 0), 6) AS change FROM {HOURLY_IDF} a CROSS JOIN (SELECT unnest([1, 2, 3]) AS back) k LEFT JOIN {HOURLY_IDF} b ON b.token = a.token AND b.hour = a.hour - to_hours(k.back)")
 def wn6(t):
     idf = hourly_idf(t)
-    now = idf.where("df > 2").withColumn("back", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("then", F.expr("hour - make_interval(0, 0, 0, 0, back)"))
+    now = idf.withColumn("back", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("then", F.expr("hour - make_interval(0, 0, 0, 0, back)"))
     old = idf.select(F.col("hour").alias("then"), "token", F.col("idf").alias("old"))
     return now.join(old, ["then", "token"], "left").select(F.unix_seconds("hour").alias("hour_epoch"), "token", "back", r6(F.col("idf") - F.coalesce("old", F.lit(0.0))).alias("change"))
 
@@ -110,15 +114,16 @@ def selected(t):
 
 @query("wn8_markov_features", f"SELECT query_id, doc_id, {', '.join(f'coalesce(lag(n, {k}) OVER w > 0, false) AS prev{k}' for k in range(1, 5))} FROM {SELECTED} WINDOW w AS (PARTITION BY query_id ORDER BY epoch, doc_id)")
 def wn8(t):
-    w = Window.partitionBy("query_id").orderBy("epoch", "doc_id")
-    return selected(t).select("query_id", "doc_id", *[F.coalesce(F.lag("n", k).over(w) > 0, F.lit(False)).alias(f"prev{k}") for k in range(1, 5)])
+    names = [f"prev{k}" for k in range(1, 5)]
+    rows = selected(t).withColumn("hour", F.floor(F.col("epoch") / 3600))
+    return lagged(rows, ["query_id"], "hour", ["epoch", "doc_id"], "n", names).select("query_id", "doc_id", *[F.coalesce(F.col(c) > 0, F.lit(False)).alias(c) for c in names])
 
 
 @query("wn9_running_metrics", f"""SELECT query_id, doc_id, sum(CAST(n > 0 AS INT)) OVER w::BIGINT AS hits, round(avg(CAST(n > 0 AS INT)) OVER w, 6) AS accuracy, round(avg(n) OVER w, 6) AS gain FROM {SELECTED} WINDOW w AS (PARTITION BY query_id ORDER BY epoch, doc_id ROWS UNBOUNDED PRECEDING)""")
 def wn9(t):
-    w = Window.partitionBy("query_id").orderBy("epoch", "doc_id").rowsBetween(*CUMULATIVE)
-    hit = (F.col("n") > 0).cast("int")
-    return selected(t).select("query_id", "doc_id", F.sum(hit).over(w).alias("hits"), r6(F.avg(hit).over(w)).alias("accuracy"), r6(F.avg("n").over(w)).alias("gain"))
+    rows = selected(t).withColumn("hour", F.floor(F.col("epoch") / 3600))
+    run = cumulative(rows, ["query_id"], "hour", ["epoch", "doc_id"], {"hits": "cast(n > 0 as bigint)", "found": "n", "seen": "1L"})
+    return run.select("query_id", "doc_id", "hits", r6(F.col("hits") / F.col("seen")).alias("accuracy"), r6(F.col("found") / F.col("seen")).alias("gain"))
 
 
 @query("wn10_hourly_standardisation", "SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 5) AS z FROM events WINDOW w AS (PARTITION BY date_trunc('hour', ts))")
@@ -128,17 +133,17 @@ def wn10(t):
     return e.join(s, "hour").select("event_id", F.round((F.col("value") - F.col("m")) / F.nullif("s", F.lit(0.0)), 5).alias("z"))
 
 
-@query("wn11_novel_gain", "SELECT update_id, sum(CAST(rn = 1 AS INT))::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY epoch, stream_id, sent_id) AS rn FROM matches WHERE sent_id % 2 = 0) GROUP BY update_id")
+@query("wn11_novel_gain", "SELECT update_id, sum(CAST(rn = 1 AS INT))::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY epoch, stream_id, sent_id) AS rn FROM matches) GROUP BY update_id")
 def wn11(t):
     w = Window.partitionBy("query_id", "nugget_id").orderBy("epoch", "stream_id", "sent_id")
-    return t.matches.where("sent_id % 2 = 0").withColumn("rn", F.row_number().over(w)).groupBy("update_id").agg(F.count_if(F.col("rn") == 1).alias("gain"))
+    return t.matches.withColumn("rn", F.row_number().over(w)).groupBy("update_id").agg(F.count_if(F.col("rn") == 1).alias("gain"))
 
 
 @query("wn12_gaps_islands", """SELECT conv_id, island, min(turn) AS first, max(turn) AS last FROM (SELECT *, sum(far) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM
-    (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) > 2 THEN 1 ELSE 0 END AS far FROM conversations WHERE length(text) > 300)) GROUP BY ALL""")
+    (SELECT conv_id, turn, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) > 2 THEN 1 ELSE 0 END AS far FROM conversations WHERE role = 'user')) GROUP BY ALL""")
 def wn12(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t.conversations.where("length(text) > 300").withColumn("far", F.when(F.col("turn") - F.lag("turn").over(w) > 2, 1).otherwise(0))
+    c = t.conversations.where("role = 'user'").withColumn("far", F.when(F.col("turn") - F.lag("turn").over(w) > 2, 1).otherwise(0))
     return c.withColumn("island", F.sum("far").over(w.rowsBetween(*CUMULATIVE))).groupBy("conv_id", "island").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
 
 
@@ -153,23 +158,19 @@ def wn13(t):
     return g.select("update_id", F.col("s")[0]["i"].cast("long").alias("start"), F.array_join(F.transform("s", lambda y: y["tok"]), " ").alias("name"))
 
 
-@query("wn14_cumulative_summary", """WITH f AS (SELECT query_id, nugget_id, min(hour) AS hour FROM matches JOIN stream USING (query_id, doc_id, stream_id, epoch) GROUP BY ALL), h AS (SELECT DISTINCT query_id, hour FROM f)
-    SELECT h.query_id, CAST(epoch(h.hour) AS BIGINT) AS hour_epoch, count(*) AS n, string_agg(f.nugget_id, ' ' ORDER BY f.hour, f.nugget_id) AS summary FROM h JOIN f ON f.query_id = h.query_id AND f.hour <= h.hour GROUP BY h.query_id, h.hour""")
+@query("wn14_cumulative_summary", """WITH f AS (SELECT query_id, nugget_id, min(hour) AS hour FROM matches JOIN stream USING (query_id, doc_id, stream_id, epoch) GROUP BY ALL), h AS (SELECT DISTINCT query_id, hour FROM stream)
+    SELECT h.query_id, CAST(epoch(h.hour) AS BIGINT) AS hour_epoch, f.nugget_id FROM h JOIN f ON f.query_id = h.query_id AND f.hour <= h.hour""")
 def wn14(t):
-    first = t.matches.groupBy("query_id", "nugget_id").agg(F.min("epoch").alias("e")).select("query_id", "nugget_id", (F.floor(F.col("e") / 3600) * 3600).alias("hour_epoch"))
-    per = first.groupBy("query_id", "hour_epoch").agg(F.array_sort(F.collect_list("nugget_id")).alias("new"))
-    w = Window.partitionBy("query_id").orderBy("hour_epoch").rowsBetween(*CUMULATIVE)
-    every = per.withColumn("all", F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hour_epoch", "new")).over(w)), lambda x: x["new"])))
-    return every.select("query_id", "hour_epoch", whole(F.size("all")).alias("n"), F.array_join("all", " ").alias("summary"))
+    """At each hour of a topic all nuggets found by then, a row each: no list grows. Nuggets and hours of a topic are few."""
+    first = t.matches.groupBy("query_id", "nugget_id").agg(F.min("epoch").alias("e")).select("query_id", "nugget_id", (F.floor(F.col("e") / 3600) * 3600).alias("first"))
+    hours = t.stream.select("query_id", F.unix_seconds("hour").alias("hour_epoch")).distinct()
+    return hours.join(first, "query_id").where("first <= hour_epoch").select("query_id", "hour_epoch", "nugget_id")
 
 
-@query("so1_sorted_sentences", "SELECT stream_id, sent_id, row_number() OVER (ORDER BY stream_id, sent_id) AS place FROM matches QUALIFY place <= 1000000")
+@query("so1_sorted_sentences", "SELECT stream_id, sent_id, update_id, nugget_id, row_number() OVER (ORDER BY stream_id, sent_id, nugget_id) AS place FROM matches")
 def so1(t):
-    """A total order over matches; the rank is made from a range-partitioned sort's prefix counts."""
-    rows = t.matches.select("stream_id", "sent_id").orderBy("stream_id", "sent_id").withColumn("part", F.spark_partition_id())
-    own = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("stream_id", "sent_id")))
-    base = rows.groupBy("part").count().withColumn("base", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return own.join(base, "part").select("stream_id", "sent_id", (F.col("nth") + F.coalesce("base", F.lit(0))).alias("place"))
+    """A total order over matches: numbered within the ids' first letters, then over those."""
+    return numbered(t.matches.select("stream_id", "sent_id", "update_id", "nugget_id"), [], F.substring("stream_id", 1, 7), ["stream_id", "sent_id", "nugget_id"], "place")
 
 
 @query("so2_top_n_per_interval", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY value DESC, event_id) <= 3")
@@ -208,15 +209,16 @@ def so6(t):
 @query("so7_reservoir", "SELECT query_id, doc_id FROM stream QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5('r' || doc_id)) <= 10")
 def so7(t):
     """A uniform sample of ten a topic: the least ten hashes."""
-    w = Window.partitionBy("query_id").orderBy(F.md5(F.concat(F.lit("r"), F.col("doc_id").cast("string"))))
-    return t.stream.withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("query_id", "doc_id")
+    rows = t.stream.select("query_id", "doc_id", F.md5(F.concat(F.lit("r"), F.col("doc_id").cast("string"))).alias("h"))
+    return top_per_group(rows, ["query_id"], ["h"], 10).select("query_id", "doc_id")
 
 
 @query("so8_balanced_sample", "SELECT doc_id, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY toxic ORDER BY md5('b' || doc_id)) <= (SELECT count(*) FROM labels WHERE toxic = 1)")
 def so8(t):
+    """As many of each class as there are positives, by hash order; a class is numbered over its hashes' first digits."""
     n = t.labels.agg(F.count_if(F.col("toxic") == 1).alias("most"))  # one row
-    w = Window.partitionBy("toxic").orderBy(F.md5(F.concat(F.lit("b"), F.col("doc_id").cast("string"))))
-    return t.labels.withColumn("rn", F.row_number().over(w)).crossJoin(n).where("rn <= most").select("doc_id", "toxic")
+    rows = hash_numbered(t.labels.select("doc_id", "toxic"), ["toxic"], F.md5(F.concat(F.lit("b"), F.col("doc_id").cast("string"))))
+    return rows.crossJoin(n).where("nth <= most").select("doc_id", "toxic")
 
 
 @query("so9_topic_split", "SELECT query_id, CASE WHEN row_number() OVER (ORDER BY md5('s' || query_id)) <= 3 THEN 'dev' ELSE 'eval' END AS part FROM (SELECT DISTINCT query_id FROM stream)")

@@ -23,6 +23,25 @@ def read_system_updates(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"update_id": F.concat_ws("-", "document_id", F.col("sentence_id").cast("string")), "document_epoch": F.split_part("document_id", F.lit("-"), F.lit(1)).cast("long")})
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` in the shared folder that the session names; one of this machine only under a local master."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="newstide-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def intact(files: DataFrame, content: str, name: str) -> DataFrame:
+    """The files whose content has the digest that names them."""
+    return files.where(F.md5(F.col(content)) == F.col(name))
+
+
 def write_records(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated, gzip, no quoting."""
     df.write.mode("overwrite").options(sep="\t", quote="", header=header, compression="gzip").csv(path)

@@ -11,8 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark, path: str, static: DataFrame) -> DataFrame:
-    """A file stream with the schema of a table, timed in UTC."""
-    return spark.readStream.schema(static.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    """A file stream with the schema of a table, timed in UTC; ``path`` is a folder, or a table's one file."""
+    reader = spark.readStream.schema(static.schema)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    if static.inputFiles()[0].endswith(f"/{name}"):
+        reader, path = reader.option("pathGlobFilter", name), folder
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bucket_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -38,26 +42,38 @@ def available(rows: DataFrame, facts: DataFrame, by: str, at: str, known: str, v
 
 
 def _novel(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows whose value is new to their key; what was seen is dropped once the watermark is a day past the key's last row."""
+    """The first row of a key and value; that it was seen is forgotten once the watermark is a day past its last row."""
     if state.hasTimedOut:
         state.remove()
         return
-    seen, last = set(state.get[0]) if state.exists else set(), 0
-    for frame in frames:
-        frame = frame.sort_values(["ts", "id"])
-        last = max(last, int(frame["ts"].max().timestamp() * 1000))
-        new = ~frame["value"].isin(seen) & ~frame["value"].duplicated()
-        seen.update(frame["value"])
-        out = frame[new]
-        if len(out):
-            yield pd.DataFrame({"key": key[0], "id": out["id"], "value": out["value"]})
-    state.update((sorted(seen),))
+    rows = pd.concat(list(frames))
+    last = int(rows["ts"].max().timestamp() * 1000)
+    if not state.exists:
+        first = rows.sort_values(["ts", "id"]).head(1)
+        yield pd.DataFrame({"key": [key[0]], "id": first["id"].tolist(), "value": [key[1]]})
+    state.update((last,))
     state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
 
 
 def novel_rows(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(key, id, value): first occurrences of each key's values; ``rows`` has key, id, value, ts and is a stream; the watermark trails by ``late``."""
-    return rows.withWatermark("ts", late).groupBy("key").applyInPandasWithState(_novel, "key string, id long, value long", "seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    """(key, id, value): first occurrences of each key's values; ``rows`` has key, id, value, ts and is a stream; the watermark trails by ``late``.
+
+    State is a time for each key and value, so a key with very many values is
+    spread over tasks, and no state grows with them. Null keys and values are
+    values of their own; rows without a time are left out.
+    """
+    timed = rows.where("ts is not null").withWatermark("ts", late)
+    return timed.groupBy("key", "value").applyInPandasWithState(_novel, "key string, id long, value long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
+    """Run over all that is available, append mode, into files of a shared folder, and read those."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
