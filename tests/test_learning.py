@@ -1,9 +1,11 @@
 """Learned queries predict every row, each from rows of other folds."""
 
+import numpy as np
+
 from newstide.functions import learning as L
 from newstide.plans.base import Tables
 from newstide.plans.catalog import QUERIES
-from newstide.plans.learning import FEATURES, sentence_features
+from newstide.plans.learning import FEATURES, pair_features, sentence_features
 
 
 def test_every_topic_has_a_salience_from_the_others(spark, sf):
@@ -15,7 +17,38 @@ def test_every_topic_has_a_salience_from_the_others(spark, sf):
     assert want and all(abs(got[r.update_id] - r.prediction) < 1e-5 for r in want)
 
 
-def test_every_document_has_a_probability_and_a_soft_match(spark, sf):
-    every = {r.update_id for r in sentence_features(Tables(spark, sf)).select("update_id").collect()}
-    assert {r.update_id for r in QUERIES["ml1_nugget_classifier"](spark, sf).collect()} == every
-    assert {r.update_id for r in QUERIES["ml2_soft_match"](spark, sf).collect()} == every
+def test_each_nugget_has_its_own_model(spark, sf):
+    """Every pair that shares words is scored; nuggets with few positives get their share of them."""
+    rows = pair_features(Tables(spark, sf)).collect()
+    got = {(r.update_id, r.nugget_id): r.p for r in QUERIES["ml1_nugget_classifier"](spark, sf).collect()}
+    assert set(got) == {(r.update_id, r.nugget_id) for r in rows}
+    for nugget in {r.nugget_id for r in rows}:
+        own = [r for r in rows if r.nugget_id == nugget]
+        positive = sum(r.label for r in own)
+        if positive < 11:
+            assert all(abs(got[r.update_id, nugget] - positive / len(own)) < 1e-6 for r in own)
+    soft = QUERIES["ml2_soft_match"](spark, sf).collect()
+    assert {(r.update_id, n): p for r in soft for n, p in r.probs.items()} == got and all(r.conf == max(r.probs.values()) for r in soft)
+
+
+def test_stumps_learn_and_score_alike_in_columns(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((200, 2))
+    y = ((x[:, 0] > 0.6) | (x[:, 1] < 0.2)).astype(float)
+    base, stumps = L.fit_stumps(x, y)
+    plain = lambda v: base + sum(a if v[j] <= cut else b for j, cut, a, b in stumps)
+    assert np.mean([(plain(v) > 0) == t for v, t in zip(x, y, strict=True)]) > 0.95
+    train = spark.createDataFrame([("k", float(a), float(b), float(t)) for (a, b), t in zip(x, y, strict=True)], "k string, a double, b double, y double")
+    models = L.boosted_stumps(train, "k", ["a", "b"], "y")
+    got = train.join(models, "k").select("a", "b", L.stump_sum("stumps", "base", ["a", "b"]).alias("s")).collect()
+    assert all(abs(r.s - plain((r.a, r.b))) < 1e-9 for r in got)
+
+
+def test_gaussian_process_by_hand():
+    x, y, z = np.array([[0.0, 1.0], [2.0, 1.0], [4.0, 3.0]]), np.array([1.0, 2.0, 4.0]), np.array([[1.0, 2.0]])
+    scale = [s * 2**0.5 for s in x.std(0)]
+    k = lambda a, b: float(np.exp(-sum(((p - q) / s) ** 2 for p, q, s in zip(a, b, scale, strict=True)) / 2))
+    gram = np.array([[k(a, b) + (0.1 if a is b else 0.0) for b in x] for a in list(x)])
+    gram = np.array([[k(x[i], x[j]) + 0.1 * (i == j) for j in range(3)] for i in range(3)])
+    want = np.array([k(z[0], b) for b in x]) @ np.linalg.inv(gram) @ (y - y.mean()) + y.mean()
+    assert abs(L.gp_predict(x, y, z)[0] - want) < 1e-9

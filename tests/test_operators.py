@@ -109,12 +109,21 @@ def test_latency_discount_and_f1(spark):
 
 def test_validation_names_the_first_broken_rule(spark):
     doc = "100-" + "a" * 32
-    rows = [(1, "t", "run", doc, 0, 150, 1.0), (9, "t", "run", doc, 0, 150, 1.0), (1, "t", "bad run", doc, 0, 150, 1.0), (1, "t", "run", "100-xyz", 0, 150, 1.0), (1, "t", "run", doc, -1, 150, 1.0), (1, "t", "run", doc, 0, 99, 1.0), (1, "t", "run", doc, 0, 150, 0.0)]
-    sub = spark.createDataFrame(rows, "qid long, team string, run string, stream_id string, sent_id long, ts long, conf double")
+    good = f"1 t run {doc} 0 150 1.0"
+    lines = {
+        good: None, f"1 t run {doc} 0 150": "not seven fields", f"1 t run {doc} 0 150 1.0 x": "not seven fields", f"9 t run {doc} 0 150 1.0": "unknown topic", f"1 t run_! {doc} 0 150 1.0": "bad run id",
+        f"1 t runs {doc} 0 150 1.0": "another run id", "1 t run 100-xyz 0 150 1.0": "bad document id", f"1 t run {doc} -1 150 1.0": "bad sentence id", f"1 t run {doc} x 150 1.0": "bad sentence id",
+        f"1 t run {doc} 0 99 1.0": "outside the topic", f"1 t run {doc} 0 150 0.0": "bad confidence", f"1 t run {doc} 1 200 1.0": None,
+    }
     topics = spark.createDataFrame([(1, 100, 200)], "query_num long, start long, end long")
-    got = [r.error for r in scans.validated(sub, topics).collect()]
-    assert sorted(x or "" for x in got) == ["", "bad confidence", "bad document id", "bad run id", "bad sentence id", "outside the topic", "unknown topic"]
-    assert {r.error for r in scans.validated(sub.limit(1), topics, 0).collect()} == {"too many rows"}
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.error for r in scans.validated(rows, topics).collect()} == lines
+    assert {r.error for r in scans.validated(rows.where(F.col("line") == good), topics, 0).collect()} == {"too many rows"}
+
+
+def test_broken_files_go(spark):
+    files = spark.createDataFrame([("a", "0cc175b9c0f1b6a831c399e269772661"), ("a", "b"), (None, "c"), ("b", None)], "text string, name string")
+    assert [r.text for r in readers.intact(files, "text", "name").collect()] == ["a"]
 
 
 def test_records_round_trip(spark, tmp_path):
