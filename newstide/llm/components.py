@@ -1,43 +1,14 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components, with the session's checkpoint folder made ready."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .cluster import materialise
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    """Each node's smaller neighbours, and the node itself, move to the smallest of them."""
-    e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to the smallest node of its neighbourhood."""
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+from ..operators import components as stars
+from .cluster import checkpoint_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
-
-    Nodes without an edge to another node are absent. Every round is written to
-    the shared checkpoint folder; rounds grow with the logarithm of the longest
-    path. No edge list reaches the driver: rounds end when a hash sum of the
-    edges stays the same.
-    """
-    now = materialise(_small_star(edges))
-    seen = None
-    while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        now = materialise(_small_star(_large_star(now)))
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    """(node, component) of edges (a, b), as ``operators.components`` gives them."""
+    checkpoint_dir(edges.sparkSession)
+    return stars.components(edges)

@@ -27,7 +27,8 @@ REPLY = "g int, p int, reply binary, stats array<long>"
 def grouped(docs: DataFrame, groups: int, carry: dict[str, str] | None = None) -> DataFrame:
     """(g, doc_id, text) dealt to ``groups`` groups of rising doc_id: a smaller group has only smaller ids.
 
-    Bounds are quantiles of doc_id. Rows without doc_id go to the last group.
+    Bounds are quantiles of doc_id. Rows without doc_id come after all others,
+    in groups of their own by a hash of their texts.
     ``carry`` names further columns of ``docs`` to take along, and what to call them.
     """
     from pyspark.ml.feature import Bucketizer
@@ -40,7 +41,9 @@ def grouped(docs: DataFrame, groups: int, carry: dict[str, str] | None = None) -
         ids = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(ids)
     else:
         ids = ids.withColumn("bucket", F.lit(0.0))
-    return ids.select(F.col("bucket").cast("int").alias("g"), "doc_id", "text", *(carry or {}).values()).repartition(groups, "g")
+    nameless = groups + F.pmod(F.xxhash64("text"), F.lit(groups))
+    g = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("bucket")).cast("int")
+    return ids.select(g.alias("g"), "doc_id", "text", *(carry or {}).values()).repartition(groups, "g")
 
 
 def by_range(keys: np.ndarray, owners: int) -> np.ndarray:

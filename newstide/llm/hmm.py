@@ -5,8 +5,8 @@ classes of their own) and each class emits its words by their counts in the
 whole training corpus. The words of a class that training has not seen are one
 type, to which the Good-Turing share of once-seen tokens goes. The state tables
 have a fixed size and are trained by Baum-Welch, whose expected counts are
-summed across partitions; word counts grow with the corpus and stay distributed
-(see ``exchange``).
+summed across partitions; word counts grow with the corpus and stay distributed:
+words are counted within groups of documents, summed by word, and joined back.
 Texts are scored by the scaled forward recursion over all of their tokens.
 """
 
@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exchange as X
-from .cluster import parquet
+from .cluster import groups_for, materialise, parquet
 from .partials import sum_over
 from .text import LOWER, U64, column_bytes, mix, slices, spans, word_hashes
 
@@ -270,17 +269,17 @@ class _Group:
         self.keys, self.of = np.unique(np.append(words, END_KEY), return_inverse=True)
         self.of, self.end = self.of[:-1], self.of[-1]
 
-    def sent(self, g: int, owners: int) -> pa.Table:
+    def sent(self, g: int) -> pa.Table:
+        """A row for each distinct word: how often training documents of this group have it."""
         learned = np.repeat(~self.held, self.sizes)
         counts = np.bincount(self.of[learned], minlength=len(self.keys))
         counts[self.end] += (~self.held).sum()
-        return pa.Table.from_batches([X.packed(g, X.by_range(self.keys, owners), owners, self.keys.astype("<u8"), counts.astype("<u4"))])
+        return pa.table({"key": pa.array(self.keys.view(np.int64)), "g": pa.array(np.full(len(counts), g, np.int32)), "n": pa.array(counts.astype(np.int64))})
 
-    def scored(self, answers: pa.Table, model: Model, totals: np.ndarray) -> pa.Table:
+    def scored(self, answers: pa.Table, model: Model, totals: np.ndarray, stats: tuple[int, int, int]) -> pa.Table:
         s = self.s
-        count = np.concatenate([np.empty(0, np.int64)] + [np.frombuffer(x[1:], "<u4" if x[:1] == b"4" else "<u8").astype(np.int64) for x in X.replies(answers) if x])
-        stats = np.array(answers.column("stats").to_pylist(), np.int64).sum(0)
-        n_train, vocabulary, once = map(int, stats)
+        count = answers.column("total").to_numpy()[np.argsort(answers.column("key").to_numpy().view(U64))]
+        n_train, vocabulary, once = stats
         unseen = min(0.5, max(1e-9, once / max(n_train, 1)))
         c = count[self.of]
         floor = math.log10(n_train + vocabulary + 1)
@@ -312,28 +311,23 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     learned = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) != 2)
     model, totals = train(learned, s)
-    n = X.width(docs)
-    deal = X.grouped(docs, n)
+    n = groups_for(docs)
+    deal = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n, "g")
 
     def send(table):
-        return _Group(table, s).sent(table.column("g")[0].as_py(), n)
-
-    def answer(table):
-        groups, keys, bounds = X.received(table, "<u8")
-        counts = np.concatenate([np.empty(0, np.int64)] + [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("extra").to_pylist()])
-        distinct, of = np.unique(keys, return_inverse=True)
-        total = np.bincount(of, counts, len(distinct)).astype(np.int64)
-        stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]
-        kind, mark = ("<u4", b"4") if total.max(initial=0) < 1 << 32 else ("<u8", b"8")
-        blobs = {g: mark + total[of[a:b]].astype(kind).tobytes() for g, a, b in zip(groups, bounds, bounds[1:], strict=False)}
-        # every group learns the totals, also of owners that it asked nothing
-        return X.reply_table(list(range(n)), table.column("p")[0].as_py(), [blobs.get(g, b"") for g in range(n)], [stats] * n)
+        return _Group(table, s).sent(table.column("g")[0].as_py())
+
+    # a row for each word of a group, summed by word: a word that all texts have costs a row a group
+    sent = materialise(deal.groupBy("g").applyInArrow(send, "key long, g int, n long"))
+    words = materialise(sent.groupBy("key").agg(F.sum("n").alias("total")))
+    counted = words.agg(F.sum("total"), F.count_if(F.col("total") > 0), F.count_if(F.col("total") == 1)).first()
+    stats = tuple(int(x or 0) for x in counted)
 
     def finish(table, answers):
-        return _Group(table, s).scored(answers, model, totals) if table.num_rows else _EMPTY
+        return _Group(table, s).scored(answers, model, totals, stats) if table.num_rows else _EMPTY
 
-    replies = X.ask(deal.groupBy("g").applyInArrow(send, X.SENT), n, answer)
-    return deal.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(finish, RESULT)
+    answers = sent.select("key", "g").join(words, "key").select("g", "key", "total")
+    return deal.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, RESULT)
 
 
 _EMPTY = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
