@@ -75,65 +75,99 @@ def estimate(bits: np.ndarray, factors: np.ndarray, units: np.ndarray) -> tuple[
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, node) of every row, node null where a vector links with nothing; (node, least, copies, raw) of the distinct vectors."""
+    """(vec_id, node) of every row, node null where a vector links with nothing; (node, least, copies, raw) of the distinct vectors.
+
+    Vectors are equal if two hashes of 64 bits each are; raw holds their
+    components as they came, in single or double precision.
+    """
+    kind = np.dtype("<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8")
 
     def run(batches):
         for batch in batches:
             raw = []
             for x in batch.column("embedding").to_pylist():
                 good = x and None not in x
-                v = np.array(x, "<f8") if good else np.zeros(1)
+                v = np.array(x, kind) if good else np.zeros(1)
                 # negative zero equals zero
-                raw.append((v + 0.0).tobytes() if good and np.isfinite(v).all() and v.any() else None)
+                raw.append(kind.char.encode() + (v + kind.type(0)).tobytes() if good and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, raw binary")
-    rows = rows.withColumn("node", F.when(F.col("raw").isNotNull(), F.xxhash64("raw")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("raw").alias("raw"))
-    return materialise(rows.select("vec_id", "node")), materialise(nodes)
+    shape = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if kind.itemsize == 4 else 'double'}>").alias("embedding"))
+    rows = shape.mapInArrow(run, "vec_id long, raw binary").withColumns({"one": F.when(F.col("raw").isNotNull(), F.xxhash64("raw")), "two": F.xxhash64(F.lit(1), "raw")})
+    nodes = rows.where("one is not null").groupBy("one", "two").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("raw").alias("raw"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    named = rows.select("vec_id", "one", "two").join(nodes.select("one", "two", "node"), ["one", "two"], "left").select("vec_id", "node")
+    return materialise(named), nodes.drop("one", "two")
+
+
+def _units(raws: list[bytes]) -> np.ndarray:
+    """Unit rows, in double precision, of raw vectors of one length."""
+    return _unit(np.stack([np.frombuffer(x, f"<{x[:1].decode()}", offset=1) for x in raws]).astype(float))
+
+
+def _size(raw: bytes) -> int:
+    return (len(raw) - 1) // (4 if raw[:1] == b"f" else 8)
 
 
 def _bucketed(nodes: DataFrame, bits: int, bands: int, keys_only: bool) -> DataFrame:
-    """A row for each band of each vector: the band with its bits, and the vector."""
+    """A row for each band of each vector: the band with its bits, and the signs under the first rotation."""
 
     def run(batches):
         for batch in batches:
             raws = batch.column("raw").to_pylist()
             by: dict[int, list[int]] = {}
             for k, x in enumerate(raws):
-                by.setdefault(len(x) // 8, []).append(k)
+                by.setdefault(_size(x), []).append(k)
             for dim, members in by.items():
-                units = _unit(np.frombuffer(b"".join(raws[k] for k in members), "<f8").reshape(-1, dim))
-                count = -(-bits * bands // dim)
-                code, factor = codes_of(units, count)
-                weight = 1 << np.arange(bits, dtype=np.int64)
-                band = code[:, : bits * bands].reshape(-1, bands, bits) @ weight
-                key = ((np.int64(dim) << 44) | (np.arange(bands, dtype=np.int64) << 30))[None, :] | band
+                units = _units([raws[k] for k in members])
+                code, _ = codes_of(units, -(-bits * bands // dim))
+                key = _keys(code, dim, bits, bands)
                 if keys_only:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel())})
                     continue
                 of = np.repeat(np.array(members), bands)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel()), batch.column("node").take(pa.array(of)), batch.column("copies").take(pa.array(of)), batch.column("raw").take(pa.array(of)),
-                     pa.array([x.tobytes() for x in np.packbits(code, axis=1)], pa.binary()).take(pa.array(np.repeat(np.arange(len(members)), bands))), pa.array([x.tobytes() for x in factor], pa.binary()).take(pa.array(np.repeat(np.arange(len(members)), bands)))],
-                    names=["key", "node", "copies", "raw", "code", "factor"],
-                )
+                signs = pa.array([x.tobytes() for x in np.packbits(code[:, :dim], axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(of)), signs.take(pa.array(np.repeat(np.arange(len(members)), bands)))], names=["key", "node", "signs"])
+
+    return nodes.select("node", "raw").mapInArrow(run, "key long" if keys_only else "key long, node long, signs binary")
+
+
+def _keys(code: np.ndarray, dim: int, bits: int, bands: int) -> np.ndarray:
+    """Rows x bands: length of the vectors, band and the band's bits in one number."""
+    band = code[:, : bits * bands].reshape(-1, bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return ((np.int64(dim) << 44) | (np.arange(bands, dtype=np.int64) << 30))[None, :] | band
 
-    return nodes.select("node", "copies", "raw").mapInArrow(run, "key long" if keys_only else "key long, node long, copies long, raw binary, code binary, factor binary")
 
+def _sides(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    i, j, salt = rows["i"][0], rows["j"][0], np.array(rows["salt"])
+    return (np.flatnonzero(salt == i), np.flatnonzero(salt == j)) if i != j else (np.arange(len(salt)),) * 2
 
-def _links(rows: dict[str, list], i: int, j: int, bits: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+
+def _likely(rows: dict[str, list], s: Settings) -> np.ndarray:
+    """Places in a tile whose signs differ from another's in no more bits than vectors at the threshold do, by ``sure`` deviations."""
+    dim = (rows["key"][0] >> 44)
+    signs = np.unpackbits(np.frombuffer(b"".join(rows["signs"]), np.uint8).reshape(len(rows["key"]), -1), axis=1, count=dim).astype(np.float32)
+    off = math.acos(s.threshold) / math.pi
+    most = dim * off + s.sure * math.sqrt(dim * off * (1 - off))
+    left, right = _sides(rows)
+    a, b = signs[left], signs[right]
+    apart = a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+    near = apart <= most
+    if rows["i"][0] == rows["j"][0]:
+        np.fill_diagonal(near, False)
+    return np.union1d(left[near.any(1)], right[near.any(0)])
+
+
+def _links(rows: dict[str, list], bits: int, bands: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of a tile that share no earlier band; positions of both."""
-    dim = len(rows["raw"][0]) // 8
-    units = _unit(np.frombuffer(b"".join(rows["raw"]), "<f8").reshape(-1, dim))
-    factor = np.frombuffer(b"".join(rows["factor"]), "<f8").reshape(len(units), -1)
-    code = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(units), -1), axis=1, count=factor.shape[1] * dim)
-    salt = np.array(rows["salt"])
-    left, right = (np.flatnonzero(salt == i), np.flatnonzero(salt == j)) if i != j else (np.arange(len(units)),) * 2
+    units = _units(rows["raw"])
+    dim = units.shape[1]
+    code, factor = codes_of(units, -(-bits * bands // dim))
+    left, right = _sides(rows)
     guess, error = estimate(code[left], factor[left], units[right])
     a, b = np.nonzero(guess + s.sure * error[:, None] >= s.threshold)
     a, b = left[a], right[b]
-    if i == j:
+    if rows["i"][0] == rows["j"][0]:
         a, b = a[a < b], b[a < b]
     good = (units[a] * units[b]).sum(1) >= s.threshold
     a, b = a[good], b[good]
@@ -146,46 +180,24 @@ def _links(rows: dict[str, list], i: int, j: int, bits: int, s: Settings) -> tup
     return a, b
 
 
-def links(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(node, other, n): with ``other`` null, n vectors linked with the node in some tile; else an edge of a tile's spanning forest.
-
-    Every linked pair is counted in the first band that it shares, and nowhere else.
-    """
-    bits, bands = banding(nodes.count(), s)
-    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = _bucketed(nodes, bits, bands, True).groupBy("key").count().where(F.col("count") > s.tile).select("key", F.ceil(F.col("count") / s.tile).cast("int").alias("parts"))
-    rows = _bucketed(nodes, bits, bands, False).join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("salt", "t"), "j": F.greatest("salt", "t")})
-    rows = rows.select("key", "i", "j", "salt", "node", "copies", "raw", "code", "factor").repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _by_tile(rows: DataFrame, use, schema: str) -> DataFrame:
+    """``use`` over the rows of each tile (key, i, j), which come one tile after another; it returns tuples."""
+    names = rows.columns
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = schema.replace(" long", "").split(", ")
 
     def run(batches):
-        names = ["key", "i", "j", "salt", "node", "copies", "raw", "code", "factor"]
         held: dict[str, list] = {n: [] for n in names}
         out: list[tuple] = []
 
         def close():
             if len(held["key"]) > 1:
-                a, b = _links(held, held["i"][0], held["j"][0], bits, s)
-                if len(a):
-                    n, copies, node = len(held["key"]), np.array(held["copies"]), np.array(held["node"])
-                    count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-                    name = np.arange(n)
-                    while True:
-                        low = np.minimum(name[a], name[b])
-                        then = name.copy()
-                        np.minimum.at(then, a, low)
-                        np.minimum.at(then, b, low)
-                        if (then == name).all():
-                            break
-                        name = then
-                    out.extend((int(node[k]), None, int(count[k])) for k in np.flatnonzero(count))
-                    out.extend((int(node[k]), int(node[name[k]]), 0) for k in np.flatnonzero(name != np.arange(n)))
+                out.extend(use(held))
             for n in names:
                 held[n] = []
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["node", "other", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(fields))], names=fields)
 
         for batch in batches:
             key = np.stack([batch.column(n).to_numpy() for n in ("key", "i", "j")])
@@ -204,13 +216,53 @@ def links(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
         close()
         yield batch_of()
 
-    return rows.mapInArrow(run, "node long, other long, n long")
+    return rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def links(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(node, other, n): with ``other`` null, n vectors linked with the node in some tile; else an edge of a tile's spanning forest.
+
+    Signs alone choose which vectors of a tile may have a link there; only those
+    are sent with their components, and estimated and computed. Every linked
+    pair is counted in the first band that it shares, and nowhere else.
+    """
+    bits, bands = banding(nodes.count(), s)
+    large = _bucketed(nodes, bits, bands, True).groupBy("key").count().where(F.col("count") > s.tile).select("key", F.ceil(F.col("count") / s.tile).cast("int").alias("parts"))
+    rows = _bucketed(nodes, bits, bands, False).join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("salt", "t"), "j": F.greatest("salt", "t")})
+
+    def chosen(held):
+        return [(held["key"][k], held["i"][k], held["j"][k], held["salt"][k], held["node"][k]) for k in _likely(held, s).tolist()]
+
+    def linked(held):
+        a, b = _links(held, bits, bands, s)
+        if not len(a):
+            return []
+        n, copies, node = len(held["key"]), np.array(held["copies"]), np.array(held["node"])
+        count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+        name = np.arange(n)
+        while True:
+            low = np.minimum(name[a], name[b])
+            then = name.copy()
+            np.minimum.at(then, a, low)
+            np.minimum.at(then, b, low)
+            if (then == name).all():
+                break
+            name = then
+        return [(int(node[k]), None, int(count[k])) for k in np.flatnonzero(count)] + [(int(node[k]), int(node[name[k]]), 0) for k in np.flatnonzero(name != np.arange(n))]
+
+    few = _by_tile(rows.select("key", "i", "j", "salt", "node", "signs"), chosen, "key long, i long, j long, salt long, node long")
+    with_raw = few.join(nodes.select("node", "copies", "raw"), "node").select("key", "i", "j", "salt", "node", "copies", "raw")
+    return _by_tile(with_raw, linked, "node long, other long, n long")
 
 
 def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Only vec_id and embedding are read. Null, empty and zero vectors, and those
+    Candidates share a band with the probability ``recall`` at the threshold;
+    bits and bands grow with the number of vectors so that this share, and the
+    load of a bucket, stay. Only vec_id and embedding are read. Null, empty and zero vectors, and those
     with null or non-finite components, link with nothing; vectors of different
     lengths don't link either. Repeated rows are copies: each counts as a vector
     of its own. Rows without vec_id get a row; a component is named by its
