@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
+    spark._jvm.System.gc()
+
+
+def _written(e: DataFrame) -> DataFrame:
+    out = e.checkpoint()
+    release(e.sparkSession)
+    return out
+
+
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node itself, move to the smallest of them."""
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -29,13 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. No edge list reaches the driver: rounds end
     when a hash sum of the edges stays the same.
     """
-    now = _small_star(edges).checkpoint()
+    now = _written(_small_star(edges))
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = _small_star(_large_star(now)).checkpoint()
+        now = _written(_small_star(_large_star(now)))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
