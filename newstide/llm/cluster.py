@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import release
+
 #: Text bytes that one grouped Python call should hold.
 GROUP_BYTES = 8 << 20
 
@@ -24,9 +26,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Evaluate once into the shared folder and cut the lineage there."""
+    """Evaluate once into the shared folder and cut the lineage there; files of shuffles that nothing needs any more go."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
 def groups_for(df: DataFrame, column: str = "text", target: int = GROUP_BYTES) -> int:

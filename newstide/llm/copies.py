@@ -209,8 +209,8 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     outer = mixed.where("label <> main")
     members = mixed.where("label = main").select(F.col("main").alias("group"), "node", "label").distinct()
     links = first.unionByName(_tiled(outer.select(F.col("main").alias("group"), "node", "label").distinct(), members, nodes, docs))
-    # ... and then against what else the band has left
-    left = outer.select("key", "node").join(components(links), "node", "left").select(F.col("key").alias("group"), "node", F.coalesce("component", "node").alias("label"))
+    # ... and against what else of the band isn't
+    left = outer.select(F.col("key").alias("group"), "node", "label")
     several = left.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("group")
     left = materialise(left.join(several, "group"))
     return links.unionByName(_tiled(left, left, nodes, docs))
