@@ -301,19 +301,23 @@ def spoilt_lines(t):
     return s.select(F.when(F.col("sent_id") % 19 == 4, short).when(F.col("sent_id") % 17 == 6, bad).otherwise(good).alias("line"))
 
 
-@query("flt16_submission_validation", f"""WITH r AS (SELECT line, string_split(line, ' ') AS p FROM {LINES}),
+VALIDATION = f"""WITH r AS (SELECT line, string_split(line, ' ') AS p FROM {LINES}),
     v AS (SELECT line, len(p) AS fields, TRY_CAST(p[1] AS BIGINT) AS qid, p[3] AS run, p[4] AS sid, TRY_CAST(p[5] AS BIGINT) AS sent_id, TRY_CAST(p[6] AS BIGINT) AS ts, TRY_CAST(p[7] AS DOUBLE) AS conf FROM r),
     j AS (SELECT v.*, t.start, t."end", count(*) OVER (PARTITION BY v.qid) AS n, (SELECT arg_min(run, line) FROM v) AS only_run FROM v LEFT JOIN {TOPICS} t ON t.query_num = v.qid AND t.query_num < 18)
     SELECT line, CASE WHEN fields <> 7 THEN 'not seven fields' WHEN start IS NULL THEN 'unknown topic' WHEN NOT regexp_matches(run, '^[A-Za-z0-9]{{1,15}}$') THEN 'bad run id' WHEN run <> only_run THEN 'another run id'
-    WHEN NOT regexp_matches(sid, '^[0-9]+-[0-9a-f]{{32}}$') THEN 'bad document id' WHEN sent_id IS NULL OR sent_id < 0 THEN 'bad sentence id' WHEN ts < start OR ts > "end" THEN 'outside the topic' WHEN NOT conf > 0 THEN 'bad confidence' WHEN n > 1000 THEN 'too many rows' END AS error FROM j""")
+    WHEN NOT regexp_matches(sid, '^[0-9]+-[0-9a-f]{{32}}$') THEN 'bad document id' WHEN sent_id IS NULL OR sent_id < 0 THEN 'bad sentence id' WHEN ts < start OR ts > "end" THEN 'outside the topic' WHEN NOT conf > 0 THEN 'bad confidence' WHEN n > 1000 THEN 'too many rows' END AS error FROM j"""
+
+
+@query("flt16_submission_validation", VALIDATION)
 def flt16(t):
     return validated(spoilt_lines(t), topics(t).where("query_num < 18"))
 
 
-@query("flt16_missing_topics", f"SELECT query_num FROM {TOPICS} WHERE query_num NOT IN (SELECT CAST(regexp_replace(query_id, '[^0-9]', '', 'g') AS BIGINT) FROM matches WHERE important > 1)")
+@query("flt16_missing_topics", f"SELECT query_num FROM {TOPICS} WHERE query_num NOT IN (SELECT CAST(string_split(line, ' ')[1] AS BIGINT) FROM ({VALIDATION}) WHERE error IS NULL)")
 def flt16_missing(t):
-    sub = t.matches.where("important > 1").select(F.regexp_replace("query_id", "[^0-9]", "").cast("long").alias("query_num"))
-    return topics(t).join(sub, "query_num", "left_anti").select("query_num")
+    """Topics without a valid line."""
+    good = validated(spoilt_lines(t), topics(t).where("query_num < 18")).where("error is null").select(F.split("line", " ")[0].cast("long").alias("query_num"))
+    return topics(t).join(good, "query_num", "left_anti").select("query_num")
 
 
 def article_ranges(hits, gap: int = 5):
