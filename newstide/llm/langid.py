@@ -151,11 +151,13 @@ class Network:
 
     def _chunk_sums(self, codes: np.ndarray, live: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
         """Sum over each lane's live positions of their probabilities (languages x lanes), and the states that both directions end with."""
-        f, _ = self.ahead.run(codes, state=ahead, live=live)
-        b, _ = self.behind.run(codes[::-1], state=behind, live=live[::-1])
+        full = bool(live.all())  # as most chunks are: nothing to mask
+        f, _ = self.ahead.run(codes, state=ahead, live=None if full else live)
+        b, _ = self.behind.run(codes[::-1], state=behind, live=None if full else live[::-1])
         h, out = self.s.hidden, np.zeros((len(self.languages), codes.shape[1]), np.float32)
         for t in range(len(codes)):
-            out += self._soften(self.out[:, :h] @ f[t] + self.out[:, h:] @ b[len(codes) - 1 - t] + self.bias) * live[t]
+            p = self._soften(self.out[:, :h] @ f[t] + self.out[:, h:] @ b[len(codes) - 1 - t] + self.bias)
+            out += p if full else p * live[t]
         return out, f[-1], b[-1]
 
     def pooled(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
