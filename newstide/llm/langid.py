@@ -22,6 +22,8 @@ from .text import column_bytes, slices
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
+#: Steps whose probabilities are computed at once.
+TOGETHER = 16
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,8 @@ class Settings:
     batch: int = 256
     rate: float = 0.01
     #: Bytes of a chunk in prediction, and of the warm-up that first guesses the state its neighbour ends with.
-    chunk: int = 512
-    warm: int = 256
+    chunk: int = 1024
+    warm: int = 384
     #: Largest difference of a state below which it counts as settled.
     settled: float = 1e-4
     #: Chunks predicted at once.
@@ -58,26 +60,53 @@ class Cell:
     def params(self) -> list[np.ndarray]:
         return [self.table, self.rec]
 
-    def run(self, codes: np.ndarray, keep: bool = False, state: np.ndarray | None = None, live: np.ndarray | None = None):
-        """States after each step for codes (steps x lanes), from ``state`` (else zero); with ``keep`` what backpropagation needs.
-
-        Where ``live`` (steps x lanes) is false a lane's state stays.
-        """
+    def run(self, codes: np.ndarray):
+        """States after each step for codes (steps x lanes), from zero, and what backpropagation needs."""
         h, lanes = self.h, codes.shape[1]
-        state, states, kept = np.zeros((h, lanes), np.float32) if state is None else state, [], []
-        for t, row in enumerate(codes):
+        state, states, kept = np.zeros((h, lanes), np.float32), [], []
+        for row in codes:
             x = self.table[:, row]
             gates = _sigmoid(x[: 2 * h] + self.rec[: 2 * h] @ state)
             z, r = gates[:h], gates[h:]
             gated = r * state
             n = np.tanh(x[2 * h :] + self.rec[2 * h :] @ gated)
-            if keep:
-                kept.append((state, x, z, r, gated, n))
-            then = n + z * (state - n)
-            state = then if live is None else np.where(live[t], then, state)
+            kept.append((state, x, z, r, gated, n))
+            state = n + z * (state - n)
             states.append(state)
         return states, kept
 
+    def states(self, codes: np.ndarray, state: np.ndarray | None = None, live: np.ndarray | None = None, every: bool = True) -> np.ndarray:
+        """As ``run``, from ``state`` (else zero) and in place: steps x features x lanes, or the last state only.
+
+        Where ``live`` (steps x lanes) is false a lane's state stays.
+        """
+        h, (steps, lanes) = self.h, codes.shape
+        half = np.where(np.arange(3 * h) < 2 * h, np.float32(0.5), np.float32(1))[:, None]  # of the sigmoids' tanh
+        table, rec = half * self.table, half * self.rec
+        state = np.zeros((h, lanes), np.float32) if state is None else state
+        out = np.empty((steps if every else 2, h, lanes), np.float32)
+        x, gates, n = (np.empty((k * h, lanes), np.float32) for k in (3, 2, 1))
+        for t in range(steps):
+            np.take(table, codes[t], 1, x, "clip")
+            np.matmul(rec[: 2 * h], state, gates)
+            gates += x[: 2 * h]
+            np.tanh(gates, gates)
+            gates *= 0.5
+            gates += 0.5
+            z, gated = gates[:h], gates[h:]
+            gated *= state
+            np.matmul(rec[2 * h :], gated, n)
+            n += x[2 * h :]
+            np.tanh(n, n)
+            then = out[t if every else t % 2]
+            np.subtract(state, n, then)
+            then *= z
+            then += n
+            if live is not None:
+                np.copyto(then, state, where=~live[t])
+            state = then
+        return out if every else state
+
     def back(self, codes: np.ndarray, kept, grads: np.ndarray) -> list[np.ndarray]:
         """Gradients of the table and the recurrence from those of the states (steps x features x lanes)."""
         h = self.h
@@ -116,8 +145,8 @@ class Network:
 
     def gradients(self, codes: np.ndarray, label: np.ndarray, live: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy over all live positions (steps x lanes) and its gradients."""
-        f, kept_f = self.ahead.run(codes, True)
-        b, kept_b = self.behind.run(codes[::-1], True)
+        f, kept_f = self.ahead.run(codes)
+        b, kept_b = self.behind.run(codes[::-1])
         h, total, loss = self.s.hidden, max(1, int(live.sum())), 0.0
         d_f, d_b = [None] * len(codes), [None] * len(codes)
         d_out, d_bias = np.zeros_like(self.out), np.zeros_like(self.bias)
@@ -152,13 +181,20 @@ class Network:
     def _chunk_sums(self, codes: np.ndarray, live: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
         """Sum over each lane's live positions of their probabilities (languages x lanes), and the states that both directions end with."""
         full = bool(live.all())  # as most chunks are: nothing to mask
-        f, _ = self.ahead.run(codes, state=ahead, live=None if full else live)
-        b, _ = self.behind.run(codes[::-1], state=behind, live=None if full else live[::-1])
-        h, out = self.s.hidden, np.zeros((len(self.languages), codes.shape[1]), np.float32)
-        for t in range(len(codes)):
-            p = self._soften(self.out[:, :h] @ f[t] + self.out[:, h:] @ b[len(codes) - 1 - t] + self.bias)
-            out += p if full else p * live[t]
-        return out, f[-1], b[-1]
+        f = self.ahead.states(codes, ahead, None if full else live)
+        b = self.behind.states(codes[::-1], behind, None if full else live[::-1])
+        h, out, back = self.s.hidden, np.zeros((len(self.languages), codes.shape[1]), np.float32), b[::-1]
+        for i in range(0, len(codes), TOGETHER):
+            p = np.matmul(self.out[:, :h], f[i : i + TOGETHER])
+            p += np.matmul(self.out[:, h:], back[i : i + TOGETHER])
+            p += self.bias
+            p -= p.max(1, keepdims=True)
+            np.exp(p, p)
+            p /= p.sum(1, keepdims=True)
+            if not full:
+                p *= live[i : i + TOGETHER, None]
+            out += p.sum(0)
+        return out, f[-1].copy(), b[-1].copy()
 
     def pooled(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Mean probabilities (rows x languages) over all bytes of each row, both directions carried through the whole row."""
@@ -176,10 +212,10 @@ class Network:
         # first guesses: what a few bytes before a chunk, or after it, lead to
         for i in range(0, len(later), s.lanes):
             lane = later[i : i + s.lanes]
-            into[0][:, lane] = self.ahead.run(padded[begin[lane] - warm + np.arange(warm)[:, None]])[0][-1]
+            into[0][:, lane] = self.ahead.states(padded[begin[lane] - warm + np.arange(warm)[:, None]], every=False)
             steps = np.arange(warm)[:, None]
             live = steps < length[lane]
-            into[1][:, lane - 1] = self.behind.run(padded[begin[lane] + steps][::-1], live=live[::-1])[0][-1]
+            into[1][:, lane - 1] = self.behind.states(padded[begin[lane] + steps][::-1], live=live[::-1], every=False)
         todo, ends = np.arange(len(row)), [np.zeros((s.hidden, len(row)), np.float32) for _ in range(2)]
         while len(todo):
             by_size = todo[np.argsort(-length[todo], kind="stable")]
