@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +14,32 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _written(e: DataFrame) -> DataFrame:
-    out = e.checkpoint()
-    release(e.sparkSession)
-    return out
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's checkpoint folder: evaluated once, its lineage cut, later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dropped(df: DataFrame) -> None:
+    """Delete the table that ``written`` gave; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(df.inputFiles()[0]))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node itself, move to the smallest of them."""
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    return e.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest node of its neighbourhood."""
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("edge")).select("edge.a", "edge.b")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -40,13 +52,14 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. No edge list reaches the driver: rounds end
     when a hash sum of the edges stays the same.
     """
-    now = _written(_small_star(edges))
+    now = written(_small_star(edges))
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = _written(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)))
+        _dropped(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
