@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import release
+from ..operators.components import written
 
 #: Text bytes that one grouped Python call should hold.
 GROUP_BYTES = 8 << 20
@@ -26,11 +26,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Evaluate once into the shared folder and cut the lineage there; files of shuffles that nothing needs any more go."""
+    """Evaluate once into a table in the shared folder and cut the lineage there; files of shuffles that nothing needs any more go."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    return written(df)
 
 
 def groups_for(df: DataFrame, column: str = "text", target: int = GROUP_BYTES) -> int:
