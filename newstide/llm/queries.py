@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, hmm, langid, license, media, mixing, packing, simhash, substring, toxicity
+from . import embeddings, funnel, hmm, langid, license, lloyd, media, mixing, packing, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": media.op1_jpeg_media,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rotated_code_near_dedup": embeddings.op8_rotated_code_near_dedup,
     "op9_temperature_mixing": mixing.op9_temperature_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_funnels": funnel.op11_funnels,
+    "op12_warc": warc.op12_warc,
+    "op13_lloyd_clusters": lloyd.op13_lloyd_clusters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_funnels": funnel.ORACLE, "op12_warc": warc.ORACLE, "op13_lloyd_clusters": lloyd.ORACLE}
