@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE = r"[^.!?\n]+[.!?]?"
+#: Letters and digits of every alphabet.
+WORD = r"[\p{L}\p{N}]+"
 
 #: Rewrites that mend tokenised newswire text, in order (pattern, replacement).
 MENDING = [
@@ -60,7 +62,7 @@ def sentences(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(SENTENCE), F.lit(0))
 
 
-def words(text, pattern: str = "[a-z]+") -> Column:
+def words(text, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(pattern), F.lit(0))
 
 
@@ -93,7 +95,7 @@ def stem(token) -> Column:
 def entity(token) -> Column:
     """A rule's guess at the kind of a cased token (an approximation): number, capitalised name, or O."""
     t = _c(token)
-    return F.when(t.rlike("^[0-9]+$"), "NUMBER").when(t.rlike("^[A-Z]{2,}$"), "ORGANIZATION").when(t.rlike("^[A-Z][a-z]+$"), "PERSON").otherwise("O")
+    return F.when(t.rlike("^[0-9]+$"), "NUMBER").when(t.rlike(r"^\p{Lu}{2,}$"), "ORGANIZATION").when(t.rlike(r"^\p{Lu}\p{Ll}+$"), "PERSON").otherwise("O")
 
 
 def contains_all(text, terms: list[str]) -> Column:

@@ -203,12 +203,12 @@ def ag22(t):
     return t.sentences.groupBy(F.md5("sent_text").alias("text_md5")).agg(F.max_by("update_id", F.struct(salience.alias("s"), "update_id")).alias("best"), F.count("*").alias("n"))
 
 
-ENTITY = "(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents)"
+ENTITY = r"(SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) AS name FROM documents)"
 
 
 @query("ag23_central_entity", f"SELECT doc_id, arg_max(name, (n, name)) AS central, max(n) AS n FROM (SELECT doc_id, name, count(*) AS n FROM {ENTITY} GROUP BY ALL) GROUP BY doc_id")
 def ag23(t):
-    names = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    names = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+"), F.lit(0))).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
     return names.groupBy("doc_id").agg(F.max_by("name", F.struct("n", "name")).alias("central"), F.max("n").alias("n"))
 
 

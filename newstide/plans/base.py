@@ -28,7 +28,7 @@ PARTS = {
         WHERE trim(parts[i]) <> ''""",
     "top20": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rank FROM sentences) WHERE rank <= 20",
     "tokens": """SELECT query_id, doc_id, stream_id, epoch, hour, sent_id, update_id, j - 1 AS pos, words[j] AS token
-        FROM (SELECT *, unnest(range(1, len(words) + 1)) AS j FROM (SELECT *, regexp_extract_all(lower(sent_text), '[a-z]+') AS words FROM sentences))""",
+        FROM (SELECT *, unnest(range(1, len(words) + 1)) AS j FROM (SELECT *, regexp_extract_all(lower(sent_text), '<word>') AS words FROM sentences))""",
     "nuggets": r"""SELECT item_id, 'N' || item_id || '.' || (i - 1) AS nugget_id, item_id % 3 AS important, length(trim(parts[i])) AS length, trim(parts[i]) AS nugget_text
         FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '[^.!?\n]+[.!?]?') AS parts FROM benchmark))
         WHERE trim(parts[i]) <> ''""",
@@ -38,7 +38,7 @@ PARTS = {
 
 
 def sql(body: str) -> str:
-    """A statement with the parts it names, and the parts those name, before it."""
+    """A statement with the parts it names, and the parts those name, before it; ``<word>`` is the pattern of words."""
     need: set[str] = set()
 
     def add(text: str) -> None:
@@ -121,7 +121,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, base: f(Tables(spark, base))
         if oracle:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name] = sql(oracle).replace("<word>", T.WORD)
         return f
 
     return add

@@ -16,12 +16,12 @@ from .base import query, r6, whole
 from .joining import COUNTS, GEO, IDF, PAIRS, SOFT, geo, idf_table, sentence_pairs, sentence_terms, soft_matches
 from .scans import STOPS
 
-W = "regexp_extract_all(lower(sent_text), '[a-z]+')"
+W = "regexp_extract_all(lower(sent_text), '<word>')"
 
 
 @query("tx1_sentences_tokens", r"SELECT update_id, len(regexp_extract_all(lower(sent_text), '[\p{L}\p{N}]+')) AS n FROM sentences")
 def tx1(t):
-    return t.sentences.select("update_id", whole(F.size(T.words("sent_text", r"[\p{L}\p{N}]+"))).alias("n"))
+    return t.sentences.select("update_id", whole(F.size(T.words("sent_text"))).alias("n"))
 
 
 def _mending_sql() -> str:
@@ -56,12 +56,12 @@ def tx5(t):
     return t.tokens.select("token").distinct().select("token", T.stem("token").alias("stem"))
 
 
-@query("tx5_approximate_entities", r"SELECT tok, CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^[A-Z]{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^[A-Z][a-z]+$') THEN 'PERSON' ELSE 'O' END AS ne FROM (SELECT DISTINCT unnest(string_split(sent_text, ' ')) AS tok FROM sentences)")
+@query("tx5_approximate_entities", r"SELECT tok, CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^\p{Lu}{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^\p{Lu}\p{Ll}+$') THEN 'PERSON' ELSE 'O' END AS ne FROM (SELECT DISTINCT unnest(string_split(sent_text, ' ')) AS tok FROM sentences)")
 def tx5_entities(t):
     return t.sentences.select(F.explode(F.split("sent_text", " ")).alias("tok")).distinct().select("tok", T.entity("tok").alias("ne"))
 
 
-@query("tx6_entity_masking", r"SELECT update_id, array_to_string(list_transform(string_split(sent_text, ' '), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '__number__' WHEN regexp_matches(x, '^[A-Z]{2,}$') THEN '__organization__' WHEN regexp_matches(x, '^[A-Z][a-z]+$') THEN '__person__' ELSE lower(x) END), ' ') AS masked FROM sentences")
+@query("tx6_entity_masking", r"SELECT update_id, array_to_string(list_transform(string_split(sent_text, ' '), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '__number__' WHEN regexp_matches(x, '^\p{Lu}{2,}$') THEN '__organization__' WHEN regexp_matches(x, '^\p{Lu}\p{Ll}+$') THEN '__person__' ELSE lower(x) END), ' ') AS masked FROM sentences")
 def tx6(t):
     mask = lambda x: F.when(T.entity(x) == "O", F.lower(x)).otherwise(F.concat(F.lit("__"), F.lower(T.entity(x)), F.lit("__")))
     return t.sentences.select("update_id", F.array_join(F.transform(F.split("sent_text", " "), mask), " ").alias("masked"))

@@ -50,7 +50,7 @@ def ev3(t):
 
 
 def _grams(n: int, source: str, key: str, text: str) -> str:
-    w = f"regexp_extract_all(lower({text}), '[a-z]+')"
+    w = f"regexp_extract_all(lower({text}), '<word>')"
     return f"(SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM (SELECT {key}, {w} AS w FROM {source})) GROUP BY ALL)"
 
 
@@ -92,9 +92,9 @@ for _n in (1, 2):
 DRAWS = 10
 
 
-@query("ev4_sampled_rouge", f"""WITH u AS (SELECT conv_id, turn, text, len(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, sum(len(regexp_extract_all(lower(text), '[a-z]+'))) AS room FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+@query("ev4_sampled_rouge", f"""WITH u AS (SELECT conv_id, turn, text, len(regexp_extract_all(lower(text), '<word>')) AS words FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, sum(len(regexp_extract_all(lower(text), '<word>'))) AS room FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
     d AS (SELECT u.*, i, sum(words) OVER (PARTITION BY u.conv_id, i ORDER BY md5(i || '-' || u.conv_id || '-' || turn) ROWS UNBOUNDED PRECEDING) AS upto, room FROM u JOIN m USING (conv_id), (SELECT unnest(range({DRAWS})) AS i)),
-    a AS (SELECT conv_id, i, g, count(*) AS n FROM (SELECT conv_id, i, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS g FROM d WHERE upto <= room) GROUP BY ALL), b AS (SELECT conv_id, g, count(*) AS m FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS g FROM conversations WHERE role = 'assistant') GROUP BY ALL),
+    a AS (SELECT conv_id, i, g, count(*) AS n FROM (SELECT conv_id, i, unnest(regexp_extract_all(lower(text), '<word>')) AS g FROM d WHERE upto <= room) GROUP BY ALL), b AS (SELECT conv_id, g, count(*) AS m FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '<word>')) AS g FROM conversations WHERE role = 'assistant') GROUP BY ALL),
     h AS (SELECT conv_id, i, sum(least(n, m)) AS hit FROM a JOIN b USING (conv_id, g) GROUP BY ALL)
     SELECT conv_id, round(sum(hit) / CAST(max(room) AS DOUBLE) / {DRAWS}, 6) AS recall, count(*) AS draws FROM h JOIN m USING (conv_id) GROUP BY conv_id""")
 def ev4_sampled(t, draws: int = DRAWS):
@@ -113,7 +113,7 @@ def ev4_sampled(t, draws: int = DRAWS):
 
 
 @query("ev5_checkpoints", f"""WITH s AS (SELECT query_id, min(epoch) AS t0, (max(epoch) - min(epoch)) // 3600 AS hours FROM stream GROUP BY query_id), k AS (SELECT query_id, t0, unnest(range(12, hours, 12)) AS hours FROM s),
-    m AS (SELECT f.query_id, f.epoch, f.nugget_id, regexp_extract_all(lower(n.nugget_text), '[a-z]+') AS w FROM {FIRST} f JOIN nuggets n USING (nugget_id) WHERE novel),
+    m AS (SELECT f.query_id, f.epoch, f.nugget_id, regexp_extract_all(lower(n.nugget_text), '<word>') AS w FROM {FIRST} f JOIN nuggets n USING (nugget_id) WHERE novel),
     a AS (SELECT query_id, hours, g, count(*) AS n FROM (SELECT k.query_id, k.hours, unnest(w) AS g FROM k JOIN m ON m.query_id = k.query_id AND m.epoch < k.t0 + k.hours * 3600) GROUP BY ALL),
     b AS (SELECT query_id, g, count(*) AS n FROM (SELECT DISTINCT query_id, nugget_id, g, i FROM (SELECT query_id, nugget_id, unnest(w) AS g, unnest(range(len(w))) AS i FROM m)) GROUP BY ALL)
     SELECT query_id, hours, round(sum(least(a.n, b.n)) / CAST((SELECT sum(n) FROM b c WHERE c.query_id = a.query_id) AS DOUBLE), 6) AS recall FROM a JOIN b USING (query_id, g) GROUP BY query_id, hours""")

@@ -88,7 +88,7 @@ def jn9(t):
 
 
 _CONTENT = "(SELECT * FROM (SELECT update_id, query_id, epoch, token, count(*) AS w FROM tokens WHERE length(token) > 3 GROUP BY ALL))"
-_NUGGET_CONTENT = "(SELECT nugget_id, token, count(*) AS v FROM (SELECT nugget_id, unnest(regexp_extract_all(lower(nugget_text), '[a-z]+')) AS token FROM nuggets) WHERE length(token) > 3 GROUP BY ALL)"
+_NUGGET_CONTENT = "(SELECT nugget_id, token, count(*) AS v FROM (SELECT nugget_id, unnest(regexp_extract_all(lower(nugget_text), '<word>')) AS token FROM nuggets) WHERE length(token) > 3 GROUP BY ALL)"
 SOFT = f"""(SELECT query_id, epoch, update_id, nugget_id, round(dot / sqrt(CAST(a.ss * b.ss AS DOUBLE)), 6) AS sim FROM
     (SELECT query_id, epoch, update_id, nugget_id, sum(w * v) AS dot FROM {_CONTENT} JOIN {_NUGGET_CONTENT} USING (token) GROUP BY ALL)
     JOIN (SELECT update_id, sum(w * w) AS ss FROM {_CONTENT} GROUP BY update_id) a USING (update_id) JOIN (SELECT nugget_id, sum(v * v) AS ss FROM {_NUGGET_CONTENT} GROUP BY nugget_id) b USING (nugget_id)
@@ -165,7 +165,7 @@ def jn12(t):
     return t.embeddings.crossJoin(F.broadcast(lead) if few else lead).select("vec_id", "center", F.round(M.dot("embedding", "c") / F.sqrt(M.dot("embedding", "embedding") * M.dot("c", "c")), 4).alias("cosine"))
 
 
-@query("jn13_nearest_sentence", """WITH q AS (SELECT item_id, token, count(*) AS v FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY ALL),
+@query("jn13_nearest_sentence", """WITH q AS (SELECT item_id, token, count(*) AS v FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '<word>')) AS token FROM benchmark) GROUP BY ALL),
     s AS (SELECT doc_id, sent_id, token, count(*) AS w FROM tokens GROUP BY ALL), n AS (SELECT doc_id, sent_id, sqrt(CAST(sum(w * w) AS DOUBLE)) AS norm FROM s GROUP BY ALL),
     p AS (SELECT item_id, doc_id, sent_id, sum(v * w) AS dot FROM q JOIN s USING (token) GROUP BY ALL), c AS (SELECT p.*, round(dot / norm, 6) AS score FROM p JOIN n USING (doc_id, sent_id)),
     b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) = 1)

@@ -199,7 +199,7 @@ def flt5(t):
     return s.where(T.simple_quality("sent_text", "doclen")).select("update_id")
 
 
-@query("flt6_length_caps", r"SELECT update_id FROM sentences WHERE len(string_split(sent_text, ' ')) < 200 AND len(list_filter(regexp_extract_all(lower(sent_text), '[a-z]+'), lambda x: length(x) < 50)) > 0")
+@query("flt6_length_caps", r"SELECT update_id FROM sentences WHERE len(string_split(sent_text, ' ')) < 200 AND len(list_filter(regexp_extract_all(lower(sent_text), '<word>'), lambda x: length(x) < 50)) > 0")
 def flt6(t):
     short = F.filter(T.words("sent_text"), lambda x: F.length(x) < 50)
     return t.sentences.where((F.size(F.split("sent_text", " ")) < 200) & (F.size(short) > 0)).select("update_id")
@@ -215,7 +215,7 @@ def flt8(t):
     return t.embeddings.where(F.exists("embedding", lambda x: x != 0)).select("vec_id")
 
 
-@query("flt9_lemma_threshold", "SELECT update_id, len(list_distinct(regexp_extract_all(lower(sent_text), '[a-z]+'))) AS lemmas FROM sentences WHERE len(list_distinct(regexp_extract_all(lower(sent_text), '[a-z]+'))) > 5")
+@query("flt9_lemma_threshold", "SELECT update_id, len(list_distinct(regexp_extract_all(lower(sent_text), '<word>'))) AS lemmas FROM sentences WHERE len(list_distinct(regexp_extract_all(lower(sent_text), '<word>'))) > 5")
 def flt9(t):
     return t.sentences.withColumn("lemmas", whole(F.size(F.array_distinct(T.words("sent_text"))))).where("lemmas > 5").select("update_id", "lemmas")
 
@@ -223,9 +223,9 @@ def flt9(t):
 STOPS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query("flt10_content_words", f"SELECT update_id FROM sentences WHERE len(list_filter(regexp_extract_all(lower(sent_text), '[a-z0-9]+'), lambda x: NOT list_contains([{STOPS}], x) AND NOT regexp_matches(x, '^[0-9]+$'))) > 2")
+@query("flt10_content_words", f"SELECT update_id FROM sentences WHERE len(list_filter(regexp_extract_all(lower(sent_text), '<word>'), lambda x: NOT list_contains([{STOPS}], x) AND NOT regexp_matches(x, '^[0-9]+$'))) > 2")
 def flt10(t):
-    content = F.filter(T.without_stopwords(T.words("sent_text", "[a-z0-9]+"), longest=10**6), lambda x: ~x.rlike("^[0-9]+$"))
+    content = F.filter(T.without_stopwords(T.words("sent_text"), longest=10**6), lambda x: ~x.rlike("^[0-9]+$"))
     return t.sentences.where(F.size(content) > 2).select("update_id")
 
 
@@ -332,7 +332,7 @@ RANGES = """(SELECT doc_id, island, min(sent_id) AS first, max(sent_id) AS last,
     (SELECT *, CASE WHEN sent_id - lag(sent_id) OVER (PARTITION BY doc_id ORDER BY sent_id) > 5 THEN 1 ELSE 0 END AS far FROM hits)) GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query("prj1_article_ranges", f"""WITH sized AS (SELECT *, len(regexp_extract_all(lower(sent_text), '[a-z]+')) AS n FROM sentences), hits AS (SELECT doc_id, sent_id FROM sized WHERE n >= 12)
+@query("prj1_article_ranges", f"""WITH sized AS (SELECT *, len(regexp_extract_all(lower(sent_text), '<word>')) AS n FROM sentences), hits AS (SELECT doc_id, sent_id FROM sized WHERE n >= 12)
     SELECT s.update_id, r.first, r.last FROM sized s JOIN {RANGES} r ON s.doc_id = r.doc_id AND s.sent_id BETWEEN r.first AND r.last
     JOIN (SELECT r.doc_id, r.island FROM sized s JOIN {RANGES} r ON s.doc_id = r.doc_id AND s.sent_id BETWEEN r.first AND r.last WHERE s.n <= 45 GROUP BY ALL HAVING bool_or(regexp_matches(s.sent_text, '(?i)the')) AND bool_or(regexp_matches(s.sent_text, '(?i)on'))) ok
     ON ok.doc_id = r.doc_id AND ok.island = r.island WHERE s.n > 3 AND s.n <= 45""")
@@ -347,7 +347,7 @@ def prj1(t):
 
 
 @query("prj2_detector_features", r"""SELECT update_id, sent_id, round((sent_id) / cnt, 6) AS place, w[-1] AS last1, CASE WHEN len(w) >= 2 THEN array_to_string(w[-2:], ' ') END AS last2, CASE WHEN len(w) >= 3 THEN array_to_string(w[-3:], ' ') END AS last3, len(w) AS tokens
-    FROM (SELECT *, regexp_extract_all(lower(sent_text), '[a-z]+') AS w, count(*) OVER (PARTITION BY doc_id) AS cnt FROM sentences) WHERE len(w) > 0""")
+    FROM (SELECT *, regexp_extract_all(lower(sent_text), '<word>') AS w, count(*) OVER (PARTITION BY doc_id) AS cnt FROM sentences) WHERE len(w) > 0""")
 def prj2(t):
     s = t.sentences.withColumns({"w": T.words("sent_text"), "cnt": F.count("*").over(Window.partitionBy("doc_id"))}).where(F.size("w") > 0)
     tail = lambda k: F.when(F.size("w") >= k, F.array_join(F.slice("w", -k, k), " "))

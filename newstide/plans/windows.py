@@ -53,14 +53,14 @@ def wn3(t):
     return stream_probabilities(counts, "token").select("query_id", "doc_id", "token", r6("p").alias("p"))
 
 
-KIND = "CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^[A-Z]{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^[A-Z][a-z]+$') THEN 'PERSON' END"
-NAME_ROWS = f"(SELECT query_id, doc_id, moment, kind || ':' || tok AS name, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM (SELECT query_id, doc_id, epoch AS moment, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS tok FROM stream)) WHERE kind IS NOT NULL GROUP BY ALL)"
+KIND = r"CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^\p{Lu}{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^\p{Lu}\p{Ll}+$') THEN 'PERSON' END"
+NAME_ROWS = f"(SELECT query_id, doc_id, moment, kind || ':' || tok AS name, count(*) AS n FROM (SELECT *, {KIND} AS kind FROM (SELECT query_id, doc_id, epoch AS moment, unnest(regexp_extract_all(text, '<word>')) AS tok FROM stream)) WHERE kind IS NOT NULL GROUP BY ALL)"
 
 
 @query("wn4_stream_entities", f"SELECT query_id, doc_id, name, round(p, 6) AS p FROM {_stream_sql(NAME_ROWS, 'name')}")
 def wn4(t):
     """The same for names and numbers, by kind (by rule: an approximation of entity types, which tells no places apart)."""
-    tok = t.stream.select("query_id", "doc_id", F.col("epoch").alias("moment"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("tok"))
+    tok = t.stream.select("query_id", "doc_id", F.col("epoch").alias("moment"), F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("tok"))
     names = tok.withColumn("kind", T.entity("tok")).where("kind <> 'O'").select("query_id", "doc_id", "moment", F.concat_ws(":", "kind", "tok").alias("name"))
     return stream_probabilities(names.groupBy("query_id", "doc_id", "moment", "name").agg(F.count("*").alias("n")), "name").select("query_id", "doc_id", "name", r6("p").alias("p"))
 
