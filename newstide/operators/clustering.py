@@ -152,22 +152,6 @@ def linkage_clusters(df: DataFrame, keys: list[str], similarity: float) -> DataF
     return by_group(df, keys, ["id"], f, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}, cluster_size long")
 
 
-def greedy_novel(df: DataFrame, keys: list[str], order: list[str], most: float, columns: list[str] = ["id"]) -> DataFrame:
-    """Rows kept because their cosine to every row kept before is below ``most``; the first stays."""
-    kinds = dict(df.dtypes)
-
-    def f(table: pa.Table):
-        x = unit_rows(vectors(table))
-        kept: list[int] = []
-        for k in range(len(x)):
-            if not kept or (x[kept] @ x[k]).max() < most:
-                kept.append(k)
-        part = table.take(pa.array(kept, pa.int64()))
-        return {c: part.column(c).to_pylist() for c in columns}
-
-    return by_group(df, keys, order, f, ", ".join(f"{k} {kinds[k]}" for k in [*keys, *columns]))
-
-
 def carried_buckets(counts: list[int]) -> list[int]:
     """The bucket of each interval where one with at most a row waits for the next; -1 for rows never reached."""
     out, held, bucket = [], [], 0
@@ -195,38 +179,6 @@ def carry_over(df: DataFrame, keys: list[str], interval: str) -> DataFrame:
     return by_group(counts, keys, [interval], f, ", ".join(f"{k} {kinds[k]}" for k in [*keys, interval]) + ", bucket long")
 
 
-def streaming_dedup(df: DataFrame, keys: list[str], order: list[str], least: float = 0.8) -> DataFrame:
-    """Each document joins the most similar earlier representative with cosine ``least`` or more, else it represents itself.
-
-    ``df`` has keys, id, order columns and counts (map of words). A dict of
-    postings keeps only representatives that share a word in reach.
-    """
-    kinds = dict(df.dtypes)
-
-    def f(table: pa.Table):
-        ids, names, postings, norms = table.column("id").to_pylist(), [], {}, []
-        reps: list = []
-        for k, counts in enumerate(table.column("counts").to_pylist()):
-            words = dict(counts or [])
-            norm = sum(v * v for v in words.values()) ** 0.5
-            dots: dict[int, float] = {}
-            for w, v in words.items():
-                for r, u in postings.get(w, ()):
-                    dots[r] = dots.get(r, 0.0) + u * v
-            best = max(dots, key=lambda r: (dots[r] / (norms[r] * norm), -r), default=None)
-            if best is not None and dots[best] / (norms[best] * norm) >= least - 1e-12:
-                names.append(reps[best])
-            else:
-                names.append(ids[k])
-                for w, v in words.items():
-                    postings.setdefault(w, []).append((len(reps), v))
-                reps.append(ids[k])
-                norms.append(norm)
-        return {"id": ids, "representative": names}
-
-    return by_group(df, keys, order, f, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}, representative {kinds['id']}")
-
-
 def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id each node reaches over edges (a, b); labels move by star rounds."""
     from .components import components

@@ -26,7 +26,10 @@ def written(df: DataFrame) -> DataFrame:
 def _dropped(df: DataFrame) -> None:
     """Delete the table that ``written`` gave; nothing may read it any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(df.inputFiles()[0]))
+    files = df.inputFiles()
+    if not files:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -55,7 +55,7 @@ def _grams(n: int, source: str, key: str, text: str) -> str:
 
 
 def rouge(candidate, reference, key: str, n: int):
-    """Clipped n-gram overlap of texts a and b with the same key: recall, precision, F."""
+    """Clipped n-gram overlap of texts with the same key: recall, precision, F of every reference, 0 where nothing is shared."""
 
     def grams(df):
         w = T.words("text")
@@ -65,13 +65,15 @@ def rouge(candidate, reference, key: str, n: int):
     a, b = grams(candidate), grams(reference)
     hit = a.join(b.withColumnRenamed("n", "m"), [key, "g"]).groupBy(key).agg(F.sum(F.least("n", "m")).alias("hit"))
     total = lambda g, c: g.groupBy(key).agg(F.sum("n").alias(c))
-    j = hit.join(total(a, "na"), key).join(total(b, "nb"), key)
-    return j.select(key, r6(F.col("hit") / F.col("nb")).alias("recall"), r6(F.col("hit") / F.col("na")).alias("precision"), r6(2 * F.col("hit") / (F.col("na") + F.col("nb"))).alias("f"))
+    j = reference.select(key).join(hit, key, "left").join(total(a, "na"), key, "left").join(total(b, "nb"), key, "left").na.fill(0, ["hit", "na", "nb"])
+    share = lambda x, of: r6(F.when(of > 0, x / of).otherwise(0.0))
+    return j.select(key, share(F.col("hit"), F.col("nb")).alias("recall"), share(F.col("hit"), F.col("na")).alias("precision"), share(2 * F.col("hit"), F.col("na") + F.col("nb")).alias("f"))
 
 
 def _rouge_sql(n: int, a: str, b: str, key: str) -> str:
     return f"""WITH a AS {_grams(n, a, key, 'text')}, b AS {_grams(n, b, key, 'text')}, h AS (SELECT {key}, sum(least(a.n, b.n)) AS hit FROM a JOIN b USING ({key}, g) GROUP BY {key})
-    SELECT {key}, round(hit / nb, 6) AS recall, round(hit / na, 6) AS precision, round(2 * hit / (na + nb), 6) AS f FROM h JOIN (SELECT {key}, sum(n) AS na FROM a GROUP BY {key}) USING ({key}) JOIN (SELECT {key}, sum(n) AS nb FROM b GROUP BY {key}) USING ({key})"""
+    SELECT {key}, coalesce(round(hit / nb, 6), 0) AS recall, coalesce(round(hit / na, 6), 0) AS precision, coalesce(round(2 * hit / (coalesce(na, 0) + coalesce(nb, 0)), 6), 0) AS f
+    FROM (SELECT {key} FROM {b}) LEFT JOIN h USING ({key}) LEFT JOIN (SELECT {key}, sum(n) AS na FROM a GROUP BY {key}) USING ({key}) LEFT JOIN (SELECT {key}, sum(n) AS nb FROM b GROUP BY {key}) USING ({key})"""
 
 
 def _turns(t, role):
@@ -96,9 +98,9 @@ DRAWS = 10
     d AS (SELECT u.*, i, sum(words) OVER (PARTITION BY u.conv_id, i ORDER BY md5(i || '-' || u.conv_id || '-' || turn) ROWS UNBOUNDED PRECEDING) AS upto, room FROM u JOIN m USING (conv_id), (SELECT unnest(range({DRAWS})) AS i)),
     a AS (SELECT conv_id, i, g, count(*) AS n FROM (SELECT conv_id, i, unnest(regexp_extract_all(lower(text), '<word>')) AS g FROM d WHERE upto <= room) GROUP BY ALL), b AS (SELECT conv_id, g, count(*) AS m FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '<word>')) AS g FROM conversations WHERE role = 'assistant') GROUP BY ALL),
     h AS (SELECT conv_id, i, sum(least(n, m)) AS hit FROM a JOIN b USING (conv_id, g) GROUP BY ALL)
-    SELECT conv_id, round(sum(hit) / CAST(max(room) AS DOUBLE) / {DRAWS}, 6) AS recall, count(*) AS draws FROM h JOIN m USING (conv_id) GROUP BY conv_id""")
+    SELECT conv_id, coalesce(round(sum(hit) / CAST(max(nullif(room, 0)) AS DOUBLE) / {DRAWS}, 6), 0) AS recall, count(hit) AS draws FROM m LEFT JOIN h USING (conv_id) GROUP BY conv_id""")
 def ev4_sampled(t, draws: int = DRAWS):
-    """ROUGE-1 recall of random draws of turns no longer than the reference, averaged; a draw's order is a hash."""
+    """ROUGE-1 recall of random draws of turns no longer than the reference, averaged, and how many share a word with it; a draw's order is a hash."""
     w = T.words("text")
     u = t.conversations.where("role = 'user'").select("conv_id", "turn", w.alias("w"))
     m = t.conversations.where("role = 'assistant'").select("conv_id", w.alias("w"))
@@ -108,17 +110,19 @@ def ev4_sampled(t, draws: int = DRAWS):
     upto = F.sum(F.size("w")).over(Window.partitionBy("conv_id", "i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     a = d.withColumn("upto", upto).where("upto <= room").select("conv_id", "i", F.explode("w").alias("g")).groupBy("conv_id", "i", "g").agg(F.count("*").alias("n"))
     b = m.select("conv_id", F.explode("w").alias("g")).groupBy("conv_id", "g").agg(F.count("*").alias("m"))
-    h = a.join(b, ["conv_id", "g"]).groupBy("conv_id", "i").agg(F.sum(F.least("n", "m")).alias("hit")).join(room, "conv_id")
-    return h.groupBy("conv_id").agg(r6(F.sum("hit") / F.max("room").cast("double") / draws).alias("recall"), F.count("*").alias("draws"))
+    h = a.join(b, ["conv_id", "g"]).groupBy("conv_id", "i").agg(F.sum(F.least("n", "m")).alias("hit"))
+    j = room.join(h, "conv_id", "left").groupBy("conv_id")
+    return j.agg(F.coalesce(r6(F.sum("hit") / F.nullif(F.max("room"), F.lit(0)).cast("double") / draws), F.lit(0.0)).alias("recall"), F.count("hit").alias("draws"))
 
 
 @query("ev5_checkpoints", f"""WITH s AS (SELECT query_id, min(epoch) AS t0, (max(epoch) - min(epoch)) // 3600 AS hours FROM stream GROUP BY query_id), k AS (SELECT query_id, t0, unnest(range(12, hours, 12)) AS hours FROM s),
     m AS (SELECT f.query_id, f.epoch, f.nugget_id, regexp_extract_all(lower(n.nugget_text), '<word>') AS w FROM {FIRST} f JOIN nuggets n USING (nugget_id) WHERE novel),
     a AS (SELECT query_id, hours, g, count(*) AS n FROM (SELECT k.query_id, k.hours, unnest(w) AS g FROM k JOIN m ON m.query_id = k.query_id AND m.epoch < k.t0 + k.hours * 3600) GROUP BY ALL),
-    b AS (SELECT query_id, g, count(*) AS n FROM (SELECT DISTINCT query_id, nugget_id, g, i FROM (SELECT query_id, nugget_id, unnest(w) AS g, unnest(range(len(w))) AS i FROM m)) GROUP BY ALL)
-    SELECT query_id, hours, round(sum(least(a.n, b.n)) / CAST((SELECT sum(n) FROM b c WHERE c.query_id = a.query_id) AS DOUBLE), 6) AS recall FROM a JOIN b USING (query_id, g) GROUP BY query_id, hours""")
+    b AS (SELECT query_id, g, count(*) AS n FROM (SELECT DISTINCT query_id, nugget_id, g, i FROM (SELECT query_id, nugget_id, unnest(w) AS g, unnest(range(len(w))) AS i FROM m)) GROUP BY ALL),
+    h AS (SELECT query_id, hours, sum(least(a.n, b.n)) AS hit FROM a JOIN b USING (query_id, g) GROUP BY ALL)
+    SELECT query_id, hours, coalesce(round(hit / CAST(total AS DOUBLE), 6), 0) AS recall FROM k LEFT JOIN h USING (query_id, hours) LEFT JOIN (SELECT query_id, sum(n) AS total FROM b GROUP BY query_id) USING (query_id)""")
 def ev5(t):
-    """ROUGE-1 recall of what is selected by every twelfth hour, to the topic's own end, against all that the topic reveals."""
+    """ROUGE-1 recall of what is selected by every twelfth hour, to the topic's own end, against all that the topic reveals; 0 before its first."""
     s = t.stream.groupBy("query_id").agg(F.min("epoch").alias("t0"), F.floor((F.max("epoch") - F.min("epoch")) / 3600).alias("last"))
     k = s.where("last > 12").select("query_id", "t0", F.explode(F.sequence(F.lit(12).cast("long"), F.col("last") - 1, F.lit(12).cast("long"))).alias("hours"))
     words = t.nuggets.select("nugget_id", F.explode(T.words("nugget_text")).alias("g"))
@@ -127,7 +131,8 @@ def ev5(t):
     b = m.groupBy("query_id", "g").agg(F.sum("c").alias("m"))
     total = b.groupBy("query_id").agg(F.sum("m").alias("total"))
     hit = a.join(b, ["query_id", "g"]).groupBy("query_id", "hours").agg(F.sum(F.least("n", "m")).alias("hit"))
-    return hit.join(total, "query_id").select("query_id", "hours", r6(F.col("hit") / F.col("total").cast("double")).alias("recall"))
+    j = k.select("query_id", "hours").join(hit, ["query_id", "hours"], "left").join(total, "query_id", "left")
+    return j.select("query_id", "hours", F.coalesce(r6(F.col("hit") / F.col("total").cast("double")), F.lit(0.0)).alias("recall"))
 
 
 @query("ev6_signed_ranks", f"""WITH d AS (SELECT query_id, found / selected - 0.5 AS d FROM {GAINS} WHERE found / selected <> 0.5), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 9)) + (count(*) OVER (PARTITION BY round(abs(d), 9)) - 1) / 2.0 AS r FROM d)

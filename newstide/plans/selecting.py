@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import math as M
 from ..functions import text as T
 from ..operators import clustering as C
+from ..operators import selection as G
 from ..sources import readers
 from .base import query, r6
 from .joining import SETS, nugget_sets
@@ -39,19 +40,14 @@ def points(t):
 COS = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))"
 
 
-def label_pairs(t):
-    """(label, a, b, cosine) of all vectors with the same label, a before b.
+def labelled(t):
+    """(label, id, vector) of the vectors that have a label."""
+    return t.embeddings.where("label is not null").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
-    Each label is dealt to blocks of ids, and a pair of blocks is a key: a label
-    that very many vectors have is spread over tasks, at one copy of a vector a block.
-    """
-    blocks = 8
-    e = t.embeddings.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = e.select("label", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("v").alias("x"))
-    y = e.select("label", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("v").alias("y"))
-    cosine = M.dot("x", "y") / F.sqrt(M.dot("x", "x") * M.dot("y", "y"))
-    return x.join(y, ["label", "i", "j"]).where("a < b").select("label", "a", "b", cosine.alias("cosine"))
+
+def label_pairs(t, least: float):
+    """(a, b, cosine) of the vectors with the same label and a cosine of ``least`` or more, a before b."""
+    return G.dense_pairs(labelled(t), ["label"], ["id"], least)
 
 
 def document_counts(t):
@@ -63,32 +59,27 @@ def document_counts(t):
 @query("dd1_streaming_dedup")
 def dd1(t):
     """Order-dependent: each topic's documents in time order against earlier representatives."""
-    return C.streaming_dedup(document_counts(t), ["query_id"], ["epoch", "id"])
+    return G.streaming_dedup(document_counts(t), ["query_id"], ["epoch", "id"])
 
 
 @query("dd1_similar_pairs", """WITH c AS (SELECT k.query_id, k.doc_id, token, count(*) AS n FROM top20 k JOIN tokens USING (update_id) GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id),
     p AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(x.n * y.n) AS DOUBLE) AS dot FROM c x JOIN c y ON x.query_id = y.query_id AND x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL)
     SELECT a, b, round(dot / (sa.norm * sb.norm), 6) AS cosine FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE dot / (sa.norm * sb.norm) >= 0.8""")
 def dd1_pairs(t):
-    from ..operators.joins import term_cosine
-
-    c = t.top20.select("query_id", "doc_id", F.explode(T.words("sent_text")).alias("token")).groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("w"))
-    other = c.withColumnRenamed("doc_id", "other")
-    p = term_cosine(c, other, ["query_id"], "doc_id", "other").where("_a < _b and cosine >= 0.8")
-    return p.select(F.col("_a").alias("a"), F.col("_b").alias("b"), r6("cosine").alias("cosine"))
+    return G.sparse_pairs(document_counts(t), ["query_id"], 0.8).select("a", "b", r6("cosine").alias("cosine"))
 
 
 @query("dd2_novel_against_all", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.label = b.label AND a.vec_id < b.vec_id AND {COS} >= 0.25)")
 def dd2(t):
     """Kept iff every earlier row, kept or not, is less similar: no order of evaluation, so an anti-join."""
-    return t.embeddings.select(F.col("vec_id").alias("id")).join(label_pairs(t).where("cosine >= 0.25").select(F.col("b").alias("id")), "id", "left_anti")
+    return t.embeddings.select(F.col("vec_id").alias("id")).join(label_pairs(t, 0.25).select(F.col("b").alias("id")), "id", "left_anti")
 
 
 @query("dd3_novel_against_kept")
 def dd3(t):
-    """Each vector against those of its label that were kept before it; the fold keeps only those."""
+    """Each vector against those of its label that were kept before it."""
     e = t.embeddings.select(F.col("label").cast("long").alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return C.greedy_novel(e, ["topic"], ["id"], 0.25)
+    return G.greedy_novel(e, ["topic"], ["id"], 0.25)
 
 
 @query("cl1_affinity_propagation")
@@ -134,7 +125,7 @@ def cl4(t):
     wide = points(t).withColumn("bucket", F.floor(F.col("bucket") / 14400) * 14400)
     found = C.ap_clusters(wide, ["topic", "bucket"], _lowered, least=2)
     rows = found.join(wide.select("id", "bins"), "id")
-    return C.greedy_novel(rows, ["topic"], ["bucket", "id"], 0.4, ["bucket", "id", "cluster_size"])
+    return G.greedy_novel(rows, ["topic"], ["bucket", "id"], 0.4, ["bucket", "id", "cluster_size"])
 
 
 @query("cl5_bucket_carry_over")
@@ -154,7 +145,7 @@ def cl6(t):
     """Single linkage cut at a similarity is connected components of the pairs above it; the exemplar is nearest to the mean."""
     _ready(t)
     e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    c = C.single_linkage(e, label_pairs(t).where(F.round("cosine", 6) >= 0.3))
+    c = C.single_linkage(e, label_pairs(t, 0.3 - 1e-6).where(F.round("cosine", 6) >= 0.3))
     v = c.join(e, "id").select("id", "cluster", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     mean = v.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
     far = v.join(mean, ["cluster", "i"]).groupBy("id", "cluster").agg(F.round(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))), 5).alias("far"))
@@ -192,18 +183,18 @@ def _z(df, by):
 
 @query("fl1_cluster_novelty_filter")
 def fl1(t):
-    return C.greedy_novel(_clusters(t).where("cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.2264, ["bucket", "id"])
+    return G.greedy_novel(_clusters(t).where("cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.2264, ["bucket", "id"])
 
 
 @query("fl2_salience_ranked_filter")
 def fl2(t):
     rows = _z(_clusters(t), ["topic", "bucket"]).where("z >= 0 and cluster_size >= 2").withColumn("order", -F.col("salience"))
-    return C.greedy_novel(rows, ["topic"], ["bucket", "order", "id"], 0.4, ["bucket", "id"])
+    return G.greedy_novel(rows, ["topic"], ["bucket", "order", "id"], 0.4, ["bucket", "id"])
 
 
 @query("fl3_salience_time_filter")
 def fl3(t):
-    return C.greedy_novel(_z(_clusters(t), ["topic", "bucket"]).where("z >= 0 and cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.6, ["bucket", "id"])
+    return G.greedy_novel(_z(_clusters(t), ["topic", "bucket"]).where("z >= 0 and cluster_size >= 2"), ["topic"], ["bucket", "epoch", "id"], 0.6, ["bucket", "id"])
 
 
 @query("fl4_linkage_filter")
@@ -211,7 +202,7 @@ def fl4(t):
     """Linkage clusters of each hour; what stands nearest the centroid of two or more sentences is held against what was kept."""
     p = points(t)
     found = C.linkage_clusters(p, ["topic", "bucket"], 0.7).where("cluster_size >= 2").join(p.select("id", "epoch", "bins"), "id")
-    return C.greedy_novel(found, ["topic"], ["bucket", "epoch", "id"], 0.7, ["bucket", "id"])
+    return G.greedy_novel(found, ["topic"], ["bucket", "epoch", "id"], 0.7, ["bucket", "id"])
 
 
 @query("fl5_ranked_salience_filter")
@@ -219,34 +210,39 @@ def fl5(t):
     """Salient sentences of each hour, the most salient first; hours that keep none have a row without a sentence."""
     p = points(t)
     rows = _z(p, ["topic", "bucket"]).where("z > 0.4").withColumn("order", -F.col("salience"))
-    kept = C.greedy_novel(rows, ["topic", "bucket"], ["order", "id"], 0.4)
+    kept = G.greedy_novel(rows, ["topic", "bucket"], ["order", "id"], 0.4)
     empty = p.select("topic", "bucket").distinct().join(kept, ["topic", "bucket"], "left_anti").withColumn("id", F.lit(None).cast("string"))
     return kept.unionByName(empty)
 
 
-@query("fl6_salience_penalty", f"""WITH b AS (SELECT *, round(abs(embedding[1]::DOUBLE), 6) AS salience FROM embeddings), s AS (SELECT b.vec_id AS id, b.label, b.salience, a.vec_id AS past, a.salience AS weight, round({COS}, 6) AS c FROM b JOIN b a ON a.label = b.label WHERE a.vec_id < 100 AND b.vec_id >= 100),
-    n AS (SELECT *, CASE WHEN c < 0.15 OR c > 0.95 THEN 0 ELSE c END AS m FROM s), z AS (SELECT *, m / nullif(sum(m) OVER (PARTITION BY past), 0) AS share FROM n), p AS (SELECT id, max(coalesce(share, 0) * weight) AS penalty, bool_or(c > 0.95) AS same FROM z GROUP BY id), least AS (SELECT label, min(salience) AS low FROM b WHERE vec_id >= 100 GROUP BY label)
-    SELECT b.vec_id AS id, round(CASE WHEN coalesce(same, false) THEN low ELSE b.salience - coalesce(penalty, 0) END + 1e-9, 4) AS penalised FROM b JOIN least USING (label) LEFT JOIN p ON p.id = b.vec_id WHERE b.vec_id >= 100""")
+@query("fl6_salience_penalty", f"""WITH b AS (SELECT *, round(abs(embedding[1]::DOUBLE), 6) AS salience FROM embeddings), s AS (SELECT a.vec_id AS past, b.vec_id AS id, a.salience AS weight, round({COS}, 6) AS c FROM b JOIN b a ON a.label = b.label AND a.vec_id < b.vec_id),
+    same AS (SELECT DISTINCT id FROM s WHERE c > 0.95), n AS (SELECT * FROM s WHERE c >= 0.15 AND id NOT IN (FROM same)), z AS (SELECT *, round(c / sum(c) OVER (PARTITION BY past), 9) AS share FROM n), p AS (SELECT id, arg_max(share * weight, (share, -past)) AS penalty FROM z GROUP BY id),
+    j AS (SELECT b.vec_id AS id, label, b.vec_id IN (FROM same) AS twice, salience - coalesce(penalty, 0) AS now FROM b LEFT JOIN p ON p.id = b.vec_id WHERE label IS NOT NULL)
+    SELECT id, round(CASE WHEN twice THEN min(now) OVER (PARTITION BY label) ELSE now END + 1e-9, 4) AS penalised FROM j""")
 def fl6(t):
-    """Salience less the largest share of a past update's: similarities under .15 count nothing, each update's are shares of
-    their sum, and what is over .95 like an update, a duplicate, gets its label's least salience. The first hundred are past."""
-    e = t.embeddings.select("label", F.col("vec_id").alias("id"), r6(F.abs(F.col("embedding")[0].cast("double"))).alias("salience"))
-    s = label_pairs(t).where("a < 100 and b >= 100").select(F.col("a").alias("past"), F.col("b").alias("id"), r6("cosine").alias("c"))
-    n = s.withColumn("m", F.when((F.col("c") < 0.15) | (F.col("c") > 0.95), 0.0).otherwise(F.col("c")))
-    total = n.groupBy("past").agg(F.sum("m").alias("total"))
-    weight = e.where("id < 100").select(F.col("id").alias("past"), F.col("salience").alias("weight"))
-    z = n.join(total, "past").join(weight, "past").withColumn("share", F.coalesce(F.col("m") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)))
-    p = z.groupBy("id").agg(F.max(F.col("share") * F.col("weight")).alias("penalty"), F.bool_or(F.col("c") > 0.95).alias("same"))
-    now = e.where("id >= 100")
-    j = now.join(now.groupBy("label").agg(F.min("salience").alias("low")), "label").join(p, "id", "left")
-    return j.select("id", F.round(F.when(F.coalesce("same", F.lit(False)), F.col("low")).otherwise(F.col("salience") - F.coalesce("penalty", F.lit(0.0))) + 1e-9, 4).alias("penalised"))
-
-
-@query("fl7_similar_to_prior", f"SELECT vec_id AS id FROM embeddings b WHERE vec_id >= 100 AND NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < 100 AND a.label = b.label AND {COS} >= 0.3)")
+    """Salience less a past update's, in proportion: every earlier vector of the label is past.
+
+    Similarities under .15 count nothing, and none of a row that is over .95 like
+    any past one. An update's similarities are shares of their sum; a row loses
+    its largest share's update's salience times that share (the first update of
+    equal ones), and what repeats an update gets the least that is then left in its label.
+    """
+    e = labelled(t).select("label", "id", r6(F.abs(F.col("vector")[0])).alias("salience"))
+    s = label_pairs(t, 0.15 - 1e-6).select(F.col("a").alias("past"), F.col("b").alias("id"), r6("cosine").alias("c"))
+    same = s.where("c > 0.95").select("id").distinct().withColumn("twice", F.lit(True))
+    n = s.where("c >= 0.15").join(same, "id", "left_anti")
+    z = n.join(n.groupBy("past").agg(F.sum("c").alias("total")), "past").join(e.select(F.col("id").alias("past"), F.col("salience").alias("weight")), "past")
+    z = z.withColumn("share", F.round(F.col("c") / F.col("total"), 9))
+    p = z.groupBy("id").agg(F.max_by(F.col("share") * F.col("weight"), F.struct("share", -F.col("past"))).alias("penalty"))
+    j = e.join(p, "id", "left").join(same, "id", "left").withColumn("now", F.col("salience") - F.coalesce("penalty", F.lit(0.0)))
+    low = j.groupBy("label").agg(F.min("now").alias("low"))
+    return j.join(low, "label").select("id", F.round(F.when(F.coalesce("twice", F.lit(False)), F.col("low")).otherwise(F.col("now")) + 1e-9, 4).alias("penalised"))
+
+
+@query("fl7_similar_to_prior", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < b.vec_id AND a.label = b.label AND {COS} >= 0.3)")
 def fl7(t):
-    """What isn't like a prior update; the first hundred vectors are prior."""
-    near = label_pairs(t).where("a < 100 and b >= 100 and cosine >= 0.3").select(F.col("b").alias("id"))
-    return t.embeddings.where("vec_id >= 100").select(F.col("vec_id").alias("id")).join(near, "id", "left_anti")
+    """What isn't like any prior update of its label."""
+    return t.embeddings.select(F.col("vec_id").alias("id")).join(label_pairs(t, 0.3).select(F.col("b").alias("id")), "id", "left_anti")
 
 
 def _between(x: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -267,7 +263,7 @@ def fl8(t):
     p = points(t)
     rows = _z(p, ["topic"]).where("z > -0.5").drop("z")
     found = C.ap_clusters(rows, ["topic", "bucket"], _scaled, least=2).where("cluster_size > 1").join(p.select("id", "bins"), "id")
-    return C.greedy_novel(found, ["topic"], ["bucket", "id"], 0.5, ["bucket", "id", "cluster_size"])
+    return G.greedy_novel(found, ["topic"], ["bucket", "id"], 0.5, ["bucket", "id", "cluster_size"])
 
 
 def sentence_sets(t):

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from newstide.functions import math as M
 from newstide.functions import text as T
 from newstide.operators import clustering as C
+from newstide.operators import selection as G
 from newstide.operators.joins import asof, levenshtein_join
 from newstide.plans import scans
+from newstide.plans.base import Tables
+from newstide.plans.catalog import QUERIES
 from newstide.sources import readers
 from newstide.sources.resources import Registry, coverage, layers
 
@@ -61,7 +64,7 @@ def test_affinity_propagation_finds_blobs():
 def test_novelty_against_all_differs_from_against_kept(spark):
     v = {1: [1.0, 0.0], 2: [0.9, 0.45], 3: [0.5, 0.87], 4: [0.0, 1.0]}
     df = spark.createDataFrame([("t", k, x) for k, x in v.items()], "topic string, id long, vector array<double>")
-    kept = [r.id for r in C.greedy_novel(df, ["topic"], ["id"], 0.8).orderBy("id").collect()]
+    kept = [r.id for r in G.greedy_novel(df, ["topic"], ["id"], 0.8).orderBy("id").collect()]
     assert kept == [1, 3]
     pairs = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id")).where(M.cosine(F.col("a.vector"), F.col("b.vector")) >= 0.8).select(F.col("b.id").alias("id"))
     assert [r.id for r in df.select("id").join(pairs, "id", "left_anti").orderBy("id").collect()] == [1]
@@ -70,7 +73,7 @@ def test_novelty_against_all_differs_from_against_kept(spark):
 def test_streaming_dedup_by_hand(spark):
     docs = [("q", 1, 1, {"a": 2.0, "b": 1.0}), ("q", 2, 2, {"a": 2.0, "b": 1.0, "c": 0.5}), ("q", 3, 3, {"x": 1.0}), ("q", 4, 4, {"x": 1.0, "y": 0.5}), ("r", 5, 0, {"a": 1.0}), ("q", 6, 6, {})]
     df = spark.createDataFrame(docs, "query_id string, id long, epoch long, counts map<string,double>")
-    got = {r.id: r.representative for r in C.streaming_dedup(df, ["query_id"], ["epoch"]).collect()}
+    got = {r.id: r.representative for r in G.streaming_dedup(df, ["query_id"], ["epoch"]).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
@@ -158,3 +161,21 @@ def test_window_positions_keep_gaps(spark):
     s = spark.createDataFrame([(1, 0, "one two"), (1, 1, "..."), (1, 2, "three")], "d long, i long, t string")
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("d").orderBy("i"))).where(F.size(T.words("t")) > 0)
     assert [x["rank"] for x in r.orderBy("rank").collect()] == [1, 3]
+
+
+def test_words_of_other_alphabets(spark):
+    texts = {"Größe über 3 Äpfel": ["größe", "über", "3", "äpfel"], "L'été à Noël": ["l", "été", "à", "noël"], "¿Qué pasó, señor?": ["qué", "pasó", "señor"], "Жизнь 日本 x2": ["жизнь", "日本", "x2"]}
+    for text, want in texts.items():
+        assert spark.createDataFrame([(text,)], "t string").select(T.words("t").alias("w")).first().w == want
+
+
+@pytest.mark.parametrize("name", ["ev4_rouge_1", "ev4_rouge_2", "ev4_sampled_rouge"])
+def test_every_reference_has_a_score(spark, sf, name):
+    t = Tables(spark, sf)
+    assert QUERIES[name](spark, sf).count() == t.conversations.where("role = 'assistant'").select("conv_id").distinct().count()
+
+
+def test_every_checkpoint_has_a_score(spark, sf):
+    t = Tables(spark, sf)
+    spans = t.stream.groupBy("query_id").agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).collect()
+    assert QUERIES["ev5_checkpoints"](spark, sf).count() == sum(len(range(12, (r.b - r.a) // 3600, 12)) for r in spans)
