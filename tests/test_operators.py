@@ -8,7 +8,8 @@ from newstide.functions import math as M
 from newstide.functions import text as T
 from newstide.operators import clustering as C
 from newstide.operators import selection as G
-from newstide.operators.joins import asof, levenshtein_join
+from newstide.operators import joins
+from newstide.operators.joins import asof
 from newstide.plans import scans
 from newstide.plans.base import Tables
 from newstide.plans.catalog import QUERIES
@@ -93,16 +94,40 @@ def test_asof_never_looks_ahead(spark):
     assert equal == {("a", 5): 1.0, ("a", 10): 2.0, ("a", 11): 2.0, ("b", 3): 0.0}
 
 
-def test_levenshtein_bands_miss_nothing(spark):
+def edited(rnd, n, letters):
+    """Texts of any length, and copies with up to a third of their characters changed; empty ones and other alphabets too."""
+    out = ["", "a", "Ab", "日本語"]
+    for _ in range(n):
+        text = [rnd.choice(letters) for _ in range(rnd.choice([rnd.randint(1, 14), rnd.randint(20, 120)]))]
+        for _ in range(3):
+            copy = list(text)
+            for _ in range(rnd.randint(0, 1 + len(text) // 3)):
+                at = rnd.randrange(len(copy) + 1)
+                copy[at : at + rnd.randint(0, 1)] = rnd.choice(["", rnd.choice(letters)])
+            out.append("".join(copy))
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("letters, tile", [("ab", 512), ("abcdefgh é日", 7)])
+def test_levenshtein_join_misses_nothing(spark, monkeypatch, letters, tile):
     import random
 
-    rnd = random.Random(0)
-    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 14))) for _ in range(60)]
-    x = spark.createDataFrame([(w,) for w in set(words[:30])], "x string")
-    y = spark.createDataFrame([(w,) for w in set(words[30:])], "y string")
-    got = {(r.x, r.y) for r in levenshtein_join(x, y, "x", "y").collect()}
-    want = {(r.x, r.y) for r in x.crossJoin(y).where(T.normalised_levenshtein("x", "y") <= 0.2).collect()}
-    assert got == want and want
+    monkeypatch.setattr(joins.levenshtein_candidates, "__defaults__", (tile,))
+    texts = edited(random.Random(0), 40, letters)
+    x = spark.createDataFrame([(k, w) for k, w in enumerate(texts[::2] + [None, "twice", "twice"])], "k int, x string")
+    y = spark.createDataFrame([(w,) for w in texts[1::2] + [None, "TWICE"]], "y string")
+    got = sorted((r.k, r.x, r.y, r.distance) for r in joins.levenshtein_join(x, y, "x", "y").collect())
+    want = sorted(tuple(r) for r in x.crossJoin(y).withColumn("d", T.normalised_levenshtein("x", "y")).where("d <= 0.2").collect())
+    assert got == want and len(want) > 9
+
+
+def test_few_texts_are_compared(spark, sf):
+    """Of the pairs of a band of lengths under one in twenty is a candidate."""
+    t = Tables(spark, sf)
+    x = t.nuggets.select(F.lower(T.ascii_folded("nugget_text")).alias("x")).distinct()
+    y = t.sentences.select(F.lower(T.ascii_folded("sent_text")).alias("y")).distinct()
+    every = x.join(y, F.abs(F.length("x") - F.length("y")) <= 0.2 * F.greatest(F.length("x"), F.length("y"))).count()
+    assert joins.levenshtein_candidates(x, y, 0.2).count() < 0.05 * every
 
 
 def test_latency_discount_and_f1(spark):
