@@ -90,43 +90,6 @@ def vectors(table: pa.Table, column: str = "vector") -> np.ndarray:
     return np.array(rows, float).reshape(len(rows), -1)
 
 
-def _median(s: np.ndarray, table: pa.Table):
-    return float(np.median(s[np.triu_indices(len(s), 1)]))
-
-
-def standardised(x: np.ndarray) -> np.ndarray:
-    """Cosines of unit rows less their mean, by their deviation, moved below zero."""
-    s = x @ x.T
-    upper = s[np.triu_indices(len(s), 1)]
-    s = (s - upper.mean()) / (upper.std() or 1.0)
-    return s - s[np.triu_indices(len(s), 1)].max()
-
-
-def ap_clusters(df: DataFrame, keys: list[str], prepare: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray | float]] | None = None, least: int = 10, most: int = 100) -> DataFrame:
-    """Exemplars of each group: keys, exemplar id, cluster size and mean salience. ``df`` has keys, id, salience and vector or bins.
-
-    ``prepare`` gives affinities and preferences of unit rows (else standardised
-    cosines and their median). Rows without a nonzero dimension are left out,
-    groups of fewer than ``least`` have no exemplar.
-    """
-    kinds = dict(df.dtypes)
-
-    def f(table: pa.Table):
-        x = unit_rows(vectors(table))
-        keep = (x != 0).any(1)
-        table, x = table.filter(pa.array(keep)), x[keep]
-        if len(x) < least:
-            return {"id": [], "cluster_size": [], "support": []}
-        s, preference = prepare(x, table) if prepare else (standardised(x), None)
-        owner = affinity_propagation(s, _median(s, table) if preference is None else preference, most=most)
-        name, place, size = np.unique(owner, return_inverse=True, return_counts=True)
-        salience = np.array(table.column("salience").to_pylist(), float)
-        ids = table.column("id").to_pylist()
-        return {"id": [ids[k] for k in name], "cluster_size": size.tolist(), "support": (np.bincount(place, salience) / size).round(6).tolist()}
-
-    return by_group(df, keys, ["id"], f, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}, cluster_size long, support double")
-
-
 def linkage_clusters(df: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """Single-linkage clusters of each group cut at a cosine: keys, the id nearest its cluster's centroid, cluster size."""
     kinds = dict(df.dtypes)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from itertools import groupby
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import text as T
+from ..operators import affinity as A
 from ..operators import clustering as C
 from ..operators import selection as G
 from ..sources import readers
@@ -85,45 +85,40 @@ def dd3(t):
 @query("cl1_affinity_propagation")
 def cl1(t):
     """Exemplars by topic and hour, emitted when the hour ends; hours of fewer than ten sentences have none."""
-    return C.ap_clusters(points(t), ["topic", "bucket"]).withColumn("emitted", F.col("bucket") + 3600)
+    return A.ap_clusters(points(t), ["topic", "bucket"]).withColumn("emitted", F.col("bucket") + 3600)
 
 
-def _salient(x: np.ndarray, table: pa.Table):
-    """Affinities and preferences below zero: both less the larger of their maxima."""
-    s, p = C.standardised(x), np.array(table.column("salience").to_pylist(), float)
-    top = max(s[np.triu_indices(len(s), 1)].max(), p.max())
-    return s - top, p - top
+def _top(s, m):
+    return m.greatest(s.top_salience, 0.0)
+
+
+#: Standardised cosines and saliences, both less the larger of their maxima.
+SALIENT = A.Scale(lambda c, s, m: (c - s.top) / s.dev - _top(s, m), lambda p, s, m: p - _top(s, m))
 
 
 @query("cl2_affinity_propagation_salience")
 def cl2(t):
-    return C.ap_clusters(points(t), ["topic", "bucket"], _salient, most=500).withColumn("emitted", F.col("bucket") + 3600)
+    return A.ap_clusters(points(t), ["topic", "bucket"], SALIENT, most=500).withColumn("emitted", F.col("bucket") + 3600)
 
 
-def _support(x: np.ndarray, table: pa.Table):
-    """Negative squared distances; the preference is a squashed salience over the median of the shifted cosine kernel."""
-    kernel = -((1 - x @ x.T) ** 2) - 20
-    p = 1 / (1 + np.exp(-np.array(table.column("salience").to_pylist(), float)))
-    return -((x[:, None] - x[None]) ** 2).sum(2), p + np.median(kernel[np.triu_indices(len(x), 1)])
+#: Negative squared distances of unit vectors; the preference is a squashed salience over the median of the shifted cosine kernel.
+SUPPORT = A.Scale(lambda c, s, m: 2 * c - 2, lambda p, s, m: 1 / (1 + m.exp(-p)) + A.middle(lambda c: -((1 - c) * (1 - c)) - 20, s))
 
 
 @query("cl3_bucketed_salience_clusters")
 def cl3(t):
-    return C.ap_clusters(points(t), ["topic", "bucket"], _support, least=2).withColumn("emitted", F.col("bucket") + 3600)
+    return A.ap_clusters(points(t), ["topic", "bucket"], SUPPORT, least=2).withColumn("emitted", F.col("bucket") + 3600)
 
 
-def _lowered(x: np.ndarray, table: pa.Table):
-    """Negative cosine distances; preferences at most -0.05, less an offset of 4."""
-    k = -(1 - x @ x.T)
-    p = np.array(table.column("salience").to_pylist(), float)
-    return k, np.minimum(p + np.median(k[np.triu_indices(len(k), 1)]), -0.05) - 4.0
+#: Negative cosine distances; preferences at most -0.05, less an offset of 4.
+LOWERED = A.Scale(lambda c, s, m: c - 1, lambda p, s, m: m.least(p + A.middle(lambda c: c - 1, s), -0.05) - 4.0)
 
 
 @query("cl4_wide_bucket_clusters")
 def cl4(t):
     """Buckets of four hours, exemplars filtered by what earlier buckets of the topic kept."""
     wide = points(t).withColumn("bucket", F.floor(F.col("bucket") / 14400) * 14400)
-    found = C.ap_clusters(wide, ["topic", "bucket"], _lowered, least=2)
+    found = A.ap_clusters(wide, ["topic", "bucket"], LOWERED, least=2)
     rows = found.join(wide.select("id", "bins"), "id")
     return G.greedy_novel(rows, ["topic"], ["bucket", "id"], 0.4, ["bucket", "id", "cluster_size"])
 
@@ -172,7 +167,7 @@ def cl7(t):
 
 def _clusters(t):
     p = points(t)
-    return C.ap_clusters(p, ["topic", "bucket"]).join(p.select("id", "epoch", "bins", "salience"), "id")
+    return A.ap_clusters(p, ["topic", "bucket"]).join(p.select("id", "epoch", "bins", "salience"), "id")
 
 
 def _z(df, by):
@@ -245,16 +240,11 @@ def fl7(t):
     return t.embeddings.select(F.col("vec_id").alias("id")).join(label_pairs(t, 0.3).select(F.col("b").alias("id")), "id", "left_anti")
 
 
-def _between(x: np.ndarray, low: float, high: float) -> np.ndarray:
-    wide = x.max() - x.min()
-    return low + (x - x.min()) / (wide or 1.0) * (high - low)
-
-
-def _scaled(x: np.ndarray, table: pa.Table):
-    """Cosines under .2 are masked; the others are scaled to -9 .. their maximum, preferences to -3 .. -1."""
-    c = x @ x.T
-    s = np.where(c < 0.2, -100.0, _between(c, -9.0, float(c[np.triu_indices(len(c), 1)].max())))
-    return s, _between(np.array(table.column("salience").to_pylist(), float), -3.0, -1.0)
+#: Cosines under .2 are masked; the others are scaled to -9 .. their maximum, preferences to -3 .. -1.
+SCALED = A.Scale(
+    lambda c, s, m: m.where(c < 0.2, -100.0, -9.0 + (c - s.least) / m.where(s.least < 1, 1 - s.least, 1.0) * (s.top + 9.0)),
+    lambda p, s, m: -3.0 + 2.0 * (p - s.least_salience) / m.where(s.top_salience > s.least_salience, s.top_salience - s.least_salience, 1.0),
+)
 
 
 @query("fl8_rank_and_cluster")
@@ -262,7 +252,7 @@ def fl8(t):
     """Salient sentences first (z above a cutoff by topic), then clusters of more than one, then novelty."""
     p = points(t)
     rows = _z(p, ["topic"]).where("z > -0.5").drop("z")
-    found = C.ap_clusters(rows, ["topic", "bucket"], _scaled, least=2).where("cluster_size > 1").join(p.select("id", "bins"), "id")
+    found = A.ap_clusters(rows, ["topic", "bucket"], SCALED, least=2).where("cluster_size > 1").join(p.select("id", "bins"), "id")
     return G.greedy_novel(found, ["topic"], ["bucket", "id"], 0.5, ["bucket", "id", "cluster_size"])
 
 
