@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from ..functions import math as M
 from ..functions import text as T
 from ..operators import affinity as A
 from ..operators import clustering as C
+from ..operators import cover as K
 from ..operators import selection as G
 from ..sources import readers
 from .base import query, r6
@@ -261,63 +260,31 @@ def sentence_sets(t):
     return nugget_sets(t).where("size(nuggets) > 0").select("query_id", "doc_id", "epoch", "sent_id", "update_id", "nuggets")
 
 
+def facts(t):
+    """A row for each nugget that a sentence carries, as the covers take them."""
+    return sentence_sets(t).select(F.col("query_id").alias("topic"), "epoch", "doc_id", "sent_id", "update_id", F.explode("nuggets").alias("nugget"))
+
+
 @query("or1_retrospective_oracle")
 def or1(t):
     """Greedy cover of each topic's nuggets by at most 25 sentences, and a row (step 0) with the sentences and nuggets there were."""
-
-    def f(table):
-        sets = [set(x) for x in table.column("nuggets").to_pylist()]
-        picks = C.greedy_cover(sets, 25)
-        ids, gains = table.column("update_id").to_pylist(), [g for _, g in picks]
-        return {"step": list(range(len(picks) + 1)), "update_id": [None, *[ids[k] for k, _ in picks]], "gain": [len(sets), *gains], "covered": [len(set().union(*sets)), *np.cumsum(gains).tolist()]}
-
-    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], f, "query_id string, step long, update_id string, gain long, covered long")
-
-
-def _by_document(table):
-    """(doc_id, sets, update ids) of each document in turn; a document's rows stand together."""
-    rows = zip(table.column("doc_id").to_pylist(), table.column("nuggets").to_pylist(), table.column("update_id").to_pylist(), strict=True)
-    for doc, own in groupby(rows, key=lambda r: r[0]):
-        own = list(own)
-        yield doc, [set(n) for _, n, _ in own], [i for *_, i in own]
-
-
-def streaming_cover(table, budget: int = 25):
-    """Document by document: greedy new nuggets until the budget is spent; what is covered, and what could be."""
-    seen, out = set(), {"doc_id": [], "picked": [], "covered": [], "bound": []}
-    total = len(set().union(*map(set, table.column("nuggets").to_pylist())))
-    for doc, sets, _ in _by_document(table):
-        own = [s - seen for s in sets]
-        picks = C.greedy_cover(own, budget)
-        for k, _ in picks:
-            seen |= own[k]
-        budget -= len(picks)
-        for name, value in zip(out, (doc, len(picks), len(seen), total), strict=True):
-            out[name].append(value)
-    return out
+    rows = facts(t)
+    none, zero = F.lit(None).cast("string").alias("update_id"), F.lit(0).cast("long").alias("step")
+    there = rows.groupBy("topic").agg(F.countDistinct("update_id").alias("gain"), F.countDistinct("nugget").alias("covered")).select("topic", zero, none, "gain", "covered")
+    picks = K.cover(rows, 25)
+    upto = F.sum("gain").over(Window.partitionBy("topic").orderBy("step"))  # 25 rows a topic at most
+    return picks.withColumn("covered", upto).unionByName(there).select(F.col("topic").alias("query_id"), "step", "update_id", "gain", "covered")
 
 
 @query("or2_streaming_oracle")
 def or2(t):
-    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], streaming_cover, "query_id string, doc_id long, picked long, covered long, bound long")
-
-
-def step_choices(table):
-    """At each document the sentence with the largest gain, the first of equals, or go on; the loss is what else was new there."""
-    seen, out = set(), {"doc_id": [], "action": [], "gain": [], "loss": []}
-    for doc, sets, ids in _by_document(table):
-        gain, k = max((len(s - seen), -k) for k, s in enumerate(sets))
-        new = set().union(*sets) - seen
-        for name, value in zip(out, (doc, ids[-k] if gain else "NEXT", gain, len(new) - gain), strict=True):
-            out[name].append(value)
-        if gain:
-            seen |= sets[-k]
-    return out
+    return K.streamed_cover(facts(t), 25).withColumnRenamed("topic", "query_id")
 
 
 @query("or3_step_oracle")
 def or3(t):
-    return C.by_group(sentence_sets(t), ["query_id"], ["epoch", "doc_id", "sent_id"], step_choices, "query_id string, doc_id long, action string, gain long, loss long")
+    """At each document the sentence with the largest gain, the first of equals, or go on; the loss is what else was new there."""
+    return K.step_choices(facts(t))[0].withColumnRenamed("topic", "query_id")
 
 
 FIRST = "(SELECT *, row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY epoch, doc_id, sent_id) = 1 AS novel FROM matches)"
