@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark, path: str, static: DataFrame) -> DataFrame:
@@ -41,31 +37,6 @@ def available(rows: DataFrame, facts: DataFrame, by: str, at: str, known: str, v
     return asof(rows, facts, by, at, known, value, strict=False)
 
 
-def _novel(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row of a key and value; that it was seen is forgotten once the watermark is a day past its last row."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(frames))
-    last = int(rows["ts"].max().timestamp() * 1000)
-    if not state.exists:
-        first = rows.sort_values(["ts", "id"]).head(1)
-        yield pd.DataFrame({"key": [key[0]], "id": first["id"].tolist(), "value": [key[1]]})
-    state.update((last,))
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
-
-
-def novel_rows(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(key, id, value): first occurrences of each key's values; ``rows`` has key, id, value, ts and is a stream; the watermark trails by ``late``.
-
-    State is a time for each key and value, so a key with very many values is
-    spread over tasks, and no state grows with them. Null keys and values are
-    values of their own; rows without a time are left out.
-    """
-    timed = rows.where("ts is not null").withWatermark("ts", late)
-    return timed.groupBy("key", "value").applyInPandasWithState(_novel, "key string, id long, value long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     """Run over all that is available, append mode, into files of a shared folder, and read those."""
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
