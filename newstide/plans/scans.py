@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.crawl import crawl
 from ..operators.ordered import numbered
 from ..sources import readers
 from ..sources.readers import select_topics
+from ..sources.resources import build_missing
 from .base import Tables, query, whole
 
 DAY_TERMS = ["the", "on"]  # query terms that occur in the fixture
@@ -124,14 +126,23 @@ def src13(t):
     SELECT c.child, crawl.depth + 1 FROM crawl JOIN (SELECT p_partkey AS child, (p_partkey - 1) // 3 AS parent FROM part WHERE p_partkey > 0 AND p_size <> 13) c ON c.parent = crawl.node WHERE crawl.depth < 4)
     SELECT node, depth FROM crawl""")
 def src14(t):
-    """Pages under a category tree to a depth, without the blacklisted: one join a level, no driver loop over rows."""
-    edges = t.part.where("p_partkey > 0 and p_size <> 13").select(F.col("p_partkey").alias("child"), F.floor((F.col("p_partkey") - 1) / 3).alias("parent"))
-    level = t.spark.range(1).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, 5):
-        level = edges.join(level, F.col("parent") == F.col("node"), "left_semi").select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
-        found = found.unionByName(level)
-    return found
+    """Pages under a category tree to a depth, without the blacklisted."""
+    edges = t.part.where("p_partkey > 0 and p_size <> 13").select(F.floor((F.col("p_partkey") - 1) / 3).alias("parent"), F.col("p_partkey").alias("child"))
+    return crawl(edges, t.spark.range(1).select(F.col("id").alias("node")), 4)
+
+
+HREF = 'href="([^"]*)"'
+
+
+@query("src14_link_crawl", f"""WITH RECURSIVE l AS (SELECT DISTINCT 'page ' || page_id AS page, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages), k AS (SELECT * FROM l WHERE link NOT IN (SELECT link FROM l GROUP BY link HAVING count(*) > 10)),
+    e AS (SELECT page AS parent, link AS child FROM k UNION ALL SELECT link, page FROM k), crawl AS (SELECT DISTINCT 'page ' || min(page_id) AS node, 0 AS depth FROM pages UNION SELECT e.child, crawl.depth + 1 FROM crawl JOIN e ON e.parent = crawl.node WHERE crawl.depth < 8)
+    SELECT node, min(depth) AS depth FROM crawl GROUP BY node""")
+def src14_links(t):
+    """Pages and links that the first page reaches in eight steps, from a page to its links and from a link to the pages that have it; what over ten pages link to is blacklisted."""
+    links = t.pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("page"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link")).distinct()
+    kept = links.join(links.groupBy("link").count().where("count > 10").select("link"), "link", "left_anti")
+    edges = kept.select(F.col("page").alias("parent"), F.col("link").alias("child")).unionByName(kept.select(F.col("link").alias("parent"), F.col("page").alias("child")))
+    return crawl(edges, t.pages.agg(F.concat(F.lit("page "), F.min("page_id").cast("string")).alias("node")), 8)
 
 
 @query("src15_paragraphs", r"""SELECT page_id, i - 1 AS nth, regexp_replace(ps[i], '\[[0-9]+\]', '', 'g') AS paragraph
@@ -165,6 +176,21 @@ def src18(t):
     return span.join(t.stream.select("query_id", "hour"), ["query_id", "hour"], "left_anti").select("query_id", F.unix_seconds("hour").alias("hour_epoch"))
 
 
+@query("src18_rebuilt_units", """WITH s AS (SELECT query_id, CAST(epoch(hour) AS BIGINT) AS hour_epoch, count(*) AS sentences FROM sentences GROUP BY ALL), m AS (SELECT query_id, (min(hour_epoch) + max(hour_epoch)) / 2 AS half FROM s GROUP BY query_id)
+    SELECT query_id, hour_epoch, sentences FROM s JOIN m USING (query_id) WHERE hour_epoch >= half""")
+def src18_rebuilt(t):
+    """The hours that a second run builds, after a first that knew each topic's earlier half, with what it wrote of them."""
+    path = readers.scratch(t.spark, "units")
+    rows = t.sentences.select("query_id", F.unix_seconds("hour").alias("hour_epoch"), "update_id", "sent_text")
+    units = t.stream.select("query_id", F.unix_seconds("hour").alias("hour_epoch")).distinct()
+    half = units.groupBy("query_id").agg(((F.min("hour_epoch") + F.max("hour_epoch")) / 2).alias("half"))
+    build = lambda some: rows.join(some, ["query_id", "hour_epoch"])
+    build_missing(units.join(half, "query_id").where("hour_epoch < half").drop("half"), path, build)
+    built = build_missing(units, path, build)
+    there = t.spark.read.schema("update_id string, query_id string, hour_epoch long").parquet(path)
+    return there.join(built, ["query_id", "hour_epoch"]).groupBy("query_id", "hour_epoch").agg(F.count("*").alias("sentences"))
+
+
 @query("src19_asof_revision", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS revision FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY o_custkey")
 def src19(t):
     return t.orders.where("o_orderdate <= timestamp_ntz'1998-01-01'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("revision"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import written
+from .readers import scratch
+
 
 def layers(needs: dict[str | int, Iterable]) -> list[list]:
     """Names by layer, each after all it needs; raises ValueError on a cycle."""
@@ -55,3 +58,30 @@ def coverage(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFram
 def missing_units(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Units that still have to be made."""
     return wanted.join(present.select(*keys).distinct(), keys, "left_anti")
+
+
+def units_there(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """The values of ``keys`` (name to type) that a table written by them has partitions of, told by its folders; none where there is no table yet."""
+    from pyspark.errors import AnalysisException
+
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items())
+    try:
+        return spark.read.schema(schema).parquet(path).distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def build_missing(wanted: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The units (rows of ``wanted``) that were missing from the table at ``path``, which has them now.
+
+    ``build`` makes the rows of some units; only what is missing is made, and
+    only its partitions are written, so a run that was broken off is made good
+    by the next, and where nothing is missing nothing is written. A unit that
+    has no rows is never there; units with null in a key are left out.
+    """
+    scratch(wanted.sparkSession, "")
+    wanted, keys = wanted.na.drop(), dict(wanted.dtypes)
+    missing = written(wanted.distinct().join(units_there(wanted.sparkSession, path, keys), list(keys), "left_anti"))
+    if not missing.isEmpty():
+        build(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return missing
