@@ -92,19 +92,20 @@ def sparse_candidates(rows: DataFrame, least: float) -> DataFrame:
     either only shorter words of it left, their product would be too small. At
     that word the product of both numbers and of what is left of both bounds the
     whole, so a meeting whose bound is too low isn't their first or isn't needed.
+    Words go by their hash: two with the same one can only add a candidate.
     """
-    words = rows.select("group", "id", "squared", F.explode("counts").alias("word", "n"))
-    seen = words.groupBy("group", "word").agg(F.count("*").alias("rows")).where("rows > 1")
-    ranked = words.join(seen, ["group", "word"], "left")
-    left = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("group", "id").orderBy(F.coalesce("rows", F.lit(1)), "word").rowsBetween(0, Window.unboundedFollowing))
+    words = rows.select("group", "id", "squared", F.explode("counts").alias("word", "n")).select(F.xxhash64("group", "word").alias("key"), "id", "squared", "n")
+    seen = words.groupBy("key").agg(F.count("*").cast("int").alias("rows")).where("rows > 1")
+    ranked = words.join(seen, "key", "left")
+    left = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id").orderBy(F.coalesce("rows", F.lit(1)), "key").rowsBetween(0, Window.unboundedFollowing))
     prefix = ranked.withColumn("left", left).where(F.col("rows").isNotNull() & (F.col("left") >= (least * least - SLACK) * F.col("squared")))
-    postings = prefix.select("group", "word", "id", (F.col("n") / F.sqrt("squared")).alias("w"), F.sqrt(F.greatest(F.col("left") - F.col("n") * F.col("n"), F.lit(0.0)) / F.col("squared")).alias("after"))
-    long = postings.groupBy("group", "word").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts")).where("parts > 1")
-    dealt = postings.join(long, ["group", "word"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    postings = prefix.select("key", "id", (F.col("n") / F.sqrt("squared")).alias("w"), F.sqrt(F.greatest(F.col("left") - F.col("n") * F.col("n"), F.lit(0.0)) / F.col("squared")).alias("after"))
+    long = postings.groupBy("key").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts")).where("parts > 1")
+    dealt = postings.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = dealt.select("group", "word", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("after").alias("ra"))
-    y = dealt.select("group", "word", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("after").alias("rb"))
-    met = x.join(y, ["group", "word", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= least - SLACK))
+    x = dealt.select("key", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("after").alias("ra"))
+    y = dealt.select("key", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("after").alias("rb"))
+    met = x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= least - SLACK))
     return met.select("a", "b").distinct()
 
 
@@ -115,9 +116,8 @@ def with_squares(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sparse_pairs(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """(a, b, cosine), a < b, of the rows of a group whose cosine is ``least`` or more. ``rows`` has keys, id (which names a row) and counts (map of words to doubles)."""
-    scratch(rows.sparkSession, "")
-    base = written(with_squares(rows, keys))
+    """(a, b, cosine), a < b, of the rows of a group whose cosine is ``least`` or more. ``rows`` has keys, id (which names a row) and counts (map of words to doubles); it is read several times, so it should be a table."""
+    base = with_squares(rows, keys)
     side = lambda x: base.select(F.col("id").alias(x), F.col("counts").alias(f"c{x}"), F.sqrt("squared").alias(f"n{x}"))
     both = sparse_candidates(base, least).join(side("a"), "a").join(side("b"), "b")
     product = F.aggregate(F.map_values(F.map_zip_with("ca", "cb", lambda _, x, y: F.coalesce(x * y, F.lit(0.0)))), F.lit(0.0), lambda s, v: s + v)
@@ -182,7 +182,8 @@ def streaming_dedup(df: DataFrame, keys: list[str], order: list[str], least: flo
     scratch(df.sparkSession, "")
     place = F.struct(*[c for c in order if c != "id"], "id")
     entries = F.array_sort(F.map_entries("counts"))
-    rows = written(df.select(*keys, "id", place.alias("place"), "counts", F.when(F.size("counts") > 0, F.sha2(F.to_json(F.struct(*keys, entries.alias("entries"))), 256)).alias("content")))
+    content = F.when(F.size("counts") > 0, F.sha2(F.to_json(F.struct(*keys, entries.alias("entries"))), 256))
+    rows = written(df.select(*keys, "id", place.alias("place"), "counts", content.alias("content")))
     first = written(rows.where("content is not null").groupBy("content").agg(F.min_by(F.struct(*keys, "id", "place", "counts"), "place").alias("row")).select("content", "row.*"))
     pairs = written(sparse_pairs(first, keys, least - 1e-12))
     at = lambda x: first.select(F.col("id").alias(x), F.col("place").alias(f"place_{x}"))

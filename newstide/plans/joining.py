@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import text as T
+from ..operators.components import written
 from ..operators.joins import asof, levenshtein_join
 from ..operators.ordered import salted_join
+from ..sources import readers
 from .base import query, r6, whole
 
 POOL = "(SELECT update_id, query_id, stream_id AS document_id, sent_id, length(sent_text) AS length, sent_text AS update_text FROM sentences)"
@@ -194,8 +196,9 @@ FOLD = "regexp_replace(nugget_text, '[^ -~]', '', 'g')"
     SELECT nugget_id, y, true AS exact, distance FROM e UNION ALL SELECT nugget_id, y, false, round(distance, 6) FROM f WHERE distance <= 0.2""")
 def jn14(t):
     """Equal texts first, by equality; then whatever is within a fifth of the longer text's length. Each nugget once a text."""
+    readers.scratch(t.spark, "")
     n = t.nuggets.select("nugget_id", T.ascii_folded("nugget_text").alias("x")).distinct()
-    s = t.sentences.select(T.ascii_folded("sent_text").alias("y")).distinct()
+    s = written(t.sentences.select(T.ascii_folded("sent_text").alias("y")).distinct())
     same = n.join(s, F.col("x") == F.col("y")).select("nugget_id", "y", F.lit(True).alias("exact"), F.lit(0.0).alias("distance"))
     near = levenshtein_join(n, s, "x", "y").where("x <> y").select("nugget_id", "y", F.lit(False).alias("exact"), r6("distance").alias("distance"))
     return same.unionByName(near)

@@ -12,6 +12,7 @@ from ..operators import affinity as A
 from ..operators import clustering as C
 from ..operators import cover as K
 from ..operators import selection as G
+from ..operators.components import written
 from ..sources import readers
 from .base import query, r6
 from .joining import SETS, nugget_sets
@@ -50,9 +51,11 @@ def label_pairs(t, least: float):
 
 
 def document_counts(t):
-    words = F.explode(T.words("sent_text"))
-    c = t.top20.select("query_id", "doc_id", "epoch", words.alias("token")).groupBy("query_id", "doc_id", "epoch", "token").agg(F.count("*").cast("double").alias("n"))
-    return c.groupBy("query_id", F.col("doc_id").alias("id"), "epoch").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("counts"))
+    """Word counts of each document's first 20 sentences, counted where the document is; those without words are left out."""
+    first = F.slice(F.filter(F.transform(T.sentences("text"), lambda x: F.trim(x)), lambda x: x != ""), 1, 20)
+    d = t.stream.select("query_id", F.col("doc_id").alias("id"), "epoch", F.flatten(F.transform(first, lambda x: T.words(x))).alias("w")).where(F.size("w") > 0)
+    count = lambda x: F.size(F.filter("w", lambda y: y == x)).cast("double")
+    return d.select("query_id", "id", "epoch", F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("token"), count(x).alias("n")))).alias("counts"))
 
 
 @query("dd1_streaming_dedup")
@@ -65,7 +68,8 @@ def dd1(t):
     p AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(x.n * y.n) AS DOUBLE) AS dot FROM c x JOIN c y ON x.query_id = y.query_id AND x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL)
     SELECT a, b, round(dot / (sa.norm * sb.norm), 6) AS cosine FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE dot / (sa.norm * sb.norm) >= 0.8""")
 def dd1_pairs(t):
-    return G.sparse_pairs(document_counts(t), ["query_id"], 0.8).select("a", "b", r6("cosine").alias("cosine"))
+    _ready(t)
+    return G.sparse_pairs(written(document_counts(t)), ["query_id"], 0.8).select("a", "b", r6("cosine").alias("cosine"))
 
 
 @query("dd2_novel_against_all", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.label = b.label AND a.vec_id < b.vec_id AND {COS} >= 0.25)")

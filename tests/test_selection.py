@@ -116,7 +116,7 @@ def test_sparse_pairs_are_those_of_all_pairs(spark, monkeypatch, least, postings
 
 
 def test_few_pairs_of_documents_are_looked_at(spark, sf):
-    rows = S.document_counts(Tables(spark, sf))
+    rows = S.document_counts(Tables(spark, sf)).cache()
     base = G.with_squares(rows, ["query_id"])
     looked = G.sparse_candidates(base, 0.8).count()
     every = sum(r["count"] * (r["count"] - 1) // 2 for r in base.groupBy("group").count().collect())
