@@ -134,13 +134,15 @@ def src14(t):
 HREF = 'href="([^"]*)"'
 
 
-@query("src14_link_crawl", f"""WITH RECURSIVE l AS (SELECT DISTINCT 'page ' || page_id AS page, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages), k AS (SELECT * FROM l WHERE link NOT IN (SELECT link FROM l GROUP BY link HAVING count(*) > 10)),
+@query("src14_link_crawl", f"""WITH RECURSIVE l AS (SELECT DISTINCT 'page ' || page_id AS page, unnest(regexp_extract_all(html, '{HREF}', 1)) AS link FROM pages), k AS (SELECT * FROM l WHERE link NOT IN (SELECT link FROM l GROUP BY link HAVING count(*) * 20 > (SELECT count(*) FROM pages))),
     e AS (SELECT page AS parent, link AS child FROM k UNION ALL SELECT link, page FROM k), crawl AS (SELECT DISTINCT 'page ' || min(page_id) AS node, 0 AS depth FROM pages UNION SELECT e.child, crawl.depth + 1 FROM crawl JOIN e ON e.parent = crawl.node WHERE crawl.depth < 8)
     SELECT node, min(depth) AS depth FROM crawl GROUP BY node""")
 def src14_links(t):
-    """Pages and links that the first page reaches in eight steps, from a page to its links and from a link to the pages that have it; what over ten pages link to is blacklisted."""
+    """Pages and links that the first page reaches in eight steps, from a page to its links and from a link to the pages that have it; what over a twentieth of the pages link to is blacklisted."""
     links = t.pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("page"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link")).distinct()
-    kept = links.join(links.groupBy("link").count().where("count > 10").select("link"), "link", "left_anti")
+    every = t.pages.agg(F.count("*").alias("pages"))  # one row
+    common = links.groupBy("link").count().crossJoin(every).where("count * 20 > pages").select("link")
+    kept = links.join(common, "link", "left_anti")
     edges = kept.select(F.col("page").alias("parent"), F.col("link").alias("child")).unionByName(kept.select(F.col("link").alias("parent"), F.col("page").alias("child")))
     return crawl(edges, t.pages.agg(F.concat(F.lit("page "), F.min("page_id").cast("string")).alias("node")), 8)
 
