@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lm
 from ..functions import math as M
+from ..functions import stemming
 from ..functions import text as T
 from ..operators.ordered import numbered, salted_join
 from .aggregating import HOURLY_IDF, hourly_idf
@@ -56,6 +57,68 @@ def tx5(t):
     return t.tokens.select("token").distinct().select("token", T.stem("token").alias("stem"))
 
 
+def _suffix_sql(rows: str, suffixes) -> str:
+    """token, x, the longest of the suffixes that ends x, and what precedes it."""
+    found = f"SELECT token, x, regexp_extract(x, '({'|'.join(suffixes)})$', 1) AS suffix FROM ({rows})"
+    return f"SELECT *, left(x, length(x) - length(suffix)) AS stem FROM ({found})"
+
+
+def _swap_sql(rows: str, rules: dict[str, str], measure: str) -> str:
+    new = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items())
+    return f"SELECT token, CASE WHEN suffix <> '' AND regexp_matches(stem, '{measure}') THEN stem || CASE suffix {new} END ELSE x END AS x FROM ({_suffix_sql(rows, rules)})"
+
+
+def _porter_sql() -> str:
+    """(token, stem) of all distinct tokens, a subquery for each of the steps."""
+    has = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+    cut = "left(stem, length(stem) - 1)"
+    x = rf"SELECT token, regexp_replace(token, '{stemming.CONSONANT_Y}', '\1Y', 'g') AS x FROM (SELECT DISTINCT token FROM tokens)"
+    x = _swap_sql(x, stemming.PLURALS, "")
+    mended = f"CASE WHEN {has('stem', '(at|bl|iz)$')} OR ({has('stem', stemming.IS_1)} AND {has('stem', stemming.CVC)}) THEN stem || 'e' WHEN right(stem, 1) = right({cut}, 1) AND {has('stem', '[^aeiouylsz]$')} THEN {cut} ELSE stem END"
+    x = f"SELECT token, CASE WHEN suffix = 'eed' THEN CASE WHEN {has('stem', stemming.OVER_0)} THEN stem || 'ee' ELSE x END WHEN suffix <> '' AND {has('stem', stemming.V)} THEN {mended} ELSE x END AS x FROM ({_suffix_sql(x, ('eed', 'ed', 'ing'))})"
+    x = f"SELECT token, CASE WHEN suffix <> '' AND {has('stem', stemming.V)} THEN stem || 'i' ELSE x END AS x FROM ({_suffix_sql(x, ('y', 'Y'))})"
+    x = _swap_sql(_swap_sql(x, stemming.DOUBLE_SUFFIXES, stemming.OVER_0), stemming.ENDINGS, stemming.OVER_0)
+    x = f"SELECT token, CASE WHEN suffix <> '' AND {has('stem', stemming.OVER_1)} AND (suffix <> 'ion' OR {has('stem', '[st]$')}) THEN stem ELSE x END AS x FROM ({_suffix_sql(x, stemming.LAST_SUFFIXES)})"
+    x = f"SELECT token, CASE WHEN suffix <> '' AND ({has('stem', stemming.OVER_1)} OR ({has('stem', stemming.IS_1)} AND NOT {has('stem', stemming.CVC)})) THEN stem ELSE x END AS x FROM ({_suffix_sql(x, ('e',))})"
+    x = f"SELECT token, CASE WHEN {has('x', 'll$')} AND {has('x', stemming.OVER_1)} THEN left(x, length(x) - 1) ELSE x END AS x FROM ({x})"
+    return f"SELECT token, CASE WHEN regexp_matches(token, '^[a-z]{{3,}}$') THEN lower(x) ELSE token END AS stem FROM ({x})"
+
+
+PORTER = f"({_porter_sql()})"
+
+
+def stemmed(t):
+    """(token, stem) of the distinct tokens: a word is stemmed once, however often it occurs."""
+    return t.tokens.select("token").distinct().select("token", stemming.porter("token").alias("stem"))
+
+
+@query("tx5_porter_stems", f"SELECT stem, count(*) AS forms, min(token) AS first_form, CAST(sum(n) AS BIGINT) AS occurrences FROM {PORTER} JOIN (SELECT token, count(*) AS n FROM tokens GROUP BY token) USING (token) GROUP BY stem")
+def tx5_porter(t):
+    """Each stem with the number of its forms and of their occurrences; words are counted before they are stemmed."""
+    n = t.tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("stem", stemming.porter("token"))
+    return n.groupBy("stem").agg(F.count("*").alias("forms"), F.min("token").alias("first_form"), F.sum("n").alias("occurrences"))
+
+
+@query("flt9_stem_threshold", f"SELECT update_id, count(DISTINCT stem) AS stems FROM tokens JOIN {PORTER} USING (token) GROUP BY update_id HAVING count(DISTINCT stem) >= 10")
+def flt9_stems(t):
+    """Sentences of ten stems or more."""
+    words = t.tokens.select("update_id", "token").distinct()
+    return salted_join(words, stemmed(t), "token", "update_id").groupBy("update_id").agg(F.countDistinct("stem").alias("stems")).where("stems >= 10")
+
+
+@query("tx18_stem_vectors", f"""WITH n AS (SELECT update_id, stem, count(*) AS n FROM tokens JOIN {PORTER} USING (token) GROUP BY ALL),
+    x AS (SELECT update_id, stem, n * (ln((1 + (SELECT count(*) FROM sentences)) / CAST(1 + df AS DOUBLE)) + 1) AS x FROM n JOIN (SELECT stem, count(*) AS df FROM n GROUP BY stem) USING (stem))
+    SELECT update_id, count(*) AS stems, round(sqrt(sum(x * x)), 4) AS norm, round(max(x), 5) AS top FROM x GROUP BY update_id""")
+def tx18_stems(t):
+    """Each sentence's tf-idf vector over stems: its size, length and largest weight."""
+    words = t.tokens.groupBy("update_id", "token").agg(F.count("*").alias("n"))
+    n = salted_join(words, stemmed(t), "token", "update_id").groupBy("update_id", "stem").agg(F.sum("n").alias("n"))
+    df = n.groupBy("stem").agg(F.count("*").alias("df"))
+    total = t.sentences.agg(F.count("*").alias("all"))  # one row
+    x = salted_join(n, df, "stem", "update_id").crossJoin(total).withColumn("x", F.col("n") * (F.log((1 + F.col("all")) / (1 + F.col("df")).cast("double")) + 1))
+    return x.groupBy("update_id").agg(F.count("*").alias("stems"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.round(F.max("x"), 5).alias("top"))
+
+
 @query("tx5_approximate_entities", r"SELECT tok, CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^\p{Lu}{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^\p{Lu}\p{Ll}+$') THEN 'PERSON' ELSE 'O' END AS ne FROM (SELECT DISTINCT unnest(string_split(sent_text, ' ')) AS tok FROM sentences)")
 def tx5_entities(t):
     return t.sentences.select(F.explode(F.split("sent_text", " ")).alias("tok")).distinct().select("tok", T.entity("tok").alias("ne"))
