@@ -87,6 +87,14 @@ def _porter_sql() -> str:
 PORTER = f"({_porter_sql()})"
 
 
+#: What an update_id is made of; as numbers they take less of a shuffle than the id.
+SENTENCE = ["doc_id", "epoch", "sent_id"]
+
+
+def update_id():
+    return F.concat_ws("-", F.col("epoch").cast("string"), F.md5(F.col("doc_id").cast("string")), F.col("sent_id").cast("string"))
+
+
 def stemmed(t):
     """(token, stem) of the distinct tokens: a word is stemmed once, however often it occurs."""
     return t.tokens.select("token").distinct().select("token", stemming.porter("token").alias("stem"))
@@ -102,8 +110,9 @@ def tx5_porter(t):
 @query("flt9_stem_threshold", f"SELECT update_id, count(DISTINCT stem) AS stems FROM tokens JOIN {PORTER} USING (token) GROUP BY update_id HAVING count(DISTINCT stem) >= 10")
 def flt9_stems(t):
     """Sentences of ten stems or more."""
-    words = t.tokens.select("update_id", "token").distinct()
-    return salted_join(words, stemmed(t), "token", "update_id").groupBy("update_id").agg(F.countDistinct("stem").alias("stems")).where("stems >= 10")
+    words = t.sentences.select(*SENTENCE, F.array_distinct(T.words("sent_text")).alias("words")).where(F.size("words") >= 10)
+    stems = salted_join(words.select(*SENTENCE, F.explode("words").alias("token")), stemmed(t), "token", "sent_id")
+    return stems.groupBy(*SENTENCE).agg(whole(F.size(F.collect_set("stem"))).alias("stems")).where("stems >= 10").select(update_id().alias("update_id"), "stems")
 
 
 @query("tx18_stem_vectors", f"""WITH n AS (SELECT update_id, stem, count(*) AS n FROM tokens JOIN {PORTER} USING (token) GROUP BY ALL),
@@ -111,12 +120,12 @@ def flt9_stems(t):
     SELECT update_id, count(*) AS stems, round(sqrt(sum(x * x)), 4) AS norm, round(max(x), 5) AS top FROM x GROUP BY update_id""")
 def tx18_stems(t):
     """Each sentence's tf-idf vector over stems: its size, length and largest weight."""
-    words = t.tokens.groupBy("update_id", "token").agg(F.count("*").alias("n"))
-    n = salted_join(words, stemmed(t), "token", "update_id").groupBy("update_id", "stem").agg(F.sum("n").alias("n"))
+    n = salted_join(t.tokens.select(*SENTENCE, "token"), stemmed(t), "token", "sent_id").groupBy(*SENTENCE, "stem").agg(F.count("*").alias("n"))
     df = n.groupBy("stem").agg(F.count("*").alias("df"))
     total = t.sentences.agg(F.count("*").alias("all"))  # one row
-    x = salted_join(n, df, "stem", "update_id").crossJoin(total).withColumn("x", F.col("n") * (F.log((1 + F.col("all")) / (1 + F.col("df")).cast("double")) + 1))
-    return x.groupBy("update_id").agg(F.count("*").alias("stems"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.round(F.max("x"), 5).alias("top"))
+    x = salted_join(n, df, "stem", "sent_id").crossJoin(total).withColumn("x", F.col("n") * (F.log((1 + F.col("all")) / (1 + F.col("df")).cast("double")) + 1))
+    g = x.groupBy(*SENTENCE).agg(F.count("*").alias("stems"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.round(F.max("x"), 5).alias("top"))
+    return g.select(update_id().alias("update_id"), "stems", "norm", "top")
 
 
 @query("tx5_approximate_entities", r"SELECT tok, CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN 'NUMBER' WHEN regexp_matches(tok, '^\p{Lu}{2,}$') THEN 'ORGANIZATION' WHEN regexp_matches(tok, '^\p{Lu}\p{Ll}+$') THEN 'PERSON' ELSE 'O' END AS ne FROM (SELECT DISTINCT unnest(string_split(sent_text, ' ')) AS tok FROM sentences)")
