@@ -113,7 +113,8 @@ def flt9_stems(t):
     """Sentences of ten stems or more, counted where the sentence is: words stemmed once and joined would be shuffled."""
     words = F.array_distinct(T.words("sent_text"))
     stems = F.size(F.array_distinct(F.transform(words, stemming.porter)))
-    return t.sentences.select("update_id", whole(stems).alias("stems")).where("stems >= 10")
+    # as an exploded array of one, or the condition would be pushed below and stem every word a second time
+    return t.sentences.where(F.size(words) >= 10).select("update_id", F.explode(F.array(whole(stems))).alias("stems")).where("stems >= 10")
 
 
 @query("tx18_stem_vectors", f"""WITH n AS (SELECT update_id, stem, count(*) AS n FROM tokens JOIN {PORTER} USING (token) GROUP BY ALL),
