@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +17,6 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def boosted_classifier(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 4) -> DataFrame:
-    """``rows`` with the probability of ``label``; with one class only, that class's share."""
-    kinds = train.agg(F.min(label), F.max(label)).first()
-    if kinds[0] is None or kinds[0] == kinds[1]:
-        return rows.withColumn("probability", F.lit(float(kinds[0] or 0)))
-    model = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=7).fit(assembled(train, features))
-    return model.transform(assembled(rows, features)).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
-
-
-def boosted_regressor(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3) -> DataFrame:
-    model = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.5, seed=7).fit(assembled(train, features))
-    return model.transform(assembled(rows, features)).drop("features")
-
-
 def logistic_policy(train: DataFrame, rows: DataFrame, features: list[str], label: str) -> DataFrame:
     model = LogisticRegression(labelCol=label, maxIter=30, regParam=0.01).fit(assembled(train, features))
     return model.transform(assembled(rows, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
@@ -67,54 +51,6 @@ def gp_ensemble(rows: DataFrame, features: list[str], label: str, models: int =
     return rows.select(F.col("id").cast("long").alias("id"), *features).mapInArrow(run, "id long, salience double")
 
 
-def fit_stumps(x: np.ndarray, y: np.ndarray, rounds: int = 50, rate: float = 0.3, cuts: int = 16) -> tuple[float, list[tuple[int, float, float, float]]]:
-    """Logistic boosting: the base log odds, and stumps (feature, threshold, value at or below it, value above)."""
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
-    base = float(np.log(share / (1 - share)))
-    score, out = np.full(len(y), base), []
-    places = [np.unique(np.quantile(c, np.linspace(0, 1, cuts + 2)[1:-1])) for c in x.T]
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p) + 1e-6
-        best = None
-        for j, at in enumerate(places):
-            for cut in at:
-                low = x[:, j] <= cut
-                a, b = g[low].sum(), g[~low].sum()
-                ha, hb = h[low].sum() + 1.0, h[~low].sum() + 1.0
-                gain = a * a / ha + b * b / hb
-                if best is None or gain > best[0] + 1e-12:
-                    best = (gain, j, float(cut), float(rate * a / ha), float(rate * b / hb))
-        if best is None:
-            break
-        _, j, cut, a, b = best
-        score += np.where(x[:, j] <= cut, a, b)
-        out.append((j, cut, a, b))
-    return base, out
-
-
-def boosted_stumps(train: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
-    """(key, base, stumps): a model for each key on its rows of ``train``, which the caller bounds."""
-    stump = pa.struct([("feature", pa.int32()), ("cut", pa.float64()), ("low", pa.float64()), ("high", pa.float64())])
-
-    def fit(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, [(c, "ascending") for c in [*features, label]])
-        table = table.take(order)
-        x = np.stack([table.column(f).to_numpy().astype(float) for f in features], 1)
-        base, stumps = fit_stumps(x, table.column(label).to_numpy().astype(float))
-        rows = [{"feature": j, "cut": c, "low": a, "high": b} for j, c, a, b in stumps]
-        return pa.table({key: table.column(key).slice(0, 1), "base": pa.array([base]), "stumps": pa.array([rows], pa.list_(stump))})
-
-    rows = train.select(key, *[F.col(c).cast("double").alias(c) for c in (*features, label)])
-    return rows.groupBy(key).applyInArrow(fit, f"{key} string, base double, stumps array<struct<feature:int,cut:double,low:double,high:double>>")
-
-
-def stump_sum(stumps: str, base: str, features: list[str]):
-    """A row's log odds under a model in its own columns."""
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    return F.aggregate(stumps, F.col(base), lambda s, m: s + F.when(F.get(x, m["feature"]) <= m["cut"], m["low"]).otherwise(m["high"]))
-
-
 def weighted_factors(counts: DataFrame, rank: int = 8, missing: float = 0.01, ridge: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """Document and word factors of a (doc, word, n) relation; observed cells weigh far more than missing ones."""
     from pyspark.ml.recommendation import ALS

@@ -1,24 +1,56 @@
 """Learned queries predict every row, each from rows of other folds."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newstide.functions import learning as L
+from newstide.operators import boosting as B
+from newstide.operators.components import written
 from newstide.plans.base import Tables
 from newstide.plans.catalog import QUERIES
 from newstide.plans.learning import FEATURES, pair_features, sentence_features
 
+from test_boosting import cells_of, grown
+
 
 def test_every_topic_has_a_salience_from_the_others(spark, sf):
     f = sentence_features(Tables(spark, sf)).cache()
     got = {r.update_id: r.salience for r in QUERIES["ml3_salience_regressor"](spark, sf).collect()}
     assert set(got) == {r.update_id for r in f.select("update_id").collect()}
     last = max(r.query_id for r in f.select("query_id").distinct().collect())
-    want = L.boosted_regressor(f.where(f.query_id != last), f.where(f.query_id == last), FEATURES, "found").collect()
-    assert want and all(abs(got[r.update_id] - r.prediction) < 1e-5 for r in want)
+    x = B.binned(f, FEATURES).select("query_id", "update_id", "x", "found").collect()
+    cells = cells_of([({e.feature: e.bin for e in r.x}, r.found) for r in x if r.query_id != last])
+    base, forest, _ = grown(cells, 10, 3, 0.3, 1.0, 1, False)
+    for r in x:
+        if r.query_id == last:
+            want, own = base, {e.feature: e.bin for e in r.x}
+            for tree in forest:
+                at, value = 1, 0.0
+                while at in tree:
+                    feature, cut, low, high = tree[at]
+                    over = own.get(feature, 0) >= cut
+                    at, value = at * 2 + over, high if over else low
+                want += value
+            assert abs(got[r.update_id] - want) < 1e-5
+
+
+def test_one_more_topic_is_no_more_jobs(spark, sf):
+    """The jobs of boosting are as many for two topics as for all."""
+    f = B.binned(sentence_features(Tables(spark, sf)), FEATURES).select(F.col("query_id").alias("model"), "x", "found").cache()
+    topics = sorted(r.model for r in f.select("model").distinct().collect())
+    assert len(topics) > 2
+    counts = []
+    for name, some in (("two", topics[:2]), ("all", topics)):
+        cells = written(B.left_out(B.cells(f.where(F.col("model").isin(some)), "found")))
+        spark.sparkContext.setJobGroup(name, name)
+        B.boost(cells, 1, 2)
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setJobGroup("", "")
+    assert counts[1] <= counts[0] + 4
 
 
 def test_each_nugget_has_its_own_model(spark, sf):
-    """Every pair that shares words is scored; nuggets with few positives get their share of them."""
+    """Every pair that is alike or judged is scored; nuggets with few positives get their share of them."""
     rows = pair_features(Tables(spark, sf)).collect()
     got = {(r.update_id, r.nugget_id): r.p for r in QUERIES["ml1_nugget_classifier"](spark, sf).collect()}
     assert set(got) == {(r.update_id, r.nugget_id) for r in rows}
@@ -28,20 +60,10 @@ def test_each_nugget_has_its_own_model(spark, sf):
         if positive < 11:
             assert all(abs(got[r.update_id, nugget] - positive / len(own)) < 1e-6 for r in own)
     soft = QUERIES["ml2_soft_match"](spark, sf).collect()
-    assert {(r.update_id, n): p for r in soft for n, p in r.probs.items()} == got and all(r.conf == max(r.probs.values()) for r in soft)
-
-
-def test_stumps_learn_and_score_alike_in_columns(spark):
-    rng = np.random.default_rng(0)
-    x = rng.random((200, 2))
-    y = ((x[:, 0] > 0.6) | (x[:, 1] < 0.2)).astype(float)
-    base, stumps = L.fit_stumps(x, y)
-    plain = lambda v: base + sum(a if v[j] <= cut else b for j, cut, a, b in stumps)
-    assert np.mean([(plain(v) > 0) == t for v, t in zip(x, y, strict=True)]) > 0.95
-    train = spark.createDataFrame([("k", float(a), float(b), float(t)) for (a, b), t in zip(x, y, strict=True)], "k string, a double, b double, y double")
-    models = L.boosted_stumps(train, "k", ["a", "b"], "y")
-    got = train.join(models, "k").select("a", "b", L.stump_sum("stumps", "base", ["a", "b"]).alias("s")).collect()
-    assert all(abs(r.s - plain((r.a, r.b))) < 1e-9 for r in got)
+    assert sorted(r.update_id for r in soft) == sorted(r.update_id for r in Tables(spark, sf).sentences.select("update_id").collect())
+    assert {(r.update_id, n): p for r in soft for n, p in r.probs.items()} == got and all(r.conf == max(r.probs.values(), default=0.0) for r in soft)
+    judged = {(r.update_id, r.nugget_id) for r in Tables(spark, sf).matches.collect()}
+    assert judged <= set(got)
 
 
 def test_gaussian_process_by_hand():
