@@ -3,11 +3,13 @@
 A unit vector is rotated at random and kept as the signs of its coordinates,
 with the correction factor (its inner product with its own code) stored beside
 them. Dividing a code's inner product with another rotated vector by that factor
-estimates the two vectors' inner product without bias (Gao and Long, 2024), with
-a bound on the error; only pairs whose bound reaches the threshold are computed
-exactly. Candidates share a band of code bits, where bands are so many that a
-pair at the threshold shares one with the given probability. Equal vectors are
-one node.
+estimates the two vectors' inner product without bias (Gao and Long, 2024). Two
+codes of different rotations have independent errors, so their product, divided
+by both factors, is unbiased too: codes alone, with their factors and the bound
+on the error, say which pairs may reach the threshold. Only those pairs' vectors
+are fetched, and computed exactly. Candidates share a band of code bits, where
+bands are so many that a pair at the threshold shares one with the given
+probability. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ class Settings:
     load: int = 4
     #: Standard errors of the estimate within which a pair is computed exactly.
     sure: float = 4.0
+    #: Rotations whose signs and factors travel with a vector's bands; two at least.
+    carried: int = 4
     #: Vectors of one tile of a bucket; larger buckets become pairs of tiles.
     tile: int = 512
 
@@ -109,8 +113,8 @@ def _size(raw: bytes) -> int:
     return (len(raw) - 1) // (4 if raw[:1] == b"f" else 8)
 
 
-def _bucketed(nodes: DataFrame, bits: int, bands: int, keys_only: bool) -> DataFrame:
-    """A row for each band of each vector: the band with its bits, and the signs under the first rotation."""
+def _codes(nodes: DataFrame, bits: int, bands: int, carried: int) -> DataFrame:
+    """(node, dim, code, factors) of each vector: its packed signs under all rotations of the bands, and the carried rotations' factors as floats."""
 
     def run(batches):
         for batch in batches:
@@ -119,22 +123,48 @@ def _bucketed(nodes: DataFrame, bits: int, bands: int, keys_only: bool) -> DataF
             for k, x in enumerate(raws):
                 by.setdefault(_size(x), []).append(k)
             for dim, members in by.items():
-                units = _units([raws[k] for k in members])
-                code, _ = codes_of(units, -(-bits * bands // dim))
-                key = _keys(code, dim, bits, bands)
+                code, factors = codes_of(_units([raws[k] for k in members]), _rotations(dim, bits, bands, carried))
+                own = factors[:, :carried].astype("<f4")
+                packed = [pa.array([x.tobytes() for x in v], pa.binary()) for v in (np.packbits(code, axis=1), own)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(members)), pa.array([dim] * len(members), pa.int32()), *packed], names=["node", "dim", "code", "factors"])
+
+    return nodes.select("node", "raw").mapInArrow(run, "node long, dim int, code binary, factors binary")
+
+
+def _rotations(dim: int, bits: int, bands: int, carried: int) -> int:
+    return max(-(-bits * bands // dim), carried)
+
+
+def _unpacked(codes: list[bytes], count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, count=count)
+
+
+def _bucketed(codes: DataFrame, bits: int, bands: int, carried: int, keys_only: bool) -> DataFrame:
+    """A row for each band of each code: the band with its bits, and the carried rotations' signs and factors."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                code = _unpacked(own.column("code").to_pylist(), dim * _rotations(dim, bits, bands, carried))
+                key = pa.array(_keys(code, dim, bits, bands).ravel())
                 if keys_only:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel())})
+                    yield pa.RecordBatch.from_pydict({"key": key})
                     continue
-                of = np.repeat(np.array(members), bands)
-                signs = pa.array([x.tobytes() for x in np.packbits(code[:, :dim], axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("node").take(pa.array(of)), signs.take(pa.array(np.repeat(np.arange(len(members)), bands)))], names=["key", "node", "signs"])
+                each = pa.array(np.repeat(np.arange(own.num_rows), bands))
+                signs = pa.array([x.tobytes() for x in np.packbits(code[:, : dim * carried], axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([key, own.column("node").take(each), signs.take(each), own.column("factors").take(each)], names=["key", "node", "signs", "factors"])
 
-    return nodes.select("node", "raw").mapInArrow(run, "key long" if keys_only else "key long, node long, signs binary")
+    names = ("dim", "code") if keys_only else ("node", "dim", "code", "factors")
+    return codes.select(*names).mapInArrow(run, "key long" if keys_only else "key long, node long, signs binary, factors binary")
 
 
 def _keys(code: np.ndarray, dim: int, bits: int, bands: int) -> np.ndarray:
     """Rows x bands: length of the vectors, band and the band's bits in one number."""
-    band = code[:, : bits * bands].reshape(-1, bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    band = code[:, : bits * bands].astype(np.int64).reshape(-1, bands, bits) @ (1 << np.arange(bits, dtype=np.int64))
     return ((np.int64(dim) << 44) | (np.arange(bands, dtype=np.int64) << 30))[None, :] | band
 
 
@@ -143,40 +173,69 @@ def _sides(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(salt == i), np.flatnonzero(salt == j)) if i != j else (np.arange(len(salt)),) * 2
 
 
-def _likely(rows: dict[str, list], s: Settings) -> np.ndarray:
-    """Places in a tile whose signs differ from another's in no more bits than vectors at the threshold do, by ``sure`` deviations."""
-    dim = (rows["key"][0] >> 44)
-    signs = np.unpackbits(np.frombuffer(b"".join(rows["signs"]), np.uint8).reshape(len(rows["key"]), -1), axis=1, count=dim).astype(np.float32)
-    off = math.acos(s.threshold) / math.pi
-    most = dim * off + s.sure * math.sqrt(dim * off * (1 - off))
+def code_products(bits: np.ndarray, factors: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a tile's estimates take: each code's rebuilt vectors, one a rotation (rows x count x dim), and each row's squared standard error.
+
+    A code turned back and divided by its factor is the vector plus an error at
+    right angles to it, of squared length (1 - f^2) / f^2.
+    """
+    n, count = factors.shape
+    signs = (bits * 2.0 - 1.0).reshape(n, count, dim) / (math.sqrt(dim) * factors)[:, :, None]
+    turns = rotations(dim, count).reshape(dim, count, dim)
+    square = (np.maximum(1 - factors**2, 0) / factors**2).mean(1) / max(dim - 1, 1) / count
+    return np.einsum("ncd,kcd->nck", signs, turns, optimize=True), square
+
+
+def code_estimate(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased inner products of codes (rows) with codes (columns), and their standard error for pairs at ``threshold`` or above.
+
+    Only products of different rotations are summed: under one rotation the
+    errors of like vectors are alike. An error lies at right angles to its own
+    vector, so against another at ``threshold`` only the sine's share of it counts.
+    """
+    (a, va), (b, vb) = left, right
+    _, count, dim = a.shape
+    every = a.sum(1) @ b.sum(1).T
+    same = a.reshape(len(a), -1) @ b.reshape(len(b), -1).T
+    both = va[:, None] * vb[None, :] * max(dim - 1, 1) * count / (count - 1)
+    error = np.sqrt((va[:, None] + vb[None, :]) * (1 - threshold**2) + both)
+    return (every - same) / (count * (count - 1)), error
+
+
+def _undecided(rows: dict[str, list], s: Settings) -> np.ndarray:
+    """Places in a tile of vectors that may have a link there: some estimate is within ``sure`` errors of the threshold, or above."""
+    dim = rows["key"][0] >> 44
+    factors = np.frombuffer(b"".join(rows["factors"]), "<f4").reshape(len(rows["key"]), -1).astype(float)
+    v, square = code_products(_unpacked(rows["signs"], dim * factors.shape[1]), factors, dim)
     left, right = _sides(rows)
-    a, b = signs[left], signs[right]
-    apart = a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
-    near = apart <= most
+    guess, error = code_estimate((v[left], square[left]), (v[right], square[right]), s.threshold)
+    # factors are kept in single precision
+    near = guess + s.sure * error + 1e-5 >= s.threshold
     if rows["i"][0] == rows["j"][0]:
         np.fill_diagonal(near, False)
     return np.union1d(left[near.any(1)], right[near.any(0)])
 
 
 def _links(rows: dict[str, list], bits: int, bands: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a tile that share no earlier band; positions of both."""
+    """Linked pairs of a tile's fetched vectors that share no earlier band; positions of both."""
     units = _units(rows["raw"])
     dim = units.shape[1]
-    code, factor = codes_of(units, -(-bits * bands // dim))
     left, right = _sides(rows)
-    guess, error = estimate(code[left], factor[left], units[right])
-    a, b = np.nonzero(guess + s.sure * error[:, None] >= s.threshold)
+    a, b = np.nonzero(units[left] @ units[right].T >= s.threshold - 1e-9)
     a, b = left[a], right[b]
     if rows["i"][0] == rows["j"][0]:
         a, b = a[a < b], b[a < b]
     good = (units[a] * units[b]).sum(1) >= s.threshold
     a, b = a[good], b[good]
+    some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    code, _ = codes_of(units[some], _rotations(dim, bits, bands, s.carried))
+    x, y = place[: len(a)], place[len(a) :]
     band = (rows["key"][0] >> 30) & 0x3FFF
     for at in range(0, band):
         if not len(a):
             break
-        new = (code[a, at * bits : (at + 1) * bits] != code[b, at * bits : (at + 1) * bits]).any(1)
-        a, b = a[new], b[new]
+        new = (code[x, at * bits : (at + 1) * bits] != code[y, at * bits : (at + 1) * bits]).any(1)
+        a, b, x, y = a[new], b[new], x[new], y[new]
     return a, b
 
 
@@ -219,21 +278,30 @@ def _by_tile(rows: DataFrame, use, schema: str) -> DataFrame:
     return rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
+def undecided(nodes: DataFrame, bits: int, bands: int, s: Settings = Settings()) -> DataFrame:
+    """(key, i, j, salt, node): the vectors of each tile whose codes leave open, or say, that they have a link there."""
+    codes = materialise(_codes(nodes, bits, bands, s.carried))
+    large = _bucketed(codes, bits, bands, s.carried, True).groupBy("key").count().where(F.col("count") > s.tile).select("key", F.ceil(F.col("count") / s.tile).cast("int").alias("parts"))
+    rows = _bucketed(codes, bits, bands, s.carried, False).join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("salt", "t"), "j": F.greatest("salt", "t")})
+
+    def chosen(held):
+        return [(held["key"][k], held["i"][k], held["j"][k], held["salt"][k], held["node"][k]) for k in _undecided(held, s).tolist()]
+
+    return _by_tile(rows.select("key", "i", "j", "salt", "node", "signs", "factors"), chosen, "key long, i long, j long, salt long, node long")
+
+
 def links(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(node, other, n): with ``other`` null, n vectors linked with the node in some tile; else an edge of a tile's spanning forest.
 
-    Signs alone choose which vectors of a tile may have a link there; only those
-    are sent with their components, and estimated and computed. Every linked
-    pair is counted in the first band that it shares, and nowhere else.
+    Codes and their factors choose which vectors of a tile may have a link there;
+    only those are fetched with their components, and computed exactly. Every
+    linked pair is counted in the first band that it shares, and nowhere else.
     """
     bits, bands = banding(nodes.count(), s)
-    large = _bucketed(nodes, bits, bands, True).groupBy("key").count().where(F.col("count") > s.tile).select("key", F.ceil(F.col("count") / s.tile).cast("int").alias("parts"))
-    rows = _bucketed(nodes, bits, bands, False).join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("salt", "t"), "j": F.greatest("salt", "t")})
-
-    def chosen(held):
-        return [(held["key"][k], held["i"][k], held["j"][k], held["salt"][k], held["node"][k]) for k in _likely(held, s).tolist()]
+    rows = undecided(nodes, bits, bands, s)
+    with_raw = rows.join(nodes.select("node", "copies", "raw"), "node").select("key", "i", "j", "salt", "node", "copies", "raw")
 
     def linked(held):
         a, b = _links(held, bits, bands, s)
@@ -252,8 +320,6 @@ def links(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
             name = then
         return [(int(node[k]), None, int(count[k])) for k in np.flatnonzero(count)] + [(int(node[k]), int(node[name[k]]), 0) for k in np.flatnonzero(name != np.arange(n))]
 
-    few = _by_tile(rows.select("key", "i", "j", "salt", "node", "signs"), chosen, "key long, i long, j long, salt long, node long")
-    with_raw = few.join(nodes.select("node", "copies", "raw"), "node").select("key", "i", "j", "salt", "node", "copies", "raw")
     return _by_tile(with_raw, linked, "node long, other long, n long")
 
 

@@ -225,6 +225,47 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(guess - x @ x.T) <= 4 * error[:, None]).mean() > 0.999
 
 
+def pairs_at(cosine, n, dim, rng):
+    """Unit vectors and others at ``cosine`` to them."""
+    x, z = embeddings._unit(rng.normal(size=(n, dim))), rng.normal(size=(n, dim))
+    side = embeddings._unit(z - (z * x).sum(1, keepdims=True) * x)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_codes_alone_estimate_without_bias_and_within_their_bound(dim):
+    rng = np.random.default_rng(4)
+    for cosine in (0.9, 0.95, 0.5, 0.0):
+        x, y = pairs_at(cosine, 2000, dim, rng)
+        sides = []
+        for v in (x, y):
+            bits, factors = embeddings.codes_of(v, 4)
+            sides.append(embeddings.code_products(bits, factors, dim))
+        guess, error = embeddings.code_estimate(*sides, 0.9)
+        guess, error = np.diag(guess), np.diag(error)
+        assert abs(guess.mean() - cosine) < 0.01
+        if cosine >= 0.9:
+            assert (guess + 4 * error >= 0.9).mean() > 0.999
+
+
+def test_only_undecided_vectors_are_fetched(spark):
+    """Planted pairs are found; of the vectors that share no link, few are fetched with their components."""
+    rng = np.random.default_rng(8)
+    x, y = pairs_at(0.91, 300, 64, rng)
+    alone = embeddings._unit(rng.normal(size=(3000, 64)))
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(np.concatenate([x, y, alone]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    s = embeddings.Settings()
+    _, nodes = embeddings.distinct_vectors(frame)
+    bits, bands = embeddings.banding(nodes.count(), s)
+    fetched = {r.node for r in embeddings.undecided(nodes, bits, bands, s).select("node").distinct().collect()}
+    least = {r.node: r.least for r in nodes.select("node", "least").collect()}
+    planted = {n for n in fetched if least[n] < 600}
+    assert len(planted) >= 0.96 * 600 and len(fetched - planted) <= 0.02 * 3000
+    found = [r for r in embeddings.near_duplicates(frame, s).collect() if r.n_links]
+    assert len(found) >= 0.96 * 600 and all(r.vec_id < 600 and r.component_id == r.vec_id % 300 for r in found)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 120)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
