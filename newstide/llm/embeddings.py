@@ -173,43 +173,48 @@ def _sides(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(salt == i), np.flatnonzero(salt == j)) if i != j else (np.arange(len(salt)),) * 2
 
 
-def code_products(bits: np.ndarray, factors: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a tile's estimates take: each code's rebuilt vectors, one a rotation (rows x count x dim), and each row's squared standard error.
+def code_products(bits: np.ndarray, factors: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a tile's estimates take: each code divided by its factors (rows x count * dim), those turned back and summed (rows x dim), and each row's squared standard error.
 
     A code turned back and divided by its factor is the vector plus an error at
     right angles to it, of squared length (1 - f^2) / f^2.
     """
     n, count = factors.shape
-    signs = (bits * 2.0 - 1.0).reshape(n, count, dim) / (math.sqrt(dim) * factors)[:, :, None]
-    turns = rotations(dim, count).reshape(dim, count, dim)
-    square = (np.maximum(1 - factors**2, 0) / factors**2).mean(1) / max(dim - 1, 1) / count
-    return np.einsum("ncd,kcd->nck", signs, turns, optimize=True), square
+    scale = (1 / (math.sqrt(dim) * factors)).astype(np.float32)
+    code = (np.where(bits, np.float32(1), np.float32(-1)).reshape(n, count, dim) * scale[:, :, None]).reshape(n, -1)
+    square = (1 / factors**2 - 1).clip(0).mean(1) / max(dim - 1, 1) / count
+    return code, code @ _turned_back(dim, count), square.astype(np.float32)
 
 
-def code_estimate(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(8)
+def _turned_back(dim: int, count: int) -> np.ndarray:
+    return np.ascontiguousarray(rotations(dim, count).T, dtype=np.float32)
+
+
+def code_estimate(left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased inner products of codes (rows) with codes (columns), and their standard error for pairs at ``threshold`` or above.
 
     Only products of different rotations are summed: under one rotation the
     errors of like vectors are alike. An error lies at right angles to its own
     vector, so against another at ``threshold`` only the sine's share of it counts.
     """
-    (a, va), (b, vb) = left, right
-    _, count, dim = a.shape
-    every = a.sum(1) @ b.sum(1).T
-    same = a.reshape(len(a), -1) @ b.reshape(len(b), -1).T
-    both = va[:, None] * vb[None, :] * max(dim - 1, 1) * count / (count - 1)
-    error = np.sqrt((va[:, None] + vb[None, :]) * (1 - threshold**2) + both)
-    return (every - same) / (count * (count - 1)), error
+    (a, whole_a, va), (b, whole_b, vb) = left, right
+    dim = whole_a.shape[1]
+    count = a.shape[1] // dim
+    # codes under one rotation have the same product turned back or not
+    guess = (whole_a @ whole_b.T - a @ b.T) / np.float32(count * (count - 1))
+    both = np.float32(max(dim - 1, 1) * count / (count - 1)) * va[:, None] * vb
+    return guess, np.sqrt((va[:, None] + vb) * np.float32(1 - threshold**2) + both)
 
 
 def _undecided(rows: dict[str, list], s: Settings) -> np.ndarray:
     """Places in a tile of vectors that may have a link there: some estimate is within ``sure`` errors of the threshold, or above."""
     dim = rows["key"][0] >> 44
     factors = np.frombuffer(b"".join(rows["factors"]), "<f4").reshape(len(rows["key"]), -1).astype(float)
-    v, square = code_products(_unpacked(rows["signs"], dim * factors.shape[1]), factors, dim)
+    codes = code_products(_unpacked(rows["signs"], dim * factors.shape[1]), factors, dim)
     left, right = _sides(rows)
-    guess, error = code_estimate((v[left], square[left]), (v[right], square[right]), s.threshold)
-    # factors are kept in single precision
+    guess, error = code_estimate(*[tuple(x[side] for x in codes) for side in (left, right)], s.threshold)
+    # the rest is room for single precision
     near = guess + s.sure * error + 1e-5 >= s.threshold
     if rows["i"][0] == rows["j"][0]:
         np.fill_diagonal(near, False)
