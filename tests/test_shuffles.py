@@ -107,3 +107,10 @@ def test_sparse_matches_are_all_pairs(spark, monkeypatch, postings, t):
             if dot >= 0.6 * math.sqrt(a * b):
                 want[k, name] = (dot, a, b)
     assert got == want
+
+
+def test_stream_unigrams_shuffle_no_tokens(t):
+    from newstide.plans import windows
+
+    p = plan(windows.wn3(t))
+    assert "regexp_extract_all(lower(sent_text" not in p and not [s for s in shuffles(windows.wn3(t)) if s.startswith("query_id, doc_id, epoch, token")]
