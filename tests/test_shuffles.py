@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from newstide.functions import text as T
 from newstide.operators import affinity as A
@@ -114,3 +115,26 @@ def test_stream_unigrams_shuffle_no_tokens(t):
 
     p = plan(windows.wn3(t))
     assert "regexp_extract_all(lower(sent_text" not in p and not [s for s in shuffles(windows.wn3(t)) if s.startswith("query_id, doc_id, epoch, token")]
+
+
+def test_trigrams_are_made_where_the_sentence_is(spark, t):
+    from newstide.functions import lm
+    from newstide.plans import computing
+
+    rows = spark.createDataFrame([(["x", "y", "z"],), (["x"],), ([],)], "w array<string>")
+    got = sorted(tuple(r) for r in rows.select(F.inline(lm.trigrams("w"))).collect())
+    assert got == [("<s>", "<s>", "x"), ("<s>", "<s>", "x"), ("<s>", "x", "y"), ("x", "y", "z")]
+    assert "Window" not in plan(computing._grams(t)) and shuffles(computing._grams(t)) == []
+
+
+def test_several_models_are_what_each_is_alone(spark):
+    from newstide.functions import lm
+
+    words = [["a", "b", "a", "c"], ["a", "b"], ["c", "a", "b", "a"], ["d"]]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "id long, w array<string>").select("id", F.inline(lm.trigrams("w")))
+    models = {"all": F.lit(True), "some": F.col("id") < 2, "none": F.col("id") < 0}
+    key = lambda r: (r.a, r.b, r.c)
+    both = {key(r): r for r in lm.probabilities(rows, models).collect()}
+    for m, on in models.items():
+        assert {key(r): r[m] for r in lm.probabilities(rows, {m: on}).collect()} == {k: r[m] for k, r in both.items()}
+    assert len(both) == rows.select("a", "b", "c").distinct().count() and all(r["none"] is None and 0 < r["some"] < 1 and 0 < r["all"] < 1 for r in both.values())
