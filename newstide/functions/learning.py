@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import top_per_group
+from ..operators.ordered import hash_first
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -32,11 +32,11 @@ def gp_predict(x: np.ndarray, y: np.ndarray, z: np.ndarray, noise: float = 0.1)
 def gp_ensemble(rows: DataFrame, features: list[str], label: str, models: int = 10, sample: int = 100) -> DataFrame:
     """Each row's mean prediction over ``models`` processes, each on a reservoir of ``sample`` rows (hash order).
 
-    The reservoirs come from one pass and are bounded, so they travel with the task.
+    The reservoirs are bounded, so they travel with the task; of the rows, which are read three times, only theirs are shuffled.
     """
     numbered = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
     numbered = numbered.withColumn("h", F.md5(F.concat(F.col("model").cast("string"), F.lit("-"), F.col("id").cast("string"))))
-    part = top_per_group(numbered.select("model", "h", *features, label), ["model"], ["h"], sample).orderBy("model", "h").collect()
+    part = hash_first(numbered.select("model", "h", *features, label), ["model"], F.col("h"), sample).orderBy("model", "h").collect()
     kept = []
     for m in sorted({r.model for r in part}):
         own = [r for r in part if r.model == m]

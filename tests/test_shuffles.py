@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newstide.functions import text as T
@@ -153,3 +154,20 @@ def test_ngrams_travel_with_their_first_words(spark, t):
     assert {r.id: (r.n, round(r.s, 9), r.m) for r in got} == want
     p = plan(computing.tx18(t))
     assert p.count("array_join") == 0 and not [s for s in shuffles(computing.tx18(t)) if s.startswith("update_id")]
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 60, 500])
+def test_first_by_hash_are_those_of_a_window(spark, most):
+    from newstide.operators.ordered import hash_first
+
+    rows = spark.createDataFrame([(k, float(k % 3 == 0)) for k in range(300)], "id long, label double").repartition(5)
+    h = F.md5(F.col("id").cast("string"))
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(h))).where(F.col("n") <= most).drop("n")
+    assert sorted(hash_first(rows, ["label"], h, most).collect()) == sorted(want.collect())
+
+
+def test_sentences_meet_their_nuggets_where_they_are(t):
+    from newstide.plans import learning
+
+    assert [s for s in shuffles(joining.nugget_sets(t)) if not s.startswith("nugget_text")] == []
+    assert [s for s in shuffles(learning.sentence_features(t)) if not s.startswith("nugget_text")] == []
