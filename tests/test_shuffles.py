@@ -171,3 +171,19 @@ def test_sentences_meet_their_nuggets_where_they_are(t):
 
     assert [s for s in shuffles(joining.nugget_sets(t)) if not s.startswith("nugget_text")] == []
     assert [s for s in shuffles(learning.sentence_features(t)) if not s.startswith("nugget_text")] == []
+
+
+def test_terms_are_weighed_where_the_document_is(spark, t, monkeypatch):
+    from newstide.operators import terms
+    from newstide.plans import computing, windows
+
+    for f in (computing.tx17, windows.wn7, joining.sentence_terms):
+        assert shuffles(f(t)) == [] and not re.search("Window|HashAggregate", plan(f(t)))
+    docs = {1: [["a", "b", "a"], [], ["b"]], 2: [], 3: [[]], 4: [["c"]]}
+    df = spark.createDataFrame([*docs.items(), (5, None)], "doc_id long, s array<array<string>>")
+    got = {(r.doc_id, r.rank, r.token): r.w for r in terms.unit_tfidf(df).collect()}
+    a, b = 2 * (math.log(3 / 2) + 1), 1.0
+    want = {(1, 1, "a"): a / math.hypot(a, b), (1, 1, "b"): b / math.hypot(a, b), (1, 3, "b"): 1.0, (4, 1, "c"): 1.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    sims = {r.doc_id: [(x.rank, round(x.sim, 9)) for x in r.sims] for r in terms.centrality(df).collect()}
+    assert sims == {1: [(1, round(6 / math.sqrt(5 * 8), 9)), (3, round(2 / math.sqrt(8), 9))], 2: [], 3: [], 4: [(1, 1.0)], 5: []}
