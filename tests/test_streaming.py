@@ -135,3 +135,25 @@ def test_dedup_as_a_stream_is_that_of_the_batch(spark, sf, tmp_path):
     counts.write.parquet(f"file:{tmp_path}/in")
     got = K.run(K.representatives(spark.readStream.schema(counts.schema).parquet(f"file:{tmp_path}/in")), f"file:{tmp_path}/run")
     assert {r.id: r.representative for r in got.collect()} == {r.id: r.representative for r in QUERIES["dd1_streaming_dedup"](spark, sf).collect()}
+
+
+@pytest.mark.parametrize("keep", [None, 40])
+def test_index_of_representatives_is_a_plain_loop_and_sheds_what_expired(keep):
+    rng = random.Random(5)
+    index, plain, most = K._Index(keep), {}, 0
+    index.limit = 8
+    for i in range(1500):
+        counts, ms = {f"w{rng.randrange(40)}": rng.randrange(1, 4) for _ in range(rng.randrange(0, 5))}, i // 2
+        norm = lambda c: sum(n * n for n in c.values()) ** 0.5
+        alive = {r: sum(n * c.get(w, 0) for w, n in counts.items()) / (norm(c) * norm(counts)) for r, (_, c, last) in plain.items() if c and counts and (keep is None or ms - last <= keep)}
+        want = min(alive, key=lambda r: (-alive[r], plain[r][0], r), default=None)
+        want = want if want is not None and alive[want] >= 0.8 else None
+        assert index.nearest(counts, ms, 0.8) == want
+        if want is None:
+            plain[i] = [ms, counts, ms]
+            index.add(i, ms, counts, ms)
+        else:
+            plain[want][2] = ms
+            index.seen(want, ms)
+        most = max(most, len(index.entries))
+    assert keep is None or most <= 1024 < len(plain)
