@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newstide.functions import text as T
 from newstide.operators import affinity as A
 from newstide.operators import clustering as C
+from newstide.operators import selection as G
 from newstide.operators.joins import sparse_matches
 from newstide.operators.ordered import lookup
 from newstide.plans import aggregating, joining
@@ -45,6 +46,13 @@ def test_points_are_shuffled_once(t):
     assert [s.split(",")[0] for s in shuffles(S.points(t))] == ["query_id"]
 
 
+def test_similar_documents_shuffle_no_words(spark):
+    """A row of a shuffle is a document, once for each block of its group, and never one of its words."""
+    rows = [(f"t{k % 2}", k, {f"w{j}": float(1 + j * k % 3) for j in range(k % 5 + 1)}) for k in range(40)]
+    pairs = G.sparse_pairs(spark.createDataFrame(rows, "topic string, id long, counts map<string,double>"), ["topic"], 0.8)
+    assert {s.split(",")[0] for s in shuffles(pairs)} <= {"group", "_g"} and "Window" not in plan(pairs)
+
+
 def test_exemplars_carry_their_own_columns(spark):
     rows, df = some_points(spark)
     own = {r[2]: (r[3], r[4]) for r in rows}
