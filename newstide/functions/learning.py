@@ -51,11 +51,18 @@ def gp_ensemble(rows: DataFrame, features: list[str], label: str, models: int =
     return rows.select(F.col("id").cast("long").alias("id"), *features).mapInArrow(run, "id long, salience double")
 
 
-def weighted_factors(counts: DataFrame, rank: int = 8, missing: float = 0.01, ridge: float = 20.0) -> tuple[DataFrame, DataFrame]:
-    """Document and word factors of a (doc, word, n) relation; observed cells weigh far more than missing ones."""
+#: Cells of a relation that one block of its factors' solution holds.
+CELLS = 10_000_000
+
+
+def weighted_factors(counts: DataFrame, rank: int = 8, missing: float = 0.01, ridge: float = 20.0, blocks: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Document and word factors of a (doc, word, n) relation; observed cells weigh far more than missing ones.
+
+    Each side is dealt to ``blocks``, of which a task holds one; first values are drawn by block.
+    """
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(rank=rank, implicitPrefs=True, alpha=1 / missing, regParam=ridge / 1000, maxIter=4, userCol="doc", itemCol="word", ratingCol="n", seed=3)
+    als = ALS(rank=rank, implicitPrefs=True, alpha=1 / missing, regParam=ridge / 1000, maxIter=4, userCol="doc", itemCol="word", ratingCol="n", seed=3, numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(counts)
     return model.userFactors, model.itemFactors
 

@@ -14,7 +14,7 @@ from newstide.operators import clustering as C
 from newstide.operators import selection as G
 from newstide.operators.joins import sparse_matches
 from newstide.operators.ordered import lookup
-from newstide.plans import aggregating, joining
+from newstide.plans import aggregating, joining, learning
 from newstide.plans import selecting as S
 from newstide.plans.base import Tables
 
@@ -53,6 +53,24 @@ def test_similar_documents_shuffle_no_words(spark):
     assert {s.split(",")[0] for s in shuffles(pairs)} <= {"group", "_g"} and "Window" not in plan(pairs)
 
 
+def test_factors_cells_are_made_without_shuffled_words(t, monkeypatch):
+    """Words are counted in the document's row and find their numbers there; blocks grow with the cells."""
+    seen = {}
+
+    def taken(counts, **how):
+        seen.update(how, counts=counts)
+        return counts.select(F.col("doc").alias("id"), F.array(F.lit(0.5)).alias("features")).distinct(), None
+
+    monkeypatch.setattr(learning.L, "weighted_factors", taken)
+    monkeypatch.setattr(learning.L, "CELLS", 700)
+    assert learning.ml6(t).count() == t.documents.count()
+    assert not [s for s in shuffles(seen["counts"]) if "token" in s]
+    rows = seen["counts"].collect()
+    assert Counter(r.n for r in rows) == Counter(float(r.n) for r in t.document_counts.select("n").collect())
+    assert len({(r.doc, r.word) for r in rows}) == len(rows) and max(r.word for r in rows) == t.document_counts.select("token").distinct().count()
+    assert seen["blocks"] == max(10, -(-len(rows) // 700))
+
+
 def test_exemplars_carry_their_own_columns(spark):
     rows, df = some_points(spark)
     own = {r[2]: (r[3], r[4]) for r in rows}
