@@ -163,3 +163,32 @@ def test_penalty_is_that_of_the_rule(spark, sf):
         want |= {i: v for (i, _), v in zip(rows, now, strict=True)}
     got = {r.id: r.penalised for r in QUERIES["fl6_salience_penalty"](spark, sf).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
+@pytest.mark.parametrize("tile", [41, 1024])
+def test_repeats_are_the_later_ones_of_all_pairs(spark, tile):
+    rows = dense(4, 600)  # a group is more rows than a tile has at once
+    df = spark.createDataFrame(rows, "g string, at int, id long, vector array<double>")
+    got = sorted(r.id for r in G.repeats(df, ["g"], ["at"], 0.61, tile).collect())
+    assert got == sorted(y[2] for group in by_group(rows) for k, y in enumerate(group) if any(cosine(x[3], y[3]) >= 0.61 for x in group[:k]))
+
+
+def test_penalties_leave_tiles_as_rows(spark, sf, monkeypatch):
+    """Small tiles give the same penalties, and of a tile leaves at most a row for each of its rows."""
+    from newstide.plans.catalog import QUERIES
+
+    def bounded(f):
+        def run(table, first):
+            out = f(table, first)
+            if any(len(column) > table.num_rows for column in out.values()):
+                raise ValueError("pairs leave a tile")
+            return out
+
+        return run
+
+    whole = {r.id: r.penalised for r in QUERIES["fl6_salience_penalty"](spark, sf).collect()}
+    monkeypatch.setattr(G, "WIDE", 16)
+    monkeypatch.setattr(G.repeats, "__defaults__", (16,))
+    for name in ("similarity_sums", "largest_shares"):
+        monkeypatch.setattr(S, name, bounded(getattr(S, name)))
+    assert {r.id: r.penalised for r in QUERIES["fl6_salience_penalty"](spark, sf).collect()} == whole
