@@ -9,9 +9,12 @@ over an array of one, as a plain nest of columns would double at every step.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 V, C = "[aeiouy]", "[^aeiouy]"
@@ -122,3 +125,69 @@ def porter(token: Column | str) -> Column:
         return F.when(word.rlike("^[a-z]{3,}$"), F.lower(out)).otherwise(word)
 
     return bound(t, stem)
+
+
+def _cut(word: str, suffixes) -> tuple[str, str]:
+    """The stem and the longest suffix that ends the word, or nothing."""
+    found = max((x for x in suffixes if word.endswith(x)), key=len, default="")
+    return word[: len(word) - len(found)], found
+
+
+#: The patterns that a stem is asked for.
+ASKED = {p: re.compile(p) for p in (V, OVER_0, OVER_1, IS_1, CVC, CONSONANT_Y, f"{V}.*[yY]$", "(at|bl|iz)$", r"([^aeiouylsz])\1$", "^[a-z]{3,}$")}
+
+
+def stem(token: str) -> str:
+    """``porter`` of one token."""
+    has = lambda x, pattern: ASKED[pattern].search(x) is not None
+    if not has(token, "^[a-z]{3,}$"):
+        return token
+
+    def replaced(x: str, rules: dict[str, str], measure: str) -> str:
+        left, suffix = _cut(x, rules)
+        return left + rules[suffix] if suffix and (not measure or has(left, measure)) else x
+
+    x = replaced(ASKED[CONSONANT_Y].sub(r"\1Y", token), PLURALS, "")
+    left, suffix = _cut(x, ("eed", "ed", "ing"))
+    if suffix == "eed":
+        x = x[:-1] if has(left, OVER_0) else x
+    elif suffix and has(left, V):
+        short = not has(left, r"([^aeiouylsz])\1$") and has(left, IS_1) and has(left, CVC)
+        x = left + "e" if has(left, "(at|bl|iz)$") or short else left[:-1] if has(left, r"([^aeiouylsz])\1$") else left
+    x = x[:-1] + "i" if has(x, f"{V}.*[yY]$") else x
+    x = replaced(replaced(x, DOUBLE_SUFFIXES, OVER_0), ENDINGS, OVER_0)
+    left, suffix = _cut(x, LAST_SUFFIXES)
+    x = left if suffix and has(left, OVER_1) and (suffix != "ion" or left.endswith(("s", "t"))) else x
+    if x.endswith("e") and (has(x[:-1], OVER_1) or (has(x[:-1], IS_1) and not has(x[:-1], CVC))):
+        x = x[:-1]
+    x = x[:-1] if x.endswith("ll") and has(x, OVER_1) else x
+    return x.lower()
+
+
+#: Words whose stems a task remembers.
+REMEMBERED = 500_000
+
+
+def stemmed_words(rows: DataFrame, words: str) -> DataFrame:
+    """``rows`` with the column ``words``, arrays of tokens without nulls, as arrays of their stems: a task stems a word once for as many as it remembers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(rows.schema)
+
+    def run(batches):
+        known: dict[str, str] = {}
+        for batch in batches:
+            lists = batch.column(words)
+            code = lists.flatten().dictionary_encode()
+            if len(known) > REMEMBERED:
+                known.clear()
+            stems = []
+            for word in code.dictionary.to_pylist():
+                if word not in known:
+                    known[word] = stem(word)
+                stems.append(known[word])
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(stems, pa.string()).take(code.indices))
+            yield pa.RecordBatch.from_arrays([out if c == words else batch.column(c) for c in arrow.names], names=arrow.names)
+
+    return rows.mapInArrow(run, rows.schema)

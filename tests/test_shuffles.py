@@ -14,7 +14,7 @@ from newstide.operators import clustering as C
 from newstide.operators import selection as G
 from newstide.operators.joins import levenshtein_candidates, sparse_matches
 from newstide.operators.ordered import lookup
-from newstide.plans import aggregating, joining, learning
+from newstide.plans import aggregating, computing, joining, learning
 from newstide.plans import selecting as S
 from newstide.plans.base import Tables
 
@@ -246,3 +246,9 @@ def test_fuzzy_matches_shuffle_no_sentence(t, sf):
     assert not shuffles(near)
     found = joining.jn14(t).collect()
     assert len(set(found)) == len(found) and {(r.nugget_id, r.y) for r in found if r.exact} == {(r.nugget_id, r.x) for r in n.join(folded.distinct(), F.col("x") == F.col("y")).collect()}
+
+
+def test_stem_vectors_shuffle_a_row_a_sentence(t):
+    """Stems are counted where the sentence is and weighed there: no shuffle goes by a sentence's stem or by a word."""
+    found = shuffles(computing.tx18_stems(t))
+    assert not [s for s in found if "token" in s or "stem" in s]

@@ -102,3 +102,19 @@ def test_odd_words(spark):
     got = {r.token: r.stem for r in rows}
     assert got == {w: None if w is None else plain(w) for w in odd}
     assert (got["generalizations"], got["oscillators"]) == ("gener", "oscil")
+
+
+def test_stems_in_rows_are_the_columns(spark, sf):
+    """Of every token of the tables and of made-up ones, in whatever batch and row."""
+    from newstide.functions import stemming
+    from newstide.plans.base import Tables
+
+    import random
+
+    rnd, parts = random.Random(0), ["y", "ee", "ll", "bb", "at", "iz", "s", *"aeiouwxtl", *stemming.DOUBLE_SUFFIXES, *stemming.ENDINGS, *stemming.LAST_SUFFIXES, *stemming.PLURALS, "ed", "ing", "eed"]
+    made = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(3000)]
+    tokens = Tables(spark, sf).tokens.select("token").distinct().union(spark.createDataFrame([(w,) for w in [*made, "été", "a1", "日本"]], "token string"))
+    wrong = tokens.select("token", stemming.porter("token").alias("want")).toPandas()
+    assert [w for w in wrong.itertuples() if stemming.stem(w.token) != w.want] == []
+    rows = spark.createDataFrame([(1, ["ponies", "x", "ponies"]), (2, []), (3, ["flies"])], "k int, w array<string>")
+    assert sorted((r.k, r.w) for r in stemming.stemmed_words(rows, "w").collect()) == [(1, ["poni", "x", "poni"]), (2, []), (3, ["fli"])]
