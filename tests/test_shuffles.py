@@ -114,6 +114,28 @@ def test_lookup_is_a_join(spark, most, how):
     assert sorted(got, key=str) == sorted(rows.join(table, "token", how).select("id", "token", "df", "x").collect(), key=str)
 
 
+@pytest.mark.parametrize(("most", "copies"), [(0, 0), (3, 0), (3, 16)])
+def test_rare_keys_are_shuffled_not_broadcast(spark, monkeypatch, most, copies):
+    """Copies of a table weren't in its estimated size, so the driver got sixteen of each row; now there are some only where a key has very many rows."""
+    from newstide.operators import ordered
+
+    monkeypatch.setattr(ordered, "SHARE", 1 if copies else 100_000)
+    rows = spark.createDataFrame([(k, f"w{k % 90}") for k in range(400)], "id long, token string")
+    table = spark.createDataFrame([(f"w{k}", 40 + k // 2, k * 10) for k in range(1, 70)], "token string, df long, x long")
+    got = lookup(rows, table, "token", "df", "id", "left", most)
+    assert plan(got).count("SortMergeJoin") == 1
+    assert plan(got).count("Generate explode") == (1 if copies else 0)
+    assert sorted(got.select("id", "x").collect(), key=str) == sorted(rows.join(table, "token", "left").select("id", "x").collect(), key=str)
+
+
+def test_long_keys_count_for_several_rows_of_a_broadcast(spark):
+    rows = spark.createDataFrame([(k, "w" * (1 + 1000 * (k % 3))) for k in range(9)], "id long, token string")
+    table = spark.createDataFrame([("w" * (1 + 1000 * k), 3 - k, k) for k in range(3)], "token string, df long, x long")
+    got = lookup(rows, table, "token", "df", "id", "inner", 20)  # three rows, 49 of 64 bytes
+    assert "SortMergeJoin" in plan(got)
+    assert sorted(r.x for r in got.collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
 @pytest.mark.parametrize("postings", [5, 100_000])
 def test_sparse_matches_are_all_pairs(spark, monkeypatch, postings, t):
     from newstide.operators import joins
