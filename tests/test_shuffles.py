@@ -274,3 +274,13 @@ def test_stem_vectors_shuffle_a_row_a_sentence(t):
     """Stems are counted where the sentence is and weighed there: no shuffle goes by a sentence's stem or by a word."""
     found = shuffles(computing.tx18_stems(t))
     assert not [s for s in found if "token" in s or "stem" in s]
+
+
+def test_words_weigh_by_all_trigrams_that_end_with_them(spark):
+    """They are looked up by that: a word that ends many trigrams after one and the same word is frequent."""
+    from newstide.functions import lm
+    from newstide.sources.readers import scratch
+
+    scratch(spark, "")
+    words, _ = lm._words(spark.createDataFrame([("x", "y", 50), ("x", "z", 1), ("z", "x", 2)], "b string, c string, n long"), "m")
+    assert {r.word: r.seen_m for r in words.collect()} == {"x": 2, "y": 50, "z": 1}
