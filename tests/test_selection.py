@@ -58,6 +58,18 @@ def test_novel_rows_are_those_of_one_pass(spark, seed, most, tile):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("tile", [100, 8192])
+def test_rows_that_are_all_alike_make_no_pairs(spark, monkeypatch, tile):
+    """600 rows of which any two are alike are 179,700 pairs; what is written is a few rows for each of them."""
+    made, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: made.append(write(df)) or made[-1])
+    monkeypatch.setattr(G, "_dropped", lambda df: None)
+    rows = [("a", k, [100.0, float(k % 30), float(k // 30)]) for k in range(600)] + [("a", 1000, [0.0, -1.0, 0.0])]
+    got = G.greedy_novel(spark.createDataFrame(rows, "g string, id long, vector array<double>"), ["g"], ["id"], 0.9, tile=tile)
+    assert sorted(r.id for r in got.collect()) == [0, 1000]
+    assert sum(df.count() for df in made) < 5 * len(rows)
+
+
 def test_no_rows_to_select_from(spark):
     df = spark.createDataFrame([], "g string, at int, id long, vector array<double>")
     assert not G.greedy_novel(df, ["g"], ["at"], 0.5).collect()
