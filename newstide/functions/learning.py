@@ -22,11 +22,39 @@ def logistic_policy(train: DataFrame, rows: DataFrame, features: list[str], labe
     return model.transform(assembled(rows, features)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def gp_predict(x: np.ndarray, y: np.ndarray, z: np.ndarray, noise: float = 0.1) -> np.ndarray:
-    """Mean of a Gaussian process with a squared-exponential kernel that has a length scale, its deviation, for each feature, and white noise."""
+#: Rows whose kernels are taken at once.
+STRIP = 512
+
+
+def gp_fit(x: np.ndarray, y: np.ndarray, noise: float = 0.1) -> tuple[np.ndarray, ...]:
+    """A Gaussian process with a squared-exponential kernel that has a length scale, its deviation, for each feature, and white noise."""
     scale = np.where(x.std(0) > 0, x.std(0), 1.0) * np.sqrt(x.shape[1])
-    k = lambda a, b: np.exp(-(((a[:, None] - b[None]) / scale) ** 2).sum(2) / 2)
-    return k(z, x) @ np.linalg.solve(k(x, x) + noise * np.eye(len(x)), y - y.mean()) + y.mean()
+    return x, scale, np.linalg.solve(_kernel(x, x, scale) + noise * np.eye(len(x)), y - y.mean()), y.mean()
+
+
+def _kernel(a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    far = np.zeros((len(a), len(b)))
+    for f in range(a.shape[1]):
+        d = a[:, f, None] - b[None, :, f]
+        d /= scale[f]
+        d *= d
+        far += d
+    np.negative(far, out=far)
+    far /= 2
+    return np.exp(far, out=far)
+
+
+def gp_mean(z: np.ndarray, x: np.ndarray, scale: np.ndarray, weights: np.ndarray, mean: float) -> np.ndarray:
+    """Means of a fitted process, a bounded number of rows at a time."""
+    out = np.empty(len(z))
+    for i in range(0, len(z), STRIP):
+        out[i : i + STRIP] = _kernel(z[i : i + STRIP], x, scale) @ weights + mean
+    return out
+
+
+def gp_predict(x: np.ndarray, y: np.ndarray, z: np.ndarray, noise: float = 0.1) -> np.ndarray:
+    """Mean at ``z`` of the process that is fitted to ``x`` and ``y``."""
+    return gp_mean(z, *gp_fit(x, y, noise))
 
 
 def gp_ensemble(rows: DataFrame, features: list[str], label: str, models: int = 10, sample: int = 100) -> DataFrame:
@@ -40,12 +68,12 @@ def gp_ensemble(rows: DataFrame, features: list[str], label: str, models: int =
     kept = []
     for m in sorted({r.model for r in part}):
         own = [r for r in part if r.model == m]
-        kept.append((np.array([[r[f] for f in features] for r in own], float), np.array([r[label] for r in own], float)))
+        kept.append(gp_fit(np.array([[r[f] for f in features] for r in own], float), np.array([r[label] for r in own], float)))
 
     def run(batches):
         for batch in batches:
             z = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], 1).astype(float)
-            mean = np.mean([gp_predict(x, y, z) for x, y in kept], 0) if len(z) else np.empty(0)
+            mean = np.mean([gp_mean(z, *model) for model in kept], 0) if len(z) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mean)], names=["id", "salience"])
 
     return rows.select(F.col("id").cast("long").alias("id"), *features).mapInArrow(run, "id long, salience double")

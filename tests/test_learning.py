@@ -74,3 +74,17 @@ def test_gaussian_process_by_hand():
     gram = np.array([[k(x[i], x[j]) + 0.1 * (i == j) for j in range(3)] for i in range(3)])
     want = np.array([k(z[0], b) for b in x]) @ np.linalg.inv(gram) @ (y - y.mean()) + y.mean()
     assert abs(L.gp_predict(x, y, z)[0] - want) < 1e-9
+
+
+def test_kernels_of_many_rows_are_taken_by_strips():
+    """A kernel of all rows would hold 20,000 x 100 x 5 differences, 80 MB, several times over."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    x, y, z = rnd.normal(size=(100, 5)), rnd.random(100), rnd.normal(size=(20_000, 5))
+    tracemalloc.start()
+    got = L.gp_predict(x, y, z)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 20_000_000
+    assert np.allclose(got[::4000], [L.gp_predict(x, y, z[k : k + 1])[0] for k in range(0, 20_000, 4000)], atol=1e-12)
