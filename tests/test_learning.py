@@ -88,3 +88,8 @@ def test_kernels_of_many_rows_are_taken_by_strips():
     tracemalloc.stop()
     assert held < 20_000_000
     assert np.allclose(got[::4000], [L.gp_predict(x, y, z[k : k + 1])[0] for k in range(0, 20_000, 4000)], atol=1e-12)
+
+
+def test_pairs_are_found_once(spark, sf):
+    """Their features are cut by quantiles of all of them: without a table the sentences met the nuggets for either use."""
+    assert "MapInArrow" not in pair_features(Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
